@@ -58,9 +58,8 @@ def exact_mean(c: ColumnOrName) -> Column:
     return safe_div(exact_sum(col), F.count(col).cast("double"))
 
 
-# Marks stripped from amounts, and texts that mean "no number".
+# Marks stripped from amounts, and the shape of a numeric prefix.
 CURRENCY_MARKS = "₹$€£¥"
-SHEET_NO_VALUE_TEXTS = ("", "-", "—", "na", "n/a")
 LEADING_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 
 
@@ -84,14 +83,10 @@ def parse_sheet_number(cell: ColumnOrName) -> Column:
 
     A cell with no numeric prefix is read from its digits alone.
     """
-    text = F.trim(F.regexp_replace(as_col(cell).cast("string"), "\u00a0", " "))
-    negative = text.startswith("(") & text.endswith(")")
-    body = F.regexp_replace(text, r"(?s)^\((.*)\)$", "$1")
-    body = F.regexp_replace(body, f"[{CURRENCY_MARKS}\\s]", "")
-    body = F.regexp_replace(F.regexp_replace(body, r"(?i)^rs\.?", ""), ",", "")
-    number = F.coalesce(leading_double(body), leading_double(F.regexp_replace(body, r"[^0-9.\-]", "")))
-    number = F.when(~F.lower(text).isin(*SHEET_NO_VALUE_TEXTS), number)
-    return F.when(negative, -number).otherwise(number)
+    text = F.regexp_replace(as_col(cell).cast("string"), r"(?s)^[\s\u00a0]*\((.*)\)[\s\u00a0]*$", "-$1")
+    text = F.regexp_replace(text, f"[{CURRENCY_MARKS},\\s\\u00a0]", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?i)^(-?)rs\.?", "$1"), "^--", "")
+    return F.coalesce(leading_double(text), leading_double(F.regexp_replace(text, r"[^0-9.\-]", "")))
 
 
 def parse_dashboard_number(cell: ColumnOrName) -> Column:

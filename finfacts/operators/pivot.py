@@ -43,9 +43,12 @@ def pivot_facts(df: DataFrame, keys: Keys = (), agg: str = "max", period: str =
         numeric_cell(df, value).alias("_value"),
     )
     cells = cells.withColumn("_slot", R.first_match(F.col("_label"), R.SLOT_RULES))
-    cells = cells.where((F.col("period") != "") & F.col("_slot").isNotNull() & F.col("_value").isNotNull())
+    # A period without one readable figure is dropped after the aggregation: a filter on the computed
+    # columns would be pushed below them and make every label be classified twice.
     sums = [exact_sum(F.when(F.col("_slot") == s, F.col("_value"))).alias(s) for s in SLOTS]
-    return cells.groupBy(*keys, "period").agg(*sums)
+    used = F.count(F.when(F.col("_slot").isNotNull(), F.col("_value"))).alias("_used")
+    out = cells.groupBy(*keys, "period").agg(*sums, used)
+    return out.where((F.col("period") != "") & (F.col("_used") > 0)).drop("_used")
 
 
 def header_slot(name: str) -> str | None:
