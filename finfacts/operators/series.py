@@ -381,3 +381,9 @@ def check_series(df: DataFrame, col: str = "value", keys: Keys = ()) -> DataFram
         lambda v: v.isNotNull(),
     )
     return out.select(*keys, "period", value.alias("value"), F.explode(found).alias("violation"))
+
+
+def next_period(df: DataFrame, keys: Keys = ()) -> DataFrame:
+    """The year after the latest one a period label names."""
+    year = F.nullif(F.regexp_extract("period", r"(20[0-9]{2})", 1), F.lit("")).cast("int")
+    return df.groupBy(*keys).agg((F.max(year) + 1).alias("next_period"))
