@@ -1 +1,263 @@
+"""Queries over table grids and text lines.
 
+The grids are made of known cells, so most oracles rebuild what a reader should find from those cells
+instead of repeating the array work.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from finfacts.functions.rules import ROW_METRIC_RULES
+from finfacts.operators import documents as D
+from finfacts.plans.extraction import extract_facts, table_candidates
+from finfacts.sources.grids import grids_from_json, grids_to_json
+
+from . import fixtures as fx
+from .registry import query
+from .sqltext import case_sql, ledger_number_sql, squeeze_sql
+
+DOC = ("company", "source_file")
+TABLE_COLS = ["company", "source_file", "page_number", "table_index"]
+
+
+@query(
+    "d1_explode_grid",
+    fx.with_views(
+        "cells",
+        "SELECT company, source_file, page_number, table_index, row, col, cell FROM fx_cells",
+    ),
+)
+def explode_grid(spark, sf):
+    return D.explode_grid(fx.grids(spark, sf), DOC)
+
+
+@query(
+    "s7_grids_as_json",
+    fx.with_views(
+        "cells",
+        "SELECT company, source_file, page_number, table_index, row, col, cell FROM fx_cells",
+    ),
+)
+def grids_as_json(spark, sf):
+    stored = grids_to_json(fx.grids(spark, sf))
+    return D.explode_grid(grids_from_json(stored), DOC)
+
+
+_TEXTS = (
+    "texts AS (SELECT company, ck, source_file, page_number, table_index, lower(string_agg(cell, ' ' ORDER BY row, col) "
+    "FILTER (cell <> '')) AS t FROM fx_cells GROUP BY ALL)"
+)
+
+
+@query(
+    "d2_income_table",
+    fx.with_views(
+        "cells",
+        "SELECT company, source_file, page_number, table_index FROM (SELECT *, row_number() OVER (PARTITION BY company "
+        "ORDER BY page_number, table_index) AS rn FROM texts WHERE regexp_matches(t, 'revenue|income') AND "
+        "regexp_matches(t, 'profit|expenses')) WHERE rn = 1",
+        _TEXTS,
+    ),
+)
+def income_table(spark, sf):
+    return D.income_table(fx.grids(spark, sf), DOC).select(*TABLE_COLS)
+
+
+# What a reader should find: each amount of the statement with its row label, year and unit.
+FOUND = (
+    "amounts AS (SELECT company, ck, source_file, page_number, table_index, CASE WHEN ck % 3 = 0 THEN col ELSE row END "
+    "AS item, CASE WHEN ck % 3 = 0 THEN row ELSE col END AS n, cell FROM fx_cells WHERE table_index = 1)",
+    f"labelled AS (SELECT a.company, a.ck, a.source_file, a.page_number, a.n, a.item, lab.cell AS label, a.cell, yr.cell "
+    f"AS year_cell, {ledger_number_sql('a.cell')} AS v FROM amounts a JOIN amounts lab ON a.ck = lab.ck AND a.item = lab.item "
+    "AND lab.n = 0 JOIN amounts yr ON a.ck = yr.ck AND a.n = yr.n AND yr.item = 0 WHERE a.item > 0 AND a.n > 0)",
+    "sized AS (SELECT *, max(n) OVER (PARTITION BY ck) AS years, CASE WHEN ck % 5 = 0 THEN NULL WHEN ck % 4 = 2 THEN "
+    "substr(year_cell, 3, 2) || right(year_cell, 2) ELSE right(year_cell, 4) END AS named FROM labelled)",
+)
+COLUMNAR = (
+    # Header years where the header names them; else the first column's neighbour counts back from 2023.
+    "dated AS (SELECT *, coalesce(named, CAST(2023 - (n - 1) AS STRING)) AS period FROM sized WHERE ck % 3 <> 0)",
+    f"checked AS (SELECT *, {squeeze_sql('label')} AS l, v >= 1000 AS ok FROM dated)",
+    f"chosen AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY ck, item) AS n_ok FROM checked)",
+)
+
+
+@query(
+    "d3_year_columns",
+    fx.with_views(
+        "cells",
+        "SELECT company, source_file, 0 AS header_row, n AS col, period AS year FROM dated WHERE item = 1",
+        *FOUND, COLUMNAR[0],
+    ),
+)
+def year_columns(spark, sf):
+    rows = fx.grids(spark, sf).where((F.col("table_index") == 1) & (F.col("ck") % 3 != 0))
+    out = D.year_columns(rows).select("company", "source_file", "header_row", F.explode("years").alias("_y"))
+    return out.select("company", "source_file", F.col("header_row").cast("int").alias("header_row"), "_y.*")
+
+
+_LAKH = "CASE WHEN ck % 7 = 1 THEN v * 0.01e0 ELSE v END"
+
+
+@query("d4_columnar_facts")
+def columnar_facts(spark, sf):
+    rows = fx.grids(spark, sf).where((F.col("table_index") == 1) & (F.col("ck") % 3 != 0))
+    return D.columnar_facts(rows, DOC)
+
+
+_D4_OTHER = {1: "other_income", 4: "cogs", 5: "finance_costs", 7: "expenses", 8: "pbt", 9: "net_profit", 10: "eps"}
+_D4_CASE = "CASE item " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in _D4_OTHER.items()) + " END"
+
+
+@query(
+    "d4_columnar_other_metrics",
+    fx.with_views(
+        "cells",
+        f"SELECT company, source_file, {_D4_CASE} AS metric, period, {_LAKH} AS value, CASE WHEN ck % 7 = 1 THEN "
+        f"'consolidated' ELSE 'standalone' END AS level, {_LAKH} >= 1000 AS is_valid, CASE WHEN ck % 7 = 1 THEN 0.9e0 "
+        f"ELSE 0.7e0 END AS confidence FROM dated WHERE {_D4_CASE} IS NOT NULL AND CASE WHEN item = 10 THEN v > 0 ELSE "
+        "v >= 1000 END",
+        *FOUND, COLUMNAR[0],
+    ),
+)
+def columnar_other_metrics(spark, sf):
+    out = columnar_facts(spark, sf).where(F.col("metric") != "revenue")
+    return out.select("company", "source_file", "metric", "period", "value", "level", "is_valid", "confidence")
+
+
+@query(
+    "d4_columnar_revenue",
+    fx.with_views(
+        "cells",
+        f"SELECT company, source_file, 'revenue' AS metric, period, {_LAKH} AS value, {_LAKH} >= 1000 AS is_valid "
+        "FROM (SELECT *, first(item ORDER BY item) FILTER (item IN (2, 3) AND n_ok >= 2) OVER (PARTITION BY ck) AS best, "
+        "min(CASE WHEN n_ok >= 2 THEN item END) OVER (PARTITION BY ck) AS fallback FROM chosen) "
+        "WHERE ok AND item = coalesce(best, fallback)",
+        *FOUND, *COLUMNAR,
+    ),
+)
+def columnar_revenue(spark, sf):
+    out = columnar_facts(spark, sf).where(F.col("metric") == "revenue")
+    return out.select("company", "source_file", "metric", "period", "value", "is_valid")
+
+
+_D5_CASE = "CASE item WHEN 2 THEN 'revenue' " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in _D4_OTHER.items()) + " END"
+
+
+@query(
+    "d5_transposed_facts",
+    fx.with_views(
+        "cells",
+        f"SELECT company, source_file, {_D5_CASE} AS metric, named AS period, v AS value, "
+        "CASE WHEN item = 10 THEN v > 0 ELSE v >= 1000 END AS is_valid, CASE WHEN item = 10 THEN 0.75e0 ELSE 0.8e0 END "
+        "AS confidence FROM (SELECT *, count(DISTINCT CASE WHEN regexp_matches(year_cell, '(?i)fy\\s*(19|20)[0-9]{2}|"
+        "^(19|20)[0-9]{2}$') THEN n END) OVER (PARTITION BY ck) AS fy_rows FROM sized WHERE ck % 3 = 0) "
+        f"WHERE fy_rows >= 2 AND named IS NOT NULL AND {_D5_CASE} IS NOT NULL AND CASE WHEN item = 10 THEN v > 0 "
+        "ELSE v >= 1000 END",
+        *FOUND,
+    ),
+)
+def transposed_facts(spark, sf):
+    rows = fx.grids(spark, sf).where((F.col("table_index") == 1) & (F.col("ck") % 3 == 0))
+    out = D.transposed_facts(rows, DOC)
+    return out.select("company", "source_file", "metric", "period", "value", "is_valid", "confidence")
+
+
+@query("d8_route_tables")
+def route_tables(spark, sf):
+    return D.route_tables(fx.grids(spark, sf), DOC).select(*TABLE_COLS, "path")
+
+
+@query("d8_table_candidates")
+def all_candidates(spark, sf):
+    return table_candidates(fx.grids(spark, sf), DOC)
+
+
+# --- one line per year ----------------------------------------------------------------------------
+
+# A table of statement lines per company: year, then 1 to 6 amounts.
+_LINE = (
+    "CAST(yr AS STRING) || ' results ' || CAST(CAST(floor(rev) AS BIGINT) AS STRING) "
+    "|| CASE WHEN ck % 6 >= 1 THEN ' ' || CAST(CAST(floor(cogs) AS BIGINT) AS STRING) ELSE '' END "
+    "|| CASE WHEN ck % 6 >= 2 THEN ' ' || CAST(CAST(floor(tax * 3) AS BIGINT) AS STRING) ELSE '' END "
+    "|| CASE WHEN ck % 6 >= 3 THEN ' ' || CAST(CAST(floor(disc * 2) AS BIGINT) AS STRING) ELSE '' END "
+    "|| CASE WHEN ck % 6 >= 4 THEN ' ' || CAST(CAST(floor(ext) AS BIGINT) AS STRING) ELSE '' END || ' 12'"
+)
+_ROW_NUMS = (
+    f"row_lines AS (SELECT company, ck, yr, {_LINE} AS raw FROM fx_base)",
+    "row_nums AS (SELECT *, list_filter(list_transform(regexp_extract_all(raw, '[0-9][0-9,]*'), lambda t: CAST(replace(t, "
+    "',', '') AS BIGINT)), lambda x: x <> yr AND x > 1000) AS k FROM row_lines)",
+    "row_items AS (SELECT company, yr, raw, 'revenue' AS metric, k[1] AS v FROM row_nums UNION ALL SELECT company, yr, raw, "
+    "'expenses', CASE len(k) WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN k[2] WHEN 4 THEN k[2] "
+    "ELSE k[-2] END FROM row_nums UNION ALL SELECT company, yr, raw, 'net_income', CASE len(k) WHEN 0 THEN NULL WHEN 1 "
+    "THEN NULL WHEN 2 THEN CASE WHEN k[2] <> k[1] THEN k[2] END WHEN 3 THEN k[3] WHEN 4 THEN k[3] ELSE k[-1] END "
+    "FROM row_nums)",
+)
+
+
+@query(
+    "d6_row_facts",
+    fx.with_views(
+        "base",
+        "SELECT company, metric, CAST(yr AS STRING) AS period, CAST(v AS DOUBLE) AS value, raw FROM row_items "
+        "WHERE v IS NOT NULL",
+        *_ROW_NUMS,
+    ),
+)
+def row_facts(spark, sf):
+    rows = fx.base(spark, sf).select("company", F.struct("yr", F.expr(_LINE).alias("line")).alias("_l"))
+    grids = rows.groupBy("company").agg(F.array_sort(F.collect_list("_l")).alias("_g")).select(
+        "company", F.lit("lines.pdf").alias("source_file"), F.lit(1).alias("page_number"), F.lit(0).alias("table_index"),
+        F.transform("_g", lambda r: F.array(r["line"])).alias("rows"),
+    )
+    return D.row_facts(grids, DOC).select("company", "metric", "period", "value", "raw")
+
+
+# --- text -----------------------------------------------------------------------------------------
+
+_LOW = squeeze_sql("text")
+TEXT_FOUND = (
+    f"low AS (SELECT company, text, {_LOW} AS l FROM fx_lines)",
+    "kept AS (SELECT * FROM low WHERE NOT regexp_matches(l, 'margin|%|ratio|growth|comprehensive income|exceptional') "
+    "AND regexp_matches(l, '[0-9]{3}') AND regexp_matches(l, '(revenue|income|sales|profit|ebitda|expenses).{0,20}[0-9]') "
+    "AND len(string_split(l, ' ')) <= 12)",
+    f"read AS (SELECT company, {case_sql('l', ROW_METRIC_RULES)} AS metric, list_max(list_transform(regexp_extract_all(l, "
+    "'\\b(20[0-9]{2})\\b', 1), lambda y: CAST(y AS INTEGER))) AS year, list_max(list_filter(list_transform("
+    "regexp_extract_all(text, '[0-9,]{3,}'), lambda t: try_cast(replace(t, ',', '') AS DOUBLE)), lambda v: v IS NOT NULL "
+    "AND NOT v BETWEEN 1900 AND 2100 AND v >= 10000)) AS v FROM kept)",
+)
+
+
+def documents_of_lines(spark, sf):
+    """One text per company: its printed lines."""
+    rows = fx.text_lines(spark, sf).groupBy("company").agg(F.collect_list("text").alias("_t"))
+    return rows.select("company", F.array_join("_t", "\n").alias("text"))
+
+
+@query(
+    "d7_text_facts",
+    fx.with_views(
+        "lines",
+        "SELECT company, metric, year, max(v) AS value FROM read WHERE metric IS NOT NULL AND year IS NOT NULL "
+        "AND v IS NOT NULL GROUP BY ALL",
+        *TEXT_FOUND,
+    ),
+)
+def text_facts(spark, sf):
+    return D.text_facts(documents_of_lines(spark, sf), ("company",))
+
+
+@query("u1_union_candidates")
+def union_candidates(spark, sf):
+    texts = D.text_facts(documents_of_lines(spark, sf).withColumn("source_file", F.lit("report.pdf")), DOC)
+    external = fx.base(spark, sf).where("ck % 10 = 3").select(
+        "company", F.lit("report.pdf").alias("source_file"), F.col("yr").cast("string").alias("year"),
+        F.col("rev").alias("revenue"),
+    )
+    return D.union_candidates(table_candidates(fx.grids(spark, sf), DOC), texts, external, DOC)
+
+
+@query("u1_extract_facts")
+def extracted(spark, sf):
+    texts = documents_of_lines(spark, sf).withColumn("source_file", F.lit("report.pdf"))
+    return extract_facts(fx.grids(spark, sf), texts, None, DOC)

@@ -8,6 +8,7 @@ the tables; the order year plus 20 plays the fiscal year.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -333,6 +334,146 @@ def sales(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*[F.expr(e).alias(n) for n, e in _sales_columns(SPARK_MONEY).items()])
 
 
+# ---- table grids -------------------------------------------------------------------------------
+
+# Row number, label, amount of an income statement as a grid shows it.
+GRID_ITEMS: list[tuple[int, str, str]] = [
+    (1, "Other Income", "disc"),
+    (2, "Revenue from Operations", "rev"),
+    (3, "Total Income", "rev + disc"),
+    (4, "Cost of materials consumed", "cogs"),
+    (5, "Finance costs", "tax / 4"),
+    (6, "Other expenses", "ext / 100"),
+    (7, "Total Expenses", "cogs + tax"),
+    (8, "Profit before tax", "rev - cogs - tax + tax / 10"),
+    (9, "Net profit for the year", "rev - cogs - tax"),
+    (10, "Earnings per share", "abs(rev - cogs - tax) / 10000"),
+]
+_GRID_YEAR = (
+    "CASE WHEN ck % 5 = 0 THEN 'Column ' || CAST(n AS STRING) WHEN ck % 4 = 0 THEN 'FY ' || CAST(yr AS STRING) "
+    "WHEN ck % 4 = 1 THEN CAST(yr AS STRING) WHEN ck % 4 = 2 THEN 'FY' || CAST(yr - 1 AS STRING) || '-' || "
+    "CAST(yr % 100 AS STRING) ELSE 'Mar ' || CAST(yr AS STRING) END"
+)
+_GRID_CORNER = (
+    "CASE WHEN ck % 3 = 0 THEN 'Year' WHEN ck % 7 = 1 THEN 'Particulars (consolidated, in lakhs)' "
+    "ELSE 'Particulars (in crore)' END"
+)
+
+
+def _grid_cells(money: str) -> list[tuple[str, str, str, str, str]]:
+    """Table number, row, column, text and the condition of each cell of one (company, year)."""
+    first = "n = 1"
+    cells = [("1", "0", "0", _GRID_CORNER, first), ("1", "0", "n", _GRID_YEAR, "TRUE")]
+    for i, label, value in GRID_ITEMS:
+        cells.append(("1", str(i), "0", f"'{label}'", first))
+        cells.append(("1", str(i), "n", cell_expr(r2(value), money), "TRUE"))
+    cells.append(("0", "0", "0", "'Ratio'", f"{first} AND ck % 2 = 0"))
+    cells.append(("0", "0", "1", "'Growth 2019'", f"{first} AND ck % 2 = 0"))
+    cells.append(("0", "1", "0", "'Headcount'", f"{first} AND ck % 2 = 0"))
+    cells.append(("0", "1", "1", "'12%'", f"{first} AND ck % 2 = 0"))
+    return cells
+
+
+CELL_COLUMNS = {
+    "company": "company",
+    "ck": "ck",
+    "source_file": "'report.pdf'",
+    "page_number": "CAST(1 + t AS INT)",
+    "table_index": "CAST(t AS INT)",
+    "row": "CAST(CASE WHEN t = 1 AND ck % 3 = 0 THEN c ELSE r END AS INT)",
+    "col": "CAST(CASE WHEN t = 1 AND ck % 3 = 0 THEN r ELSE c END AS INT)",
+    "cell": "txt",
+}
+_CELL_STRUCTS = ", ".join(
+    f"CASE WHEN {cond} THEN {{'t': {t}, 'r': {r}, 'c': {c}, 'txt': {x}}} END" for t, r, c, x, cond in _grid_cells(DUCK_MONEY)
+)
+CELLS_SQL = f"""fx_numbered AS (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY yr) AS n FROM fx_base),
+fx_cell_items AS (SELECT company, ck, unnest([{_CELL_STRUCTS}]) AS m FROM fx_numbered),
+fx_cells AS (SELECT {', '.join(f'{e} AS {n}' for n, e in CELL_COLUMNS.items())}
+  FROM (SELECT company, ck, m.t AS t, m.r AS r, m.c AS c, m.txt AS txt FROM fx_cell_items WHERE m IS NOT NULL))"""
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of one income statement per company (every third one year per row) and, for half of them, a ratio table."""
+    numbered = base(spark, sf).withColumn("n", F.row_number().over(W.partitionBy("ck").orderBy("yr")))
+    structs = F.array(*[
+        F.when(
+            F.expr(cond),
+            F.struct(
+                F.expr(f"CAST({t} AS BIGINT)").alias("t"), F.expr(f"CAST({r} AS BIGINT)").alias("r"),
+                F.expr(f"CAST({c} AS BIGINT)").alias("c"), F.expr(x).alias("txt"),
+            ),
+        )
+        for t, r, c, x, cond in _grid_cells(SPARK_MONEY)
+    ])
+    rows = numbered.select("company", "ck", F.explode(structs).alias("m")).where(F.col("m").isNotNull())
+    rows = rows.select("company", "ck", "m.*")
+    return rows.select(*[F.expr(e).alias(n) for n, e in CELL_COLUMNS.items()])
+
+
+def grids(spark: SparkSession, sf: str) -> DataFrame:
+    """The same cells as one grid per table."""
+    table_keys = ("company", "ck", "source_file", "page_number", "table_index")
+    rows = cells(spark, sf).groupBy(*table_keys, "row").agg(
+        F.array_sort(F.collect_list(F.struct("col", "cell"))).alias("_r")
+    )
+    texts = F.transform("_r", lambda c: c["cell"])
+    out = rows.groupBy(*table_keys).agg(F.array_sort(F.collect_list(F.struct("row", texts.alias("c")))).alias("_g"))
+    return out.select(*table_keys, F.transform("_g", lambda r: r["c"]).alias("rows"))
+
+
+# ---- statement lines ---------------------------------------------------------------------------
+
+def _line_columns() -> dict[str, str]:
+    return {
+        "id": "id",
+        "company": "company",
+        "ck": "ck",
+        "yr": "yr",
+        "text": "CASE WHEN id % 110 = 50 THEN CAST(yr AS STRING) || ' 412,345 6155 418,500 369000' || ' 32' "
+                "ELSE label || ' ' || CASE id % 40 WHEN 0 THEN 'FY ' WHEN 20 THEN 'year ended March ' ELSE '' END || "
+                "CAST(yr AS STRING) || ' ' || cell || CASE id % 90 WHEN 0 THEN ' in crore' WHEN 10 THEN ' 12.5%' "
+                "WHEN 20 THEN ' growth' WHEN 30 THEN ' lakhs USD' WHEN 40 THEN ' for the year under review as stated in "
+                "the notes to accounts' WHEN 50 THEN ' 4567890' WHEN 60 THEN ' € million' WHEN 70 THEN ' Rs. 1,20,000' "
+                "ELSE '' END END",
+    }
+
+
+LINES_SQL = f"""fx_lines AS (
+  SELECT {', '.join(f'{e} AS {n}' for n, e in _line_columns().items())} FROM fx_statement)"""
+
+
+def text_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The facts as printed text lines with units, shares, long sentences and bare number rows among them."""
+    return statement(spark, sf).select(*[F.expr(e).alias(n) for n, e in _line_columns().items()])
+
+
+# ---- tokens ------------------------------------------------------------------------------------
+
+PAGE_HEIGHT, PAGE_WIDTH = 1000, 800
+TOKEN_COLUMNS = {
+    "doc_id": "ck",
+    "page": "page_number",
+    "seq": "CAST(row * 100 + col AS INT)",
+    "text": "cell",
+    "x0": "CAST(10 + col * 90 AS DOUBLE)",
+    "y0": "CAST(20 + row * 60 + (ck + col * 7) % 9 AS DOUBLE)",
+    "confidence": "(30 + (ck * 7 + row * 13 + col * 29) % 70) / 100.0e0",
+    "page_height": str(PAGE_HEIGHT),
+    "page_width": str(PAGE_WIDTH),
+}
+TOKENS_SQL = f"""fx_tokens AS (
+  SELECT {', '.join(f'{e} AS {n}' for n, e in TOKEN_COLUMNS.items())}, row AS line FROM fx_cells)"""
+
+
+def tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid cells as OCR tokens: a box per cell, slightly off the line, with a confidence."""
+    flat = cells(spark, sf).select(*[F.expr(e).alias(n) for n, e in TOKEN_COLUMNS.items()], F.col("row").alias("line"))
+    corner = [("x0", "y0", 0.0, 0.0), ("x0", "y0", 80.0, 0.0), ("x0", "y0", 80.0, 16.0), ("x0", "y0", 0.0, 16.0)]
+    box = F.array(*[F.array(F.col(x) + dx, F.col(y) + dy) for x, y, dx, dy in corner])
+    return flat.withColumn("bbox", box)
+
+
 # ---- composing -------------------------------------------------------------------------------
 
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -342,6 +483,9 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "wide": (WIDE_SQL, ("base",)),
     "long": (LONG_SQL, ("base",)),
     "sales": (SALES_SQL, ()),
+    "cells": (CELLS_SQL, ("base",)),
+    "lines": (LINES_SQL, ("statement",)),
+    "tokens": (TOKENS_SQL, ("cells",)),
 }
 
 
