@@ -15,7 +15,7 @@ from finfacts.sources.grids import grids_from_json, grids_to_json
 
 from . import fixtures as fx
 from .registry import query
-from .sqltext import case_sql, ledger_number_sql, squeeze_sql
+from .sqltext import case_sql, header_year_sql, ledger_number_sql, squeeze_sql
 
 DOC = ("company", "source_file")
 TABLE_COLS = ["company", "source_file", "page_number", "table_index"]
@@ -74,11 +74,29 @@ FOUND = (
     "sized AS (SELECT *, max(n) OVER (PARTITION BY ck) AS years, CASE WHEN ck % 5 = 0 THEN NULL WHEN ck % 4 = 2 THEN "
     "substr(year_cell, 3, 2) || right(year_cell, 2) ELSE right(year_cell, 4) END AS named FROM labelled)",
 )
+_YEAR_OK = "try_cast(year AS INTEGER) BETWEEN 2000 AND 2100"
 COLUMNAR = (
-    # Header years where the header names them; else the first column's neighbour counts back from 2023.
-    "dated AS (SELECT *, coalesce(named, CAST(2023 - (n - 1) AS STRING)) AS period FROM sized WHERE ck % 3 <> 0)",
+    # Every cell of the first eight rows that names a year, alone or joined with its right neighbour.
+    "heads AS (SELECT company, ck, source_file, row, col, coalesce(y, CASE WHEN nxt IS NOT NULL THEN yj END) AS year FROM "
+    f"(SELECT *, {header_year_sql('trim(cell)')} AS y, {header_year_sql('trim(cell) || trim(nxt)')} AS yj FROM (SELECT *, "
+    "lead(cell) OVER (PARTITION BY ck, row ORDER BY col) AS nxt FROM fx_cells WHERE table_index = 1 AND ck % 3 <> 0 "
+    "AND row < 8) WHERE trim(cell) <> ''))",
+    "best_head AS (SELECT ck, row AS header_row FROM (SELECT ck, row, row_number() OVER (PARTITION BY ck ORDER BY "
+    "count(*) DESC, row) AS rn FROM heads WHERE year IS NOT NULL GROUP BY ck, row) WHERE rn = 1)",
+    # Tables without any count back from the latest year they name, else from 2023.
+    "widths AS (SELECT ck, company, source_file, max(col) AS w, coalesce(max(list_max(list_transform(regexp_extract_all("
+    "cell, '\\b(20[0-9]{2})\\b', 1), lambda y: CAST(y AS INTEGER)))), 2023) AS base FROM fx_cells WHERE table_index = 1 "
+    "AND ck % 3 <> 0 GROUP BY ALL)",
+    "year_cols AS (SELECT h.company, h.ck, h.source_file, h.row AS header_row, h.col, h.year FROM heads h JOIN best_head b "
+    f"ON h.ck = b.ck AND h.row = b.header_row WHERE {_YEAR_OK} UNION ALL SELECT company, ck, source_file, 0, "
+    "unnest(range(1, w + 1)) AS col, CAST(base - unnest(range(1, w + 1)) + 1 AS STRING) FROM widths "
+    "WHERE ck NOT IN (SELECT ck FROM best_head))",
+    "dated AS (SELECT s.*, y.year AS period FROM sized s JOIN year_cols y ON s.ck = y.ck AND s.n = y.col "
+    "WHERE s.item <> y.header_row)",
     f"checked AS (SELECT *, {squeeze_sql('label')} AS l, v >= 1000 AS ok FROM dated)",
-    f"chosen AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY ck, item) AS n_ok FROM checked)",
+    "chosen AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY ck, item) AS n_ok FROM checked)",
+    "picked AS (SELECT ck AS pk, coalesce(min(CASE WHEN item IN (2, 3) AND n_ok >= 2 THEN item END), "
+    "min(CASE WHEN n_ok >= 2 THEN item END)) AS best FROM chosen GROUP BY ck)",
 )
 
 
@@ -86,8 +104,8 @@ COLUMNAR = (
     "d3_year_columns",
     fx.with_views(
         "cells",
-        "SELECT company, source_file, 0 AS header_row, n AS col, period AS year FROM dated WHERE item = 1",
-        *FOUND, COLUMNAR[0],
+        "SELECT company, source_file, header_row, col, year FROM year_cols",
+        *COLUMNAR[:4],
     ),
 )
 def year_columns(spark, sf):
@@ -117,7 +135,7 @@ _D4_CASE = "CASE item " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in _D4_OTHER.
         f"'consolidated' ELSE 'standalone' END AS level, {_LAKH} >= 1000 AS is_valid, CASE WHEN ck % 7 = 1 THEN 0.9e0 "
         f"ELSE 0.7e0 END AS confidence FROM dated WHERE {_D4_CASE} IS NOT NULL AND CASE WHEN item = 10 THEN v > 0 ELSE "
         "v >= 1000 END",
-        *FOUND, COLUMNAR[0],
+        *FOUND, *COLUMNAR[:5],
     ),
 )
 def columnar_other_metrics(spark, sf):
@@ -130,9 +148,7 @@ def columnar_other_metrics(spark, sf):
     fx.with_views(
         "cells",
         f"SELECT company, source_file, 'revenue' AS metric, period, {_LAKH} AS value, {_LAKH} >= 1000 AS is_valid "
-        "FROM (SELECT *, first(item ORDER BY item) FILTER (item IN (2, 3) AND n_ok >= 2) OVER (PARTITION BY ck) AS best, "
-        "min(CASE WHEN n_ok >= 2 THEN item END) OVER (PARTITION BY ck) AS fallback FROM chosen) "
-        "WHERE ok AND item = coalesce(best, fallback)",
+        "FROM chosen JOIN picked ON ck = pk WHERE ok AND item = best",
         *FOUND, *COLUMNAR,
     ),
 )

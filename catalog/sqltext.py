@@ -107,3 +107,28 @@ def ledger_number_sql(col: str) -> str:
 def dashboard_number_sql(col: str) -> str:
     text = f"regexp_replace({col}, '[,₹$€£¥\\s]', '', 'g')"
     return f"coalesce({leading_sql(text)}, 0e0)"
+
+
+def _group_sql(text: str, pattern: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract({text}, '{pattern}', {group}), '')"
+
+
+def period_of_sql(text: str) -> str:
+    """Year a period token ends in."""
+
+    def span(pattern: str) -> str:
+        a, b = _group_sql(text, pattern, 1), _group_sql(text, pattern, 2)
+        return f"(CASE WHEN length({b}) = 2 THEN substr({a}, 1, 2) || {b} ELSE {b} END)"
+
+    return (
+        f"coalesce({span('(?i)fy\\s*([0-9]{4})[^0-9]+([0-9]{2,4})')}, {_group_sql(text, '\\b((?:19|20)[0-9]{2})\\b')}, "
+        f"{span('([0-9]{4})[^0-9]+([0-9]{2,4})')})"
+    )
+
+
+def header_year_sql(text: str) -> str:
+    low = f"lower({text})"
+    return (
+        f"coalesce({_group_sql(low, '\\b(20[0-9]{2})\\b')}, '20' || {_group_sql(low, '\\bfy\\s?([0-9]{2})\\b')}, "
+        f"'20' || {_group_sql(low, '\\b[0-9]{2}-([0-9]{2})\\b')}, {period_of_sql(text)})"
+    )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, lines, money, periods
 from ..functions import rules as R
 from ..functions.numbers import parse_ledger_number
-from .frames import Keys
+from .frames import Keys, rows_with
 
 TABLE = ("page_number", "table_index")
 
@@ -384,16 +384,17 @@ def text_facts(df: DataFrame, keys: Keys = ("company", "source_file"), text: str
     years = F.transform(
         F.regexp_extract_all("_low", F.lit(r"\b(20[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int")
     )
-    rows = rows.withColumns(
-        {"metric": R.first_match(F.col("_low"), R.ROW_METRIC_RULES), "year": F.array_max(years)}
-    )
-    rows = rows.where(F.col("metric").isNotNull() & F.col("year").isNotNull())
     tokens = F.regexp_extract_all("_line", F.lit(r"([0-9,]{3,})"), F.lit(1))
     amounts = F.filter(
         F.transform(tokens, lambda t: F.regexp_replace(t, ",", "").try_cast("double")),
         lambda v: v.isNotNull() & ~v.between(1900, 2100) & (v >= SMALLEST_TEXT_VALUE),
     )
-    rows = rows.withColumn("value", F.array_max(amounts)).where(F.col("value").isNotNull())
+    found = {
+        "metric": R.first_match(F.col("_low"), R.ROW_METRIC_RULES),
+        "year": F.array_max(years),
+        "value": F.array_max(amounts),
+    }
+    rows = rows_with(rows, list(keys), found, tuple(found))
     return rows.groupBy(*keys, "metric", "year").agg(F.max("value").alias("value"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -61,3 +63,14 @@ def last_by(values: Sequence[ColumnOrName], order: Sequence[Column]) -> Column:
 def sort_struct(label: ColumnOrName = "period") -> list[Column]:
     """Fiscal order as plain columns for ``min_by``/``max_by``: labels without a key sort last."""
     return [F.coalesce(fiscal_key(label), F.lit(2147483647)), as_col(label)]
+
+
+def rows_with(df: DataFrame, kept: Sequence[str], computed: dict[str, Column], required: Sequence[str]) -> DataFrame:
+    """``kept`` columns plus ``computed`` ones, for the rows whose ``required`` computed columns are not NULL.
+
+    A plain filter on a computed column is pushed below it and computes it again at every step on the way
+    down.  Here the values are built once into a struct and rows without them are left out by the generator.
+    """
+    item = F.struct(*[c.alias(n) for n, c in computed.items()])
+    full = F.filter(F.array(item), lambda s: reduce(and_, [s[n].isNotNull() for n in required]))
+    return df.select(*kept, F.inline(full))

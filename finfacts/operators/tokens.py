@@ -11,7 +11,7 @@ from ..functions.boxes import bbox_xyxy
 from ..functions.numbers import exact_mean, js_round, safe_div
 from ..functions.rules import TOKEN_LABELS
 from .aggregate import fill_currency
-from .frames import Keys
+from .frames import Keys, rows_with
 
 # Geometry and confidence limits.
 LINE_GAP_MIN = 12.0
@@ -158,7 +158,7 @@ def line_facts(df: DataFrame, keys: Keys = ("doc_id",), predictions: DataFrame |
             "currency": F.coalesce(money.currency_of(text, "line"), money.currency_of("raw", "line")),
             "_class": F.when(sure >= LABEL_FLOOR, F.col("_label")).otherwise(labels.line_class("raw")),
         }
-    ).where(F.col("year").isNotNull())
+    )
     rows = rows.withColumn("_wide", lines.first_large(lines.amount_tokens("raw", "year")))
     plain = F.transform(
         F.regexp_extract_all("raw", F.lit("([0-9]+)"), F.lit(1)), lambda n: n.try_cast("bigint")
@@ -176,8 +176,8 @@ def line_facts(df: DataFrame, keys: Keys = ("doc_id",), predictions: DataFrame |
         .otherwise(F.col("_value"))
     )
     metric = F.when(by_wide | by_big, "revenue").otherwise(F.col("_class"))
-    rows = rows.select(*keys, line, "year", metric.alias("metric"), value.alias("value"), "currency", "raw")
-    return fill_currency(rows.where(F.col("value").isNotNull()), keys)
+    found = {"year": F.col("year"), "metric": metric, "value": value, "currency": F.col("currency"), "raw": F.col("raw")}
+    return fill_currency(rows_with(rows, [*keys, line], found, ("year", "value")), keys)
 
 
 def quality_score(df: DataFrame, keys: Keys = ("doc_id",), method: str = "method") -> DataFrame:
