@@ -474,6 +474,49 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return flat.withColumn("bbox", box)
 
 
+# ---- question log ------------------------------------------------------------------------------
+
+# Phrases a log holds; the years come from the order they are attached to.
+PHRASES = (
+    "show all ratios", "gross profit and gross margin", "EBITDA and EBITDA margin by year", "gross profit trend",
+    "what is the gross margin", "operating margin", "ebitda margin", "ebitda", "total revenue across years",
+    "sum of net income", "revenue growth yoy", "ROE {a}-{b}", "roa between {a} and {b}", "ROCE from {b} to {a}",
+    "current ratio", "acid test ratio", "debt/equity", "interest coverage", "asset turnover", "DIO", "DSO",
+    "supplier payment period", "earnings per share in FY {a}", "P/E ratio", "tie ratio", "npm margin of the company",
+    "wc ratio working capital", "liquidity test quick", "leverage ratio of debt", "margin", "shiw revnue treand",
+    "which year had the highest revenue", "lowest sales period", "compare revenue and expenses", "expence trend",
+    "median roe", "cagr on revenue", "compound annual growth for sales", "running total revenue", "cumulative net income",
+    "average profit per region", "how many orders by customer", "top 5 customers by sales", "the worst quarter",
+    "full picture of the company", "net income", "list the facts", "average roe", "total of turnover", "price to earnings",
+    "liquidity ratio of the stock market", "show roe between {a} and {b}", "return on shareholders equity",
+)
+
+
+def _question(number: str) -> str:
+    arms = " ".join(
+        f"WHEN {i} THEN '" + p.replace("{a}", "' || CAST(y AS STRING) || '").replace("{b}", "' || CAST(y + 2 AS STRING) || '")
+        + "'" for i, p in enumerate(PHRASES)
+    )
+    return f"CASE {number} % {len(PHRASES)} {arms} END"
+
+
+QUESTIONS_SQL = f"""fx_questions AS (
+  SELECT k AS question_id, {_question('k')} AS text FROM (SELECT o_orderkey AS k, year(o_orderdate) + 20 AS y FROM orders)
+  UNION ALL SELECT -(conv_id * 1000 + turn) AS question_id, text FROM conversations WHERE text IS NOT NULL)"""
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """A question log: one phrase per order with its years, and every conversation turn."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("k"), (F.year("o_orderdate") + 20).alias("y")
+    )
+    asked = orders.select(F.col("k").alias("question_id"), F.expr(_question("k")).alias("text"))
+    turns = table(spark, sf, "conversations").where(F.col("text").isNotNull()).select(
+        (-(F.col("conv_id") * 1000 + F.col("turn"))).alias("question_id"), "text"
+    )
+    return asked.unionByName(turns)
+
+
 # ---- composing -------------------------------------------------------------------------------
 
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -486,6 +529,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "cells": (CELLS_SQL, ("base",)),
     "lines": (LINES_SQL, ("statement",)),
     "tokens": (TOKENS_SQL, ("cells",)),
+    "questions": (QUESTIONS_SQL, ()),
 }
 
 
