@@ -23,21 +23,30 @@ def line_integers(text: ColumnOrName) -> Column:
     )
 
 
+def value_of_integers(numbers: ColumnOrName, scale: ColumnOrName) -> Column:
+    """Amount among a line's integers: the largest that is no year, 1000 or more, or any when scaled."""
+    n, factor = as_col(numbers), as_col(scale)
+    amount = F.array_max(F.filter(n, lambda x: ~x.between(1900, 2100)))
+    best = F.coalesce(amount, F.array_max(n))
+    scaled = F.rint(best.cast("double") * factor).cast("bigint")
+    return F.when(factor != 1.0, scaled).when(best >= 1000, best)
+
+
 def line_value(text: ColumnOrName) -> Column:
     """Amount of a line: largest number that is no year, at least 1000, or scaled when a unit is named."""
-    numbers = line_integers(text)
-    amounts = F.filter(numbers, lambda n: ~n.between(1900, 2100))
-    best = F.array_max(F.when(F.size(amounts) > 0, amounts).otherwise(numbers))
-    scale = unit_multiplier(text)
-    scaled = F.rint(best.cast("double") * scale).cast("bigint")
-    return F.when(scale != 1.0, scaled).when(best >= 1000, best)
+    return value_of_integers(line_integers(text), unit_multiplier(text))
+
+
+def tokens_without_year(numbers: ColumnOrName, year: ColumnOrName) -> Column:
+    """Integers in order, without the first one that equals ``year``."""
+    n = as_col(numbers)
+    at = F.coalesce(F.array_position(n, as_col(year).cast("bigint")), F.lit(0)).cast("int")
+    return F.filter(n, lambda x, i: i != at - 1)
 
 
 def amount_tokens(text: ColumnOrName, year: ColumnOrName) -> Column:
     """Integers of a line in order, without the first one that equals ``year``."""
-    numbers, y = line_integers(text), as_col(year).cast("bigint")
-    at = F.coalesce(F.array_position(numbers, y), F.lit(0)).cast("int")
-    return F.when(at > 0, F.filter(numbers, lambda n, i: i != at - 1)).otherwise(numbers)
+    return tokens_without_year(line_integers(text), year)
 
 
 def first_large(tokens: ColumnOrName, minimum: int = 1000) -> Column:
@@ -78,10 +87,19 @@ def parse_wide_line(raw: ColumnOrName) -> Column:
     )
 
 
-def valid_amount(cell: ColumnOrName, value: ColumnOrName, metric: ColumnOrName) -> Column:
-    """True when a cell holds an amount of a statement: no share, ratio or word; 1000 or more (EPS: above 0)."""
+def plain_amount(cell: ColumnOrName) -> Column:
+    """True when a cell's text is an amount and no share, ratio or word."""
     text = F.lower(F.trim(F.coalesce(as_col(cell), F.lit(""))))
-    v, m = as_col(value), as_col(metric)
-    big = F.when(m == "eps", v > 0).otherwise(v >= 1000)
     letters = F.regexp_replace(text, r"[,\s₹$€£()\-+]", "").rlike("[a-z]")
-    return F.coalesce(~R.match_any(text, R.NOT_AN_AMOUNT) & big & ~letters, F.lit(False))
+    return ~R.match_any(text, R.NOT_AN_AMOUNT) & ~letters
+
+
+def large_enough(value: ColumnOrName, metric: ColumnOrName) -> Column:
+    """1000 or more; EPS only has to be above 0."""
+    v = as_col(value)
+    return F.when(as_col(metric) == "eps", v > 0).otherwise(v >= 1000)
+
+
+def valid_amount(cell: ColumnOrName, value: ColumnOrName, metric: ColumnOrName) -> Column:
+    """True when a cell holds an amount of a statement: no share, ratio or word; 1000 or more (EPS: above 0)."""
+    return F.coalesce(plain_amount(cell) & large_enough(value, metric), F.lit(False))

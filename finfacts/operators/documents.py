@@ -96,8 +96,10 @@ def _header_years(row: Column) -> Column:
     def year(cell: Column, i: Column) -> Column:
         alone = F.trim(F.coalesce(cell, F.lit("")))
         joined = F.concat(alone, cell_at(row, i + 1))
-        found = F.coalesce(periods.header_year(alone), F.when(i + 1 < F.size(row), periods.header_year(joined)))
-        return F.struct(i.alias("col"), F.when(alone != "", found).alias("year"))
+        # Every form of a year holds two digits in a row.
+        by_itself = F.when(alone.rlike("[0-9][0-9]"), periods.header_year(alone))
+        with_next = F.when((i + 1 < F.size(row)) & joined.rlike("[0-9][0-9]"), periods.header_year(joined))
+        return F.struct(i.alias("col"), F.when(alone != "", F.coalesce(by_itself, with_next)).alias("year"))
 
     return F.filter(F.transform(row, year), lambda y: y["year"].isNotNull())
 
@@ -203,19 +205,21 @@ def columnar_facts(df: DataFrame, keys: Keys = ("company", "source_file")) -> Da
     by_words = labels.metric_from_row("_text")
     other = F.when(~banned & ~F.col("_is_revenue"), F.nullif(by_words, F.lit("revenue")))
 
-    def amounts(metric: Column) -> Column:
-        cells = F.transform(
-            "years",
-            lambda y: F.struct(
-                y["year"].alias("year"),
-                cell_at(F.col("_cells"), y["col"]).alias("cell"),
-                parse_ledger_number(cell_at(F.col("_cells"), y["col"])).alias("amount"),
-            ),
-        )
-        return F.filter(cells, lambda c: lines.valid_amount(c["cell"], c["amount"], metric))
-
-    rows = rows.withColumn("_other", other).withColumns(
-        {"_as_revenue": amounts(F.lit("revenue")), "_as_other": amounts(F.coalesce("_other", F.lit("")))}
+    # Cells are picked, parsed and tested once per row; the two readings only differ in the size they ask for.
+    picked = F.transform(
+        "years", lambda y: F.struct(y["year"].alias("year"), cell_at(F.col("_cells"), y["col"]).alias("cell"))
+    )
+    rows = rows.withColumns({"_other": other, "_picked": picked})
+    read = F.transform(
+        F.filter("_picked", lambda p: (p["cell"] != "") & lines.plain_amount(p["cell"])),
+        lambda p: F.struct(p["year"].alias("year"), parse_ledger_number(p["cell"]).alias("amount")),
+    )
+    rows = rows.withColumn("_read", read)
+    rows = rows.withColumns(
+        {
+            "_as_revenue": F.filter("_read", lambda a: a["amount"] >= SMALLEST_VALID),
+            "_as_other": F.filter("_read", lambda a: lines.large_enough(a["amount"], F.coalesce("_other", F.lit("")))),
+        }
     )
     candidate = (
         F.col("_is_revenue") & ~banned & ~F.col("_low").contains("%")

@@ -151,19 +151,25 @@ def line_facts(df: DataFrame, keys: Keys = ("doc_id",), predictions: DataFrame |
         given = predictions.select(*keys, line, F.col("label").alias("_label"), F.col("confidence").alias("_sure"))
         rows = rows.join(given, [*keys, line], "left")
     sure = F.coalesce("_sure", F.lit(0.0))
+    # Each step reads columns of the step before, so no text is scanned twice for the same thing.
     rows = rows.withColumns(
         {
             "year": lines.line_year("raw"),
-            "_value": lines.line_value("raw"),
+            "_ints": lines.line_integers("raw"),
+            "_scale": money.unit_multiplier("raw"),
             "currency": F.coalesce(money.currency_of(text, "line"), money.currency_of("raw", "line")),
             "_class": F.when(sure >= LABEL_FLOOR, F.col("_label")).otherwise(labels.line_class("raw")),
+            "_plain": F.regexp_extract_all("raw", F.lit("([0-9]+)"), F.lit(1)),
         }
     )
-    rows = rows.withColumn("_wide", lines.first_large(lines.amount_tokens("raw", "year")))
-    plain = F.transform(
-        F.regexp_extract_all("raw", F.lit("([0-9]+)"), F.lit(1)), lambda n: n.try_cast("bigint")
+    rows = rows.withColumns(
+        {
+            "_value": lines.value_of_integers("_ints", "_scale"),
+            "_wide": lines.first_large(lines.tokens_without_year("_ints", "year")),
+            "_big": F.filter(F.transform("_plain", lambda n: n.try_cast("bigint")), lambda n: n > 1000),
+        }
     )
-    big = F.filter(plain, lambda n: n > 1000)
+    big = F.col("_big")
     open_line = (F.col("_class") == "other") & ~(
         F.coalesce(F.col("_label") != "other", F.lit(False)) & (sure >= LABEL_SURE)
     )
