@@ -77,22 +77,22 @@ FOUND = (
 _YEAR_OK = "try_cast(year AS INTEGER) BETWEEN 2000 AND 2100"
 COLUMNAR = (
     # Every cell of the first eight rows that names a year, alone or joined with its right neighbour.
-    "heads AS (SELECT company, ck, source_file, row, col, coalesce(y, CASE WHEN nxt IS NOT NULL THEN yj END) AS year FROM "
+    "heads AS (SELECT company, ck, source_file, table_index, row, col, coalesce(y, CASE WHEN nxt IS NOT NULL THEN yj END) AS year FROM "
     f"(SELECT *, {header_year_sql('trim(cell)')} AS y, {header_year_sql('trim(cell) || trim(nxt)')} AS yj FROM (SELECT *, "
-    "lead(cell) OVER (PARTITION BY ck, row ORDER BY col) AS nxt FROM fx_cells WHERE table_index = 1 AND ck % 3 <> 0 "
-    "AND row < 8) WHERE trim(cell) <> ''))",
-    "best_head AS (SELECT ck, row AS header_row FROM (SELECT ck, row, row_number() OVER (PARTITION BY ck ORDER BY "
-    "count(*) DESC, row) AS rn FROM heads WHERE year IS NOT NULL GROUP BY ck, row) WHERE rn = 1)",
+    "lead(cell) OVER (PARTITION BY ck, table_index, row ORDER BY col) AS nxt FROM fx_cells WHERE row < 8) "
+    "WHERE trim(cell) <> ''))",
+    "best_head AS (SELECT ck, table_index, row AS header_row FROM (SELECT ck, table_index, row, row_number() OVER (PARTITION BY "
+    "ck, table_index ORDER BY count(*) DESC, row) AS rn FROM heads WHERE year IS NOT NULL GROUP BY ck, table_index, row) "
+    "WHERE rn = 1)",
     # Tables without any count back from the latest year they name, else from 2023.
-    "widths AS (SELECT ck, company, source_file, max(col) AS w, coalesce(max(list_max(list_transform(regexp_extract_all("
-    "cell, '\\b(20[0-9]{2})\\b', 1), lambda y: CAST(y AS INTEGER)))), 2023) AS base FROM fx_cells WHERE table_index = 1 "
-    "AND ck % 3 <> 0 GROUP BY ALL)",
-    "year_cols AS (SELECT h.company, h.ck, h.source_file, h.row AS header_row, h.col, h.year FROM heads h JOIN best_head b "
-    f"ON h.ck = b.ck AND h.row = b.header_row WHERE {_YEAR_OK} UNION ALL SELECT company, ck, source_file, 0, "
-    "unnest(range(1, w + 1)) AS col, CAST(base - unnest(range(1, w + 1)) + 1 AS STRING) FROM widths "
-    "WHERE ck NOT IN (SELECT ck FROM best_head))",
-    "dated AS (SELECT s.*, y.year AS period FROM sized s JOIN year_cols y ON s.ck = y.ck AND s.n = y.col "
-    "WHERE s.item <> y.header_row)",
+    "widths AS (SELECT ck, company, source_file, table_index, max(col) AS w, coalesce(max(list_max(list_transform(regexp_extract_all("
+    "cell, '\\b(20[0-9]{2})\\b', 1), lambda y: CAST(y AS INTEGER)))), 2023) AS base FROM fx_cells GROUP BY ALL)",
+    "year_cols AS (SELECT h.company, h.ck, h.source_file, h.table_index, h.row AS header_row, h.col, h.year FROM heads h JOIN "
+    f"best_head b ON h.ck = b.ck AND h.table_index = b.table_index AND h.row = b.header_row WHERE {_YEAR_OK} UNION ALL SELECT "
+    "company, ck, source_file, table_index, 0, unnest(range(1, w + 1)) AS col, CAST(base - unnest(range(1, w + 1)) + 1 AS STRING) "
+    "FROM widths WHERE (ck, table_index) NOT IN (SELECT (ck, table_index) FROM best_head))",
+    "dated AS (SELECT s.*, y.year AS period FROM sized s JOIN year_cols y ON s.ck = y.ck AND s.n = y.col AND y.table_index = 1 "
+    "WHERE s.item <> y.header_row AND s.ck % 3 <> 0)",
     f"checked AS (SELECT *, {squeeze_sql('label')} AS l, v >= 1000 AS ok FROM dated)",
     "chosen AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY ck, item) AS n_ok FROM checked)",
     "picked AS (SELECT ck AS pk, coalesce(min(CASE WHEN item IN (2, 3) AND n_ok >= 2 THEN item END), "
@@ -104,14 +104,15 @@ COLUMNAR = (
     "d3_year_columns",
     fx.with_views(
         "cells",
-        "SELECT company, source_file, header_row, col, year FROM year_cols",
+        "SELECT company, source_file, table_index, header_row, col, year FROM year_cols",
         *COLUMNAR[:4],
     ),
 )
 def year_columns(spark, sf):
-    rows = fx.grids(spark, sf).where((F.col("table_index") == 1) & (F.col("ck") % 3 != 0))
-    out = D.year_columns(rows).select("company", "source_file", "header_row", F.explode("years").alias("_y"))
-    return out.select("company", "source_file", F.col("header_row").cast("int").alias("header_row"), "_y.*")
+    out = D.year_columns(fx.grids(spark, sf)).select(
+        "company", "source_file", "table_index", F.col("header_row").cast("int").alias("header_row"), F.explode("years").alias("_y")
+    )
+    return out.select("company", "source_file", "table_index", "header_row", "_y.*")
 
 
 _LAKH = "CASE WHEN ck % 7 = 1 THEN v * 0.01e0 ELSE v END"
@@ -119,7 +120,8 @@ _LAKH = "CASE WHEN ck % 7 = 1 THEN v * 0.01e0 ELSE v END"
 
 @query("d4_columnar_facts")
 def columnar_facts(spark, sf):
-    rows = fx.grids(spark, sf).where((F.col("table_index") == 1) & (F.col("ck") % 3 != 0))
+    # Tables whose first column holds the labels; the others run one year per row.
+    rows = fx.grids(spark, sf).where(F.get(F.get("rows", F.lit(0)), F.lit(0)).startswith("Particulars"))
     return D.columnar_facts(rows, DOC)
 
 
@@ -174,8 +176,7 @@ _D5_CASE = "CASE item WHEN 2 THEN 'revenue' " + " ".join(f"WHEN {i} THEN '{m}'"
     ),
 )
 def transposed_facts(spark, sf):
-    rows = fx.grids(spark, sf).where((F.col("table_index") == 1) & (F.col("ck") % 3 == 0))
-    out = D.transposed_facts(rows, DOC)
+    out = D.transposed_facts(fx.grids(spark, sf), DOC)
     return out.select("company", "source_file", "metric", "period", "value", "is_valid", "confidence")
 
 
@@ -266,7 +267,7 @@ def text_facts(spark, sf):
 @query("u1_union_candidates")
 def union_candidates(spark, sf):
     texts = D.text_facts(documents_of_lines(spark, sf).withColumn("source_file", F.lit("report.pdf")), DOC)
-    external = fx.base(spark, sf).where("ck % 10 = 3").select(
+    external = fx.base(spark, sf).where("rev > cogs").select(
         "company", F.lit("report.pdf").alias("source_file"), F.col("yr").cast("string").alias("year"),
         F.col("rev").alias("revenue"),
     )

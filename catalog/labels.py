@@ -117,16 +117,15 @@ _PRIORITY = (
     fx.with_views(
         "lines",
         f"SELECT id, {any_sql('c', R.REVENUE_ROW)} AS is_revenue, {_PRIORITY} AS priority, CASE WHEN "
-        + " OR ".join(f"starts_with(l, '{k}') OR contains(substr(l, 1, 7), '{k}')" for k in R.REVENUE_KEYS)
+        + " OR ".join(f"starts_with(l, '{k}') OR contains(lower(trim(text)), '{k}')" for k in R.REVENUE_KEYS)
         + f" THEN 1 ELSE 0 END AS boost FROM (SELECT id, text, {_CLEAN_LABEL} AS c, {squeeze_sql('text')} AS l FROM fx_lines)",
     ),
 )
 def revenue_rows(spark, sf):
     rows = fx.text_lines(spark, sf)
-    first = F.substring(C.squeeze("text"), 1, 7)
     return rows.select(
         "id", C.is_revenue_row("text").alias("is_revenue"), C.revenue_priority("text").alias("priority"),
-        C.revenue_boost(first, "text").alias("boost"),
+        C.revenue_boost("text", "text").alias("boost"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from finfacts.functions.boxes import bbox_norm, bbox_xyxy
-from finfacts.functions.labels import token_role
+from finfacts.functions.labels import line_class, token_role
 from finfacts.functions.rules import LINE_CLASS_RULES, TOKEN_METRIC_WORDS, UNIT_MULTIPLIERS
 from finfacts.operators import tokens as T
 from finfacts.plans.extraction import token_facts
@@ -60,13 +60,13 @@ def roles(spark, sf):
     "c8_token_labels",
     fx.with_views(
         "tokens",
-        f"SELECT doc_id, page, seq, CASE WHEN seq % 2 = 0 AND (seq % 10) / 10e0 >= 0.5e0 THEN 'METRIC' ELSE {ROLE} END "
+        f"SELECT doc_id, page, seq, CASE WHEN (seq % 10) / 10e0 >= 0.5e0 THEN 'METRIC' ELSE {ROLE} END "
         "AS role FROM fx_tokens",
     ),
 )
 def token_labels(spark, sf):
     rows = fx.tokens(spark, sf)
-    given = rows.where("seq % 2 = 0").select(
+    given = rows.select(
         *PAGE, "seq", F.lit("METRIC").alias("label"), ((F.col("seq") % 10) / 10).alias("confidence")
     )
     return T.token_labels(rows, given).select(*PAGE, "seq", "role")
@@ -181,8 +181,8 @@ def line_facts(spark, sf):
 @query("d11_line_facts_with_predictions")
 def line_facts_predicted(spark, sf):
     rows = fx.text_lines(spark, sf).select(F.col("ck").alias("doc_id"), F.col("id").alias("line"), "text")
-    given = rows.where("line % 30 = 0").select(
-        "doc_id", "line", F.lit("profit").alias("label"), F.lit(0.9).alias("confidence")
+    given = rows.select(
+        "doc_id", "line", F.lit("profit").alias("label"), (F.col("line") % 100 / 100).alias("confidence")
     )
     return T.line_facts(rows, DOC, given)
 
@@ -194,20 +194,19 @@ def line_facts_predicted(spark, sf):
         "SELECT doc_id, line, year, metric, value, currency, raw FROM facts_read",
         *SURE,
         MERGED.format(source="kept"),
-        "src AS (SELECT doc_id, line, text FROM merged WHERE page = 2)",
+        "src AS (SELECT doc_id, line, text FROM merged)",
         *LINE_READ,
     ),
 )
 def token_page_facts(spark, sf):
-    rows = fx.tokens(spark, sf).where("page = 2")
-    return token_facts(rows)
+    return token_facts(fx.tokens(spark, sf))
 
 
 # Two readings of a document: all lines, and those whose id the other reader caught (with one repeat).
 def readings(spark, sf):
     lines = fx.text_lines(spark, sf).select(
         F.col("ck").alias("doc_id"), "id", F.col("yr").cast("int").alias("year"), F.col("ck").alias("_k"),
-        F.when(F.col("id") % 70 != 0, F.substring("text", 1, 6)).alias("metric"),
+        F.when(F.col("id") % 70 != 0, line_class("text")).alias("metric"),
         F.when(F.col("id") % 50 != 0, F.col("id").cast("double")).alias("value"),
     )
     base = lines.where("_k % 8 <> 3 AND id % 30 <> 0").withColumn("method", F.lit("baseline"))
@@ -216,8 +215,9 @@ def readings(spark, sf):
 
 
 READINGS = (
-    "rd0 AS (SELECT ck AS doc_id, id, CAST(yr AS INTEGER) AS year, CASE WHEN id % 70 <> 0 THEN substr(text, 1, 6) END AS metric, "
-    "CASE WHEN id % 50 <> 0 THEN CAST(id AS DOUBLE) END AS value FROM fx_lines)",
+    "rd0 AS (SELECT ck AS doc_id, id, CAST(yr AS INTEGER) AS year, CASE WHEN id % 70 <> 0 THEN cls END AS metric, "
+    "CASE WHEN id % 50 <> 0 THEN CAST(id AS DOUBLE) END AS value FROM (SELECT *, "
+    f"{case_sql('sq', LINE_CLASS_RULES, chr(39) + 'other' + chr(39))} AS cls FROM (SELECT *, {squeeze_sql('text')} AS sq FROM fx_lines)))",
     "rd AS (SELECT *, 'baseline' AS method FROM rd0 WHERE doc_id % 8 <> 3 AND id % 30 <> 0 UNION ALL SELECT *, 'layout' FROM rd0 "
     "WHERE doc_id % 8 <> 5 AND (id % 20 = 0 OR doc_id % 2 = 0))",
     "scores AS (SELECT doc_id, method, count(*) AS rows, "
