@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from finfacts.llm import exact_dedup, jaccard, mixing, quality
 from finfacts.llm.huffman import huffman_round_trip
 from finfacts.llm.packing import pack_documents
-from finfacts.llm.shared import documents
+from finfacts.llm.shared import documents, table
 
 
 def vocabulary() -> str:
@@ -21,13 +22,36 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_round_trip(documents(spark, sf_dir), vocabulary(), end=1)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(documents(spark, sf_dir), k=4, percent=85)
+
+
+def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary(), end=0, capacity=2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_quality_scores": op9_quality_scores,
+    "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op10_mix_sources": mixing.oracle(),
+}

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, as --py-files does, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_finfacts_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "finfacts_package"), "zip", top, "finfacts")
+    context.addPyFile(archive)
+    context._finfacts_shipped = True
+
+
 def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df as a Parquet table in the shared folder, read back; cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
@@ -61,5 +74,26 @@ def joined_null_safe(left: DataFrame, right: DataFrame, keys: tuple[str, ...], h
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in keys])
 
 
+def bitmap(cells: DataFrame, size: int) -> np.ndarray:
+    """The distinct values of the column cell, 0 to size - 1, as bits of 64-bit words: size bits, however many rows there are.
+
+    Words are put together before they leave Spark; the driver gets size / 64 rows at most.
+    """
+    words = cells.groupBy(F.expr("shiftright(cell, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits"))
+    found = words.toPandas()
+    bits = np.zeros(size // 64 + 1, np.int64)
+    bits[found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
+    return bits
+
+
+def marked(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bits[cells >> 6] >> (cells & 63)) & 1 == 1
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
