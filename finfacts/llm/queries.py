@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finfacts.llm import exact_dedup, jaccard, mixing, quality
+from finfacts.llm import exact_dedup, html_text, jaccard, mixing, quality, url_rules
 from finfacts.llm.huffman import huffman_round_trip
 from finfacts.llm.packing import pack_documents
 from finfacts.llm.shared import documents, table
@@ -26,6 +26,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"), url_rules.rules_table(spark))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(documents(spark, sf_dir), k=4, percent=85)
 
@@ -45,6 +53,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_html_text": op3_html_text,
+    "op4_url_rules": op4_url_rules,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_quality_scores": op9_quality_scores,
@@ -53,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op4_url_rules": url_rules.oracle(),
     "op10_mix_sources": mixing.oracle(),
 }
