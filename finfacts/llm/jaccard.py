@@ -10,7 +10,7 @@ left, all of them, so no link between groups is missed. A bitmap of each set bou
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,26 +26,18 @@ VERIFY_COST = 6.0
 #: log2 of the cells of the frequency sketch. Its size is fixed: it only sets the order of shingles, never a result.
 SKETCH_BITS = 21
 #: Shingles a task counts together for the sketch, and the least count it reports.
-COUNT_TOGETHER, LEAST_COUNT = 4_000_000, 4
+COUNT_TOGETHER, LEAST_COUNT = 2_000_000, 4
 #: 64-bit words of the bitmap of a set.
 BITMAP_WORDS = 16
 #: Cells for each document that may have a partner, and at most, of the bitmap that picks them.
 CELLS_PER_NODE, MOST_CELLS = 32, 1 << 29
-#: Words whose hashes a task remembers.
-MAX_WORDS = 1_000_000
+#: log2 of the cells of one segment of the bitmap of repeated tokens.
+SEGMENT_BITS = 20
+#: Bytes of text hashed at a time.
+PIECE_BYTES = 1 << 18
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD)]
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MAX_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = _WordHashes()
+_BLANKS = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,22 +46,96 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; of fewer words, the hash of them all; of none, nothing.
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, A-Z as a-z; powers of an odd number and of its inverse modulo 2**64."""
+    codes = np.arange(256)
+    codes[65:91] += 32
+    base, inverse = int(_ODD[3]), pow(int(_ODD[3]), -1, 1 << 64)
+    powers, back = np.full(PIECE_BYTES, base, np.uint64), np.full(PIECE_BYTES, inverse, np.uint64)
+    powers[0] = back[0] = 1
+    return _mixed(codes.astype(np.uint64) + np.uint64(1)), np.cumprod(powers), np.cumprod(back)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    numbers, powers, back = _tables()
+    if n > len(powers):  # one word longer than a piece
+        powers, back = np.resize(powers, n), np.resize(back, n)
+        powers[PIECE_BYTES:], back[PIECE_BYTES:] = _ODD[3], np.uint64(pow(int(_ODD[3]), -1, 1 << 64))
+        powers[PIECE_BYTES - 1:], back[PIECE_BYTES - 1:] = np.multiply.accumulate(powers[PIECE_BYTES - 1:]), np.multiply.accumulate(back[PIECE_BYTES - 1:])
+    return numbers, powers, back
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word of raw: runs of bytes other than ASCII white space, A-Z lower-cased.
+
+    A word's hash is its bytes' polynomial, taken from running sums, and its length, mixed.
+    """
+    codes = np.frombuffer(raw, np.uint8)
+    numbers, powers, back = _powers(len(codes))
+    word = (codes != 32) & ((codes < 9) | (codes > 13))
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(numbers[codes] * powers[: len(codes)], out=sums[1:])
+    own = (sums[ends] - sums[starts]) * back[starts]
+    return _mixed(own ^ ((ends - starts).astype(np.uint64) * _ODD[2])), starts
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """raw cut at white space into pieces of about PIECE_BYTES; a longer word is a piece of its own."""
+    at = 0
+    while len(raw) - at > PIECE_BYTES:
+        cut = max(raw.rfind(c, at, at + PIECE_BYTES) for c in _BLANKS)
+        if cut <= at:
+            found = [x for c in _BLANKS if (x := raw.find(c, at + 1)) >= 0]
+            cut = min(found, default=len(raw))
+        yield raw[at:cut]
+        at = cut
+    yield raw[at:]
+
+
+def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles; of fewer words, the hash of them all; of none, nothing.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased.
     """
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    if len(words) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    n = len(words) - k + 1
+    waiting: list[bytes] = []
+    size = 0
+    for text in texts:
+        raw = text.encode() if text else b""
+        if waiting and size + len(raw) + 1 > PIECE_BYTES:
+            yield from _sets_of(waiting, k)
+            waiting, size = [], 0
+        waiting.append(raw)
+        size += len(raw) + 1
+    if waiting:
+        yield from _sets_of(waiting, k)
+
+
+def _sets_of(raws: list[bytes], k: int) -> Iterator[np.ndarray]:
+    if len(raws) == 1:
+        hashes = np.concatenate([word_hashes(piece)[0] for piece in _pieces(raws[0])])
+        bounds = [0, len(hashes)]
+    else:
+        hashes, starts = word_hashes(b" ".join(raws))
+        offsets = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        bounds = np.searchsorted(starts, offsets).tolist()
+    n = max(0, len(hashes) - k + 1)
     mixed = np.zeros(n, np.uint64)
     for j in range(k):
         mixed = _mixed(mixed + hashes[j:j + n] * _ODD[j % len(_ODD)] + np.uint64(j))
-    return np.unique(mixed)
+    for first, last in zip(bounds, bounds[1:]):
+        if last - first >= k:
+            own = np.sort(mixed[first:last - k + 1])
+            yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+        elif last > first:
+            short = np.zeros(1, np.uint64)
+            for j, h in enumerate(hashes[first:last]):
+                short = _mixed(short * _ODD[1] + h + np.uint64(j + last - first))
+            yield short
+        else:
+            yield hashes[:0]
 
 
 def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
@@ -88,8 +154,8 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
 
         size = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingle_set(text, k))
+            for shingles in shingle_sets(batch.column(0).to_pylist(), k):
+                held.append(shingles)
                 size += len(held[-1])
                 if size > COUNT_TOGETHER:
                     yield report()
@@ -131,8 +197,7 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         levels_of = sketch.value
         for batch in batches:
             rows: list[tuple] = []
-            for text in batch.column(1).to_pylist():
-                shingles = shingle_set(text, k)
+            for shingles in shingle_sets(batch.column(1).to_pylist(), k):
                 n = len(shingles)
                 if not n:
                     rows.append((0, 0, 0, [], []))
@@ -154,6 +219,63 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREFIXES), "prefixes")
 
 
+def repeated_tokens(table: DataFrame, tokens: int) -> tuple[int, np.ndarray]:
+    """The shift and the bitmap of cells that two prefix tokens or more fall in; a token alone in its cell is in one document only.
+
+    Tasks deal their cells out by segment of the bitmap, so the cells of a segment meet in one task; a task's share is bounded by the
+    number of segments, which grows with the tokens, and the bitmap by MOST_CELLS.
+    """
+    bits = min(MOST_CELLS.bit_length() - 1, max(SEGMENT_BITS, int(4 * tokens).bit_length()))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.sort(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.uint32)
+            segments = cells >> np.uint32(SEGMENT_BITS)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(segments)) + 1, [len(cells)]]) if len(cells) else [0]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([int(segments[c]) for c in cuts[:-1]], pa.int32()),
+                pa.array([cells[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary()),
+            ], names=["segment", "cells"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        cells = np.sort(np.frombuffer(b"".join(group.column("cells").to_pylist()), np.uint32))
+        often = cells[1:][cells[1:] == cells[:-1]] & np.uint32((1 << SEGMENT_BITS) - 1)
+        flags = np.zeros(1 << SEGMENT_BITS, bool)
+        flags[often] = True
+        return pa.table({"segment": group.column("segment")[:1], "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    dealt = table.select("prefix").mapInArrow(deal, "segment int, cells binary")
+    rows = dealt.groupBy("segment").applyInArrow(meet, "segment int, bits binary").collect()
+    bitmap_ = np.zeros((1 << bits) // 64 + 1, np.int64)
+    step = (1 << SEGMENT_BITS) // 64
+    for row in rows:
+        bitmap_[row["segment"] * step:(row["segment"] + 1) * step] = np.frombuffer(row["bits"], np.int64)
+    return 64 - bits, bitmap_
+
+
+def _postings(table: DataFrame, percent: int) -> DataFrame:
+    """node, token, level of the prefix tokens that may stand in two documents; level is the least l whose prefix holds the token."""
+    tokens = table.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    shift, bits = repeated_tokens(table, tokens)
+    filled = table.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = lists.value_lengths().to_numpy()
+            flat = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            maybe = marked(filled.value, (flat.view(np.uint64) >> np.uint64(shift)).astype(np.int64))
+            owner, at, flat = owner[maybe], at[maybe], flat[maybe]
+            n = batch.column(1).to_numpy()[owner]
+            level = np.maximum(1, at - (n - need(n, percent) + 1) + 2)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(owner)), pa.array(flat, pa.int64()), pa.array(level, pa.int32())], names=["node", "token", "level"])
+
+    return table.select("doc_id", "n", "prefix").mapInArrow(run, "node long, token long, level int")
+
+
 def _overlap_bound(a: str, b: str) -> Column:
     """Twice the largest overlap that the bitmaps allow: elements in one set only differ in at least as many bits."""
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(BITMAP_WORDS)])
@@ -188,7 +310,7 @@ def _candidate_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         bits = filled.value
         for batch in batches:
             batch = batch.filter(pa.array(marked(bits, batch.column(2).to_numpy())))
-            sets = [shingle_set(t, k).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [x.view(np.int64) for x in shingle_sets(batch.column(1).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null").select("node", "text", cell)
@@ -229,30 +351,27 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     table = prefixes(docs, k, percent)
     some = table.where("n > 0 and doc_id is not null")
     # Equal sets are one node, the smallest of their documents.
-    classes = written(some.groupBy("signature", "n").agg(
-        F.min("doc_id").alias("node"), F.min_by("matches", "doc_id").alias("matches"), F.min_by("prefix", "doc_id").alias("prefix"),
-        F.min_by("bitmap", "doc_id").alias("bitmap")), "classes")
-    tokens = classes.select("node", F.posexplode("prefix").alias("at", "token"))
+    classes = written(some.groupBy("signature", "n").agg(F.min("doc_id").alias("node")), "classes")
+    own = _postings(some, percent).join(classes.select("node"), "node", "left_semi")
+    tokens = written(own.dropDuplicates(["node", "token"]), "tokens")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1")
-    marks = classes.select(
-        "node", "n", "matches", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int").alias("base"),
-        *[F.col("bitmap")[i].alias(f"b{i}") for i in range(BITMAP_WORDS)])
-    listed = tokens.join(shared, "token").join(marks, "node")
-    # level: the least l whose prefix holds the token.
-    postings = written(listed.withColumn("level", F.greatest(F.lit(1), F.col("at") - F.col("base") + 2)).drop("at", "base"), "postings")
-
-    leaders = marks.join(postings.select(F.col("leader").alias("node")).distinct(), "node", "left_semi")
+    listed = written(tokens.join(shared.drop("size"), "token"), "listed")
+    members = listed.select("node").distinct()
+    marks = written(some.join(members, some.doc_id == members.node, "left_semi").groupBy(F.col("doc_id").alias("node")).agg(
+        F.min(F.struct("signature", "n", "matches", *[F.col("bitmap")[i].alias(f"b{i}") for i in range(BITMAP_WORDS)])).alias("m")).select("node", "m.*").drop("signature"), "marks")
+    postings = written(listed.join(marks, "node"), "postings")
+
+    leaders = marks.join(listed.select(F.col("leader").alias("node")).distinct(), "node", "left_semi")
     first = (postings.alias("x").join(leaders.alias("y"), (F.col("x.leader") == F.col("y.node")) & (F.col("x.node") != F.col("y.node"))
                                       & _may_link("x", "y", percent))
              .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     first = written(first, "first-pairs")
-    nodes = postings.select("node").distinct()
-    sets = written(_candidate_sets(docs, nodes, k).dropDuplicates(["node"]), "sets")
+    sets = written(_candidate_sets(docs, marks.select("node"), k), "sets")
     links = written(_linked(first, sets, percent), "first-links")
     groups = components(links, "first-groups")
 
     grouped = postings.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    grouped = written(grouped.drop("leader", "size"), "grouped-postings")
+    grouped = written(grouped.drop("leader"), "grouped-postings")
     by_group = grouped.groupBy("token", "component").agg(F.count(F.lit(1)).alias("members"))
     mixed_lists = by_group.groupBy("token").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     rest = grouped.join(mixed_lists, "token")
@@ -268,7 +387,7 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     second = written(_linked(across, sets, percent), "second-links")
     final = components(links.unionAll(second), "groups")
 
-    labels = classes.select("signature", F.col("n").alias("_n"), "node").join(final, "node", "left").select(
+    labels = classes.withColumnRenamed("n", "_n").join(final, "node", "left").select(
         "signature", "_n", F.coalesce("component", "node").alias("component_id"))
     found = table.join(labels, (table.signature == labels.signature) & (table.n == labels._n) & (table.n > 0) & table.doc_id.isNotNull(), "left")
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
