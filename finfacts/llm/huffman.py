@@ -29,8 +29,8 @@ MAX_BITS = 16
 DOCS_PER_FILE = 50_000
 
 IDS = "doc_id long, n_tokens long, ids binary, id array<int>, count array<long>"
-ENCODED = "doc_id long, n_tokens long, bits binary, checkpoints array<int>"
-BLOCKS = "block int, n_tokens long, doc_ids array<long>, lengths array<long>, checkpoints array<long>, first_bytes array<long>, bits binary"
+ENCODED = "file int, doc_id long, n_tokens long, bits binary, checkpoints array<int>"
+BLOCKS = "file int, block int, n_tokens long, doc_ids array<long>, lengths array<long>, checkpoints array<long>, first_bytes array<long>, bits binary"
 
 
 @dataclass(frozen=True)
@@ -177,9 +177,16 @@ def global_code(ids: DataFrame, max_bits: int = MAX_BITS) -> Code:
 def write_blocks(ids: DataFrame, code: Code, path_label: str = "token-blocks") -> DataFrame:
     """The token files: blocks of whole documents in ascending doc_id (null first; equal ones by length and bits).
 
-    file numbers the files in that order and block the blocks of a file. Ranges of doc_id keep equal ids in one file.
+    file numbers the files in that order and block the blocks of a file. A file holds a range of doc_id between approximate quantiles, so
+    equal ids are in one file; null ids have file 0.
     """
 
+    texts = ids.where("ids is not null")
+    files = tasks_for(texts.count(), DOCS_PER_FILE)
+    # A file is cut finer than DOCS_PER_FILE where the session asks for more shuffle tasks.
+    files = max(files, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = np.array(texts.approxQuantile("doc_id", [k / files for k in range(1, files)], 0.1 / files) if files > 1 else [])
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits, checkpoints = [], []
@@ -188,40 +195,40 @@ def write_blocks(ids: DataFrame, code: Code, path_label: str = "token-blocks") -
                 got, places = pack_bits(np.frombuffer(data, kind), code)
                 bits.append(got)
                 checkpoints.append(places)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            file = np.where(known, 1 + np.searchsorted(cuts, batch.column(0).fill_null(0).to_numpy(), "right"), 0)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(checkpoints, pa.list_(pa.int32())),
-            ], names=["doc_id", "n_tokens", "bits", "checkpoints"])
+                pa.array(file, pa.int32()), batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(checkpoints, pa.list_(pa.int32())),
+            ], names=["file", "doc_id", "n_tokens", "bits", "checkpoints"])
 
     def block_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, rows = 0, 0, []
+        file, block, size, rows = -1, 0, 0, []
 
         def close() -> pa.RecordBatch:
             ids_, lengths, bits, places = zip(*rows, strict=True)
             firsts = np.cumsum([0, *map(len, bits)])[:-1]
             return pa.RecordBatch.from_arrays([
-                pa.array([block], pa.int32()), pa.array([size], pa.int64()), pa.array([list(ids_)], pa.list_(pa.int64())),
+                pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([size], pa.int64()), pa.array([list(ids_)], pa.list_(pa.int64())),
                 pa.array([list(lengths)], pa.list_(pa.int64())),
                 pa.array([np.concatenate([8 * f + np.asarray(p, np.int64) for f, p in zip(firsts, places, strict=True)])], pa.list_(pa.int64())),
                 pa.array([firsts], pa.list_(pa.int64())), pa.array([b"".join(bits)], pa.binary()),
-            ], names=["block", "n_tokens", "doc_ids", "lengths", "checkpoints", "first_bytes", "bits"])
+            ], names=["file", "block", "n_tokens", "doc_ids", "lengths", "checkpoints", "first_bytes", "bits"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                rows.append(row)
-                size += row[1]
-                if size >= BLOCK_IDS:
+            for own, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if rows and (size >= BLOCK_IDS or own != file):
                     yield close()
                     block, size, rows = block + 1, 0, []
+                if own != file:
+                    file, block = own, 0
+                rows.append(row)
+                size += row[1]
         if rows:
             yield close()
 
-    texts = ids.where("ids is not null")
-    files = tasks_for(texts.count(), DOCS_PER_FILE)
     encoded = texts.select("doc_id", "n_tokens", "ids").mapInArrow(encode, ENCODED)
-    # A file is cut finer than DOCS_PER_FILE where the session asks for more shuffle tasks.
-    files = max(files, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = encoded.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id", "n_tokens", "bits")
-    return written(ranged.mapInArrow(block_up, BLOCKS).withColumn("file", F.spark_partition_id()), path_label)
+    placed = encoded.repartition(files, "file").sortWithinPartitions("file", "doc_id", "n_tokens", "bits")
+    return written(placed.mapInArrow(block_up, BLOCKS), path_label)
 
 
 def read_blocks(blocks: DataFrame, code: Code) -> DataFrame:

@@ -15,10 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words and pieces of words that a task remembers before it starts afresh; they bound memory only.
-MAX_WORDS, MAX_PIECES = 800_000, 800_000
-#: Letters that lower-case one to one and that normalisation leaves alone.
-PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
-MARKS = ".,%$&*#!?|;:)"
+MAX_WORDS, MAX_PIECES = 600_000, 700_000
+#: A plain word and the marks behind it: letters that lower-case one to one and that normalisation leaves alone.
+SPLIT = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,%$&*#!?|;:)]*)$"
 
 
 class _Index(dict):
@@ -48,37 +47,34 @@ class WordIds:
 
     def _forget_pieces(self) -> None:
         self.pieces: dict[str, int] = {"": 0}
-        self.starts, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.piece_ids = _Ragged()
+        self.piece_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
         self._forget_words()
 
     def _forget_words(self) -> None:
         self.index = _Index()
-        self.parts = np.zeros((0, 2), np.int64)
+        self.word_ids = _Ragged()
 
     def _learn(self) -> None:
         """Splits the new words into a plain word and its marks, or takes them whole, and encodes the pieces not met yet."""
-        words = self.index.new
-        trimmed = pc.utf8_rtrim(pa.array(words, pa.string()), characters=MARKS)
-        split = pc.match_substring_regex(trimmed, PLAIN).to_pylist()
-        plain: dict[str, None] = {}
-        other: dict[str, None] = {}
-        pieces, parts = self.pieces, []
-        for word, stem, cut in zip(words, pc.utf8_lower(trimmed).to_pylist(), split, strict=True):
-            marks = ""
-            if cut:
-                if marks := word[len(stem):]:
-                    if marks not in pieces:
-                        other[marks] = None
-                if stem not in pieces:
-                    plain[stem] = None
-            else:
-                stem = word
-                if stem not in pieces:
-                    other[stem] = None
-            parts.append((stem, marks))
-        self._encode(list(plain), list(other))
-        self.parts = np.concatenate([self.parts, np.array([(pieces[a], pieces[b]) for a, b in parts], np.int64).reshape(-1, 2)])
+        words = pa.array(self.index.new, pa.string())
+        split = pc.extract_regex(words, SPLIT)
+        plain = split.is_valid()
+        stems = pc.if_else(plain, pc.utf8_lower(pc.struct_field(split, "stem")), words).dictionary_encode()
+        marks = pc.if_else(plain, pc.struct_field(split, "marks"), "").dictionary_encode()
+        is_plain = np.zeros(len(stems.dictionary), bool)
+        is_plain[stems.indices.to_numpy()[plain.to_numpy(zero_copy_only=False)]] = True
+        stem_words, mark_words = stems.dictionary.to_pylist(), marks.dictionary.to_pylist()
+        pieces = self.pieces
+        missing = [i for i, stem in enumerate(stem_words) if stem not in pieces]
+        known = {stem_words[i] for i in missing}
+        self._encode([stem_words[i] for i in missing if is_plain[i]],
+                     [stem_words[i] for i in missing if not is_plain[i]] + [m for m in mark_words if m not in pieces and m not in known])
+        stem_at = np.fromiter(map(pieces.__getitem__, stem_words), np.int64, len(stem_words))
+        mark_at = np.fromiter(map(pieces.__getitem__, mark_words), np.int64, len(mark_words))
+        parts = np.stack([stem_at[stems.indices.to_numpy()], mark_at[marks.indices.to_numpy()]], 1)
+        flat, lengths = self.piece_ids.take(parts.ravel())
+        self.word_ids.add(flat, lengths.reshape(-1, 2).sum(1))
         self.index.new = []
 
     def _encode(self, plain: list[str], other: list[str]) -> None:
@@ -89,20 +85,14 @@ class WordIds:
             if len(ends) == len(plain):
                 ids, lengths = [joined], [np.diff(ends, prepend=0)]
             else:
-                other = plain + other
-                plain = []
+                plain, other = [], plain + other
         if other:
             each = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
             lengths.append(np.fromiter(map(len, each), np.int64, len(each)))
             ids.append(np.array([i for e in each for i in e], np.uint32))
-        if not lengths:
-            return
-        for n, piece in enumerate(plain + other, len(self.starts)):
-            self.pieces[piece] = n
-        sizes = np.concatenate(lengths)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.lengths = np.concatenate([self.lengths, sizes])
-        self.ids = np.concatenate([self.ids, *ids])
+        if lengths:
+            self.pieces.update(zip(plain + other, range(len(self.piece_ids), len(self.piece_ids) + len(plain) + len(other)), strict=True))
+            self.piece_ids.add(np.concatenate(ids), np.concatenate(lengths))
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by end; and the number of ids of each text, end included. Null counts as empty."""
@@ -111,33 +101,49 @@ class WordIds:
         elif len(self.index) > MAX_WORDS:
             self._forget_words()
         split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
-        counts = pc.list_value_length(split).to_numpy()
+        bounds = split.offsets.to_numpy()
         words = split.flatten().dictionary_encode()
         place = np.fromiter(map(self.index.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
         if self.index.new:
             self._learn()
-        places = place[words.indices.to_numpy()]
-        parts = self.parts[places].ravel()
-        each = self.lengths[parts]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(each) else 0
-        flat = self.ids[np.arange(total) + np.repeat(self.starts[parts] - ends + each, each)]
-        sums = np.concatenate([[0], ends])
-        bounds = 2 * np.concatenate([[0], np.cumsum(counts)])
+        flat, each = self.word_ids.take(place[words.indices.to_numpy()])
+        sums = np.concatenate([[0], np.cumsum(each)])
         lengths = sums[bounds[1:]] - sums[bounds[:-1]]
-        closed = np.full(total + len(texts), end, np.uint32)
+        closed = np.full(len(flat) + len(texts), end, np.uint32)
         keep = np.ones(len(closed), bool)
         keep[np.cumsum(lengths + 1) - 1] = False
         closed[keep] = flat
         return closed, lengths + 1
 
 
+class _Ragged:
+    """Rows of ids of different lengths."""
+
+    def __init__(self) -> None:
+        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, flat])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows one after the other, and the length of each."""
+        lengths = self.lengths[rows]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.starts[rows] - ends + lengths, lengths)], lengths
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def chunks(texts: list[str | None], most_chars: int = 4_000_000):
+def chunks(texts: list[str | None], most_chars: int = 3_000_000):
     """(first, last) index pairs of runs of texts of bounded size together; a single text may be longer."""
     first, size = 0, 0
     for i, text in enumerate(texts):
