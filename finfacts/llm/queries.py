@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finfacts.llm import exact_dedup, html_text, jaccard, mixing, quality, url_rules
+from finfacts.llm import exact_dedup, html_text, jaccard, mixing, pseudonyms, quality, url_rules, vptree
 from finfacts.llm.huffman import huffman_round_trip
 from finfacts.llm.packing import pack_documents
 from finfacts.llm.shared import documents, table
@@ -38,6 +38,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(documents(spark, sf_dir), k=4, percent=85)
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(documents(spark, sf_dir))
+
+
 def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -57,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_rules": op4_url_rules,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_nearest_vectors": op7_nearest_vectors,
+    "op8_pseudonyms": op8_pseudonyms,
     "op9_quality_scores": op9_quality_scores,
     "op10_mix_sources": op10_mix_sources,
 }
