@@ -225,7 +225,7 @@ def repeated_tokens(table: DataFrame, tokens: int) -> tuple[int, np.ndarray]:
     Tasks deal their cells out by segment of the bitmap, so the cells of a segment meet in one task; a task's share is bounded by the
     number of segments, which grows with the tokens, and the bitmap by MOST_CELLS.
     """
-    bits = min(MOST_CELLS.bit_length() - 1, max(SEGMENT_BITS, int(4 * tokens).bit_length()))
+    bits = min(MOST_CELLS.bit_length() - 1, max(SEGMENT_BITS, int(8 * tokens).bit_length() - 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,27 +253,41 @@ def repeated_tokens(table: DataFrame, tokens: int) -> tuple[int, np.ndarray]:
     return 64 - bits, bitmap_
 
 
-def _postings(table: DataFrame, percent: int) -> DataFrame:
-    """node, token, level of the prefix tokens that may stand in two documents; level is the least l whose prefix holds the token."""
+def _node_cells(nodes: DataFrame) -> tuple[Column, np.ndarray]:
+    """The cell of a node, and the bitmap of the nodes' cells."""
+    cells = min(MOST_CELLS, max(1024, CELLS_PER_NODE * nodes.count()))
+    cell = F.pmod(F.xxhash64(F.col("node")), F.lit(cells)).alias("cell")
+    return cell, bitmap(nodes.select(cell), cells)
+
+
+def _postings(table: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """node, token, level of the prefix tokens that may stand in two documents; level is the least l whose prefix holds the token.
+
+    A bitmap leaves out documents that are no node, that is copies of one. A copy that it lets through needlessly is one more node with
+    the same set, which does no harm.
+    """
     tokens = table.agg(F.sum(F.size("prefix"))).first()[0] or 0
     shift, bits = repeated_tokens(table, tokens)
-    filled = table.sparkSession.sparkContext.broadcast(bits)
+    cell, node_bits = _node_cells(nodes)
+    filled = table.sparkSession.sparkContext.broadcast((bits, node_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token_bits, own_bits = filled.value
         for batch in batches:
+            batch = batch.filter(pa.array(marked(own_bits, batch.column(3).to_numpy())))
             lists = batch.column(2)
             sizes = lists.value_lengths().to_numpy()
             flat = lists.flatten().to_numpy()
             owner = np.repeat(np.arange(len(sizes)), sizes)
             at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            maybe = marked(filled.value, (flat.view(np.uint64) >> np.uint64(shift)).astype(np.int64))
+            maybe = marked(token_bits, (flat.view(np.uint64) >> np.uint64(shift)).astype(np.int64))
             owner, at, flat = owner[maybe], at[maybe], flat[maybe]
             n = batch.column(1).to_numpy()[owner]
             level = np.maximum(1, at - (n - need(n, percent) + 1) + 2)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array(owner)), pa.array(flat, pa.int64()), pa.array(level, pa.int32())], names=["node", "token", "level"])
 
-    return table.select("doc_id", "n", "prefix").mapInArrow(run, "node long, token long, level int")
+    return table.select(F.col("doc_id").alias("node"), "n", "prefix", cell).mapInArrow(run, "node long, token long, level int")
 
 
 def _overlap_bound(a: str, b: str) -> Column:
@@ -297,14 +311,22 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, label: str) -> DataFrame:
+    """The pairs whose sets link, written."""
+    nodes = written(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
+    if not nodes.head(1):
+        return pairs
+    sets = written(_candidate_sets(docs, nodes, k), "sets")
+    return written(_linked(pairs, sets, percent), label)
+
+
 def _candidate_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node and shingles of the documents that may have a partner; sets are built again from the text, whole.
+    """node and shingles of the documents that stand in candidate pairs; sets are built again from the text, whole.
 
     A bitmap of the nodes picks the documents where they are read, so no text moves. A document it lets through needlessly does no harm.
     """
-    cells = min(MOST_CELLS, max(1024, CELLS_PER_NODE * nodes.count()))
-    cell = F.pmod(F.xxhash64("node"), F.lit(cells)).alias("cell")
-    filled = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.select(cell), cells))
+    cell, node_bits = _node_cells(nodes)
+    filled = docs.sparkSession.sparkContext.broadcast(node_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filled.value
@@ -345,38 +367,38 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles; a document of fewer words is one
     shingle; one without words or text has an empty set and stays alone. component_id is the smallest doc_id reachable by links.
-    Rows that repeat a doc_id are one document if their sets are equal. Rows with a null doc_id take no part in links: their component is
+    Rows that repeat a doc_id are one document; where their texts differ, one of them stands for all in links. Rows with a null doc_id take no part in links: their component is
     null. An empty table gives no rows.
     """
     table = prefixes(docs, k, percent)
     some = table.where("n > 0 and doc_id is not null")
     # Equal sets are one node, the smallest of their documents.
     classes = written(some.groupBy("signature", "n").agg(F.min("doc_id").alias("node")), "classes")
-    own = _postings(some, percent).join(classes.select("node"), "node", "left_semi")
-    tokens = written(own.dropDuplicates(["node", "token"]), "tokens")
+    tokens = written(_postings(some, classes.select("node"), percent), "tokens")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1")
-    listed = written(tokens.join(shared.drop("size"), "token"), "listed")
-    members = listed.select("node").distinct()
-    marks = written(some.join(members, some.doc_id == members.node, "left_semi").groupBy(F.col("doc_id").alias("node")).agg(
-        F.min(F.struct("signature", "n", "matches", *[F.col("bitmap")[i].alias(f"b{i}") for i in range(BITMAP_WORDS)])).alias("m")).select("node", "m.*").drop("signature"), "marks")
-    postings = written(listed.join(marks, "node"), "postings")
-
-    leaders = marks.join(listed.select(F.col("leader").alias("node")).distinct(), "node", "left_semi")
-    first = (postings.alias("x").join(leaders.alias("y"), (F.col("x.leader") == F.col("y.node")) & (F.col("x.node") != F.col("y.node"))
-                                      & _may_link("x", "y", percent))
-             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    first = written(first, "first-pairs")
-    sets = written(_candidate_sets(docs, marks.select("node"), k), "sets")
-    links = written(_linked(first, sets, percent), "first-links")
+    listed = written(tokens.join(shared, "token"), "listed")
+    marks = written(some.join(listed.select(F.col("node").alias("_node")).distinct(), F.col("doc_id") == F.col("_node"), "left_semi")
+                    .groupBy(F.col("doc_id").alias("node")).agg(F.min(F.struct("signature", "n", "matches", *[
+                        F.col("bitmap")[i].alias(f"b{i}") for i in range(BITMAP_WORDS)])).alias("m")).select("node", "m.*").drop("signature"), "marks")
+
+    def marked_as(name: str) -> DataFrame:
+        return marks.select(F.struct(*[c for c in marks.columns]).alias(name))
+
+    # First round: every document and the leader of each of its lists, each pair once.
+    first = listed.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    first = (first.join(marked_as("x"), F.col("a") == F.col("x.node")).join(marked_as("y"), F.col("b") == F.col("y.node"))
+             .where(_may_link("x", "y", percent)).select("a", "b"))
+    links = _verified(docs, written(first, "first-pairs"), k, percent, "first-links")
     groups = components(links, "first-groups")
 
-    grouped = postings.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    grouped = written(grouped.drop("leader"), "grouped-postings")
+    # Second round: lists that still hold several groups. A pair with the list's leader has been decided, so a list of two has too.
+    grouped = listed.where("size > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = written(grouped.drop("size"), "grouped-lists")
     by_group = grouped.groupBy("token", "component").agg(F.count(F.lit(1)).alias("members"))
-    mixed_lists = by_group.groupBy("token").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    rest = grouped.join(mixed_lists, "token")
-    outside = rest.where("component <> largest").drop("groups")
-    whole = rest.drop("groups")
+    mixed_lists = by_group.groupBy("token").agg(
+        F.max_by("component", F.struct("members", "component")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    rest = written(grouped.join(mixed_lists.drop("groups"), "token").where("node <> leader").drop("leader").join(marks, "node"), "mixed-lists")
+    outside, whole = rest.where("component <> largest"), rest
     # A pair of two outsiders comes up from both sides and is kept once.
     once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
     matched = F.least("x.matches", "y.matches")
@@ -384,7 +406,7 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
                                       & once & (F.greatest("x.level", "y.level") <= matched) & _may_link("x", "y", percent))
               .groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
               .agg(F.count(F.lit(1)).alias("common"), F.min(matched).alias("l")).where("common >= l").select("a", "b"))
-    second = written(_linked(across, sets, percent), "second-links")
+    second = _verified(docs, written(across, "second-pairs"), k, percent, "second-links")
     final = components(links.unionAll(second), "groups")
 
     labels = classes.withColumnRenamed("n", "_n").join(final, "node", "left").select(
