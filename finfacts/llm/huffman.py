@@ -25,6 +25,8 @@ CHECKPOINT = 64
 BLOCK_IDS = 1 << 16
 #: Longest code word in bits, raised only if the ids in use need more.
 MAX_BITS = 16
+#: Ids packed together, and ids of the blocks decoded together.
+PACK_IDS, DECODE_IDS = 1 << 18, 1 << 19
 #: Documents of one file.
 DOCS_PER_FILE = 50_000
 
@@ -89,39 +91,43 @@ def canonical(lengths: np.ndarray) -> Code:
     return Code(lengths, words, symbols, steps, max_bits)
 
 
-def pack_bits(ids: np.ndarray, code: Code) -> tuple[bytes, np.ndarray]:
-    """The bits of ids, filled up to whole bytes, and the bit offset of every CHECKPOINT-th id."""
+def pack_bits(ids: np.ndarray, lengths: np.ndarray, code: Code) -> tuple[list[bytes], list[np.ndarray]]:
+    """The bits of documents of the given numbers of ids, each filled up to whole bytes, and the bit offset of every CHECKPOINT-th id."""
     sizes = code.lengths[ids].astype(np.int64)
     ends = np.cumsum(sizes)
-    starts = ends - sizes
-    total = int(ends[-1]) if len(ends) else 0
+    last = np.cumsum(lengths)
+    total = np.diff(np.concatenate([[0], ends])[last], prepend=0)
+    spans = (total + 7) // 8
+    first = np.cumsum(spans) - spans
+    # Every document starts at a whole byte: its bits move on by what the documents before were filled up.
+    starts = ends - sizes + np.repeat(8 * first - (np.cumsum(total) - total), lengths)
     # A word of up to 32 bits that starts within 16-bit cell c reaches into c, c + 1 and c + 2 at most.
     wide = code.words[ids].astype(np.uint64) << (48 - (starts & 15) - sizes).astype(np.uint64)
-    cells = np.zeros(total // 16 + 4)
-    for k in range(3):
+    cells = np.zeros(int(spans.sum()) // 2 + 4)
+    for k in range(3 if code.max_bits > 17 else 2):
         part = (wide >> np.uint64(32 - 16 * k)) & np.uint64(0xFFFF)
         cells += np.bincount((starts >> 4) + k, part, len(cells))
-    return cells.astype(">u2").tobytes()[: (total + 7) // 8], starts[::CHECKPOINT]
+    data = cells.astype(">u2").tobytes()
+    inside = starts - np.repeat(8 * first, lengths)
+    marks = [inside[b - n:b:CHECKPOINT] for b, n in zip(last.tolist(), lengths.tolist(), strict=True)]
+    return [data[f:f + n] for f, n in zip(first.tolist(), spans.tolist(), strict=True)], marks
 
 
 def unpack_bits(bits: np.ndarray, checkpoints: np.ndarray, sizes: np.ndarray, code: Code) -> np.ndarray:
     """The ids at all checkpoints, each followed by sizes - 1 further ids; one table look-up per id, all checkpoints side by side."""
     padded = np.concatenate([bits, np.zeros(8, np.uint8)]).astype(np.uint32)
+    four = (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]  # the 32 bits from each byte on
     by = np.argsort(-sizes, kind="stable")
     at, left = checkpoints[by].astype(np.int64), sizes[by]
     firsts = (np.cumsum(sizes) - sizes)[by]
     out = np.zeros(int(sizes.sum()), np.uint32)
-    mask = np.uint32((1 << code.max_bits) - 1)
-    active = len(by)
-    for k in range(int(left[0]) if len(left) else 0):
-        while active and left[active - 1] <= k:
-            active -= 1
-        here = at[:active]
-        byte = here >> 3
-        window = (padded[byte] << 24) | (padded[byte + 1] << 16) | (padded[byte + 2] << 8) | padded[byte + 3]
-        window = (window >> (32 - code.max_bits - (here & 7)).astype(np.uint32)) & mask
-        out[firsts[:active] + k] = code.symbols[window]
-        at[:active] += code.steps[window]
+    mask, rest = np.uint32((1 << code.max_bits) - 1), np.int64(32 - code.max_bits)
+    active = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), "left")
+    for k, n in enumerate(active.tolist()):
+        here = at[:n]
+        window = (four[here >> 3] >> (rest - (here & 7)).astype(np.uint32)) & mask
+        out[firsts[:n] + k] = code.symbols[window]
+        here += code.steps[window]
     return out
 
 
@@ -142,9 +148,8 @@ def token_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
         kind = np.dtype("<u2") if words.vocabulary <= 1 << 16 else np.dtype("<u4")
         counts = np.zeros(words.vocabulary, np.int64)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for first, last in chunks(texts):
-                flat, lengths = words.encode(texts[first:last], end)
+            for first, last in chunks(batch.column(1)):
+                flat, lengths = words.encode(batch.column(1).slice(first, last - first), end)
                 counts += np.bincount(flat, minlength=len(counts))
                 cuts = np.concatenate([[0], np.cumsum(lengths)]) * kind.itemsize
                 data = flat.astype(kind).tobytes()
@@ -189,12 +194,18 @@ def write_blocks(ids: DataFrame, code: Code, path_label: str = "token-blocks") -
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, checkpoints = [], []
-            for n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kind = "<u2" if len(data) == 2 * n else "<u4"
-                got, places = pack_bits(np.frombuffer(data, kind), code)
-                bits.append(got)
-                checkpoints.append(places)
+            bits: list[bytes] = []
+            checkpoints: list[np.ndarray] = []
+            counts, data = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            first = 0
+            while first < len(data):
+                # Documents are packed some at a time; a longer one alone.
+                after = max(first + 1, int(np.searchsorted(np.cumsum(counts[first:]), PACK_IDS, "right")) + first)
+                kind = "<u2" if len(data[first]) == 2 * counts[first] else "<u4"
+                got, places = pack_bits(np.frombuffer(b"".join(data[first:after]), kind), counts[first:after], code)
+                bits += got
+                checkpoints += places
+                first = after
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             file = np.where(known, 1 + np.searchsorted(cuts, batch.column(0).fill_null(0).to_numpy(), "right"), 0)
             yield pa.RecordBatch.from_arrays([
@@ -243,19 +254,32 @@ def read_blocks(blocks: DataFrame, code: Code) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                lengths = np.asarray(row["lengths"], np.int64)
-                flat = unpack_bits(np.frombuffer(row["bits"], np.uint8), np.asarray(row["checkpoints"]), checkpoint_sizes(lengths), code)
-                ends = np.cumsum(lengths)
-                data = memoryview(flat.astype("<u4").tobytes())
-                n = len(lengths)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([row["file"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()),
-                    pa.array([zlib.crc32(data[4 * (e - k):4 * e]) for e, k in zip(ends, lengths, strict=True)], pa.int64()),
-                ], names=["file", "block", "doc_id", "inside", "n_tokens", "ids_crc32"])
-
-    decoded = blocks.select("file", "block", "doc_ids", "lengths", "checkpoints", "bits").mapInArrow(
+            sizes = batch.column(6).to_numpy()
+            first = 0
+            while first < len(sizes):
+                # Blocks are decoded some at a time, so that many checkpoints stand side by side.
+                after = max(first + 1, int(np.searchsorted(np.cumsum(sizes[first:]), DECODE_IDS, "right")) + first)
+                yield decode_some(batch.slice(first, after - first))
+                first = after
+
+    def decode_some(rows: pa.RecordBatch) -> pa.RecordBatch:
+        blobs = rows.column(5).to_pylist()
+        offsets = np.cumsum([0, *map(len, blobs)])[:-1]
+        docs_in = rows.column(2).value_lengths().to_numpy()
+        lengths = rows.column(3).flatten().to_numpy()
+        places = rows.column(4).flatten().to_numpy() + 8 * np.repeat(offsets, rows.column(4).value_lengths().to_numpy())
+        flat = unpack_bits(np.frombuffer(b"".join(blobs), np.uint8), places, checkpoint_sizes(lengths), code)
+        ends = np.cumsum(lengths)
+        before = np.cumsum(rows.column(6).to_numpy()) - rows.column(6).to_numpy()
+        data = memoryview(flat.astype("<u4", copy=False).tobytes())
+        owner = pa.array(np.repeat(np.arange(len(blobs)), docs_in))
+        return pa.RecordBatch.from_arrays([
+            rows.column(0).take(owner), rows.column(1).take(owner), rows.column(2).flatten(),
+            pa.array(ends - lengths - np.repeat(before, docs_in), pa.int64()), pa.array(lengths, pa.int64()),
+            pa.array([zlib.crc32(data[4 * (e - k):4 * e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.int64()),
+        ], names=["file", "block", "doc_id", "inside", "n_tokens", "ids_crc32"])
+
+    decoded = blocks.select("file", "block", "doc_ids", "lengths", "checkpoints", "bits", "n_tokens").mapInArrow(
         decode, "file int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return decoded.join(starts, ["file", "block"]).select(
         "doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

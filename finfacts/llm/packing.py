@@ -67,9 +67,9 @@ def token_pieces(docs: DataFrame, path: str, end: int, capacity: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for first, last in chunks(texts):
-                flat, lengths = words.encode(texts[first:last], end)
+            ids = batch.column(0).to_pylist()
+            for first, last in chunks(batch.column(1)):
+                flat, lengths = words.encode(batch.column(1).slice(first, last - first), end)
                 data = memoryview(flat.astype("<u4").tobytes())
                 counts = -(-lengths // capacity)
                 owner = np.repeat(np.arange(last - first), counts)

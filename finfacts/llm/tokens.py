@@ -94,13 +94,13 @@ class WordIds:
             self.pieces.update(zip(plain + other, range(len(self.piece_ids), len(self.piece_ids) + len(plain) + len(other)), strict=True))
             self.piece_ids.add(np.concatenate(ids), np.concatenate(lengths))
 
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by end; and the number of ids of each text, end included. Null counts as empty."""
         if len(self.pieces) > MAX_PIECES:
             self._forget_pieces()
         elif len(self.index) > MAX_WORDS:
             self._forget_words()
-        split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         bounds = split.offsets.to_numpy()
         words = split.flatten().dictionary_encode()
         place = np.fromiter(map(self.index.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
@@ -143,14 +143,13 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def chunks(texts: list[str | None], most_chars: int = 3_000_000):
+def chunks(texts: pa.Array, most_bytes: int = 3_000_000):
     """(first, last) index pairs of runs of texts of bounded size together; a single text may be longer."""
-    first, size = 0, 0
-    for i, text in enumerate(texts):
-        length = len(text) if text else 0
-        if i > first and size + length > most_chars:
-            yield first, i
-            first, size = i, 0
-        size += length
-    if first < len(texts):
-        yield first, len(texts)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        before = ends[first] - sizes[first]
+        last = max(first + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield first, last
+        first = last
