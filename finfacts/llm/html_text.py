@@ -152,8 +152,20 @@ def repeated(words: np.ndarray, pages: np.ndarray, run: int = RUN, least: int =
     return np.cumsum(cover[:-1]) > 0
 
 
+def long_stretches(hit: np.ndarray, run: int = RUN) -> np.ndarray:
+    """hit without its stretches of fewer than run places: a run that only reaches into a block from the next one takes nothing there."""
+    edges = np.flatnonzero(np.diff(hit, prepend=False, append=False))
+    result = np.zeros(len(hit), bool)
+    for first, last in zip(edges[::2], edges[1::2], strict=True):
+        result[first:last] = last - first >= run
+    return result
+
+
 def kept_texts(pages: list[list[tuple[str, int]]]) -> list[list[str]]:
-    """For the pages of one suffix array, (text, kind) of the blocks each: the open blocks without their repeated runs."""
+    """For the pages of one suffix array, (text, kind) of the blocks each: the open blocks without their repeated runs.
+
+    A block all covered goes; of another, the stretches of RUN covered words or more.
+    """
     streams = [[w for text, _ in page for w in text.split(" ")] for page in pages]
     number: dict[str, int] = {}
     words = np.array([number.setdefault(w, len(number)) for s in streams for w in s], np.int64)
@@ -164,7 +176,8 @@ def kept_texts(pages: list[list[tuple[str, int]]]) -> list[list[str]]:
         for text, kind in page:
             own = text.split(" ")
             if kind == OPEN:
-                rest = [w for w, c in zip(own, covered[at:at + len(own)], strict=True) if not c]
+                hit = covered[at:at + len(own)]
+                rest = [] if hit.all() else [w for w, c in zip(own, long_stretches(hit), strict=True) if not c]
                 if rest:
                     kept.append(" ".join(rest))
             at += len(own)

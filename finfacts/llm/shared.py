@@ -17,12 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where a session sets none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session that sets none gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not getattr(context, "_finfacts_folder", None):
+        context._finfacts_folder = "file://" + tempfile.mkdtemp(prefix="finfacts-")
+    return context._finfacts_folder
 
 
 def ship_package(spark: SparkSession) -> None:
