@@ -76,10 +76,10 @@ FOUND = (
 )
 _YEAR_OK = "try_cast(year AS INTEGER) BETWEEN 2000 AND 2100"
 COLUMNAR = (
-    # Every cell of the first eight rows that names a year, alone or joined with its right neighbour.
+    # Every cell that names a year, alone or joined with its right neighbour.
     "heads AS (SELECT company, ck, source_file, table_index, row, col, coalesce(y, CASE WHEN nxt IS NOT NULL THEN yj END) AS year FROM "
     f"(SELECT *, {header_year_sql('trim(cell)')} AS y, {header_year_sql('trim(cell) || trim(nxt)')} AS yj FROM (SELECT *, "
-    "lead(cell) OVER (PARTITION BY ck, table_index, row ORDER BY col) AS nxt FROM fx_cells WHERE row < 8) "
+    "lead(cell) OVER (PARTITION BY ck, table_index, row ORDER BY col) AS nxt FROM fx_cells) "
     "WHERE trim(cell) <> ''))",
     "best_head AS (SELECT ck, table_index, row AS header_row FROM (SELECT ck, table_index, row, row_number() OVER (PARTITION BY "
     "ck, table_index ORDER BY count(*) DESC, row) AS rn FROM heads WHERE year IS NOT NULL GROUP BY ck, table_index, row) "
@@ -236,8 +236,7 @@ _LOW = squeeze_sql("text")
 TEXT_FOUND = (
     f"low AS (SELECT company, text, {_LOW} AS l FROM fx_lines)",
     "kept AS (SELECT * FROM low WHERE NOT regexp_matches(l, 'margin|%|ratio|growth|comprehensive income|exceptional') "
-    "AND regexp_matches(l, '[0-9]{3}') AND regexp_matches(l, '(revenue|income|sales|profit|ebitda|expenses).{0,20}[0-9]') "
-    "AND len(string_split(l, ' ')) <= 12)",
+    "AND regexp_matches(l, '[0-9]{3}') AND regexp_matches(l, '(revenue|income|sales|profit|ebitda|expenses).*[0-9]'))",
     f"read AS (SELECT company, {case_sql('l', ROW_METRIC_RULES)} AS metric, list_max(list_transform(regexp_extract_all(l, "
     "'\\b(20[0-9]{2})\\b', 1), lambda y: CAST(y AS INTEGER))) AS year, list_max(list_filter(list_transform("
     "regexp_extract_all(text, '[0-9,]{3,}'), lambda t: try_cast(replace(t, ',', '') AS DOUBLE)), lambda v: v IS NOT NULL "

@@ -12,6 +12,7 @@ from finfacts.operators import ordering as L
 from finfacts.operators import pivot as V
 from finfacts.operators import ratios as R
 from finfacts.operators import series as S
+from finfacts.plans.answers import answer_series
 from finfacts.plans.dashboard import ratio_dashboard
 from finfacts.sources import facts as SF
 
@@ -150,7 +151,7 @@ def valid_amount(spark, sf):
     ),
 )
 def latest_facts(spark, sf):
-    return P.latest_facts(facts(spark, sf), tie=("id",))
+    return P.latest_facts(facts(spark, sf), 100, tie=("id",))
 
 
 # --- pivot and ratios ---------------------------------------------------------------------------
@@ -229,7 +230,7 @@ def enrich_server(spark, sf):
     ),
 )
 def compare_metrics(spark, sf):
-    return V.compare_metrics(P.valid_facts(facts(spark, sf)), KEY)
+    return V.compare_metrics(facts(spark, sf), KEY)
 
 
 for _i, (_name, _sql) in enumerate(RATIO_SQL.items(), start=1):
@@ -254,7 +255,7 @@ for _i, (_name, _sql) in enumerate(RATIO_SQL.items(), start=1):
     ),
 )
 def profit_margin_pct(spark, sf):
-    return R.profit_margin(P.valid_facts(facts(spark, sf)), KEY)
+    return R.profit_margin(facts(spark, sf), KEY)
 
 
 _DASH = {**{c: c for c in P.DASHBOARD_COLUMNS}, **RATIO_SQL, **YOY_SQL}
@@ -404,13 +405,13 @@ def max_per_period(spark, sf):
     "g22_last_per_period",
     fx.with_views(
         "facts",
-        "SELECT company, period, id, value FROM (SELECT *, row_number() OVER (PARTITION BY company, period "
-        "ORDER BY id DESC) AS rn FROM fx_facts WHERE metric = 'revenue') WHERE rn = 1",
+        "SELECT company, metric, period, id, value FROM (SELECT *, row_number() OVER (PARTITION BY company, metric, period "
+        "ORDER BY id DESC) AS rn FROM fx_facts WHERE period IS NOT NULL) WHERE rn = 1",
     ),
 )
 def last_per_period(spark, sf):
-    rows = facts(spark, sf).where(F.col("metric") == "revenue").select("company", "period", "id", "value")
-    return A.last_per_period(rows, "id", KEY)
+    rows = facts(spark, sf).select("company", "metric", "period", "id", "value")
+    return A.last_per_period(rows, "id", ("company", "metric"))
 
 
 @query(
@@ -428,7 +429,7 @@ def fill_currency(spark, sf):
 
 
 _PREV_VALUE = (
-    "last_value(value IGNORE NULLS) OVER (PARTITION BY company ORDER BY "
+    "last_value(value IGNORE NULLS) OVER (PARTITION BY company, metric ORDER BY "
     f"{fiscal_order_sql('period')}, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 )
 
@@ -437,18 +438,37 @@ _PREV_VALUE = (
     "w18_check_series",
     fx.with_views(
         "facts",
-        "SELECT company, period, value, violation FROM (SELECT company, period, value, unnest(list_filter(["
+        "SELECT company, metric, period, value, violation FROM (SELECT company, metric, period, value, unnest(list_filter(["
         "CASE WHEN nullif(period, '') IS NULL THEN 'missing period' END, "
         "CASE WHEN nullif(period, '') IS NOT NULL AND n > 1 THEN 'repeated period' END, "
         "CASE WHEN value < 1000 THEN 'amount under 1000' END, "
         "CASE WHEN prev > 0 AND value < prev * 0.1e0 THEN 'collapse' END], lambda v: v IS NOT NULL)) AS violation FROM ("
-        f"SELECT company, period, value, count(*) OVER (PARTITION BY company, period) AS n, {_PREV_VALUE} AS prev "
-        f"FROM fx_facts WHERE metric = 'revenue' AND {VALID}))",
+        f"SELECT company, metric, period, value, count(*) OVER (PARTITION BY company, metric, period) AS n, {_PREV_VALUE} AS prev "
+        f"FROM fx_facts WHERE {VALID}))",
     ),
 )
 def check_series(spark, sf):
-    rows = P.valid_facts(facts(spark, sf)).where(F.col("metric") == "revenue")
-    return S.check_series(rows.select("company", "period", "value"), "value", KEY)
+    rows = P.valid_facts(facts(spark, sf))
+    return S.check_series(rows.select("company", "metric", "period", "value"), "value", ("company", "metric"))
+
+
+_IN_ORDER = f"PARTITION BY company ORDER BY {fiscal_order_sql('period')}, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+@query(
+    "ask_revenue_series",
+    fx.with_views(
+        "facts",
+        "SELECT company, period, value, nullif(array_to_string(list_sort(list_filter([CASE WHEN nullif(period, '') IS NULL THEN "
+        "'missing period' END, CASE WHEN value < 1000 THEN 'amount under 1000' END, CASE WHEN prev > 0 AND value < prev * 0.1e0 "
+        "THEN 'collapse' END], lambda v: v IS NOT NULL)), ', '), '') AS problems FROM (SELECT *, last_value(value IGNORE NULLS) OVER "
+        f"({_IN_ORDER}) AS prev FROM lasts)",
+        "lasts AS (SELECT company, period, value FROM (SELECT *, row_number() OVER (PARTITION BY company, period ORDER BY id DESC) AS rn "
+        f"FROM fx_facts WHERE metric IN ('revenue', 'net_income') AND value IS NOT NULL AND period IS NOT NULL AND {VALID}) WHERE rn = 1)",
+    ),
+)
+def ask_series(spark, sf):
+    return answer_series(facts(spark, sf), ("revenue", "net_income"), KEY, ordered=False)
 
 
 # --- storage forms ------------------------------------------------------------------------------
@@ -511,16 +531,24 @@ def upgrade_facts(spark, sf):
     )
 
 
-@query("s11_preview_facts")
+@query(
+    "s11_preview_facts",
+    fx.with_views(
+        "facts",
+        "SELECT try_cast(trim(period) AS INTEGER) AS year, metric, CAST(trunc(value) AS BIGINT) AS value, coalesce(raw, '') AS raw, "
+        "coalesce(nullif(currency, ''), 'INR') AS currency FROM fx_facts WHERE period IS NOT NULL AND value IS NOT NULL "
+        "ORDER BY id LIMIT 200",
+    ),
+)
 def preview_facts(spark, sf):
-    return SF.preview_facts(facts(spark, sf), "INR")
+    return SF.preview_facts(facts(spark, sf), "INR", 200, ("id",))
 
 
-@query("s12_cap_rows")
+@query("s12_cap_rows", fx.with_views("facts", f"SELECT {FACT_COLS} FROM fx_facts ORDER BY id LIMIT 200"))
 def cap_rows(spark, sf):
-    return SF.cap_rows(facts(spark, sf))
+    return SF.conform_facts(SF.cap_rows(facts(spark, sf), 200, ("id",)))
 
 
-@query("p12_sample_rows")
+@query("p12_sample_rows", fx.with_views("facts", f"SELECT {FACT_COLS} FROM fx_facts ORDER BY id LIMIT 10"))
 def sample_rows(spark, sf):
-    return P.sample_rows(facts(spark, sf))
+    return SF.conform_facts(P.sample_rows(facts(spark, sf), 10, ("id",)))

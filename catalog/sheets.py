@@ -479,7 +479,7 @@ def distinct_in_order(spark, sf):
 )
 def dedup_rows(spark, sf):
     rows = fx.long_sheet(spark, sf)
-    return A.dedup_rows(rows, KEY, "seq").select("company", "year", "metric", "value", "raw")
+    return A.dedup_rows(rows, "seq", KEY).select("company", "year", "metric", "value", "raw")
 
 
 for _ya, _yb in ((None, None), (2016, 2019)):

@@ -21,7 +21,9 @@ def pct(num: str, den: str, digits: int = 2) -> str:
 
 def xsum(expr: str) -> str:
     """Order-independent sum."""
-    return f"CAST(sum(CAST({expr} AS DECIMAL(32,6))) AS DOUBLE)"
+    whole = f"CAST({expr} AS DECIMAL(32,6))"
+    rest = f"CAST((CAST({expr} AS DOUBLE) - CAST({whole} AS DOUBLE)) * 1e6 AS DECIMAL(32,6))"
+    return f"(CAST(sum({whole}) AS DOUBLE) + CAST(sum({rest}) AS DOUBLE) / 1e6)"
 
 
 def xavg(expr: str) -> str:
@@ -35,6 +37,8 @@ def quote(text: str) -> str:
 def match_sql(col: str, pattern: str) -> str:
     if pattern.startswith("!"):
         return f"NOT {match_sql(col, pattern[1:])}"
+    if pattern.startswith("~"):
+        return match_sql(f"regexp_replace({col}, '[^a-z]', '', 'g')", pattern[1:])
     if is_literal(pattern):
         return f"contains({col}, {quote(pattern)})"
     return f"regexp_matches({col}, {quote(pattern)})"
@@ -59,9 +63,9 @@ def squeeze_sql(col: str) -> str:
 
 def fiscal_key_sql(col: str) -> str:
     return (
-        f"CAST(coalesce(nullif(regexp_extract(trim({col}), '(?i)FY\\s*((?:19|20)[0-9]{{2}})', 1), ''), "
+        f"try_cast(coalesce(nullif(regexp_extract(trim({col}), '(?i)FY\\s*((?:19|20)[0-9]{{2}})', 1), ''), "
         f"nullif(regexp_extract(trim({col}), '\\b((?:19|20)[0-9]{{2}})\\b', 1), ''), "
-        f"nullif(regexp_extract(trim({col}), '^([+-]?[0-9]{{1,9}})', 1), '')) AS INTEGER)"
+        f"nullif(regexp_extract(trim({col}), '^([+-]?[0-9]+)', 1), '')) AS INTEGER)"
     )
 
 

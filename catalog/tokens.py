@@ -8,6 +8,7 @@ from finfacts.functions.boxes import bbox_norm, bbox_xyxy
 from finfacts.functions.labels import line_class, token_role
 from finfacts.functions.rules import LINE_CLASS_RULES, TOKEN_METRIC_WORDS, UNIT_MULTIPLIERS
 from finfacts.operators import tokens as T
+from finfacts.plans.answers import image_facts
 from finfacts.plans.extraction import token_facts
 
 from . import fixtures as fx
@@ -231,6 +232,15 @@ READINGS = (
 )
 
 
+@query("image_facts_of_two_readings")
+def image_facts_of_two_readings(spark, sf):
+    """All tokens, and those that a second reader caught, more surely."""
+    tokens = fx.tokens(spark, sf)
+    second = tokens.where("seq % 7 <> 0").withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") + 0.1))
+    both = tokens.withColumn("method", F.lit("baseline")).unionByName(second.withColumn("method", F.lit("layout")))
+    return image_facts(both)
+
+
 @query("d12_quality_score", fx.with_views("lines", "SELECT doc_id, method, rows, score FROM scores", *READINGS))
 def quality_score(spark, sf):
     return T.quality_score(readings(spark, sf), DOC)
@@ -265,7 +275,7 @@ def check_token_samples(spark, sf):
         F.collect_list("text").alias("words"), F.collect_list("label").alias("labels"),
         F.collect_list("bbox").alias("bboxes"), F.count(F.lit(1)).alias("n"),
     )
-    samples = samples.withColumn("labels", F.when(F.col("n") % 5 == 0, F.slice("labels", 2, 1000)).when(
+    samples = samples.withColumn("labels", F.when(F.col("n") % 5 == 0, F.slice("labels", 2, F.size("labels") - 1)).when(
         F.col("n") % 7 == 0, F.transform("labels", lambda t, i: F.when(i == 0, "B-NAME").otherwise(t))
     ).otherwise(F.col("labels")))
     return T.check_token_samples(samples).select(*PAGE, "problem")

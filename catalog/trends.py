@@ -78,7 +78,7 @@ def anomalies(spark, sf):
     return S.anomalies(series(spark, sf), "value", KEY)
 
 
-_G = rnd("CASE WHEN prev > 0 THEN (value - prev) / prev * 100e0 END", 6)
+_G = "CASE WHEN prev > 0 THEN (value - prev) / prev * 100e0 END"
 for _over, _base in (("positive_bases", "count(g)"), ("all_steps", "count(*) - 1")):
     _mean = f"coalesce({xsum('g')}, 0) / nullif({_base}, 0)"
     if _over == "positive_bases":
@@ -116,7 +116,7 @@ def latest_growth(spark, sf):
     ),
 )
 def period_changes(spark, sf):
-    return S.period_changes(series(spark, sf), "value", KEY)
+    return S.period_changes(series(spark, sf), "value", 6, KEY)
 
 
 @query(
@@ -178,7 +178,7 @@ _SCORED = (
         f"total_revenue > 0 THEN {rnd('(total_revenue - total_expense) / total_revenue * 100e0', 1)} ELSE 0 END "
         f"AS overall_margin_pct, {rnd('coalesce(avg_growth, 0)', 1)} AS average_growth_pct, best_year, best_year_profit, "
         f"{rnd('m', 1)} AS best_year_margin_pct FROM (SELECT company, {xsum('revenue')} AS total_revenue, "
-        f"{xsum('expense')} AS total_expense, {xsum(rnd('growth', 6))} / nullif(count(growth), 0) AS avg_growth, "
+        f"{xsum('expense')} AS total_expense, {xsum('growth')} / nullif(count(growth), 0) AS avg_growth, "
         f"first(period ORDER BY score DESC, {ORDER}) AS best_year, first(profit ORDER BY score DESC, {ORDER}) "
         f"AS best_year_profit, first(margin ORDER BY score DESC, {ORDER}) AS m FROM ranked GROUP BY company)",
         *_SCORED,

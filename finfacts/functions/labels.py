@@ -132,7 +132,7 @@ def token_role(text: ColumnOrName) -> Column:
     return (
         F.when(low.rlike(r"fy\s*20[0-9]{2}|^20[0-9]{2}$|^fy\s*[0-9]{2}$"), "YEAR")
         .when(compact.rlike(r"^[0-9().\-]+$") & compact.rlike(r"[0-9]{3}"), "VALUE")
-        .when(low.rlike(R.TOKEN_METRIC_WORDS), "METRIC")
+        .when(R.match_any(low, R.TOKEN_METRIC_WORDS), "METRIC")
         .otherwise("O")
     )
 

@@ -12,6 +12,12 @@ def as_col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Doubles from here on have no fraction.
+WHOLE = 4503599627370496.0
+#: Doubles from here on are added as doubles; they have no six decimals to keep.
+HUGE = 1e24
+
+
 def zero() -> Column:
     return F.lit(0.0)
 
@@ -19,7 +25,9 @@ def zero() -> Column:
 def js_round(value: ColumnOrName, digits: int = 0) -> Column:
     """Round half up on doubles: ``floor(x * 10^n + 0.5) / 10^n``."""
     scale = float(10**digits)
-    return F.floor(as_col(value) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    scaled = as_col(value) * F.lit(scale)
+    # From 2^52 on a double is whole already; floor gives a bigint, which cannot hold the largest ones.
+    return F.when(F.abs(scaled) < WHOLE, F.floor(scaled + F.lit(0.5)).cast("double") / F.lit(scale)).otherwise(as_col(value))
 
 
 def round_digits(metric: str) -> int:
@@ -48,8 +56,18 @@ def number_or_zero(c: ColumnOrName) -> Column:
 
 
 def exact_sum(c: ColumnOrName) -> Column:
-    """Sum whose result does not depend on partition order: added as decimals, returned as double."""
-    return F.sum(as_col(c).cast("decimal(32,6)")).cast("double")
+    """Sum whose result does not depend on partition order: added as decimals, returned as double.
+
+    What six decimals leave of an addend is added up apart, to twelve decimals.  Values of 1e24 and more, infinity and
+    NaN are added as doubles.
+    """
+    col = as_col(c).cast("double")
+    small = F.when(F.abs(col) < HUGE, col)
+    whole = small.cast("decimal(32,6)")
+    rest = ((small - whole.cast("double")) * 1e6).cast("decimal(32,6)")
+    exact = F.sum(whole).cast("double") + F.sum(rest).cast("double") / 1e6
+    huge = F.sum(F.when(~(F.abs(col) < HUGE), col))
+    return F.when(huge.isNull(), exact).otherwise(huge + F.coalesce(exact, zero()))
 
 
 def exact_mean(c: ColumnOrName) -> Column:

@@ -19,8 +19,8 @@ def fiscal_key(label: ColumnOrName) -> Column:
     return F.coalesce(
         _group(text, r"(?i)FY\s*((?:19|20)[0-9]{2})"),
         _group(text, r"\b((?:19|20)[0-9]{2})\b"),
-        _group(text, r"^([+-]?[0-9]{1,9})"),
-    ).cast("int")
+        _group(text, r"^([+-]?[0-9]+)"),
+    ).try_cast("int")
 
 
 def period_of(token: ColumnOrName) -> Column:

@@ -22,7 +22,7 @@ from ..functions.numbers import (
 )
 from ..functions.periods import valid_year
 from .filters import valid_facts
-from .frames import Keys, first_by, keyed, last_by, sort_struct, top_n
+from .frames import Keys, first_by, keyed, last_by, sort_struct, top_n, with_keys, with_totals
 from .pivot import enrich, pivot_facts
 from .quantiles import median
 from .ratios import ratio_columns
@@ -38,19 +38,19 @@ def _order(by: str, value: str, order: str) -> list[Column]:
 # --- plain groups -----------------------------------------------------------------------------
 
 
-def group_sum(df: DataFrame, by: str, value: str, keys: Keys = (), order: str = "desc", n: int = 10) -> DataFrame:
-    """Total per group, missing and unreadable cells as 0; first ``n`` by value or in time order."""
+def group_sum(df: DataFrame, by: str, value: str, keys: Keys = (), order: str = "desc", n: int | None = None) -> DataFrame:
+    """Total per group, missing and unreadable cells as 0; with ``n`` the first ones by value or in time order."""
     out = df.groupBy(*keys, by).agg(exact_sum(number_or_zero(value)).alias("total"))
     return top_n(out, keys, _order(by, "total", order), n)
 
 
-def group_avg(df: DataFrame, by: str, value: str, keys: Keys = (), n: int = 10) -> DataFrame:
+def group_avg(df: DataFrame, by: str, value: str, keys: Keys = (), n: int | None = None) -> DataFrame:
     """Mean per group over all its rows (missing counts as 0), rounded to a whole number."""
     out = df.groupBy(*keys, by).agg(js_round(exact_mean(number_or_zero(value)), 0).alias("average"))
     return top_n(out, keys, _order(by, "average", "desc"), n)
 
 
-def group_count(df: DataFrame, by: str, keys: Keys = (), n: int = 10) -> DataFrame:
+def group_count(df: DataFrame, by: str, keys: Keys = (), n: int | None = None) -> DataFrame:
     """Rows per group, most first."""
     out = df.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("rows"))
     return top_n(out, keys, _order(by, "rows", "desc"), n)
@@ -65,8 +65,8 @@ def grand_total(df: DataFrame, value: str, keys: Keys = ()) -> DataFrame:
 
 
 def profit_breakdown(df: DataFrame, by: str, revenue: str, expense: str, keys: Keys = (),
-                     n: int | None = 10) -> DataFrame:
-    """Revenue, expense and profit per group, highest profit first (all groups when ``n`` is None)."""
+                     n: int | None = None) -> DataFrame:
+    """Revenue, expense and profit per group, highest profit first (all groups by default)."""
     out = df.groupBy(*keys, by).agg(
         exact_sum(number_or_zero(revenue)).alias("revenue"), exact_sum(number_or_zero(expense)).alias("expense")
     ).withColumn("profit", F.col("revenue") - F.col("expense"))
@@ -79,7 +79,7 @@ def margin_pct(profit: Column, revenue: Column) -> Column:
 
 
 def compare_revenue_expense(df: DataFrame, by: str, revenue: str, expense: str, keys: Keys = (),
-                            time_like: bool = False, n: int = 10) -> DataFrame:
+                            time_like: bool = False, n: int | None = None) -> DataFrame:
     """The profit breakdown with its margin, in time order for a time-like group, else by revenue."""
     out = profit_breakdown(df, by, revenue, expense, keys, n=None)
     out = out.withColumn("margin_pct", js_round(margin_pct(F.col("profit"), F.col("revenue")), 2))
@@ -87,28 +87,18 @@ def compare_revenue_expense(df: DataFrame, by: str, revenue: str, expense: str,
 
 
 def margin_by_group(df: DataFrame, by: str, revenue: str, profit: str, keys: Keys = (),
-                    time_like: bool = False, n: int = 10) -> DataFrame:
-    """Margin of the group totals, plus average and best margin over the rows shown."""
+                    time_like: bool = False, n: int | None = None) -> DataFrame:
+    """Margin of the group totals, plus average and best margin over all groups; ``n`` cuts the rows, not the groups."""
     out = df.groupBy(*keys, by).agg(
         exact_sum(number_or_zero(revenue)).alias("revenue"), exact_sum(number_or_zero(profit)).alias("profit")
     )
     pct = F.coalesce(js_round(safe_div(F.col("profit") * 100.0, F.col("revenue")), 2), zero())
-    out = top_n(out.withColumn("margin_pct", pct), keys, _order(by, "margin_pct", "time" if time_like else "desc"), n)
-    w = keyed(keys)
-    top = F.max("margin_pct").over(w)
-    return out.withColumns(
-        {
-            "average_margin_pct": js_round(
-                safe_div(
-                    F.sum(F.col("margin_pct").cast("decimal(32,6)")).over(w).cast("double"),
-                    F.count(F.lit(1)).over(w).cast("double"),
-                ),
-                2,
-            ),
-            "best_margin_pct": top,
-            "best_group": F.min(F.when(F.col("margin_pct") == top, F.col(by))).over(w),
-        }
-    )
+    out = with_totals(out.withColumn("margin_pct", pct), keys, {
+        "average_margin_pct": js_round(exact_mean("margin_pct"), 2),
+        "best_margin_pct": F.max("margin_pct"),
+        "best_group": F.min_by(F.col(by), F.struct(-F.col("margin_pct"), F.col(by))),
+    })
+    return top_n(out, keys, _order(by, "margin_pct", "time" if time_like else "desc"), n)
 
 
 # --- dashboard groups -------------------------------------------------------------------------
@@ -200,17 +190,17 @@ def kpis(groups: DataFrame, keys: Keys = ()) -> DataFrame:
     )
 
 
-def top_groups(groups: DataFrame, keys: Keys = (), n: int = 15, rank: str | None = None) -> DataFrame:
+def top_groups(groups: DataFrame, n: int, keys: Keys = (), rank: str | None = None) -> DataFrame:
     """The groups with the largest sum of both values, values rounded to whole numbers."""
     order = [(F.col("value1") + F.col("value2")).desc(), F.col("name").asc()]
     out = top_n(groups, keys, order, n, rank)
     return out.withColumns({"value1": js_round("value1"), "value2": js_round("value2")})
 
 
-def top_share(groups: DataFrame, keys: Keys = (), n: int = 5, pool: int = 15) -> DataFrame:
+def top_share(groups: DataFrame, n: int, pool: int, keys: Keys = ()) -> DataFrame:
     """Share of each of the top ``n`` groups within them, and row total as % of the largest row of the pool."""
     w = keyed(keys)
-    top = top_groups(groups, keys, pool, rank="rank")
+    top = top_groups(groups, pool, keys, rank="rank")
     total = F.col("value1") + F.col("value2")
     top = top.withColumn("_largest", F.greatest(F.max(total).over(w), F.lit(1.0))).where(F.col("rank") <= n)
     pie = F.sum(F.col("value1").cast("decimal(32,6)")).over(w).cast("double")
@@ -219,9 +209,9 @@ def top_share(groups: DataFrame, keys: Keys = (), n: int = 5, pool: int = 15) ->
     return top.withColumns({"share_pct": share, "scale_pct": scale}).drop("_largest")
 
 
-def top_bottom(groups: DataFrame, keys: Keys = (), k: int = 5, pool: int = 15) -> DataFrame:
+def top_bottom(groups: DataFrame, k: int, pool: int, keys: Keys = ()) -> DataFrame:
     """First ``k`` and last ``k`` of the top groups, the last ones worst first, each with its rank."""
-    top = top_groups(groups, keys, pool, rank="rank")
+    top = top_groups(groups, pool, keys, rank="rank")
     top = top.withColumn("_n", F.count(F.lit(1)).over(keyed(keys)))
     side = F.explode(
         F.filter(
@@ -234,12 +224,12 @@ def top_bottom(groups: DataFrame, keys: Keys = (), k: int = 5, pool: int = 15) -
     ).drop("_n")
 
 
-def time_series(groups: DataFrame, keys: Keys = (), n: int = 30) -> DataFrame:
-    """The two-value series by the first four-digit number of the label, the first ``n`` periods."""
+def time_series(groups: DataFrame, keys: Keys = (), n: int | None = None) -> DataFrame:
+    """The two-value series by the first four-digit number of the label; with ``n`` the last ones."""
     stamp = F.coalesce(
         F.nullif(F.regexp_extract("name", r"([0-9]{4})", 1), F.lit("")), F.col("name")
     )
-    out = top_n(groups.withColumn("_stamp", stamp), keys, [F.col("_stamp").asc(), F.col("name").asc()], n)
+    out = top_n(groups.withColumn("_stamp", stamp), keys, [F.col("_stamp").desc(), F.col("name").desc()], n)
     return out.drop("_stamp").withColumns({"value1": js_round("value1"), "value2": js_round("value2")})
 
 
@@ -315,7 +305,7 @@ def pooled_totals(df: DataFrame, keys: Keys = ()) -> DataFrame:
 def extreme_period(df: DataFrame, metric: str = "revenue", high: bool = True, keys: Keys = ()) -> DataFrame:
     """Period with the largest or smallest yearly maximum of a metric over valid facts; ties by label."""
     rows = valid_facts(df).where(F.col("metric") == metric)
-    per = rows.groupBy(*keys, "period").agg(F.max("value").alias("value"))
+    per = rows.groupBy(*keys, "period").agg(F.max("value").alias("value")).where(F.col("value").isNotNull())
     size = -F.col("value") if high else F.col("value")
     best = F.min_by(F.struct("period", "value"), F.struct(size, F.col("period"))).alias("_b")
     return per.groupBy(*keys).agg(best).where(F.col("_b").isNotNull()).select(*keys, "_b.*")
@@ -336,12 +326,12 @@ def distinct_metrics(df: DataFrame, metric: str = "metric", keys: Keys = (), seq
 def best_fact(df: DataFrame, keys: Keys = ("company",), tie: Sequence[str] = ("source_page", "id")) -> DataFrame:
     """One fact per (keys, metric, period): consolidated before others, then the largest value.
 
-    Only valid facts of the years 2000 to 2100 compete.  Equal ones are told apart by ``tie``.  An
+    Only valid facts of the years 2000 to 2100 with a value compete; a missing level is not consolidated.  Equal ones are told apart by ``tie``.  An
     aggregate, not a window: a hot key is reduced before the shuffle.
     """
-    rows = df.where(F.col("is_valid") & valid_year("period"))
+    rows = df.where(F.col("is_valid") & valid_year("period") & F.col("value").isNotNull())
     order = F.struct(
-        (F.col("level") != "consolidated").cast("int").alias("_not_consolidated"),
+        (~F.coalesce(F.col("level") == "consolidated", F.lit(False))).cast("int").alias("_not_consolidated"),
         (-F.col("value")).alias("_size"),
         *[F.col(c) for c in tie],
     )
@@ -365,17 +355,15 @@ def last_per_period(df: DataFrame, order_col: str, keys: Keys = (), ordered: boo
     return out.orderBy(*keys, number.isNull(), number, "period")
 
 
-def dedup_rows(df: DataFrame, keys: Keys = (), order_col: str | None = None) -> DataFrame:
+def dedup_rows(df: DataFrame, order_col: str, keys: Keys = ()) -> DataFrame:
     """Rows with a whole year from 2000 and a value of 0 or more, one per (keys, year, metric, whole value).
 
-    With ``order_col`` the first row of each group stays, otherwise any of the equal rows.
+    The first row of each group by ``order_col`` stays.
     """
     year = F.col("year").try_cast("int")
     value = F.col("value").try_cast("double").try_cast("bigint")
     rows = df.withColumns({"year": year, "value": value}).where((F.col("year") >= 2000) & (F.col("value") >= 0))
     group = [*keys, "year", "metric", "value"]
-    if order_col is None:
-        return rows.dropDuplicates(group)
     first = F.min_by(F.struct(*rows.columns), F.col(order_col)).alias("_first")
     return rows.groupBy(*group).agg(first).select("_first.*")
 
@@ -390,7 +378,7 @@ def fill_currency(df: DataFrame, keys: Keys) -> DataFrame:
     main = counts.groupBy(*keys).agg(
         F.min_by("currency", F.struct((-F.col("_n")).alias("n"), F.col("currency"))).alias("_main")
     )
-    return df.join(main, list(keys), "left").withColumn("currency", F.coalesce(known, F.col("_main"))).drop("_main")
+    return with_keys(df, main, keys).withColumn("currency", F.coalesce(known, F.col("_main"))).drop("_main")
 
 
 # --- summary over years -----------------------------------------------------------------------

@@ -7,6 +7,8 @@ only the choice of a document's income statement and of a table's revenue row mo
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,15 +16,11 @@ from pyspark.sql import functions as F
 from ..functions import labels, lines, money, periods
 from ..functions import rules as R
 from ..functions.numbers import parse_ledger_number
-from .frames import Keys, rows_with
+from .frames import Keys, rows_with, with_totals
 
 TABLE = ("page_number", "table_index")
 
-# How far headers are searched, and how sure each way of reading is.
-HEADER_SCAN_ROWS = 8
-LABEL_HEADER_SCAN_ROWS = 15
-ROW_MODE_SCAN_ROWS = 5
-PREVIEW_ROWS = 5
+# The year a table without any is counted back from, and how sure each way of reading is.
 DEFAULT_BASE_YEAR = 2023
 CONFIDENCE = {
     "revenue": (0.95, 0.8),
@@ -62,17 +60,18 @@ def explode_grid(df: DataFrame, keys: Keys = ("company", "source_file")) -> Data
 
 def statement_flags(df: DataFrame) -> DataFrame:
     """Add ``is_statement`` (speaks of income and of a result) and ``rejected`` (ratio-like without anchors)."""
-    df = df.withColumns(
-        {"_all": table_text(F.col("rows")), "_top": table_text(F.col("rows"), PREVIEW_ROWS)}
-    )
+    df = df.withColumn("_all", table_text(F.col("rows")))
     blob = F.col("_all")
-    anchored = blob.rlike(R.TABLE_REVENUE_ANCHORS) & blob.rlike(R.TABLE_RESULT_ANCHORS)
+
+    def speaks(words: tuple[str, ...]) -> Column:
+        return R.match_any(blob, words)
+
     return df.withColumns(
         {
-            "is_statement": blob.rlike(R.TABLE_INCOME_WORDS) & blob.rlike(R.TABLE_RESULT_WORDS),
-            "rejected": F.col("_top").rlike(R.TABLE_REJECT) & ~anchored,
+            "is_statement": speaks(R.TABLE_INCOME_WORDS) & speaks(R.TABLE_RESULT_WORDS),
+            "rejected": speaks(R.TABLE_REJECT) & ~(speaks(R.TABLE_REVENUE_ANCHORS) & speaks(R.TABLE_RESULT_ANCHORS)),
         }
-    ).drop("_all", "_top")
+    ).drop("_all")
 
 
 def _first_table(df: DataFrame, keys: Keys) -> DataFrame:
@@ -104,14 +103,13 @@ def _header_years(row: Column) -> Column:
     return F.filter(F.transform(row, year), lambda y: y["year"].isNotNull())
 
 
-def year_columns(df: DataFrame) -> DataFrame:
+def year_columns(df: DataFrame, base_year: int = DEFAULT_BASE_YEAR) -> DataFrame:
     """Add ``header_row`` and ``years`` (array of col, year) to each grid.
 
-    The header is the one of the first eight rows with most years.  Without any, the first column is
-    taken as labels and the others as years counting back from the latest year the table names.
+    The header is the row with most years, the first of those.  Without any, the first column is taken as
+    labels and the others as years counting back from the latest year the table names, else from ``base_year``.
     """
-    top = F.slice("rows", 1, HEADER_SCAN_ROWS)
-    found = F.transform(top, lambda row, i: F.struct(_header_years(row).alias("years"), i.alias("at")))
+    found = F.transform("rows", lambda row, i: F.struct(_header_years(row).alias("years"), i.alias("at")))
     ranked = F.transform(
         found, lambda f: F.struct(F.size(f["years"]).alias("n"), (-f["at"]).alias("first"), f["years"].alias("years"))
     )
@@ -120,7 +118,7 @@ def year_columns(df: DataFrame) -> DataFrame:
     named = F.transform(
         F.regexp_extract_all(table_text(F.col("rows")), F.lit(r"\b(20[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int")
     )
-    base = F.coalesce(F.array_max(named), F.lit(DEFAULT_BASE_YEAR))
+    base = F.coalesce(F.array_max(named), F.lit(base_year))
     out = out.withColumns({"_width": width, "_base": base})
     counted = F.when(
         F.col("_width") > 1,
@@ -266,8 +264,7 @@ def transposed_header(df: DataFrame) -> DataFrame:
         first = labels.squeeze(cell_at(row, F.lit(0)))
         return first.isin("year", "period", "fy") | first.startswith("year ")
 
-    top = F.slice("rows", 1, LABEL_HEADER_SCAN_ROWS)
-    at = F.array_position(F.transform(top, heads), F.lit(True)).cast("int") - 1
+    at = F.array_position(F.transform("rows", heads), F.lit(True)).cast("int") - 1
     out = df.withColumn("_at", F.when(at >= 0, at))
     dated = F.size(
         F.filter(
@@ -329,14 +326,14 @@ def _plain_row(row: Column) -> Column:
 
 
 def row_mode(rows: Column) -> Column:
-    """True when one of the first five rows speaks of FY or of one or two years."""
+    """True when a row speaks of FY or of one or two years."""
 
     def dated(row: Column) -> Column:
         text = _plain_row(row)
         many = F.size(F.regexp_extract_all(text, F.lit(r"\b(20[0-9]{2})\b"), F.lit(1))) >= 3
         return F.upper(text).contains("FY") | (~many & text.rlike("20[0-2][0-9]"))
 
-    return F.exists(F.slice(rows, 1, ROW_MODE_SCAN_ROWS), dated)
+    return F.exists(rows, dated)
 
 
 def _row_items(text: Column) -> Column:
@@ -362,7 +359,9 @@ def _row_items(text: Column) -> Column:
 
 def row_facts(df: DataFrame, keys: Keys = ("company", "source_file")) -> DataFrame:
     """Candidates of tables whose rows are statement lines: year, revenue, expenses, profit by position."""
-    grids = _context(df.where(row_mode(F.col("rows"))), ROW_MODE_SCAN_ROWS)
+    # Unit and level stand above the first line with a year, or in it.
+    line = F.array_position(F.transform("rows", lambda r: periods.valid_year(lines.line_year(_plain_row(r)).cast("string"))), F.lit(True))
+    grids = _context(df.where(row_mode(F.col("rows"))), F.when(line > 0, line.cast("int")).otherwise(F.size("rows")))
     rows = grids.select(*keys, *TABLE, "unit_in", "level", _currency(df).alias("currency"),
                         F.explode("rows").alias("_cells"))
     rows = rows.withColumn("raw", _plain_row(F.col("_cells")))
@@ -377,14 +376,20 @@ def row_facts(df: DataFrame, keys: Keys = ("company", "source_file")) -> DataFra
 # --- text lines -------------------------------------------------------------------------------------
 
 
-def text_facts(df: DataFrame, keys: Keys = ("company", "source_file"), text: str = "text") -> DataFrame:
-    """Largest amount per (keys, metric, year) that a short text line states next to a statement word."""
+def text_facts(df: DataFrame, keys: Keys = ("company", "source_file"), text: str = "text",
+               max_words: int | None = None, near: int | None = None) -> DataFrame:
+    """Largest amount per (keys, metric, year) that a text line states after a statement word.
+
+    ``max_words`` leaves longer lines out, ``near`` asks for a digit within so many characters of the word.
+    """
     clean = F.regexp_replace(text, r"\(cid:[0-9]+\)", " ")
     rows = df.select(*keys, F.explode(F.split(clean, r"\r\n|\r|\n")).alias("_line"))
     rows = rows.withColumn("_low", labels.squeeze("_line")).where(F.col("_low").rlike("[0-9]{3}"))
     rows = rows.where(~R.match_any(F.col("_low"), R.TEXT_NOISE))
-    rows = rows.where(F.col("_low").rlike(R.TEXT_KEYWORD_NEAR_NUMBER))
-    rows = rows.where(F.size(F.split("_low", " ")) <= R.TEXT_MAX_WORDS)
+    gap = ".*" if near is None else f".{{0,{near}}}"
+    rows = rows.where(F.col("_low").rlike(f"(?:{'|'.join(R.TEXT_KEYWORDS)}){gap}[0-9]"))
+    if max_words is not None:
+        rows = rows.where(F.size(F.split("_low", " ")) <= max_words)
     years = F.transform(
         F.regexp_extract_all("_low", F.lit(r"\b(20[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int")
     )
@@ -438,8 +443,9 @@ def union_candidates(tables: DataFrame, texts: DataFrame | None = None, external
                      keys: Keys = ("company", "source_file"), currency: str = "USD") -> DataFrame:
     """Candidates of all sources in one frame.
 
-    ``external`` (keys, year, revenue) adds revenue above 1000 of valid years.  ``texts`` (keys, metric,
-    year, value) only helps documents that have fewer than two revenue years otherwise.
+    ``external`` (keys, year, revenue) adds revenue above 1000 of valid years to documents whose tables give
+    fewer than two revenue years or years less than two apart.  ``texts`` (keys, metric, year, value) only
+    helps documents that have fewer than two revenue years otherwise.
     """
 
     def outside(df: DataFrame, amount: str, method: str, confidence: float) -> DataFrame:
@@ -451,14 +457,26 @@ def union_candidates(tables: DataFrame, texts: DataFrame | None = None, external
         )
         return _candidates(rows, keys, method, F.lit(True), F.lit(confidence), F.lit(currency), F.lit(""))
 
-    pool = tables
+    if external is None and texts is None:
+        return tables
+    parts = [tables.withColumn("_source", F.lit("table"))]
     if external is not None:
-        pool = pool.unionByName(outside(external, "revenue", "ai_extracted", 0.6))
-    if texts is None:
-        return pool
-    rows = outside(texts.where(F.col("metric") == "revenue"), "value", "text_fallback", CONFIDENCE["text"])
-    good = pool.where((F.col("metric") == "revenue") & F.col("is_valid") & periods.valid_year("period"))
-    enough = good.groupBy(*keys).agg(
-        F.min("period").alias("_lo"), F.max("period").alias("_hi")
-    ).where(F.col("_lo") != F.col("_hi")).select(*keys)
-    return pool.unionByName(rows.join(enough, list(keys), "left_anti"))
+        parts.append(outside(external, "revenue", "ai_extracted", 0.6).withColumn("_source", F.lit("external")))
+    if texts is not None:
+        rows = outside(texts.where(F.col("metric") == "revenue"), "value", "text_fallback", CONFIDENCE["text"])
+        parts.append(rows.withColumn("_source", F.lit("text")))
+    good = (F.col("metric") == "revenue") & F.col("is_valid") & periods.valid_year("period")
+
+    def year(source: str) -> Column:
+        return F.when(good & (F.col("_source") == source), F.col("period").try_cast("int"))
+
+    # The years that each source gives a document, in one pass over all candidates.
+    pool = with_totals(reduce(DataFrame.unionByName, parts), keys, {
+        "_lo": F.min(year("table")), "_hi": F.max(year("table")), "_xlo": F.min(year("external")), "_xhi": F.max(year("external"))})
+    weak = F.coalesce(F.col("_hi") - F.col("_lo") < 2, F.lit(True))
+    lo = F.when(weak, F.least("_lo", "_xlo")).otherwise(F.col("_lo"))
+    hi = F.when(weak, F.greatest("_hi", "_xhi")).otherwise(F.col("_hi"))
+    single = F.coalesce(hi - lo < 1, F.lit(True))
+    source = F.col("_source")
+    kept = pool.where((source == "table") | ((source == "external") & weak) | ((source == "text") & single))
+    return kept.select(*tables.columns)

@@ -104,16 +104,16 @@ def select_kinds(df: DataFrame, kinds: Sequence[str], keys: Keys = ()) -> DataFr
     return df.select(*keys, *kind_columns(kinds))
 
 
-def latest_facts(df: DataFrame, n: int = 100, tie: Sequence[str] = ()) -> DataFrame:
+def latest_facts(df: DataFrame, n: int, tie: Sequence[str]) -> DataFrame:
     """Default listing of valid facts, newest period label first; ``tie`` columns fix the order of equals."""
     listing = ("period", "metric", "value", "currency", "company")
     order = [F.col("period").desc(), *[F.col(c).asc() for c in tie]]
     return valid_facts(df).orderBy(*order).limit(n).select(*listing)
 
 
-def sample_rows(df: DataFrame, n: int = 10) -> DataFrame:
-    """Any ``n`` rows, for a first look."""
-    return df.limit(n)
+def sample_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows by the ``order`` columns, for a first look."""
+    return df.orderBy(*order).limit(n)
 
 
 def last_periods(df: DataFrame, keys: Keys, n: int, period: str = "period") -> DataFrame:

@@ -35,12 +35,40 @@ def timeline(keys: Keys, period: str = "period") -> WindowSpec:
     return keyed(keys).orderBy(*fiscal_sort(period))
 
 
-def top_n(df: DataFrame, keys: Keys, order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows per key in the given total order.
+def same_keys(left: DataFrame, right: DataFrame, keys: Keys) -> tuple[DataFrame, Column]:
+    """``right`` with its keys renamed, and the condition that they equal those of ``left``; NULL equals NULL."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    return other, reduce(and_, [left[k].eqNullSafe(other[f"_right_{k}"]) for k in keys])
+
+
+def with_keys(left: DataFrame, right: DataFrame, keys: Keys, how: str = "left") -> DataFrame:
+    """``left`` joined to ``right`` on the keys, NULL keys included."""
+    other, same = same_keys(left, right, keys)
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def without_keys(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:
+    """The rows of ``left`` whose keys ``right`` does not hold, NULL keys included."""
+    other, same = same_keys(left, right, keys)
+    return left.join(other, same, "left_anti")
+
+
+def with_totals(df: DataFrame, keys: Keys, totals: dict[str, Column]) -> DataFrame:
+    """``df`` with aggregates over its keys; without keys they are one scalar subquery, so no task sees all rows."""
+    if keys:
+        return with_keys(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()]), keys)
+    one = df.agg(F.struct(*[c.alias(n) for n, c in totals.items()]).alias("_t")).scalar()
+    return df.withColumn("_totals", one).select("*", *[F.col("_totals")[n].alias(n) for n in totals]).drop("_totals")
+
+
+def top_n(df: DataFrame, keys: Keys, order: Sequence[Column], n: int | None, rank: str | None = None) -> DataFrame:
+    """The first ``n`` rows per key in the given total order; all of them when ``n`` is None.
 
     Without keys this is a distributed top-k; with keys the rank filter lets Spark cut each
     partition to ``n`` rows per key before the shuffle, so a hot key sends few rows.
     """
+    if n is None:
+        return df
     if not keys and rank is None:
         return df.orderBy(*order).limit(n)
     if not keys:

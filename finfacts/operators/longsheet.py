@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.lines import parse_wide_line
 from ..functions.numbers import js_round, safe_div
-from .frames import Keys, keyed
+from .frames import Keys, keyed, with_totals
 
 # Which predicate and which field of the wide line give a metric, and which source is tried first.
 METRICS = {
@@ -36,13 +36,13 @@ def wide_lines(df: DataFrame, keys: Keys = (), raw: str = "raw", seq: str = "seq
     return rows.groupBy(*keys, F.col("_w.year").alias("_year")).agg(first).select(*keys, "_w.*")
 
 
-def metric_trend(df: DataFrame, metric: str, keys: Keys = (), raw: str = "raw", seq: str = "seq") -> DataFrame:
+def metric_trend(df: DataFrame, metric: str, keys: Keys = (), raw: str = "raw", seq: str = "seq",
+                 min_wide_lines: int = MIN_WIDE_LINES) -> DataFrame:
     """Yearly values of a metric.
 
-    Revenue and net profit come from the wide lines when a series has two or more of them, else from
+    Revenue and net profit come from the wide lines when a series has ``min_wide_lines`` of them, else from
     the metric rows.  Expenses, other and total income come from the metric rows when there is one,
-    else from the wide lines (two or more).  Both sources are tagged in one pass and shuffled once by
-    the choice per key.
+    else from the wide lines.
     """
     test, field, prefer = METRICS[metric]
     wide = wide_lines(df, keys, raw, seq).select(
@@ -50,14 +50,15 @@ def metric_trend(df: DataFrame, metric: str, keys: Keys = (), raw: str = "raw",
     )
     picked = pick_series(df, test("metric"), keys).withColumn("origin", F.lit("long"))
     both = wide.unionByName(picked)
-    w = keyed(keys)
-    n_wide = F.count(F.when(F.col("origin") == "wide", 1)).over(w)
-    n_long = F.count(F.when(F.col("origin") == "long", 1)).over(w)
+    # Two counts for each key; the rows themselves are not brought together.
+    counted = with_totals(both, keys, {
+        "_wide": F.count(F.when(F.col("origin") == "wide", 1)), "_long": F.count(F.when(F.col("origin") == "long", 1))})
+    n_wide, n_long = F.col("_wide"), F.col("_long")
     if prefer == "wide":
-        chosen = F.when(n_wide >= MIN_WIDE_LINES, "wide").otherwise("long")
+        chosen = F.when(n_wide >= min_wide_lines, "wide").otherwise("long")
     else:
-        chosen = F.when(n_long >= 1, "long").when(n_wide >= MIN_WIDE_LINES, "wide")
-    return both.withColumn("_chosen", chosen).where(F.col("origin") == F.col("_chosen")).drop("_chosen")
+        chosen = F.when(n_long >= 1, "long").when(n_wide >= min_wide_lines, "wide")
+    return counted.where(F.col("origin") == chosen).drop("_wide", "_long")
 
 
 def _enough(lines: DataFrame, keys: Keys) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import labels
 from ..functions import rules as R
 from ..functions.numbers import exact_sum, parse_sheet_number
 from ..schema import SLOTS
+from .filters import valid_facts
 from .frames import Keys, keyed
 
 
@@ -144,8 +145,8 @@ def enrich(df: DataFrame, profile: str = "server") -> DataFrame:
 
 
 def compare_metrics(df: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Largest revenue and largest expenses (COGS included) per period."""
-    return df.groupBy(*keys, "period").agg(
+    """Largest revenue and largest expenses (COGS included) per period, of valid facts."""
+    return valid_facts(df).groupBy(*keys, "period").agg(
         F.max(F.when(F.col("metric") == "revenue", F.col("value"))).alias("revenue"),
         F.max(F.when(F.col("metric").isin("expenses", "cogs"), F.col("value"))).alias("expenses"),
     )

@@ -12,33 +12,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import js_round
-from .frames import Keys
+from .frames import Keys, keyed, with_keys, with_totals
 
+#: Least number of buckets; a session with more shuffle tasks has more buckets.
 CUTS = 64
 
 
-def ranked(df: DataFrame, keys: Keys, value: str, seed_keys: str = "_all") -> DataFrame:
+def ranked(df: DataFrame, keys: Keys, value: str) -> DataFrame:
     """Distinct values per key with the 0-based index range ``lo..hi`` they fill and the key's row count ``n``."""
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    group = list(keys) or [seed_keys]
-    if not keys:
-        rows = rows.withColumn(seed_keys, F.lit(0))
-    counts = rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    points = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    cuts = counts.groupBy(*group).agg(F.percentile_approx("_v", points, 1000).alias("_cuts"))
-    cut = counts.join(cuts, group).withColumn(
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    buckets = max(CUTS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cut = with_totals(counts, keys, {"_cuts": F.percentile_approx("_v", points, 10 * buckets)}).withColumn(
         "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     ).drop("_cuts")
-    sizes = cut.groupBy(*group, "_bucket").agg(F.sum("_c").alias("_size"))
-    over_buckets = W.partitionBy(*group).orderBy("_bucket")
+    sizes = cut.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_size"))
+    # One row per key and bucket, however many rows a key has.
+    over_buckets = keyed(keys).orderBy("_bucket")
     sizes = sizes.select(
-        *group,
+        *keys,
         "_bucket",
         (F.sum("_size").over(over_buckets) - F.col("_size")).alias("_before"),
-        F.sum("_size").over(W.partitionBy(*group)).alias("n"),
+        F.sum("_size").over(keyed(keys)).alias("n"),
     )
-    inside = W.partitionBy(*group, "_bucket").orderBy("_v")
-    out = cut.join(sizes, [*group, "_bucket"]).withColumn(
+    inside = W.partitionBy(*keys, "_bucket").orderBy("_v")
+    out = with_keys(cut, sizes, [*keys, "_bucket"], "inner").withColumn(
         "hi", F.col("_before") + F.sum("_c").over(inside) - 1
     )
     return out.select(*keys, F.col("_v").alias("value"), (F.col("hi") - F.col("_c") + 1).alias("lo"), "hi", "n")

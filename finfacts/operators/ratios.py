@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import js_round, safe_div
 from .frames import Keys, keyed, timeline
-from .filters import period_contains_years, period_overlaps
+from .filters import period_contains_years, period_overlaps, valid_facts
 
 
 def _pct(num: Column, den: Column, digits: int = 2) -> Column:
@@ -92,10 +92,10 @@ def yoy(df: DataFrame, keys: Keys = (), order: str = "fiscal", years: tuple[int,
 
 
 def profit_margin(df: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Largest of net income, operating income and EBITDA as % of revenue, where revenue is above 0."""
+    """Largest of net income, operating income and EBITDA as % of revenue of valid facts, where revenue is above 0."""
     revenue = F.max(F.when(F.col("metric") == "revenue", F.col("value"))).alias("_revenue")
     profit = F.max(
         F.when(F.col("metric").isin("net_income", "operating_income", "ebitda"), F.col("value"))
     ).alias("_profit")
-    out = df.groupBy(*keys, "period").agg(revenue, profit).where(F.col("_revenue") > 0)
+    out = valid_facts(df).groupBy(*keys, "period").agg(revenue, profit).where(F.col("_revenue") > 0)
     return out.select(*keys, "period", _pct(F.col("_profit"), F.col("_revenue")).alias("profit_margin_pct"))

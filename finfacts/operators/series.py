@@ -186,7 +186,7 @@ def best_year_score(df: DataFrame, keys: Keys = ()) -> DataFrame:
     out = rows.groupBy(*keys).agg(
         exact_sum("revenue").alias("total_revenue"),
         exact_sum("expense").alias("total_expense"),
-        exact_mean(js_round("_growth", 6)).alias("_avg"),
+        exact_mean("_growth").alias("_avg"),
         best,
     )
     profit = F.col("total_revenue") - F.col("total_expense")
@@ -206,7 +206,7 @@ def best_year_score(df: DataFrame, keys: Keys = ()) -> DataFrame:
 
 def average_growth(df: DataFrame, col: str, keys: Keys = (), over: str = "positive_bases") -> DataFrame:
     """Mean % change over the steps with a positive base; ``over="all_steps"`` divides by every step."""
-    growth = js_round(_pct_change(F.col(col), F.col("_prev")), 6)
+    growth = _pct_change(F.col(col), F.col("_prev"))
     out = _steps(df, col, keys).groupBy(*keys).agg(
         exact_sum(growth).alias("_sum"), F.count(growth).alias("_n"), (F.count(F.lit(1)) - 1).alias("_steps")
     )
@@ -226,7 +226,7 @@ def latest_growth(df: DataFrame, col: str, keys: Keys = ()) -> DataFrame:
     return out.select(*keys, F.col("_l.period").alias("period"), js_round(pct, 1).alias("growth_pct"))
 
 
-def period_changes(df: DataFrame, col: str, keys: Keys = (), n: int = 6) -> DataFrame:
+def period_changes(df: DataFrame, col: str, n: int, keys: Keys = ()) -> DataFrame:
     """Absolute and % change of each of the last ``n`` periods on the one before, the first of them left out."""
     newest = [fiscal_key("period").desc_nulls_first(), F.col("period").desc()]
     rows = top_n(df, keys, newest, n)
@@ -356,12 +356,12 @@ def is_ratio_column(name: str) -> bool:
     )
 
 
-def check_series(df: DataFrame, col: str = "value", keys: Keys = ()) -> DataFrame:
-    """Rows that make a series implausible, with the reason; empty for ratio columns.
+def check_series(df: DataFrame, col: str = "value", keys: Keys = (), metric: str | None = None) -> DataFrame:
+    """Rows that make a series implausible, with the reason; empty where the column, or ``metric`` it holds, is a ratio.
 
     Reasons: missing period, repeated period, amount under 1000, drop below a tenth of the value before.
     """
-    if any(is_ratio_column(c) for c in df.columns if c not in keys):
+    if is_ratio_column(metric or col):
         return df.select(*keys, "period", F.col(col).alias("value"), F.lit("").alias("violation")).limit(0)
     period = F.nullif(F.col("period"), F.lit(""))
     per_period = keyed([*keys, "period"])

@@ -22,9 +22,6 @@ def build_session(app: str = "finfacts", master: str | None = None, shuffle_part
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    if master and master.startswith("local"):
-        # A laptop's shuffles are small in bytes but heavy in work: keep one task per core.
-        settings["spark.sql.adaptive.coalescePartitions.enabled"] = "false"
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)

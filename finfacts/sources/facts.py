@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.frames import with_keys, without_keys
 from ..schema import FACT_DEFAULTS, FACT_SCHEMA
 
 PARTITIONS = ("company", "source_file")
@@ -50,7 +53,7 @@ def upgrade_facts(df: DataFrame) -> DataFrame:
 def replace_facts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """``existing`` without the (company, source_file) pairs that ``incoming`` brings anew, plus ``incoming``."""
     pairs = incoming.select(*PARTITIONS).distinct()
-    return existing.join(pairs, list(PARTITIONS), "left_anti").unionByName(incoming, allowMissingColumns=True)
+    return without_keys(existing, pairs, PARTITIONS).unionByName(incoming, allowMissingColumns=True)
 
 
 def write_facts(df: DataFrame, path: str, files_per_source: int = 1) -> None:
@@ -70,6 +73,22 @@ def write_facts(df: DataFrame, path: str, files_per_source: int = 1) -> None:
     )
 
 
+def append_versions(df: DataFrame, path: str, buckets: int = 64) -> None:
+    """Add the rows of ``df``, which carry the ``version`` of their source, to the store; nothing is overwritten.
+
+    Rows are filed by a bucket of the company, so the number of folders stays bounded.
+    """
+    bucket = F.pmod(F.xxhash64("company"), F.lit(buckets))
+    df.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def latest_versions(stored: DataFrame) -> DataFrame:
+    """The rows of the highest version of each (company, source_file), in whatever number of parts it arrived."""
+    top = stored.groupBy(*PARTITIONS).agg(F.max("version").alias("_top"))
+    joined = with_keys(stored, top, PARTITIONS, "inner")
+    return joined.where(F.col("version") == F.col("_top")).drop("_top", "bucket")
+
+
 def candidates_to_facts(df: DataFrame, company: str | Column, source_file: str | Column) -> DataFrame:
     """Chosen candidates as facts of a company and file; the raw text is dropped."""
 
@@ -79,11 +98,12 @@ def candidates_to_facts(df: DataFrame, company: str | Column, source_file: str |
     return df.withColumns({"company": fixed(company), "source_file": fixed(source_file)}).drop("raw")
 
 
-def preview_facts(df: DataFrame, currency: str, n: int = 200) -> DataFrame:
-    """The first rows as year, metric, whole value, raw and currency (the document's where missing)."""
+def preview_facts(df: DataFrame, currency: str, n: int, order: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows by the ``order`` columns as year, metric, whole value, raw and currency (the document's where missing)."""
     raw = F.coalesce(F.col("raw"), F.lit("")) if "raw" in df.columns else F.lit("")
     return (
         df.where(F.col("period").isNotNull() & F.col("value").isNotNull())
+        .orderBy(*order)
         .limit(n)
         .select(
             F.trim("period").try_cast("int").alias("year"),
@@ -95,9 +115,9 @@ def preview_facts(df: DataFrame, currency: str, n: int = 200) -> DataFrame:
     )
 
 
-def cap_rows(df: DataFrame, n: int = 200) -> DataFrame:
-    """Row cap of an interactive result."""
-    return df.limit(n)
+def cap_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """Row cap of an interactive result: the first ``n`` rows by the ``order`` columns."""
+    return df.orderBy(*order).limit(n)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

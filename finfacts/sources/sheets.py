@@ -38,24 +38,30 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.where(test)
 
 
-def read_csv_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV sheet as text columns: short rows padded, empty rows dropped, header names cleaned.
+def read_csv_sheet(spark: SparkSession, path: str, headers: Sequence[str | None] | None = None) -> DataFrame:
+    """A CSV sheet as text columns: short rows padded, cells beyond the header and empty rows dropped, names cleaned.
 
-    Only the header line is read on the driver.
+    The header is the first line of each file, of which the driver reads one; with ``headers`` no file has a header line.
     """
-    head = spark.read.option("mode", "PERMISSIVE").csv(path, header=False).limit(1).collect()
-    if not head:
-        raise ValueError(f"{path} is empty")
-    names = unique_headers(list(head[0]))
+    first = headers
+    if first is None:
+        head = spark.read.option("mode", "PERMISSIVE").csv(path, header=False).limit(1).collect()
+        if not head:
+            raise ValueError(f"{path} is empty")
+        first = list(head[0])
+    names = unique_headers(first)
     require_finance(names)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path, header=True)
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path, header=headers is None)
     return drop_empty_rows(rows)
 
 
-def read_json_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file holding an array of objects, one row each."""
-    rows = spark.read.option("multiLine", True).json(path)
+def read_json_sheet(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON sheet, one row for each object: a file is an array of objects, or with ``lines`` one object a line.
+
+    A file that is an array is read by one task; lines are the form for large sheets.
+    """
+    rows = spark.read.option("multiLine", not lines).json(path)
     if not rows.columns or "_corrupt_record" in rows.columns:
         raise ValueError(f"{path} is not an array of objects")
     require_finance(rows.columns)

@@ -1,4 +1,4 @@
-"""Continuous ingest: the batch replace applied to every micro-batch."""
+"""Continuous ingest: versions of sources appended batch by batch."""
 
 from __future__ import annotations
 
@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ..sources.facts import write_facts
+from ..sources.facts import append_versions
 
 
-def replace_each_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that replaces the (company, source_file) pairs of each micro-batch.
+def append_each_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink for facts that carry the ``version`` of their source.
 
-    The replace is idempotent, so a batch that is retried leaves the same table.
+    A source may arrive in any number of batches; ``latest_versions`` reads the highest version of each.  Rows of a
+    version that are written twice, as by a retried batch, are to be read with ``dropDuplicates``.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_facts(batch, path)
+        append_versions(batch.dropDuplicates(), path)
 
     return sink

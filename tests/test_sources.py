@@ -9,7 +9,7 @@ from finfacts.schema import FACT_SCHEMA
 from finfacts.sources import facts as SF
 from finfacts.sources import grids as SG
 from finfacts.sources import sheets as SS
-from finfacts.streaming import replace_each_batch
+from finfacts.streaming import append_each_batch
 
 
 def fact_rows(spark, rows):
@@ -36,15 +36,26 @@ def test_replace_is_idempotent_and_leaves_other_sources(spark, tmp_path):
     assert stored(spark, path) == [("a", "x.pdf", "revenue", 9.0), ("a", "y.pdf", "revenue", 2.0), ("b", "x.pdf", "revenue", 3.0)]
 
 
-def test_stream_replaces_per_batch(spark, tmp_path):
+def test_stream_keeps_every_part_of_the_latest_version(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "facts")
-    SF.write_facts(fact_rows(spark, [A1, B1]), path)
-    fact_rows(spark, [{**A1, "value": 7.0}]).write.parquet(source)
-    stream = spark.readStream.schema(FACT_SCHEMA).parquet(source)
-    query = (stream.writeStream.foreachBatch(replace_each_batch(path)).option("checkpointLocation", str(tmp_path / "cp"))
+    parts = [([A1, B1], 1), ([{**A1, "value": 7.0}], 2), ([{**A1, "id": 9, "metric": "expenses", "value": 8.0}], 2)]
+    for rows, version in parts:
+        fact_rows(spark, rows).withColumn("version", F.lit(version)).coalesce(1).write.mode("append").parquet(source)
+    schema = spark.read.parquet(source).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = (stream.writeStream.foreachBatch(append_each_batch(path)).option("checkpointLocation", str(tmp_path / "cp"))
              .trigger(availableNow=True).start())
     query.awaitTermination(120)
-    assert stored(spark, path) == [("a", "x.pdf", "revenue", 7.0), ("b", "x.pdf", "revenue", 3.0)]
+    rows = SF.latest_versions(spark.read.parquet(path)).select("company", "source_file", "metric", "value").collect()
+    assert sorted(tuple(r) for r in rows) == [
+        ("a", "x.pdf", "expenses", 8.0), ("a", "x.pdf", "revenue", 7.0), ("b", "x.pdf", "revenue", 3.0)]
+
+
+def test_null_sources_are_replaced(spark):
+    old = fact_rows(spark, [{**A1, "source_file": None}, B1])
+    new = fact_rows(spark, [{**A1, "source_file": None, "value": 5.0}])
+    got = sorted((r["company"], r["value"]) for r in SF.replace_facts(old, new).collect())
+    assert got == [("a", 5.0), ("b", 3.0)]
 
 
 def test_csv_sheet(spark, tmp_path):
