@@ -186,11 +186,14 @@ def chosen_matches(levels: np.ndarray, base: int) -> int:
     return 1 + int(np.argmin(reads * (1 + VERIFY_COST / np.arange(1, most + 1))))
 
 
-PREFIXES = "doc_id long, n int, signature long, matches int, prefix array<long>, bitmap array<long>"
+PREFIXES = "doc_id long, n int, signature long, matches int, prefix array<long>, bitmap array<long>, wide array<long>"
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Set size, signature of the set, l, the l-prefix in order and the bitmap of every document; written."""
+    """Set size, signature of the set, l, the l-prefix in order and the bitmap of every document; written.
+
+    A set too large for that bitmap has a wide one too, of as many bits as elements or up to twice as many.
+    """
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,21 +203,23 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for shingles in shingle_sets(batch.column(1).to_pylist(), k):
                 n = len(shingles)
                 if not n:
-                    rows.append((0, 0, 0, [], []))
+                    rows.append((0, 0, 0, [], [], []))
                     continue
                 levels = levels_of[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.argsort(levels, kind="stable")
                 base = n - int(need(n, percent)) + 1
                 own = chosen_matches(levels[order], base)
-                bits = np.bincount((_mixed(shingles) >> np.uint64(32)).astype(np.int64) % (64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
-                bitmap = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                size = max(64 * BITMAP_WORDS, 1 << (n - 1).bit_length())
+                bits = np.bincount((_mixed(shingles) >> np.uint64(32)).astype(np.int64) % size, minlength=size) & 1
+                wide = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                narrow = np.bitwise_xor.reduce(wide.reshape(-1, BITMAP_WORDS), axis=0)
                 signature = xxhash.xxh3_64_intdigest(shingles.tobytes())
-                rows.append((n, np.uint64(signature).astype(np.int64), own, shingles[order[: base + own - 1]].view(np.int64), bitmap))
-            n, signature, own, prefix, bitmap = zip(*rows, strict=True) if rows else [()] * 5
+                rows.append((n, np.uint64(signature).astype(np.int64), own, shingles[order[: base + own - 1]].view(np.int64), narrow, wide if len(wide) > BITMAP_WORDS else []))
+            n, signature, own, prefix, narrow, wide = zip(*rows, strict=True) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(n, pa.int32()), pa.array(signature, pa.int64()), pa.array(own, pa.int32()),
-                pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmap, pa.list_(pa.int64())),
-            ], names=["doc_id", "n", "signature", "matches", "prefix", "bitmap"])
+                pa.array(prefix, pa.list_(pa.int64())), pa.array(narrow, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())),
+            ], names=["doc_id", "n", "signature", "matches", "prefix", "bitmap", "wide"])
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREFIXES), "prefixes")
 
@@ -303,6 +308,27 @@ def _may_link(a: str, b: str, percent: int) -> Column:
         (100 + percent) * _overlap_bound(a, b) >= 2 * percent * n)
 
 
+def _narrowed(pairs: DataFrame, wides: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide bitmaps leave room for a link; wides has node, n and wide of the large sets.
+
+    The wider of two is folded to the size of the other: its halves, one over the other, are the bitmap of half the size.
+    """
+    one, two = (wides.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
+    both = pairs.join(one, "a", "left").join(two, "b", "left")
+
+    def xor(x: Column, y: Column) -> Column:
+        return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+    def folded(x: Column, y: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), xor(F.slice(x, 1, half), F.slice(x, half + 1, half))).otherwise(x)
+
+    a, b = F.col("wa"), F.col("wb")
+    apart = F.aggregate(xor(folded(a, b), folded(b, a)), F.lit(0), lambda s, w: s + F.bit_count(w))
+    n = F.col("na") + F.col("nb")
+    return both.where(F.coalesce((100 + percent) * (n - apart) >= 2 * percent * n, F.lit(True))).select("a", "b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link; sets has node and shingles."""
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -311,8 +337,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, label: str) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, wides: DataFrame, k: int, percent: int, label: str) -> DataFrame:
     """The pairs whose sets link, written."""
+    pairs = written(_narrowed(pairs, wides, percent), "pairs")
     nodes = written(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
     if not nodes.head(1):
         return pairs
@@ -388,7 +415,9 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     first = listed.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     first = (first.join(marked_as("x"), F.col("a") == F.col("x.node")).join(marked_as("y"), F.col("b") == F.col("y.node"))
              .where(_may_link("x", "y", percent)).select("a", "b"))
-    links = _verified(docs, written(first, "first-pairs"), k, percent, "first-links")
+    wides = some.where("size(wide) > 0").select(F.col("doc_id").alias("node"), "n", "wide").dropDuplicates(["node"])
+    wides = written(wides.join(marks.select("node"), "node", "left_semi"), "wide-bitmaps")
+    links = _verified(docs, first, wides, k, percent, "first-links")
     groups = components(links, "first-groups")
 
     # Second round: lists that still hold several groups. A pair with the list's leader has been decided, so a list of two has too.
@@ -406,7 +435,7 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
                                       & once & (F.greatest("x.level", "y.level") <= matched) & _may_link("x", "y", percent))
               .groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
               .agg(F.count(F.lit(1)).alias("common"), F.min(matched).alias("l")).where("common >= l").select("a", "b"))
-    second = _verified(docs, written(across, "second-pairs"), k, percent, "second-links")
+    second = _verified(docs, written(across, "second-pairs"), wides, k, percent, "second-links")
     final = components(links.unionAll(second), "groups")
 
     labels = classes.withColumnRenamed("n", "_n").join(final, "node", "left").select(
