@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.llm.shared import bitmap, marked, tasks_for, written
+from finfacts.llm.shared import bitmap, marked, split_by, tasks_for, without_listed, written
 
 #: Cells of the filter for each document, and cells that a document hits.
 CELLS_PER_DOC = 32
@@ -97,13 +97,14 @@ def _groups(judged: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each text, the largest doc_id; rows that repeat that doc_id are cut to one. All columns stay."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    joined = docs.withColumn("_own", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeats:
-        joined = joined.dropDuplicates(["doc_id", "_own"])
-    return joined.drop("_own")
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    judged = written(exact_duplicates(docs), "judged").withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_sha256"))
+    single = without_listed(docs, key, judged.where("not kept").select("key").distinct())
+    repeats = written(judged.where("kept and group_size > 1").groupBy("key").count().where("count > 1").select("key"), "repeats")
+    if not repeats.head(1):
+        return single
+    once, more = split_by(single, key, repeats)
+    return once.unionAll(more.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key"))
 
 
 #: The same groups in SQL.

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.llm.shared import bitmap, marked, written
+from finfacts.llm.shared import bitmap, marked, without_listed, written
 
 #: Longest lengthening of a prefix, and what verifying a candidate costs against reading one posting.
 MOST_MATCHES = 8
@@ -446,5 +446,5 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near duplicates, the one of smallest doc_id. All columns stay."""
-    kept = similar_components(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id == kept._kept, "left_semi").unionByName(docs.where("doc_id is null"))
+    dropped = similar_components(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct()
+    return without_listed(docs, F.col("doc_id").cast("long"), written(dropped, "dropped"))

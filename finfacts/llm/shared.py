@@ -6,15 +6,20 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Cells for each key, and at most, of a bitmap that parts rows.
+CELLS_PER_KEY, MOST_CELLS = 32, 1 << 29
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. A local session that sets none gets one of its own."""
@@ -94,6 +99,37 @@ def marked(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 6] >> (cells & 63)) & 1 == 1
 
 
+def split_by(docs: DataFrame, key: Column, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose key is surely not in the one column of listed, and those whose key may be.
+
+    A bitmap of the listed keys parts the rows where they are read, so the first ones, with all their text, need not move.
+    """
+    name = listed.columns[0]
+    cells = min(MOST_CELLS, max(1024, CELLS_PER_KEY * listed.count()))
+    bits = bitmap(listed.select(F.pmod(F.xxhash64(name), F.lit(cells)).alias("cell")), cells)
+    filled = docs.sparkSession.sparkContext.broadcast(bits)
+    flagged = docs.withColumn("_cell", F.pmod(F.xxhash64(key), F.lit(cells)))
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = marked(filled.value, batch.column(batch.num_columns - 1).to_numpy())
+                kept = batch.filter(pa.array(hit == wanted))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+        return flagged.mapInArrow(run, docs.schema)
+
+    return part(False), part(True)
+
+
+def without_listed(docs: DataFrame, key: Column, listed: DataFrame) -> DataFrame:
+    """The rows of docs whose key is not in the one column of listed; only rows that may be listed are shuffled."""
+    name = listed.columns[0]
+    clear, rest = split_by(docs, key, listed)
+    checked = rest.withColumn("_key", key).join(listed, F.col("_key") == F.col(name), "left_anti").drop("_key")
+    return clear.unionAll(checked)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
