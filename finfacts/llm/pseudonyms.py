@@ -7,6 +7,8 @@ has the same format, the same check digits rule, and equal values get equal pseu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,30 +34,39 @@ FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
 
 def _any_format() -> str:
-    # The one back-reference counts groups from the left.
-    return "|".join(p.replace(r"\1", r"\1") for p in FORMATS.values())
+    return "|".join(FORMATS.values())
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def feistel(values: Column, radices: Column, key: str, rounds: int = ROUNDS) -> Column:
     """The permuted values: arrays of integers, each below its radix. At most 64 places in either half."""
-    places = F.size(values)
-    half = F.ceil(places / 2).cast("int")
-    start = F.struct(F.slice(values, 1, half).alias("a"), F.slice(values, half + 1, places - half).alias("b"))
-    ra, rb = F.slice(radices, 1, half), F.slice(radices, half + 1, places - half)
-
-    def shifted(own: Column, radix: Column, other: Column, turn: Column) -> Column:
-        seed = F.concat_ws(",", F.lit(key), turn.cast("string"), F.array_join(radices.cast("array<string>"), "."), F.array_join(other.cast("array<string>"), "."))
-        stream = F.concat(F.sha2(seed.cast("binary"), 512), F.sha2(F.concat(seed, F.lit("+")).cast("binary"), 512))
-        return F.zip_with(F.transform(own, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), radix, lambda v, r: F.pmod(
-            v["x"] + F.conv(F.substring(stream, 1 + 4 * v["i"], 4), 16, 10).cast("int"), r).cast("int"))
-
-    def turned(state: Column, turn: Column) -> Column:
+
+    def network(v: Column, r: Column) -> Column:
+        places = F.size(v)
+        half = F.ceil(places / 2).cast("int")
+        start = F.struct(F.slice(v, 1, half).alias("a"), F.slice(v, half + 1, places - half).alias("b"))
+        shape = F.struct(
+            F.slice(r, 1, half).alias("a"), F.slice(r, half + 1, places - half).alias("b"), F.array_join(r.cast("array<string>"), ".").alias("all"))
+        return let(shape, lambda w: F.aggregate(
+            F.sequence(F.lit(0), F.lit(rounds - 1)), start, lambda state, turn: turned(state, turn, w), lambda s: F.concat(s["a"], s["b"])))
+
+    def shifted(own: Column, radix: Column, other: Column, turn: Column, shape: Column) -> Column:
+        seed = F.concat_ws(",", F.lit(key), turn.cast("string"), shape, F.array_join(other.cast("array<string>"), "."))
+        stream = let(seed, lambda s: F.concat(F.sha2(s.cast("binary"), 512), F.sha2(F.concat(s, F.lit("+")).cast("binary"), 512)))
+        return let(stream, lambda bits: F.zip_with(
+            F.transform(own, lambda x, i: x + F.conv(F.substring(bits, 1 + 4 * i, 4), 16, 10).cast("int")), radix, lambda x, r: F.pmod(x, r).cast("int")))
+
+    def turned(state: Column, turn: Column, w: Column) -> Column:
         even = turn % 2 == 0
         return F.struct(
-            F.when(even, shifted(state["a"], ra, state["b"], turn)).otherwise(state["a"]).alias("a"),
-            F.when(~even, shifted(state["b"], rb, state["a"], turn)).otherwise(state["b"]).alias("b"))
+            F.when(even, shifted(state["a"], w["a"], state["b"], turn, w["all"])).otherwise(state["a"]).alias("a"),
+            F.when(~even, shifted(state["b"], w["b"], state["a"], turn, w["all"])).otherwise(state["b"]).alias("b"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, turned, lambda s: F.concat(s["a"], s["b"]))
+    return let(F.struct(values.alias("v"), radices.alias("r")), lambda x: network(x["v"], x["r"]))
 
 
 def _chars(text: Column) -> Column:
@@ -72,11 +83,10 @@ def _constant(values: Column, radix: int) -> Column:
 
 def _poured(shape: Column, digits: Column) -> Column:
     """shape with its digits replaced by digits in order."""
-    step = F.aggregate(
+    return let(digits, lambda d: F.aggregate(
         _chars(shape), F.struct(F.lit("").alias("t"), F.lit(1).alias("n")),
-        lambda s, c: F.when(c.rlike(r"\d"), F.struct(F.concat(s["t"], F.element_at(digits, s["n"]).cast("string")).alias("t"), (s["n"] + 1).alias("n")))
-        .otherwise(F.struct(F.concat(s["t"], c).alias("t"), s["n"].alias("n"))), lambda s: s["t"])
-    return step
+        lambda s, c: F.when(c.rlike(r"\d"), F.struct(F.concat(s["t"], F.get(d, s["n"] - 1).cast("string")).alias("t"), (s["n"] + 1).alias("n")))
+        .otherwise(F.struct(F.concat(s["t"], c).alias("t"), s["n"].alias("n"))), lambda s: s["t"]))
 
 
 def _luhn(digits: Column) -> Column:
@@ -86,42 +96,55 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = _digits(m)
-    payload = F.slice(digits, 1, F.size(digits) - 1)
-    moved = feistel(payload, _constant(payload, 10), key + "card")
-    check = F.pmod(-_luhn(F.concat(moved, F.array(F.lit(0)))), F.lit(10)).cast("int")
-    return F.when((_luhn(digits) % 10 == 0) & m.rlike("[1-9]"), _poured(m, F.concat(moved, F.array(check))))
+    def made(digits: Column) -> Column:
+        payload = F.slice(digits, 1, F.size(digits) - 1)
+        full = let(feistel(payload, _constant(payload, 10), key + "card"), lambda moved: F.concat(
+            moved, F.array(F.pmod(-_luhn(F.concat(moved, F.array(F.lit(0)))), F.lit(10)).cast("int"))))
+        return F.when((_luhn(digits) % 10 == 0) & m.rlike("[1-9]"), _poured(m, full))
+
+    return let(_digits(m), made)
 
 
 def _phone(m: Column, key: str) -> Column:
-    digits = _digits(m)
-    # A country code stays; of ten digits behind it, area and exchange begin with 2 to 9.
-    size = F.size(digits)
-    code = F.when(m.startswith("+"), F.greatest(F.lit(1), size - 10)).otherwise(0)
-    own = F.slice(digits, code + 1, size - code)
-    american = (F.size(own) == 10) & (F.element_at(own, 1) >= 2) & (F.get(own, F.lit(3)) >= 2)
-    low = F.transform(own, lambda _, i: F.when(american & i.isin(0, 3), 2).otherwise(0))
-    moved = feistel(F.zip_with(own, low, lambda d, x: d - x), F.transform(low, lambda x: 10 - x), key + "phone")
-    return F.when(size.between(7, 15), _poured(m, F.concat(F.slice(digits, 1, code), F.zip_with(moved, low, lambda d, x: d + x))))
+    """A country code stays; of ten digits behind it, area and exchange begin with 2 to 9."""
+
+    def made(x: Column) -> Column:
+        own, code = x["own"], x["code"]
+        american = (F.size(own) == 10) & (F.get(own, F.lit(0)) >= 2) & (F.get(own, F.lit(3)) >= 2)
+        low = F.transform(own, lambda _, i: F.when(american & i.isin(0, 3), 2).otherwise(0))
+        return let(low, lambda low_: let(
+            feistel(F.zip_with(own, low_, lambda d, a: d - a), F.transform(low_, lambda a: 10 - a), key + "phone"),
+            lambda moved: _poured(m, F.concat(code, F.zip_with(moved, low_, lambda d, a: d + a)))))
+
+    def parted(digits: Column) -> Column:
+        size = F.size(digits)
+        code = F.when(m.startswith("+"), F.greatest(F.lit(1), size - 10)).otherwise(0)
+        return F.when(size.between(7, 15), let(F.struct(F.slice(digits, 1, code).alias("code"), F.slice(digits, code + 1, size - code).alias("own")), made))
+
+    return let(_digits(m), parted)
 
 
 def _ssn(m: Column, key: str) -> Column:
-    digits = _digits(m)
     valid = ~m.rlike(r"^(000|666|9)|-00-|-0000$")
-    return F.when(valid, _poured(m, feistel(digits, _constant(digits, 10), key + "ssn")))
+    return F.when(valid, let(_digits(m), lambda digits: _poured(m, feistel(digits, _constant(digits, 10), key + "ssn"))))
 
 
 def _ip(m: Column, key: str) -> Column:
-    octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    return F.when(F.forall(octets, lambda x: x < 256), F.array_join(feistel(octets, _constant(octets, 256), key + "ip").cast("array<string>"), "."))
+    octets = F.transform(F.split(m, r"\."), lambda x: x.try_cast("int"))
+    return let(octets, lambda o: F.when(
+        F.forall(o, lambda x: x < 256), F.array_join(feistel(o, _constant(o, 256), key + "ip").cast("array<string>"), ".")))
 
 
 def _moved_day(day: Column, key: str) -> Column:
     """Another day of the 400 years, null outside them."""
-    n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    values = F.array((n / DAYS[1]).cast("int"), F.pmod(n, F.lit(DAYS[1])).cast("int"))
-    moved = feistel(values, F.array(F.lit(DAYS[0]), F.lit(DAYS[1])), key + "day")
-    return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), F.date_add(F.lit(FIRST_DAY).cast("date"), F.element_at(moved, 1) * DAYS[1] + F.element_at(moved, 2)))
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def made(n: Column) -> Column:
+        values = F.array((n / DAYS[1]).cast("int"), F.pmod(n, F.lit(DAYS[1])).cast("int"))
+        moved = feistel(values, F.array(F.lit(DAYS[0]), F.lit(DAYS[1])), key + "day")
+        return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), let(moved, lambda v: F.date_add(first, F.get(v, F.lit(0)) * DAYS[1] + F.get(v, F.lit(1)))))
+
+    return let(F.datediff(day, first), made)
 
 
 def _iso_date(m: Column, key: str) -> Column:
@@ -131,10 +154,11 @@ def _iso_date(m: Column, key: str) -> Column:
 def _day_date(m: Column, key: str) -> Column:
     """Day before month; where only the other reading is a date, month before day."""
     first, second, year, mark = F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4), F.substring(m, 3, 1)
-    by_day, by_month = _moved_day(F.concat_ws("-", year, second, first).try_cast("date"), key), _moved_day(F.concat_ws("-", year, first, second).try_cast("date"), key)
+    by_day = F.concat_ws("-", year, second, first).try_cast("date")
+    by_month = F.concat_ws("-", year, first, second).try_cast("date")
 
     def shaped(day: Column, a: str, b: str) -> Column:
-        return F.concat_ws("", F.date_format(day, a), mark, F.date_format(day, b), mark, F.date_format(day, "yyyy"))
+        return let(_moved_day(day, key), lambda d: F.concat(F.date_format(d, a), mark, F.date_format(d, b), mark, F.date_format(d, "yyyy")))
 
     return F.when(by_day.isNotNull(), shaped(by_day, "dd", "MM")).when(by_month.isNotNull(), shaped(by_month, "MM", "dd"))
 
@@ -145,8 +169,8 @@ def _lettered(m: Column, key: str) -> Column:
                         .when(c.rlike("[a-z]"), F.struct(F.lit(97).alias("low"), F.lit(26).alias("radix"), F.ascii(c).alias("code")))
                         .when(c.rlike("[A-Z]"), F.struct(F.lit(65).alias("low"), F.lit(26).alias("radix"), F.ascii(c).alias("code")))
                         .otherwise(F.struct(F.ascii(c).alias("low"), F.lit(1).alias("radix"), F.ascii(c).alias("code"))))
-    moved = feistel(F.transform(kinds, lambda k: k["code"] - k["low"]), F.transform(kinds, lambda k: k["radix"]), key)
-    return F.array_join(F.zip_with(kinds, moved, lambda k, v: F.char(k["low"] + v)), "")
+    return let(kinds, lambda ks: F.array_join(F.zip_with(
+        ks, feistel(F.transform(ks, lambda k: k["code"] - k["low"]), F.transform(ks, lambda k: k["radix"]), key), lambda k, v: F.char(k["low"] + v)), ""))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -160,20 +184,21 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    plain = F.regexp_replace(m, " ", "")
-    country, rest = F.substring(plain, 1, 2), F.substring(plain, 5, 40)
-    moved = _lettered(rest, key + "iban")
-    check = F.lpad((98 - _mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
-    made = _chars(F.concat(country, check, moved))
-    spaced = F.aggregate(_chars(m), F.struct(F.lit("").alias("t"), F.lit(1).alias("n")), lambda s, c: F.when(
-        c == " ", F.struct(F.concat(s["t"], F.lit(" ")).alias("t"), s["n"].alias("n"))).otherwise(
-        F.struct(F.concat(s["t"], F.element_at(made, s["n"])).alias("t"), (s["n"] + 1).alias("n"))), lambda s: s["t"])
-    return F.when(_mod97(F.concat(rest, country, F.substring(plain, 3, 2))) == 1, spaced)
+    def made(plain: Column) -> Column:
+        country, rest = F.substring(plain, 1, 2), F.substring(plain, 5, 40)
+        full = let(_lettered(rest, key + "iban"), lambda moved: F.concat(
+            country, F.lpad((98 - _mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0"), moved))
+        spaced = let(_chars(full), lambda chars: F.aggregate(_chars(m), F.struct(F.lit("").alias("t"), F.lit(1).alias("n")), lambda s, c: F.when(
+            c == " ", F.struct(F.concat(s["t"], F.lit(" ")).alias("t"), s["n"].alias("n"))).otherwise(
+            F.struct(F.concat(s["t"], F.get(chars, s["n"] - 1)).alias("t"), (s["n"] + 1).alias("n"))), lambda s: s["t"]))
+        return F.when(_mod97(F.concat(rest, country, F.substring(plain, 3, 2))) == 1, spaced)
+
+    return let(F.regexp_replace(m, " ", ""), made)
 
 
 def _secret(m: Column, key: str) -> Column:
     codes = F.transform(_chars(m), lambda c: F.conv(c, 16, 10).cast("int"))
-    moved = feistel(codes, _constant(codes, 16), key + "secret")
+    moved = let(codes, lambda v: feistel(v, _constant(v, 16), key + "secret"))
     return F.when(m.rlike("[a-f]") & m.rlike("[0-9]"), F.lower(F.array_join(F.transform(moved, lambda v: F.hex(v)), "")))
 
 
