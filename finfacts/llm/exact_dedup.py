@@ -88,8 +88,9 @@ def _groups(judged: DataFrame) -> DataFrame:
     unique = judged.where("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = judged.where("maybe")
-    sizes = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # A large group is a skewed key of an ordinary join, which adaptive execution splits.
+    # A large group is a skewed key of the join. The sizes are written first, as adaptive execution splits a skewed key only where
+    # both sides of a join come straight from a shuffle.
+    sizes = written(maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "group-sizes")
     grouped = maybe.join(sizes, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return unique.unionAll(grouped)

@@ -402,7 +402,8 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # Equal sets are one node, the smallest of their documents.
     classes = written(some.groupBy("signature", "n").agg(F.min("doc_id").alias("node")), "classes")
     tokens = written(_postings(some, classes.select("node"), percent), "tokens")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1")
+    # Written before it is joined: a frequent token is a skewed key, which adaptive execution splits only between two plain shuffles.
+    shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1"), "shared")
     listed = written(tokens.join(shared, "token"), "listed")
     marks = written(some.join(listed.select(F.col("node").alias("_node")).distinct(), F.col("doc_id") == F.col("_node"), "left_semi")
                     .groupBy(F.col("doc_id").alias("node")).agg(F.min(F.struct("signature", "n", "matches", *[
@@ -424,9 +425,9 @@ def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     grouped = listed.where("size > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = written(grouped.drop("size"), "grouped-lists")
     by_group = grouped.groupBy("token", "component").agg(F.count(F.lit(1)).alias("members"))
-    mixed_lists = by_group.groupBy("token").agg(
-        F.max_by("component", F.struct("members", "component")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    rest = written(grouped.join(mixed_lists.drop("groups"), "token").where("node <> leader").drop("leader").join(marks, "node"), "mixed-lists")
+    mixed_lists = written(by_group.groupBy("token").agg(
+        F.max_by("component", F.struct("members", "component")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups"), "mixed")
+    rest = written(grouped.join(mixed_lists, "token").where("node <> leader").drop("leader").join(marks, "node"), "mixed-lists")
     outside, whole = rest.where("component <> largest"), rest
     # A pair of two outsiders comes up from both sides and is kept once.
     once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
