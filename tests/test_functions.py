@@ -104,3 +104,65 @@ def test_question_tags(spark):
     assert flags[4]["wants_running_total"] and flags[5]["wants_running_total"]
     kinds = {r["i"]: r["kinds"] for r in K.tag_formula_kinds(rows).collect()}
     assert kinds[1] == ["roe"] and kinds[6] == ["gross_profit", "gross_margin"] and kinds[7] is None
+
+
+def test_sums_keep_small_and_huge_addends(spark):
+    def total(values):
+        rows = spark.createDataFrame([(float(v),) for v in values], "v double")
+        return rows.agg(numbers.exact_sum("v").alias("s")).first()["s"]
+
+    assert abs(total([4e-7] * 10) - 4e-6) < 1e-18
+    assert total([1e30, 1.0]) == 1e30 and total([float("inf"), 1.0]) == float("inf")
+    assert total([0.1] * 10) == 1.0 and total([-2.5, 2.5]) == 0.0
+    assert spark.createDataFrame([(None,)], "v double").agg(numbers.exact_sum("v").alias("s")).first()["s"] is None
+
+
+def test_rounding_does_not_saturate(spark):
+    got = column(spark, [2e17, 1.005, -0.5, 1e300, None], lambda c: numbers.js_round(c, 2), "double")
+    assert got == [2e17, 1.0, -0.5, 1e300, None]
+
+
+def test_period_keys_of_any_length(spark):
+    assert column(spark, ["12345678901", "7", "FY 2021", "x"], periods.fiscal_key) == [None, 7, 2021, None]
+
+
+# Expected classes of labels, written down from the statements they stand for and not from the rules.
+SLOTS = {
+    "Net Profit": "net_income", "Operating Profit": "operating_income", "Gross Profit": "reported_gross_profit", "Profit before tax": "pbt",
+    "Finance Costs": "interest_expense", "Interest expense": "interest_expense", "Depreciation": "depreciation_charge", "Cost of materials": "cogs",
+    "Total income": "total_income", "Revenue": "revenue", "Turnover": "revenue", "Revenue from operations": "revenue", "Other revenue": None,
+    "Cost of goods sold": "cogs", "Total Expenses": "expenses", "PBT": "pbt", "Profit after tax": "net_income", "PAT": "net_income", "Profit": "net_income",
+    "EBITDA": "ebitda", "E.B.I.T.D.A": "ebitda", "EBIDTA": "ebitda", "EBDITA": "ebitda", "P B D T": "ebitda", "PBIDT": "ebitda", "OIBDA": "ebitda",
+    "Earnings before interest, depreciation and amortisation": "ebitda", "EBIT": "operating_income", "Operating income": "operating_income",
+    "Shareholders equity": "equity", "Total assets": "total_assets", "Current assets": "current_assets", "Current liabilities": "current_liabilities",
+    "Inventories": "inventory", "Trade receivables": "receivables", "Accounts payable": "payables", "Total debt": "total_debt", "Debt": "total_debt",
+    "Finance cost of leases": "interest_expense", "Amortization of software": "depreciation_charge", "Accumulated depreciation": None, "EPS": "reported_eps",
+    "Earnings per share": "reported_eps", "Shares outstanding": "shares", "Share price": "share_price", "Weather": None,
+}
+STRENGTH = {"EBITDA": 4, "Reported E B I T D A": 4, "EBITA": 3, "EBIDTA": 3, "EBDITA": 3, "EDITDA": 3, "EBIT": 2, "PBDT": 2, "PBIDT": 2, "OIBDA": 2, "Debit": 0, "Sales": 0}
+LINE_CLASSES = {
+    "Other income": "other", "Earnings per share": "other", "Share capital": "other", "Interest income": "revenue", "Dividend income": "revenue",
+    "Profit before tax": "profit", "EBITDA": "profit", "PAT": "profit", "Operating income": "profit", "Finance cost": "expense", "Depreciation": "expense",
+    "Employee benefit": "expense", "Tax expense": "expense", "Revenue from operations": "revenue", "Total income": "revenue", "Net sales": "revenue",
+    "Turnover": "revenue", "Rental income": "revenue", "Sales": "revenue", "Hello": "other",
+}
+SERVER_QUESTIONS = {
+    "what is the p/earnings ratio": "pe", "p/e please": "pe", "price to earnings": "pe", "all metrics": "all", "gross profit": "gross_profit", "gross margin": "gross_margin",
+    "operating margin": "operating_margin", "ebitda margin": "ebitda_margin", "average net margin": "net_margin_average", "net profit margin": "net_margin",
+    "total revenue": "revenue_total", "sum of net income": "net_income_total", "yoy": "yoy", "revenue growth": "yoy", "average roe": "roe_average", "return on equity": "roe",
+    "roa": "roa", "roce": "roce", "current ratio": "current_ratio", "acid test": "quick_ratio", "debt to equity": "debt_to_equity", "gearing of debt": "debt_to_equity",
+    "interest coverage": "interest_coverage", "asset turnover": "asset_turnover", "inventory days": "inventory_days", "dso": "receivable_days",
+    "days payable": "payable_days", "eps": "eps", "weather": None,
+}
+
+
+def test_labels_mean_what_they_say(spark):
+    assert dict(zip(SLOTS, column(spark, list(SLOTS), labels.classify_metric), strict=True)) == SLOTS
+    assert dict(zip(STRENGTH, column(spark, list(STRENGTH), labels.ebitda_strength), strict=True)) == STRENGTH
+    assert dict(zip(LINE_CLASSES, column(spark, list(LINE_CLASSES), labels.line_class), strict=True)) == LINE_CLASSES
+
+
+def test_questions_mean_what_they_say(spark):
+    rows = spark.createDataFrame(list(enumerate(SERVER_QUESTIONS)), "i int, question string")
+    got = {r["question"]: r["kinds"] and r["kinds"][0] for r in K.tag_formula_kinds(rows, "question", "server").collect()}
+    assert got == SERVER_QUESTIONS

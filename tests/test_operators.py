@@ -187,3 +187,47 @@ def test_unknown_label_fails_the_job(spark):
     bad = spark.createDataFrame([("x", "gain")], "text string, label string")
     with pytest.raises(Exception, match="unknown label"):
         M.training_frame(bad).collect()
+
+
+def test_header_below_the_first_rows_names_the_years(spark):
+    rows = [["Particulars", "", ""]] + [[f"note {i}", "x", "y"] for i in range(8)] + [["Particulars", "FY 2021", "FY 2022"], ["Revenue from operations", "50,000", "60,000"], ["Profit", "5,000", "6,000"]]
+    grid = spark.createDataFrame([("a", "x.pdf", 1, 0, rows)], "company string, source_file string, page_number int, table_index int, rows array<array<string>>")
+    got = {(r["metric"], r["period"]): r["value"] for r in D.columnar_facts(grid).where("metric = 'revenue'").collect()}
+    assert got == {("revenue", "2021"): 50000.0, ("revenue", "2022"): 60000.0}
+
+
+def test_missing_levels_and_values_never_win(spark):
+    rows = [("a", "revenue", "2020", 50.0, "consolidated", True, 1, 1), ("a", "revenue", "2020", 90.0, None, True, 1, 2), ("a", "revenue", "2020", None, "consolidated", True, 1, 3)]
+    df = spark.createDataFrame(rows, FACT + ", source_page int, id int")
+    assert A.best_fact(df).first()["value"] == 50.0
+    yearly = facts(spark, [("a", "revenue", "2019", None), ("a", "revenue", "2020", 7.0)])
+    assert A.extreme_period(yearly, high=False, keys=("company",)).first()["period"] == "2020"
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("k", 5.0)], "k string, v double")
+    assert rows_of(Q.median(df, ("k",), "v").fillna("-", ["k"]), "k", "median") == [("-", 2.0), ("k", 5.0)]
+    lines = spark.createDataFrame([(f"t{i}", None if i % 2 else "revenue") for i in range(40)], "text string, label string")
+    train, held = M.stratified_split(lines)
+    assert train.count() + held.count() == 40 and {r["label"] for r in held.collect()} == {None, "revenue"}
+    money = spark.createDataFrame([(None, "EUR"), (None, ""), ("d", "USD")], "doc string, currency string")
+    assert rows_of(A.fill_currency(money, ("doc",)).where("doc is null"), "currency") == [("EUR",), ("EUR",)]
+
+
+def test_external_revenue_helps_weak_tables_only(spark):
+    schema = "company string, source_file string, statement_type string, metric string, period string, value double, unit string, level string, currency string, source_page int, is_valid boolean, extraction_method string, confidence double, raw string"
+    tables = spark.createDataFrame([(c, "x", "s", "revenue", y, 5000.0, "INR_CRORE", "standalone", "USD", 1, True, "rule", 0.8, "") for c, y in (("strong", "2019"), ("strong", "2021"), ("weak", "2020"), ("weak", "2021"))], schema)
+    external = spark.createDataFrame([(c, "x", y, 9000.0) for c in ("strong", "weak", "none") for y in ("2018", "2020")], "company string, source_file string, year string, revenue double")
+    got = D.union_candidates(tables, None, external).where("extraction_method = 'ai_extracted'")
+    assert rows_of(got, "company", "period") == [("none", "2018"), ("none", "2020"), ("weak", "2018"), ("weak", "2020")]
+
+
+def test_margins_count_every_group(spark):
+    df = spark.createDataFrame([(f"g{i}", 100.0, float(i)) for i in range(12)], "g string, revenue double, profit double")
+    got = A.margin_by_group(df, "g", "revenue", "profit", n=2).collect()
+    assert [r["g"] for r in got] == ["g11", "g10"] and {r["average_margin_pct"] for r in got} == {5.5} and got[0]["best_group"] == "g11"
+
+
+def test_plausibility_looks_at_the_checked_column(spark):
+    df = spark.createDataFrame([("2020", 5000.0, 1.0), ("2021", 10.0, 2.0)], "period string, value double, eps double")
+    assert {r["violation"] for r in S.check_series(df, "value").collect()} == {"amount under 1000", "collapse"}
