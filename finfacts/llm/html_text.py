@@ -104,7 +104,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             opened.clear()
             furniture = content = 0
         kind = _kind(name, m[4] or m[7] or "")
-        if name in ("header", "head") and content and kind == FURNITURE and name == "header":
+        if name == "header" and content:
             kind = None  # the heading of the article itself
         if kind is not None or name in BLOCKS:
             opened.append((name, kind))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.llm.shared import bitmap, marked, without_listed, written
+from finfacts.llm.shared import bitmap, give_token_memory_back, marked, without_listed, written
 
 #: Longest lengthening of a prefix, and what verifying a candidate costs against reading one posting.
 MOST_MATCHES = 8
@@ -145,6 +145,7 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_token_memory_back()
         held: list[np.ndarray] = []
 
         def report() -> pa.RecordBatch:

@@ -7,9 +7,10 @@ then map the raw scores to probabilities by isotonic regression.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from finfacts.llm.shared import written
+from finfacts.llm.shared import give_token_memory_back, written
 
 #: Fourier features, kernel width in standard deviations for each root of the number of statistics, ridge and seed.
 FEATURES, WIDTH, RIDGE, SEED = 512, 1.0, 3e-3, 9
@@ -29,6 +30,9 @@ THRESHOLD = 0.3
 #: Folds of doc_id; fold 0 is held out, fold 4 calibrates, the others are fitted.
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 
+#: Rows of a batch that are worked on together.
+ROWS_TOGETHER = 500
+
 STATISTICS = (
     "log_chars", "log_words", "mean_word", "sd_word", "long_words", "short_words", "upper", "capitals", "letters", "digits", "stops",
     "commas", "symbols", "pipes", "bangs", "marked_words", "distinct_words", "top_word", "repeats", "distinct_pairs", "word_entropy",
@@ -97,39 +101,52 @@ class Model:
 def document_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns to keep (by default doc_id) and the statistics of the whole text of every row; written, as fit and scores both use them."""
     keep = keep or ["doc_id"]
-    names = [*keep, "_statistics"]
+    read = docs.select(*dict.fromkeys([*keep, "text"]))
+    at = read.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_token_memory_back()
         for batch in batches:
-            rows = [statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=names)
-
-    kept = docs.select(*keep)
-    schema = StructType([*kept.schema.fields, StructField("_statistics", ArrayType(DoubleType()))])
-    return written(docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema), "statistics")
+            # Some rows at a time, so that few texts are held twice.
+            for first in range(0, batch.num_rows, ROWS_TOGETHER):
+                part = batch.slice(first, ROWS_TOGETHER)
+                rows = [statistics(t.as_py()) for t in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "_statistics"])
 
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("_statistics", ArrayType(DoubleType()))])
+    return written(read.mapInArrow(run, schema), "statistics")
 
-def _summed(rows: DataFrame, part) -> list[np.ndarray] | None:
-    """The sums of the arrays that part gives for the (X, y) of each batch; fixed size from each task, added up in a tree."""
 
-    def run(found: Iterator) -> Iterator[list[np.ndarray]]:
-        total, held = None, []
+def _summed(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> list[np.ndarray] | None:
+    """The sums of the arrays that part gives for the (X, y) of each batch of rows (_statistics, y); None without rows.
 
-        def add(total: list[np.ndarray] | None) -> list[np.ndarray]:
-            own = part(np.array([h[0] for h in held], np.float64), np.array([h[1] for h in held], np.float64))
-            return own if total is None else [a + b for a, b in zip(total, own, strict=True)]
+    Every task sums its own rows into arrays of fixed size; these are added up in two rounds of groups, so that neither a task nor the
+    driver gets more than a few of them.
+    """
 
-        for row in found:
-            held.append((row[0], row[1]))
-            if len(held) >= 4096:
-                total, held = add(total), []
-        if held:
-            total = add(total)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, len(STATISTICS))
+            y = batch.column(1).to_numpy()
+            for first in range(0, len(y), 4 * ROWS_TOGETHER):
+                found = part(x[first:first + 4 * ROWS_TOGETHER], y[first:first + 4 * ROWS_TOGETHER])
+                total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
         if total is not None:
-            yield total
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["body"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = None
+        for body in group.column("body"):
+            found = pickle.loads(body.as_buffer())
+            total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
+        return pa.table({"body": pa.array([pickle.dumps(total)], pa.binary())})
 
-    sums = rows.rdd.mapPartitions(run)
-    return None if sums.isEmpty() else sums.treeReduce(lambda a, b: [x + y for x, y in zip(a, b, strict=True)], depth=3)
+    tasks = max(1, rows.rdd.getNumPartitions())
+    sums = rows.mapInArrow(own, "body binary").withColumn("slot", F.spark_partition_id() % max(1, round(tasks ** 0.5)))
+    sums = sums.groupBy("slot").applyInArrow(add, "body binary").withColumn("slot", F.spark_partition_id() % 4).groupBy("slot").applyInArrow(add, "body binary")
+    parts = [pickle.loads(r["body"]) for r in sums.collect()]
+    return [sum(arrays) for arrays in zip(*parts, strict=True)] if parts else None
 
 
 def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -211,8 +228,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(rows), pa.float64())], names=["doc_id", "score"])
+            rows = batch.column(1).flatten().to_numpy().reshape(-1, len(STATISTICS))
+            scores = np.concatenate([model.value.score(rows[k:k + 4 * ROWS_TOGETHER]) for k in range(0, max(1, len(rows)), 4 * ROWS_TOGETHER)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     scored = table.select(F.col("doc_id").cast("long").alias("doc_id"), "_statistics").mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score",
@@ -226,8 +244,9 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float = TH
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array(batch.column(batch.num_columns - 1).to_pylist(), np.float64).reshape(-1, len(STATISTICS))
-            kept = batch.filter(pa.array(model.value.score(rows) >= threshold))
+            rows = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(-1, len(STATISTICS))
+            good = np.concatenate([model.value.score(rows[k:k + 4 * ROWS_TOGETHER]) for k in range(0, max(1, len(rows)), 4 * ROWS_TOGETHER)])
+            kept = batch.filter(pa.array(good >= threshold))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
 
     return table.mapInArrow(accept, docs.schema)

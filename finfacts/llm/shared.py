@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +55,14 @@ def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_token_memory_back() -> None:
+    """Empties what a worker process remembers of earlier tokenizing; for tasks that hold much else."""
+    tokens = sys.modules.get("finfacts.llm.tokens")
+    if tokens is not None:
+        tokens.word_ids.cache_clear()
+        gc.collect()
+
+
 def tasks_for(rows: int, rows_per_task: int) -> int:
     return max(1, -(-rows // rows_per_task))
 
