@@ -47,7 +47,7 @@ _COMPACT = f"regexp_replace({_T}, '[,\\s]', '', 'g')"
 ROLE = (
     f"(CASE WHEN regexp_matches({_T}, 'fy\\s*20[0-9]{{2}}') OR regexp_full_match({_T}, '20[0-9]{{2}}') OR "
     f"regexp_full_match({_T}, 'fy\\s*[0-9]{{2}}') THEN 'YEAR' WHEN regexp_full_match({_COMPACT}, '[0-9().\\-]+') AND "
-    f"regexp_matches({_COMPACT}, '[0-9]{{3}}') THEN 'VALUE' WHEN regexp_matches({_T}, '{TOKEN_METRIC_WORDS}') THEN 'METRIC' "
+    f"regexp_matches({_COMPACT}, '[0-9]{{3}}') THEN 'VALUE' WHEN regexp_matches({_T}, '{'|'.join(TOKEN_METRIC_WORDS)}') THEN 'METRIC' "
     "ELSE 'O' END)"
 )
 
