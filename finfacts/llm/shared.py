@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import shutil
@@ -32,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(context, "_finfacts_folder", None):
-        context._finfacts_folder = "file://" + tempfile.mkdtemp(prefix="finfacts-")
+        own = tempfile.mkdtemp(prefix="finfacts-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context._finfacts_folder = f"file://{own}"
     return context._finfacts_folder
 
 

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from finfacts.llm import exact_dedup, html_text, huffman, jaccard, mixing, packing, pseudonyms, quality, url_rules, vptree
-from finfacts.llm.shared import ship_package, with_offsets
+from finfacts.llm.shared import ship_package, split_by, with_offsets, without_listed
 from finfacts.llm.tokens import word_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -113,6 +113,15 @@ def test_exact_duplicates(spark, most_cells):
     assert exact_dedup.exact_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_listed_rows_go_and_all_others_stay(spark):
+    docs = docs_of(spark, [(i, f"t{i}") for i in range(300)] + [(None, "null id"), (7, "again")])
+    listed = spark.createDataFrame([(7,), (8,), (999,)], "key long")
+    kept = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in without_listed(docs, F.col("doc_id"), listed).collect())
+    assert kept == sorted([(True, i) for i in range(300) if i not in (7, 8)] + [(False, 0)])
+    clear, rest = split_by(docs, F.col("doc_id"), listed)
+    assert clear.count() + rest.count() == 302 and rest.where("doc_id in (7, 8)").count() == 3
+
+
 # --- near duplicates ----------------------------------------------------------------------------
 
 
