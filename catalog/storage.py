@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.gettempdir()
+        own = tempfile.mkdtemp(prefix="finfacts-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
     return f"{root}/finfacts-{name}-{uuid.uuid4().hex}"
 
 
