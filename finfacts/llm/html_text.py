@@ -39,10 +39,12 @@ HINTS = frozenset("""ad ads advert adverts advertisement advertising banner brea
 copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted
 promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget""".split())
 COMMENTS = frozenset("comment comments reply replies".split())
+# Left out up to their end tag; where it is missing, or the tag closes itself, only the tag is.
+EMBEDDED = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in "noscript template svg iframe object math audio video canvas".split()}
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|svg|iframe|object|textarea|math|audio|video|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][^\s/>]*)([^>]*)>", re.DOTALL | re.IGNORECASE)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
@@ -68,6 +70,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     opened: list[tuple[str, int | None]] = []
     furniture = content = at = 0
     parts: list[str] = []
+    endless: set[str] = set()
 
     def close_block() -> None:
         if parts:
@@ -76,7 +79,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 found.append((text, FURNITURE if furniture else CONTENT if content else OPEN))
             parts.clear()
 
-    for m in _PIECE.finditer(page):
+    while m := _PIECE.search(page, at):
         if m.start() > at:
             parts.append(html.unescape(page[at:m.start()]))
         at = m.end()
@@ -84,6 +87,13 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if not name:
             continue
         name, ending = name.lower(), bool(m[2] or m[5])
+        if name in EMBEDDED and not ending and not (m[4] or m[7] or "").endswith("/") and name not in endless:
+            end = EMBEDDED[name].search(page, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(name)
+            continue
         if name == "br":
             parts.append(" ")
             continue

@@ -281,6 +281,17 @@ def test_blocks_of_a_page():
     assert html_text.blocks("<p>a<script>never closed") == [("a", html_text.OPEN)]
 
 
+def test_embedded_elements_end_with_their_own_tag():
+    def texts(page):
+        return [t for t, _ in html_text.blocks(page)]
+
+    for tag in ("<video-js></video-js>", "<audio-player>", "<object-view/>", "<svg/>", "<math />", "<iframe src='x'/>", "<video src=x>", "<svg class=a>"):
+        assert texts(f"<p>before {tag} after<p>rest") == ["before after", "rest"]
+    assert texts("<p>a<svg/>b<p>c<svg><text>no</text></svg>d") == ["ab", "cd"]
+    assert texts("<p>a<svg x='1'><g/>no</SVG >b<iframe>no</iframe>c") == ["abc"]
+    assert texts("<p>a<style>never closed <p>no") == ["a"] and texts("<p>a<script/>no</script>b<scripted>c") == ["abc"]
+
+
 def test_repeated_runs_equal_brute_force():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 3, 600)
