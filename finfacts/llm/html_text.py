@@ -1,12 +1,15 @@
 """Main text of web pages: marked articles by their markup, the rest by suffix arrays over each host's pages.
 
 A page is cut into blocks. Blocks of menus, headers, footers, sidebars, notices, adverts, forms and comments are furniture; blocks of a
-marked article are content; on pages that mark none, the other blocks are open. The words of furniture and open blocks of a host's pages
-are concatenated and their suffixes sorted; runs that repeat on distinct pages are boilerplate, and open blocks keep what no such run covers.
+marked article are content; the other blocks are open, and furniture beside a large article. The words of all blocks of a host's pages are
+concatenated and their suffixes sorted; runs that stand on a share of the host's distinct pages are boilerplate, and content and open
+blocks keep what no such run covers. In content the share is higher. A host of many pages is dealt over tasks: each proposes the runs of
+that share among its own pages, among which are all that have it over the host, and those are counted over all pages.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -16,15 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.llm.shared import written
+from finfacts.llm.shared import split_by, written
 from finfacts.llm.url_rules import host_of
 
 #: Words of the shortest run that counts as repeated; a power of two.
 RUN = 8
-#: Distinct pages on which a run must stand.
-PAGES = 2
-#: Characters of the pages of one suffix array. A host with more has several, each over its own pages.
-SHARD_CHARS = 4_000_000
+#: Distinct pages on which a run must stand at least; on a host of FLOOR distinct pages or more, on that many.
+PAGES, FLOOR = 2, 4
+#: Percent of a host's distinct pages on which a run must stand to be boilerplate in an open block, and in a marked article.
+OPEN_PERCENT, CONTENT_PERCENT = 10, 50
+#: Where repeats cover so many percent of a page on a host of less than FLOOR distinct pages, the pages are versions of one.
+COPY_PERCENT = 75
+#: Marked articles of so many times the words of a page's open blocks make these furniture.
+ARTICLE_LEAD = 2
+#: Characters of the pages of one task. A host with more is dealt over several, of SHARD_PAGES distinct pages each at least; its runs
+#: are counted over all of them.
+SHARD_CHARS, SHARD_PAGES = 4_000_000, 64
 
 CONTENT, OPEN, FURNITURE = 0, 1, 2
 
@@ -123,20 +133,22 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     if at < len(page):
         parts.append(html.unescape(page[at:]))
     close_block()
-    if any(k == CONTENT for _, k in found):
-        found = [(t, FURNITURE if k == OPEN else k) for t, k in found]
-    return found
+    words = [sum(t.count(" ") + 1 for t, k in found if k == kind) for kind in (CONTENT, OPEN)]
+    if words[0] >= ARTICLE_LEAD * words[1]:
+        return [(t, FURNITURE if k == OPEN else k) for t, k in found] if words[0] else found
+    # Marked articles that are small beside the open blocks, such as teasers, say nothing about these.
+    return [(t, OPEN if k == CONTENT else k) for t, k in found]
 
 
-def repeated(words: np.ndarray, pages: np.ndarray, run: int = RUN, least: int = PAGES) -> np.ndarray:
-    """Whether each word lies in a run of at least run words that stands on at least least distinct pages.
+def ranks(words: np.ndarray, pages: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of every suffix by its first run words, from 1, and whether it has as many on its page.
 
-    words are the numbers of the words of the concatenated pages, pages the page of each. Ranks of suffixes are doubled until they
-    compare run words; the suffixes in that order are the suffix array to that depth, and equal neighbours share their first run words.
+    words are the numbers of the words of the concatenated pages, pages the page of each. Ranks are doubled until they compare run words;
+    the suffixes in that order are the suffix array to that depth.
     """
     n = len(words)
-    if n < run:
-        return np.zeros(n, bool)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     rank = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
     # A suffix that runs into another page is cut there: beyond its page every place ranks 0.
     last = np.searchsorted(pages, pages, "right")
@@ -147,19 +159,31 @@ def repeated(words: np.ndarray, pages: np.ndarray, run: int = RUN, least: int =
         ahead[inside] = rank[np.flatnonzero(inside) + width]
         rank = np.unique(rank * (int(rank.max()) + 2) + ahead, return_inverse=True)[1].astype(np.int64) + 1
         width *= 2
-    suffixes = np.argsort(rank, kind="stable")  # stable: places of one rank are in order of page
-    ranks, owners = rank[suffixes], pages[suffixes]
-    starts = np.flatnonzero(np.diff(ranks, prepend=-1))
-    fresh = np.diff(owners, prepend=-1) != 0
-    fresh[starts] = True
-    distinct = np.add.reduceat(fresh.astype(np.int64), starts)
-    often = np.repeat(distinct >= least, np.diff(np.append(starts, n)))
-    hits = suffixes[often]
-    hits = hits[hits + run <= last[hits]]
-    cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, hits, 1)
-    np.add.at(cover, hits + run, -1)
-    return np.cumsum(cover[:-1]) > 0
+    return rank, np.arange(n) + run <= last
+
+
+def pages_by_rank(rank: np.ndarray, whole: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """For each rank the number of distinct pages on which its run stands whole."""
+    counts = np.zeros(int(rank.max(initial=0)) + 1, np.int64)
+    places = np.flatnonzero(whole)
+    suffixes = places[np.argsort(rank[places], kind="stable")]  # stable: places of one rank are in order of page
+    fresh = (np.diff(rank[suffixes], prepend=-1) != 0) | (np.diff(pages[suffixes], prepend=-1) != 0)
+    np.add.at(counts, rank[suffixes[fresh]], 1)
+    return counts
+
+
+def covered(hits: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Whether each place lies in a run that begins at a hit."""
+    cover = np.zeros(len(hits) + run, np.int64)
+    cover[:len(hits)] += hits
+    cover[run:] -= hits
+    return np.cumsum(cover[:len(hits)]) > 0
+
+
+def repeated(words: np.ndarray, pages: np.ndarray, run: int = RUN, least: int = PAGES) -> np.ndarray:
+    """Whether each word lies in a run of at least run words that stands on at least least distinct pages."""
+    rank, whole = ranks(words, pages, run)
+    return covered(whole & (pages_by_rank(rank, whole, pages)[rank] >= least), run)
 
 
 def long_stretches(hit: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -171,64 +195,174 @@ def long_stretches(hit: np.ndarray, run: int = RUN) -> np.ndarray:
     return result
 
 
-def kept_texts(pages: list[list[tuple[str, int]]]) -> list[list[str]]:
-    """For the pages of one suffix array, (text, kind) of the blocks each: the open blocks without their repeated runs.
+def least_pages(distinct: int, kind: int) -> int:
+    """On how many of a host's distinct pages a run must stand to be boilerplate in blocks of a kind."""
+    if kind == CONTENT:
+        return max(FLOOR, -(-distinct * CONTENT_PERCENT // 100))
+    return max(PAGES, min(distinct, FLOOR), -(-distinct * OPEN_PERCENT // 100))
 
-    A block all covered goes; of another, the stretches of RUN covered words or more.
-    """
-    streams = [[w for text, _ in page for w in text.split(" ")] for page in pages]
+
+def _numbered(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     number: dict[str, int] = {}
     words = np.array([number.setdefault(w, len(number)) for s in streams for w in s], np.int64)
-    covered = repeated(words, np.repeat(np.arange(len(pages)), [len(s) for s in streams]))
+    return words, np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+
+
+def _streams(pages: list[list[tuple[str, int]]]) -> list[list[str]]:
+    return [[w for text, _ in page for w in text.split(" ")] for page in pages]
+
+
+def candidates(pages: list[list[tuple[str, int]]]) -> dict[str, int]:
+    """The runs that stand on the least share of these distinct pages, with the number of pages each.
+
+    A run on that share of all pages of a host stands on as large a share of at least one of the parts they are dealt into.
+    """
+    streams = _streams(pages)
+    words, owners = _numbered(streams)
+    rank, whole = ranks(words, owners)
+    counts = pages_by_rank(rank, whole, owners)
+    often = np.flatnonzero(whole & (counts[rank] * 100 >= OPEN_PERCENT * len(pages)))
+    firsts = often[np.unique(rank[often], return_index=True)[1]]
+    flat = [w for s in streams for w in s]
+    return {" ".join(flat[i:i + RUN]): int(counts[rank[i]]) for i in firsts.tolist()}
+
+
+def run_counts(pages: list[list[tuple[str, int]]], runs: list[str]) -> list[int]:
+    """For each of runs on how many of pages it stands."""
+    streams = _streams(pages)
+    words, owners = _numbered(streams + [r.split(" ") for r in runs])
+    rank, whole = ranks(words, owners)
+    n = len(words) - RUN * len(runs)
+    counts = np.zeros(int(rank.max(initial=0)) + 1, np.int64)
+    found = pages_by_rank(rank[:n], whole[:n], owners[:n])
+    counts[:len(found)] = found
+    return counts[rank[n::RUN]].tolist()
+
+
+def kept_texts(pages: list[list[tuple[str, int]]], runs: dict[str, int], distinct: int) -> list[list[str]]:
+    """For some pages of a host, (text, kind) of the blocks each: the content and open blocks without the host's boilerplate.
+
+    runs has the host's frequent runs with the number of its distinct pages they stand on. A block all covered goes; of another, the
+    stretches of RUN covered words or more.
+    """
+    streams = _streams(pages)
+    words, owners = _numbered(streams + [r.split(" ") for r in runs])
+    rank, whole = ranks(words, owners)
+    n = len(words) - RUN * len(runs)
+    often = np.zeros(int(rank.max(initial=0)) + 1, np.int64)
+    often[rank[n::RUN]] = list(runs.values())
+    stands = np.where(whole[:n], often[rank[:n]], 0)
+    hits = {kind: covered(stands >= least_pages(distinct, kind)) for kind in (CONTENT, OPEN)}
     at, result = 0, []
     for page in pages:
-        kept = []
+        kept, size, gone, first = [], 0, 0, at
         for text, kind in page:
             own = text.split(" ")
-            if kind == OPEN:
-                hit = covered[at:at + len(own)]
+            if kind != FURNITURE:
+                hit = hits[kind][at:at + len(own)]
                 rest = [] if hit.all() else [w for w, c in zip(own, long_stretches(hit), strict=True) if not c]
                 if rest:
                     kept.append(" ".join(rest))
+                size, gone = size + len(own), gone + len(own) - len(rest)
             at += len(own)
+        # On a host of so few pages what is nearly a whole page is a copy of it, as for mobiles or print.
+        if distinct < FLOOR and 100 * gone >= COPY_PERCENT * size:
+            kept = marked_text(page)
         result.append(kept)
     return result
 
 
-PARSED = "page_id long, url string, content array<string>, loose array<struct<text:string,kind:int>>, open boolean, chars long"
+def marked_text(page: list[tuple[str, int]]) -> list[str]:
+    return [text for text, kind in page if kind != FURNITURE]
+
+
+BLOCK_LIST = "array<struct<text:string,kind:int>>"
+PARSED = f"page_id long, url string, blocks {BLOCK_LIST}, key string, chars long"
+
+
+def _pairs(column: pa.ChunkedArray) -> list[list[tuple[str, int]]]:
+    return [[(b["text"], b["kind"]) for b in page] for page in column.to_pylist()]
 
 
 def main_texts(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (columns page_id, url and html are read).
 
-    A null or empty html, and a page all of furniture, gives the empty text. Rows that repeat are pages of their own, so an open text
-    that stands twice under one host counts as repeated. Pages without a host form one host. An empty table gives no rows.
+    A null or empty html, and a page all of furniture, gives the empty text. Pages of a host with equal texts outside furniture count as
+    one page, and each keeps its text. Pages without a host share nothing with each other. An empty table gives no rows.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())]))
         for batch in batches:
             found = [blocks(h) for h in batch.column(2).to_pylist()]
-            loose = [[{"text": t, "kind": k} for t, k in page if k != CONTENT] for page in found]
+            # A page all of furniture is told from others by that.
+            texts = ["\n".join(marked_text(page) or [t for t, _ in page]) for page in found]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([[t for t, k in page if k == CONTENT] for page in found], pa.list_(pa.string())),
-                pa.array(loose, kind), pa.array([any(k == OPEN for _, k in page) for page in found], pa.bool_()),
-                pa.array([sum(len(b["text"]) for b in page) for page in loose], pa.int64()),
-            ], names=["page_id", "url", "content", "loose", "open", "chars"])
+                batch.column(0), batch.column(1), pa.array([[{"text": t, "kind": k} for t, k in page] for page in found], kind),
+                pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() if t else None for t in texts], pa.string()),
+                pa.array([sum(len(t) for t, _ in page) for page in found], pa.int64()),
+            ], names=["page_id", "url", "blocks", "key", "chars"])
 
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(parse, PARSED)
     parsed = written(read.withColumn("row", F.monotonically_increasing_id()).withColumn("host", host_of(F.col("url"))), "parsed-pages")
-    shards = parsed.groupBy("host").agg(F.ceil(F.sum("chars") / shard_chars).cast("int").alias("shards"), F.max("open").alias("wanted"))
-    loose = parsed.select("row", "host", "loose").join(shards.where("wanted"), "host")
-    streams = loose.select("row", "host", F.pmod(F.xxhash64("row"), F.greatest("shards", F.lit(1))).alias("shard"), "loose")
-
-    def sweep(group: pa.Table) -> pa.Table:
-        group = group.sort_by("row")
-        texts = kept_texts([[(b["text"], b["kind"]) for b in page] for page in group.column("loose").to_pylist()])
-        return pa.table({"row": group.column("row"), "open_text": pa.array(texts, pa.list_(pa.string()))})
-
-    opened = streams.groupBy("host", "shard").applyInArrow(sweep, "row long, open_text array<string>")
-    decided = parsed.where("not open").select("page_id", "url", "content")
-    undecided = parsed.where("open").select("row", "page_id", "url").join(opened, "row", "left").select("page_id", "url", F.col("open_text").alias("content"))
-    text = F.coalesce(F.array_join("content", "\n"), F.lit(""))
-    return decided.unionByName(undecided).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    sizes = written(parsed.where("key is not null and host <> ''").groupBy("host").agg(
+        F.sum("chars").alias("chars"), F.countDistinct("key").alias("distinct_pages")).where("distinct_pages > 1"), "host-sizes")
+    # A host is dealt finer where the session asks for more shuffle tasks; what counts as boilerplate does not depend on it.
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = sizes.agg(F.sum("chars")).first()[0] or 0
+    most = max(1, min(shard_chars, total // tasks))
+    shards = F.greatest(F.lit(1), F.least(F.ceil(F.col("chars") / most), F.floor(F.col("distinct_pages") / SHARD_PAGES))).cast("int")
+    hosts = sizes.select("host", "distinct_pages", shards.alias("shards"))
+
+    def dealt(rows: DataFrame, over: DataFrame) -> DataFrame:
+        # Dealt in one exchange by both columns: one by host alone would put a host into one task.
+        spread = rows.join(over, "host").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
+        return spread.repartition(tasks, "host", "shard")
+
+    def shards_of(runs: DataFrame) -> DataFrame:
+        every = runs.join(hosts, "host").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        return every.select("host", "shard", "run", "n").repartition(tasks, "host", "shard")
+
+    def firsts(group: pa.Table) -> list[list[tuple[str, int]]]:
+        """One page of each key."""
+        _, places = np.unique(np.array(group.column("key").to_pylist(), object), return_index=True)
+        return _pairs(group.column("blocks").take(pa.array(places)))
+
+    def propose(group: pa.Table) -> pa.Table:
+        distinct, parts = group.column("distinct_pages")[0].as_py(), group.column("shards")[0].as_py()
+        # Of a host in one piece the counts are final.
+        least = least_pages(distinct, OPEN) if parts == 1 else 1
+        found = {r: n for r, n in candidates(firsts(group)).items() if n >= least}
+        return pa.table({"host": pa.array([group.column("host")[0].as_py()] * len(found), pa.string()), "run": pa.array(list(found), pa.string()),
+                         "n": pa.array(list(found.values()), pa.int64()), "final": pa.array([parts == 1] * len(found), pa.bool_())})
+
+    def count(key: tuple, group: pa.Table, runs: pa.Table) -> pa.Table:
+        asked = runs.column("run").to_pylist()
+        found = run_counts(firsts(group), asked) if asked and group.num_rows else [0] * len(asked)
+        return pa.table({"host": pa.array([key[0].as_py()] * len(asked), pa.string()), "run": pa.array(asked, pa.string()), "n": pa.array(found, pa.int64())})
+
+    def sweep(key: tuple, group: pa.Table, runs: pa.Table) -> pa.Table:
+        known = dict(zip(runs.column("run").to_pylist(), runs.column("n").to_pylist(), strict=True))
+        texts = kept_texts(_pairs(group.column("blocks")), known, group.column("distinct_pages")[0].as_py()) if group.num_rows else []
+        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "kept": pa.array(texts, pa.list_(pa.string()))})
+
+    ready = parsed.where("key is not null").select("host", "key", "blocks")
+    proposed = written(dealt(ready, hosts).groupBy("host", "shard").applyInArrow(propose, "host string, run string, n long, final boolean"), "run-candidates")
+    parted = proposed.where("not final").select("host", "run", "n").dropDuplicates(["host", "run"])
+    several = dealt(ready, hosts.where("shards > 1")).groupBy("host", "shard").cogroup(shards_of(parted).groupBy("host", "shard"))
+    counted = several.applyInArrow(count, "host string, run string, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
+    least = F.greatest(F.lit(PAGES), F.least(F.col("distinct_pages"), F.lit(FLOOR)), F.ceil(F.col("distinct_pages") * OPEN_PERCENT / 100))
+    counted = counted.join(hosts, "host").where(F.col("n") >= least).select("host", "run", "n")
+    frequent = written(proposed.where("final").select("host", "run", "n").unionAll(counted), "frequent-runs")
+
+    # Pages of hosts without frequent runs keep what their markup says and do not move.
+    listed = frequent.select(F.col("host").alias("_host")).distinct()
+    clear, rest = split_by(parsed.withColumn("listed", F.when(F.col("key").isNotNull(), F.col("host"))), F.col("listed"), listed)
+    known = rest.where("listed is not null").join(listed, F.col("listed") == F.col("_host"), "left_semi")
+    unknown = rest.join(listed, F.col("listed") == F.col("_host"), "left_anti")
+    swept = dealt(known.drop("listed", "chars", "row"), hosts).groupBy("host", "shard").cogroup(shards_of(frequent).groupBy("host", "shard")).applyInArrow(
+        sweep, "page_id long, url string, kept array<string>")
+    plain = clear.drop("listed").unionAll(unknown.drop("listed")).select(
+        "page_id", "url", F.transform(F.filter("blocks", lambda b: b["kind"] != FURNITURE), lambda b: b["text"]).alias("kept"))
+    text = F.coalesce(F.array_join("kept", "\n"), F.lit(""))
+    return plain.unionByName(swept).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -322,6 +322,51 @@ def test_main_texts(spark):
     assert html_text.main_texts(pages.where("page_id < 3"), shard_chars=1).count() == 2
 
 
+def prose(seed, n=60):
+    rng = random.Random(f"prose {seed}")
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+def texts_of(spark, rows, **more):
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(pages, **more).collect()}
+    assert len(got) == len(rows)
+    return [got[i] for i in range(len(rows))]
+
+
+def test_markup_is_evidence_only(spark):
+    teaser = [f"<article>{prose(-i, 5)}</article>" for i in range(6)]
+    rows = [("http://a.com", f"{t}<div>{prose(i)}</div>") for i, t in enumerate(teaser)]
+    host = "subscribe now to read all of our stories for free"
+    rows += [("http://b.com", f"<article><p>{prose(10 + i)}<p>{host}</article>") for i in range(6)]
+    rows += [("http://c.com", f"<article><p>{prose(20 + i)}<p>{host if i < 4 else ''}</article>") for i in range(12)]
+    got = texts_of(spark, rows)
+    assert all(prose(i) in got[i] for i in range(6)), "an article of a few words does not silence the body"
+    assert got[6:12] == [prose(10 + i) for i in range(6)], "what stands in most articles of a host is not theirs"
+    assert got[12:16] == [f"{prose(20 + i)}\n{host}" for i in range(4)], "in a marked article a third of the pages is not enough"
+
+
+def test_runs_are_counted_over_the_whole_host(spark, monkeypatch):
+    notice = prose(-1, 12)
+    rows = [("http://a.com", f"<p>{prose(i, 20)}<p>{notice if i % 8 == 0 else ''}<p>{prose(-2 - i % 40, 9)}") for i in range(400)]
+    whole = texts_of(spark, rows)
+    assert whole == [f"{prose(i, 20)}\n{prose(-2 - i % 40, 9)}" for i in range(400)], "on an eighth of the pages, and on a fortieth"
+    assert texts_of(spark, rows, shard_chars=1) == whole
+    monkeypatch.setattr(html_text, "SHARD_PAGES", 1)
+    assert texts_of(spark, rows, shard_chars=1) == whole, "parts of a page or none"
+
+
+def test_copies_and_quotations_stay(spark):
+    quoted = prose(-1, 15)
+    rows = [("http://a.com/1", f"<p>{prose(1)}"), ("http://a.com/1?print", f"<p>{prose(1)}"), ("http://m.a.com/", f"<p>{prose(2)}<p>back"), ("http://m.a.com/2", f"<p>{prose(2)}"),
+            (None, f"<p>{prose(3)}"), ("no host", f"<p>{prose(3)}<p>other site"), (None, f"<p>{prose(3)}<p>third site")]
+    rows += [("http://b.com", f"<p>{prose(10 + i)}<p>{quoted if i < 3 else 'none'}") for i in range(20)]
+    got = texts_of(spark, rows)
+    assert got[:4] == [prose(1), prose(1), f"{prose(2)}\nback", prose(2)]
+    assert got[4:7] == [prose(3), f"{prose(3)}\nother site", f"{prose(3)}\nthird site"]
+    assert got[7:10] == [f"{prose(10 + i)}\n{quoted}" for i in range(3)]
+
+
 def brute_verdict(url, rules):
     if url is None or "://" not in url:
         host = path = ""
