@@ -42,7 +42,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def feistel(values: Column, radices: Column, key: str, rounds: int = ROUNDS) -> Column:
+def feistel(values: Column, radices: Column, key: str | Column, rounds: int = ROUNDS) -> Column:
     """The permuted values: arrays of integers, each below its radix. At most 64 places in either half."""
 
     def network(v: Column, r: Column) -> Column:
@@ -163,7 +163,7 @@ def _day_date(m: Column, key: str) -> Column:
     return F.when(by_day.isNotNull(), shaped(by_day, "dd", "MM")).when(by_month.isNotNull(), shaped(by_month, "MM", "dd"))
 
 
-def _lettered(m: Column, key: str) -> Column:
+def _lettered(m: Column, key: str | Column) -> Column:
     """Letters permuted among letters of their case and digits among digits; other characters stay."""
     kinds = F.transform(_chars(m), lambda c: F.when(c.rlike("[0-9]"), F.struct(F.lit(48).alias("low"), F.lit(10).alias("radix"), F.ascii(c).alias("code")))
                         .when(c.rlike("[a-z]"), F.struct(F.lit(97).alias("low"), F.lit(26).alias("radix"), F.ascii(c).alias("code")))
@@ -174,9 +174,13 @@ def _lettered(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    local = F.substring_index(m, "@", 1)
-    # Beyond the places of a network the rest of the local part is permuted by itself.
-    return F.concat(_lettered(F.substring(local, 1, 64), key + "email"), _lettered(F.substring(local, 65, 64), key + "rest"), F.lit("@"), F.substring_index(m, "@", -1))
+    # Beyond the places of a network the rest of the local part is permuted by itself, in as many pieces as it has.
+    def moved(local: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(local) - 1) / 64).cast("int")))
+        name = lambda n: F.when(n == 0, key + "email").when(n == 1, key + "rest").otherwise(F.concat(F.lit(key + "rest"), n.cast("string")))
+        return F.array_join(F.transform(numbers, lambda n: _lettered(F.substring(local, 64 * n + 1, F.lit(64)), name(n))), "")
+
+    return F.concat(let(F.substring_index(m, "@", 1), moved), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _mod97(text: Column) -> Column:

@@ -458,6 +458,13 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymised(docs_of(spark, [])).count() == 0 and rows0
 
 
+def test_long_mail_names_are_permuted_whole(spark):
+    names = ["a" * 63 + "b" * 64 + "c" * 70 + e for e in ("x1", "x2", "")] + ["d" * 64, "d" * 65, "e" * 128, "f"]
+    got = [r["text"] for r in pseudonyms.pseudonymised(docs_of(spark, [(i, f"to {n}@a.com!") for i, n in enumerate(names)])).orderBy("doc_id").collect()]
+    assert [len(t) for t in got] == [len(n) + 10 for n in names] and all(t.startswith("to ") and t.endswith("@a.com!") for t in got)
+    assert len(set(got)) == len(names) and got[0][:100] == got[1][:100] and got[0][137:203] != names[0][134:200]
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(7 * 11).select(F.array((F.col("id") / 11).cast("int"), (F.col("id") % 11).cast("int")).alias("v"))
     moved = pairs.select(pseudonyms.feistel(F.col("v"), F.array(F.lit(7), F.lit(11)), "k").alias("m")).collect()
