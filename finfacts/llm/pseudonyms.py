@@ -27,6 +27,12 @@ PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\(
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 SECRET = r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"
 
+# The digits of cards as they are set in groups, and the lengths of IBANs. Longest first.
+CARD_SHAPES = (r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{3}", r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}", r"\d{4}([ -])\d{6}\2\d{5}", r"\d{4}([ -])\d{6}\2\d{4}", r"\d{13,19}")
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+                23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+                29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
 #: In order of precedence.
 FORMATS = {"email": EMAIL, "iban": IBAN, "ip": IP, "iso_date": ISO_DATE, "day_date": DAY_DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "secret": SECRET}
 #: The days of 400 years from here are 189 * 773.
@@ -218,6 +224,34 @@ def pseudonym(m: Column, key: str) -> Column:
     return made
 
 
+def standing(text: Column) -> Column:
+    """The valid IBANs of their country's length and valid cards set in groups or unbroken in a text, wherever a longer match would begin or end."""
+
+    def extracted(pattern: str, after: str) -> Column:
+        # A lookahead finds values that overlap.
+        return F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9.+@])(?=({pattern})(?![A-Za-z0-9]){after})"), F.lit(1))
+
+    ibans = "|".join(rf"(?:{'|'.join(c.split())})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+                     for n, c in IBAN_LENGTHS.items())
+    no_mail = r"(?!\.\d)(?![A-Za-z0-9._%+-]*@)"
+    cards = F.concat(*[extracted(shape, no_mail) for shape in CARD_SHAPES])
+
+    def valid_iban(m: Column) -> Column:
+        return let(F.regexp_replace(m, " ", ""), lambda p: _mod97(F.concat(F.substring(p, 5, 40), F.substring(p, 1, 4))) == 1)
+
+    def valid_card(m: Column) -> Column:
+        return (let(_digits(m), _luhn) % 10 == 0) & m.rlike("[1-9]")
+
+    return F.array_distinct(F.concat(F.filter(extracted(ibans, ""), valid_iban), F.filter(cards, valid_card)))
+
+
+def _pieces(text: Column, pattern: Column, inside: Callable[[Column], Column]) -> Column:
+    """text cut at pattern: inside of what stands between matches, and the matches as values."""
+    fill = F.concat(F.regexp_extract_all(text, pattern, F.lit(0)), F.array(F.lit(None).cast("string")))
+    return F.flatten(F.zip_with(F.split(text, pattern, -1), fill, lambda a, b: F.concat(
+        inside(a), F.when(b.isNotNull(), F.array(F.struct(b.alias("old"), F.lit(True).alias("value")))).otherwise(F.array().cast("array<struct<old:string,value:boolean>>")))))
+
+
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text, n_found and n_replaced for every row of docs: the whole text with each valid value replaced, all else as it was.
 
@@ -228,12 +262,18 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     text = F.col("text")
     # A text without @ and without seven digits, or as many hexadecimal ones, in a stretch of 40 characters cannot hold a value.
     may = text.contains("@") | text.rlike(r"\d[^A-Za-z]{0,3}\d[^A-Za-z]{0,3}\d[^A-Za-z]{0,3}\d") | text.rlike("[0-9a-f]{32}")
-    # The values leave the text, each is replaced once, and the text is put together again.
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(may, F.regexp_extract_all(text, F.lit(wanted), F.lit(0))).alias("found"))
-    made = found.withColumn("made", F.when(F.size("found") > 0, F.transform("found", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))))
-    fill = F.concat(F.transform("made", lambda x: F.coalesce(x["new"], x["old"])), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(F.split(text, wanted, -1), fill, lambda a, b: F.concat(a, b)), "")
+    plain = lambda t: F.array(F.struct(t.alias("old"), F.lit(False).alias("value")))
+    # Values that are sure by themselves leave the text first, so that no looser match takes them in; then those of all formats. Each is
+    # replaced once, and the text is put together again.
+    sure = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(may, standing(text)).alias("sure"))
+    # Digits, capitals, blanks and hyphens only: safe in a pattern.
+    exact = F.concat(F.lit("(?<![A-Za-z0-9.+@])(?:"), F.array_join("sure", "|"), F.lit(r")(?![A-Za-z0-9])(?!\.\d)(?![A-Za-z0-9._%+-]*@)"))
+    usual = lambda t: _pieces(t, F.lit(wanted), plain)
+    found = sure.select("doc_id", "text", F.when(may, F.when(F.size("sure") > 0, _pieces(text, exact, usual)).otherwise(usual(text))).alias("found"))
+    made = found.withColumn("made", F.when(F.size("found") > 1, F.transform("found", lambda m: F.struct(
+        m["old"].alias("old"), m["value"].alias("value"), F.when(m["value"], pseudonym(m["old"], key)).alias("new")))))
+    joined = F.array_join(F.transform("made", lambda x: F.coalesce(x["new"], x["old"])), "")
     return made.select(
         "doc_id", F.when(F.col("made").isNotNull(), joined).otherwise(text).alias("text"),
-        F.greatest(F.coalesce(F.size("found"), F.lit(0)), F.lit(0)).alias("n_found"),
+        F.coalesce(F.size(F.filter("made", lambda x: x["value"])), F.lit(0)).alias("n_found"),
         F.coalesce(F.size(F.filter("made", lambda x: x["new"].isNotNull())), F.lit(0)).alias("n_replaced"))

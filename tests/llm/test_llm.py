@@ -458,6 +458,24 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymised(docs_of(spark, [])).count() == 0 and rows0
 
 
+def test_values_beside_other_numbers(spark):
+    import re
+
+    card, amex, iban = "4111 1111 1111 1111", "3782 822463 10005", "BE68 5390 0754 7034"
+    texts = [f"{card} 12/25", "4111111111111111 123", f"order 12 {card}", f"{iban} EUR", f"1234 {card}", f"{card} 5500 0000 0000 0004", f"{card} 2024-02-29",
+             f"no 7 {amex} 99", f"AB12 {iban} 1234", f"4111-1111-1111-1111 987", "4111111111111111@a.com", f"{card}"]
+    got = [r for r in pseudonyms.pseudonymised(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    out = [r["text"] for r in got]
+    assert [len(t) for t in out] == [len(t) for t in texts] and [r["n_replaced"] for r in got] == [1, 1, 1, 1, 1, 2, 2, 1, 1, 1, 1, 1]
+    new = out[11]
+    assert new != card and luhn(new)
+    assert out[0] == f"{new} 12/25" and out[1] == new.replace(" ", "") + " 123" and out[2] == f"order 12 {new}" and out[4] == f"1234 {new}"
+    assert out[5].startswith(f"{new} ") and luhn(out[5][20:]) and out[5][20:] != "5500 0000 0000 0004"
+    assert out[6].startswith(f"{new} ") and re.fullmatch(r"\d{4}-\d\d-\d\d", out[6][20:]) and out[9] == new.replace(" ", "-") + " 987"
+    assert re.fullmatch(r"BE\d\d \d{4} \d{4} \d{4} EUR", out[3]) and out[3][:19] != iban and out[8] == f"AB12 {out[3][:19]} 1234"
+    assert out[7].startswith("no 7 ") and out[7].endswith(" 99") and luhn(out[7][5:22]) and amex not in out[7] and out[10].endswith("@a.com")
+
+
 def test_long_mail_names_are_permuted_whole(spark):
     names = ["a" * 63 + "b" * 64 + "c" * 70 + e for e in ("x1", "x2", "")] + ["d" * 64, "d" * 65, "e" * 128, "f"]
     got = [r["text"] for r in pseudonyms.pseudonymised(docs_of(spark, [(i, f"to {n}@a.com!") for i, n in enumerate(names)])).orderBy("doc_id").collect()]
