@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finfacts.llm.shared import tasks_for, written
@@ -242,8 +242,24 @@ def write_blocks(ids: DataFrame, code: Code, path_label: str = "token-blocks") -
     return written(placed.mapInArrow(block_up, BLOCKS), path_label)
 
 
-def read_blocks(blocks: DataFrame, code: Code) -> DataFrame:
-    """Every document decoded from the files: doc_id, start, n_tokens, ids_crc32."""
+def write_lengths(spark: SparkSession, code: Code, path_label: str = "token-code") -> DataFrame:
+    """The table beside the blocks that defines their code: id and length of each id in use."""
+    used = np.flatnonzero(code.lengths)
+    rows = list(zip(used.tolist(), code.lengths[used].tolist(), strict=True))
+    return written(spark.createDataFrame(rows, "id int, length int").coalesce(1), path_label)
+
+
+def read_lengths(lengths: DataFrame) -> Code:
+    rows = lengths.select("id", "length").collect()
+    known = np.zeros(1 + max((r["id"] for r in rows), default=0), np.uint8)
+    for r in rows:
+        known[r["id"]] = r["length"]
+    return canonical(known)
+
+
+def read_blocks(blocks: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Every document decoded from the files and their table of code lengths: doc_id, start, n_tokens, ids_crc32."""
+    code = read_lengths(lengths)
     files = blocks.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
     # One row for each file; their order needs one task.
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
@@ -293,4 +309,4 @@ def huffman_round_trip(docs: DataFrame, path: str, end: int = 1) -> DataFrame:
     """
     ids = token_ids(docs, path, end)
     code = global_code(ids)
-    return read_blocks(write_blocks(ids, code), code)
+    return read_blocks(write_blocks(ids, code), write_lengths(docs.sparkSession, code))

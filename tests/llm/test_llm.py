@@ -71,6 +71,17 @@ def test_token_files_round_trip(spark, tokenizer):
     assert huffman.huffman_round_trip(docs_of(spark, []), PATH).count() == 0
 
 
+def test_files_are_decoded_from_what_was_written(spark, tokenizer):
+    ids = huffman.token_ids(docs_of(spark, ODD), PATH, 1)
+    code = huffman.global_code(ids)
+    paths = [t.inputFiles() for t in (huffman.write_blocks(ids, code), huffman.write_lengths(spark, code))]
+    del code, ids
+    blocks, lengths = (spark.read.parquet(*p) for p in paths)
+    assert lengths.columns == ["id", "length"]
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_crc32"]) for r in huffman.read_blocks(blocks, lengths).collect())
+    assert got == sorted((i or -1, len(e), crc(e)) for i, e in ((i, encoded(tokenizer, t, 1)) for i, t in ODD))
+
+
 def test_code_is_optimal_and_limited():
     rng = np.random.default_rng(1)
     for counts, bits in ((np.array([5, 9, 12, 13, 16, 45]), 8), (2 ** np.arange(20), 6), (rng.integers(0, 9, 300), 9), (np.array([0, 4]), 3), (np.zeros(4, int), 4)):
