@@ -376,7 +376,7 @@ def components(links: DataFrame, label: str) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
     state = None
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a") - F.col("b"))).first()
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a").cast("decimal(20)") - F.col("b"))).first()
         if now == state or now[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

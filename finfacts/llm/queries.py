@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finfacts.llm import exact_dedup, html_text, jaccard, mixing, pseudonyms, quality, url_rules, vptree
+from finfacts.llm import exact_dedup, fill_middle, html_text, jaccard, mixing, pseudonyms, quality, runs, simhash, url_rules, vptree
 from finfacts.llm.huffman import huffman_round_trip
 from finfacts.llm.packing import pack_documents
 from finfacts.llm.shared import documents, table
@@ -58,6 +58,18 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary(), end=0, capacity=2048)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle_digests(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(documents(spark, sf_dir))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir), k=4, most=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
@@ -69,10 +81,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_quality_scores": op9_quality_scores,
     "op10_mix_sources": op10_mix_sources,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_url_rules": url_rules.oracle(),
     "op10_mix_sources": mixing.oracle(),
+    "op11_fill_in_middle": fill_middle.ORACLE,
 }
