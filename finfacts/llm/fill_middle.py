@@ -106,19 +106,9 @@ def fill_in_middle(docs: DataFrame, seed: int = 1, unit: str = "characters", pla
 
 def restored(output: Column, form: Column, markers: tuple[str, str, str] = MARKERS) -> Column:
     """The text that fill_in_middle made output of; no part holds a marker, so the first of each kind ends a part."""
-    p, s, m = markers
-
-    def parts(first: str, second: str) -> tuple[Column, Column, Column]:
-        body = F.substring(output, F.lit(len(first) + 1), F.length(output))
-        one = F.substring_index(body, second, 1)
-        rest = F.substring(body, F.length(one) + len(second) + 1, F.length(body))
-        two = F.substring_index(rest, m, 1)
-        return one, two, F.substring(rest, F.length(two) + len(m) + 1, F.length(rest))
-
-    prefix, suffix, middle = parts(p, s)
-    suffix_first, prefix_second, middle_third = parts(s, p)
-    return (F.when(form == "psm", F.concat(prefix, middle, suffix))
-            .when(form == "spm", F.concat(prefix_second, middle_third, suffix_first)).otherwise(output))
+    p, s, m = (rf"\Q{x}\E" for x in markers)
+    return (F.when(form == "psm", F.regexp_replace(output, F.lit(rf"(?s)^{p}(.*?){s}(.*?){m}(.*)$"), F.lit("$1$3$2")))
+            .when(form == "spm", F.regexp_replace(output, F.lit(rf"(?s)^{s}(.*?){p}(.*?){m}(.*)$"), F.lit("$2$3$1"))).otherwise(output))
 
 
 def fill_in_middle_digests(docs: DataFrame) -> DataFrame:
