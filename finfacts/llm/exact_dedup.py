@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.llm.shared import bitmap, marked, split_by, tasks_for, without_listed, written
+from finfacts.llm.shared import bitmap, free_name, marked, split_by, tasks_for, without_listed, written
 
 #: Cells of the filter for each document, and cells that a document hits.
 CELLS_PER_DOC = 32
@@ -105,7 +105,8 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     if not repeats.head(1):
         return single
     once, more = split_by(single, key, repeats)
-    return once.unionAll(more.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key"))
+    own = free_name(docs, "_key")
+    return once.unionAll(more.withColumn(own, key).dropDuplicates([own]).drop(own))
 
 
 #: The same groups in SQL.

@@ -12,7 +12,7 @@ from random import Random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finfacts.llm.shared import WORD, joined_null_safe, with_offsets, written
+from finfacts.llm.shared import WORD, free_name, joined_null_safe, split_by, with_offsets, written
 
 #: Weights of the sources in order, repeated.
 WEIGHTS = (1, 2, 3)
@@ -71,16 +71,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it: left out, once, or up to MOST_COPIES times. All columns stay.
 
-    Rows that repeat a doc_id must be equal; each of them is then taken as often as one of its fellows, all fellows together.
+    Rows that repeat a doc_id share the copies of all of them, in order of a hash of their texts, the first ones one more where the copies
+    do not divide. Only rows of documents that may have a copy move. An empty table gives no rows.
     """
-    copies = mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    single = joined_null_safe(docs, copies, ("doc_id",), "inner")
-    # Rows of a repeated id share its copies: the first ones in any order take one more where the copies do not divide.
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    repeated = single.where("_rows > 1").withColumn("_place", place).withColumn(
-        "_copies", F.expr("_copies div _rows + if(_place <= _copies % _rows, 1, 0)")).drop("_place")
-    counted = single.where("_rows = 1").unionByName(repeated)
-    return counted.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_rows", "_copy")
+    copies, rows, place, copy, own = (free_name(docs, n) for n in ("_copies", "_rows", "_place", "_copy", "_doc_id"))
+    taken = written(mix(docs).groupBy(F.col("doc_id").alias(own)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).where(F.col(copies) > 0), "taken")
+    _, maybe = split_by(docs, F.col("doc_id").cast("long"), taken.select(own))
+    single = maybe.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(own))).drop(own)
+    in_order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    repeated = single.where(F.col(rows) > 1).withColumn(place, in_order).withColumn(
+        copies, F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(place) <= F.col(copies) % F.col(rows), 1).otherwise(0)).drop(place)
+    counted = single.where(F.col(rows) == 1).unionByName(repeated)
+    return counted.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(copies, rows, copy)
 
 
 def oracle() -> str:

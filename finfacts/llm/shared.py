@@ -112,6 +112,14 @@ def marked(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 6] >> (cells & 63)) & 1 == 1
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with more underscores in front where df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def split_by(docs: DataFrame, key: Column, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of docs whose key is surely not in the one column of listed, and those whose key may be.
 
@@ -121,7 +129,7 @@ def split_by(docs: DataFrame, key: Column, listed: DataFrame) -> tuple[DataFrame
     cells = min(MOST_CELLS, max(1024, CELLS_PER_KEY * listed.count()))
     bits = bitmap(listed.select(F.pmod(F.xxhash64(name), F.lit(cells)).alias("cell")), cells)
     filled = docs.sparkSession.sparkContext.broadcast(bits)
-    flagged = docs.withColumn("_cell", F.pmod(F.xxhash64(key), F.lit(cells)))
+    flagged = docs.withColumn(free_name(docs, "_cell"), F.pmod(F.xxhash64(key), F.lit(cells)))
 
     def part(wanted: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +147,8 @@ def without_listed(docs: DataFrame, key: Column, listed: DataFrame) -> DataFrame
     """The rows of docs whose key is not in the one column of listed; only rows that may be listed are shuffled."""
     name = listed.columns[0]
     clear, rest = split_by(docs, key, listed)
-    checked = rest.withColumn("_key", key).join(listed, F.col("_key") == F.col(name), "left_anti").drop("_key")
+    own, other = free_name(docs, "_key"), free_name(docs, "_listed")
+    checked = rest.withColumn(own, key).join(listed.withColumnRenamed(name, other), F.col(own) == F.col(other), "left_anti").drop(own)
     return clear.unionAll(checked)
 
 
