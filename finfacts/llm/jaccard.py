@@ -26,13 +26,15 @@ VERIFY_COST = 6.0
 #: log2 of the cells of the frequency sketch. Its size is fixed: it only sets the order of shingles, never a result.
 SKETCH_BITS = 21
 #: Shingles a task counts together for the sketch, and the least count it reports.
-COUNT_TOGETHER, LEAST_COUNT = 2_000_000, 4
+COUNT_TOGETHER, LEAST_COUNT = 2_000_000, 2
 #: 64-bit words of the bitmap of a set.
 BITMAP_WORDS = 16
 #: Cells for each document that may have a partner, and at most, of the bitmap that picks them.
 CELLS_PER_NODE, MOST_CELLS = 32, 1 << 29
 #: log2 of the cells of one segment of the bitmap of repeated tokens.
 SEGMENT_BITS = 20
+#: Members of a list that meet one leader in a turn, most turns, and pairs for each posting that are left to the last round.
+SHORT_LIST, MOST_TURNS, PAIRS_PER_POSTING = 8, 3, 2
 #: Bytes of text hashed at a time.
 PIECE_BYTES = 1 << 18
 
@@ -187,11 +189,13 @@ def chosen_matches(levels: np.ndarray, base: int) -> int:
     return 1 + int(np.argmin(reads * (1 + VERIFY_COST / np.arange(1, most + 1))))
 
 
-PREFIXES = "doc_id long, n int, signature long, matches int, prefix array<long>, bitmap array<long>, wide array<long>"
+PREFIXES = "doc_id long, text_hash long, n int, signature long, signature2 long, matches int, prefix array<long>, bitmap array<long>, wide array<long>"
+#: What tells sets apart: 128 bits of hash and the size.
+SET = ("signature", "signature2", "n")
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Set size, signature of the set, l, the l-prefix in order and the bitmap of every document; written.
+    """Set size, signature of the set, l, the l-prefix in order and the bitmap of every document, and a number of its row, node; written.
 
     A set too large for that bitmap has a wide one too, of as many bits as elements or up to twice as many.
     """
@@ -204,7 +208,7 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for shingles in shingle_sets(batch.column(1).to_pylist(), k):
                 n = len(shingles)
                 if not n:
-                    rows.append((0, 0, 0, [], [], []))
+                    rows.append((0, 0, 0, 0, [], [], []))
                     continue
                 levels = levels_of[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.argsort(levels, kind="stable")
@@ -214,15 +218,16 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 bits = np.bincount((_mixed(shingles) >> np.uint64(32)).astype(np.int64) % size, minlength=size) & 1
                 wide = np.packbits(bits.astype(np.uint8)).view(np.int64)
                 narrow = np.bitwise_xor.reduce(wide.reshape(-1, BITMAP_WORDS), axis=0)
-                signature = xxhash.xxh3_64_intdigest(shingles.tobytes())
-                rows.append((n, np.uint64(signature).astype(np.int64), own, shingles[order[: base + own - 1]].view(np.int64), narrow, wide if len(wide) > BITMAP_WORDS else []))
-            n, signature, own, prefix, narrow, wide = zip(*rows, strict=True) if rows else [()] * 6
+                signature = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
+                rows.append((n, signature[0], signature[1], own, shingles[order[: base + own - 1]].view(np.int64), narrow, wide if len(wide) > BITMAP_WORDS else []))
+            n, signature, signature2, own, prefix, narrow, wide = zip(*rows, strict=True) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n, pa.int32()), pa.array(signature, pa.int64()), pa.array(own, pa.int32()),
+                batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(signature, pa.int64()), pa.array(signature2, pa.int64()), pa.array(own, pa.int32()),
                 pa.array(prefix, pa.list_(pa.int64())), pa.array(narrow, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())),
-            ], names=["doc_id", "n", "signature", "matches", "prefix", "bitmap", "wide"])
+            ], names=["doc_id", "text_hash", "n", "signature", "signature2", "matches", "prefix", "bitmap", "wide"])
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREFIXES), "prefixes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return written(texts.mapInArrow(run, PREFIXES).withColumn("node", F.monotonically_increasing_id()), "prefixes")
 
 
 def repeated_tokens(table: DataFrame, tokens: int) -> tuple[int, np.ndarray]:
@@ -259,6 +264,17 @@ def repeated_tokens(table: DataFrame, tokens: int) -> tuple[int, np.ndarray]:
     return 64 - bits, bitmap_
 
 
+def _lists(tokens: DataFrame) -> DataFrame:
+    """token, weight, size and leader (smallest node) of every list of nodes that share a token, one for each set of nodes.
+
+    A passage that the same documents hold gives one list for each of its tokens; the smallest of these tokens stands for all, and weight
+    is their number. Sets of nodes are told apart by size, smallest node and two 64-bit sums of hashes.
+    """
+    by_token = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"), *[
+        F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"set{i}") for i in range(2)]).where("size > 1")
+    return by_token.groupBy("size", "leader", "set0", "set1").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).drop("set0", "set1")
+
+
 def _node_cells(nodes: DataFrame) -> tuple[Column, np.ndarray]:
     """The cell of a node, and the bitmap of the nodes' cells."""
     cells = min(MOST_CELLS, max(1024, CELLS_PER_NODE * nodes.count()))
@@ -266,8 +282,8 @@ def _node_cells(nodes: DataFrame) -> tuple[Column, np.ndarray]:
     return cell, bitmap(nodes.select(cell), cells)
 
 
-def _postings(table: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """node, token, level of the prefix tokens that may stand in two documents; level is the least l whose prefix holds the token.
+def _postings(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and token of the prefix tokens that may stand in two documents.
 
     A bitmap leaves out documents that are no node, that is copies of one. A copy that it lets through needlessly is one more node with
     the same set, which does no harm.
@@ -280,20 +296,16 @@ def _postings(table: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_bits, own_bits = filled.value
         for batch in batches:
-            batch = batch.filter(pa.array(marked(own_bits, batch.column(3).to_numpy())))
-            lists = batch.column(2)
+            batch = batch.filter(pa.array(marked(own_bits, batch.column(2).to_numpy())))
+            lists = batch.column(1)
             sizes = lists.value_lengths().to_numpy()
             flat = lists.flatten().to_numpy()
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             maybe = marked(token_bits, (flat.view(np.uint64) >> np.uint64(shift)).astype(np.int64))
-            owner, at, flat = owner[maybe], at[maybe], flat[maybe]
-            n = batch.column(1).to_numpy()[owner]
-            level = np.maximum(1, at - (n - need(n, percent) + 1) + 2)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(owner)), pa.array(flat, pa.int64()), pa.array(level, pa.int32())], names=["node", "token", "level"])
+            owner, flat = owner[maybe], flat[maybe]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(flat, pa.int64())], names=["node", "token"])
 
-    return table.select(F.col("doc_id").alias("node"), "n", "prefix", cell).mapInArrow(run, "node long, token long, level int")
+    return table.select("node", "prefix", cell).mapInArrow(run, "node long, token long")
 
 
 def _overlap_bound(a: str, b: str) -> Column:
@@ -338,10 +350,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, wides: DataFrame, k: int, percent: int, label: str) -> DataFrame:
-    """The pairs whose sets link, written."""
+def _verified(docs: DataFrame, pairs: DataFrame, table: DataFrame, wides: DataFrame, k: int, percent: int, label: str) -> DataFrame:
+    """The pairs whose sets link, written; table has the documents of the nodes."""
     pairs = written(_narrowed(pairs, wides, percent), "pairs")
-    nodes = written(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = written(table.select("node", "doc_id", "signature", "signature2").join(nodes, "node"), "pair-nodes")
     if not nodes.head(1):
         return pairs
     sets = written(_candidate_sets(docs, nodes, k), "sets")
@@ -351,9 +364,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, wides: DataFrame, k: int, perce
 def _candidate_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node and shingles of the documents that stand in candidate pairs; sets are built again from the text, whole.
 
-    A bitmap of the nodes picks the documents where they are read, so no text moves. A document it lets through needlessly does no harm.
+    A bitmap of their doc_ids picks the documents where they are read, so no text moves; the set's signature tells apart texts that share
+    a doc_id, and those that the bitmap lets through needlessly go.
     """
-    cell, node_bits = _node_cells(nodes)
+    cell, node_bits = _node_cells(nodes.select(F.col("doc_id").alias("node")))
     filled = docs.sparkSession.sparkContext.broadcast(node_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,10 +375,15 @@ def _candidate_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(marked(bits, batch.column(2).to_numpy())))
             sets = [x.view(np.int64) for x in shingle_sets(batch.column(1).to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            signatures = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64) for x in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(signatures[:, 0]), pa.array(signatures[:, 1]), pa.array(sets, pa.list_(pa.int64()))],
+                names=["_doc_id", "_signature", "_signature2", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null").select("node", "text", cell)
-    return texts.mapInArrow(run, "node long, shingles array<long>")
+    sets = texts.mapInArrow(run, "_doc_id long, _signature long, _signature2 long, shingles array<long>")
+    same = (F.col("doc_id") == F.col("_doc_id")) & (F.col("signature") == F.col("_signature")) & (F.col("signature2") == F.col("_signature2"))
+    return sets.join(nodes, same).select("node", "shingles").dropDuplicates(["node"])
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -390,63 +409,100 @@ def components(links: DataFrame, label: str) -> DataFrame:
         edges = written(small, label)
 
 
+def _mixed_lists(listed: DataFrame, groups: DataFrame) -> DataFrame:
+    """token, size, largest group and apart, the number of pairs across groups, of the lists that hold several groups; written."""
+    rows = listed.where("size > 2").select("token", "node").join(groups, "node", "left").select("token", F.coalesce("component", "node").alias("component"))
+    by_group = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("members"))
+    return written(by_group.groupBy("token").agg(
+        F.max_by("component", F.struct("members", "component")).alias("largest"), F.count(F.lit(1)).alias("groups"), F.sum("members").alias("size"),
+        ((F.sum("members") * F.sum("members") - F.sum(F.col("members") * F.col("members"))) / 2).alias("apart")).where("groups > 1").drop("groups"), "mixed")
+
+
 def similar_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (columns doc_id and text are read).
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles; a document of fewer words is one
     shingle; one without words or text has an empty set and stays alone. component_id is the smallest doc_id reachable by links.
-    Rows that repeat a doc_id are one document; where their texts differ, one of them stands for all in links. Rows with a null doc_id take no part in links: their component is
+    Rows that repeat a doc_id are linked each by its own text. Rows with a null doc_id take no part in links: their component is
     null. An empty table gives no rows.
     """
+    return _grouped(docs, k, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n, component_id and chosen, whether the row's set is the one that stands for its component, of every row."""
     table = prefixes(docs, k, percent)
     some = table.where("n > 0 and doc_id is not null")
-    # Equal sets are one node, the smallest of their documents.
-    classes = written(some.groupBy("signature", "n").agg(F.min("doc_id").alias("node")), "classes")
-    tokens = written(_postings(some, classes.select("node"), percent), "tokens")
+    # Equal sets are one node, a row of theirs.
+    classes = written(some.groupBy(*SET).agg(F.min("node").alias("node"), F.min("doc_id").alias("first")), "classes")
+    tokens = written(_postings(some, classes.select("node")), "tokens")
     # Written before it is joined: a frequent token is a skewed key, which adaptive execution splits only between two plain shuffles.
-    shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1"), "shared")
+    shared = written(_lists(tokens), "shared")
     listed = written(tokens.join(shared, "token"), "listed")
-    marks = written(some.join(listed.select(F.col("node").alias("_node")).distinct(), F.col("doc_id") == F.col("_node"), "left_semi")
-                    .groupBy(F.col("doc_id").alias("node")).agg(F.min(F.struct("signature", "n", "matches", *[
-                        F.col("bitmap")[i].alias(f"b{i}") for i in range(BITMAP_WORDS)])).alias("m")).select("node", "m.*").drop("signature"), "marks")
+    marks = written(some.join(listed.select("node").distinct(), "node", "left_semi").select("node", "n", "matches", *[
+        F.col("bitmap")[i].alias(f"b{i}") for i in range(BITMAP_WORDS)]), "marks")
 
     def marked_as(name: str) -> DataFrame:
         return marks.select(F.struct(*[c for c in marks.columns]).alias(name))
 
+    def checked(pairs: DataFrame) -> DataFrame:
+        return (pairs.distinct().join(marked_as("x"), F.col("a") == F.col("x.node")).join(marked_as("y"), F.col("b") == F.col("y.node"))
+                .where(_may_link("x", "y", percent)).select("a", "b"))
+
     # First round: every document and the leader of each of its lists, each pair once.
-    first = listed.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    first = (first.join(marked_as("x"), F.col("a") == F.col("x.node")).join(marked_as("y"), F.col("b") == F.col("y.node"))
-             .where(_may_link("x", "y", percent)).select("a", "b"))
-    wides = some.where("size(wide) > 0").select(F.col("doc_id").alias("node"), "n", "wide").dropDuplicates(["node"])
+    first = checked(listed.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    wides = some.where("size(wide) > 0").select("node", "n", "wide")
     wides = written(wides.join(marks.select("node"), "node", "left_semi"), "wide-bitmaps")
-    links = _verified(docs, first, wides, k, percent, "first-links")
+    links = _verified(docs, first, some, wides, k, percent, "first-links")
     groups = components(links, "first-groups")
 
-    # Second round: lists that still hold several groups. A pair with the list's leader has been decided, so a list of two has too.
-    grouped = listed.where("size > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    grouped = written(grouped.drop("size"), "grouped-lists")
-    by_group = grouped.groupBy("token", "component").agg(F.count(F.lit(1)).alias("members"))
-    mixed_lists = written(by_group.groupBy("token").agg(
-        F.max_by("component", F.struct("members", "component")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups"), "mixed")
-    rest = written(grouped.join(mixed_lists, "token").where("node <> leader").drop("leader").join(marks, "node"), "mixed-lists")
+    # Rounds of leaders picked anew: every list is dealt into short ones, whose members meet one of them.
+    for turn in range(MOST_TURNS):
+        mixed = _mixed_lists(listed, groups)
+        # Lists of a few groups are left to the last round: as many pairs as postings, or so, is no growth.
+        left = mixed.agg(F.sum("apart"), F.sum("size")).first()
+        if not left[0] or left[0] <= PAIRS_PER_POSTING * left[1]:
+            break
+        rows = written(listed.select("node", "token").join(mixed.select("token", "size"), "token").join(groups, "node", "left").select(
+            "token", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("size") / SHORT_LIST)).alias("part"), "node",
+            F.coalesce("component", "node").alias("component")), "short-lists")
+        heads = rows.groupBy("token", "part").agg(F.max_by(F.struct("node", "component"), F.xxhash64("node", F.lit(-1 - turn))).alias("head"))
+        met = rows.join(heads, ["token", "part"]).where(F.col("component") != F.col("head.component"))
+        new = _verified(docs, checked(met.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))), some, wides, k, percent, "turn-links")
+        if not new.head(1):
+            break
+        links = links.unionAll(new)
+        groups = components(links, "turn-groups")
+
+    # Last round: lists that still hold several groups. A pair with the list's leader has been decided, so a list of two has too.
+    mixed = _mixed_lists(listed, groups).select("token", "largest")
+    rest = listed.drop("size").join(mixed, "token").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = written(rest.where("node <> leader").drop("leader").join(marks, "node"), "mixed-lists")
     outside, whole = rest.where("component <> largest"), rest
     # A pair of two outsiders comes up from both sides and is kept once.
     once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
     matched = F.least("x.matches", "y.matches")
     across = (outside.alias("x").join(whole.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component"))
-                                      & once & (F.greatest("x.level", "y.level") <= matched) & _may_link("x", "y", percent))
+                                      & once & _may_link("x", "y", percent))
               .groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-              .agg(F.count(F.lit(1)).alias("common"), F.min(matched).alias("l")).where("common >= l").select("a", "b"))
-    second = _verified(docs, written(across, "second-pairs"), wides, k, percent, "second-links")
+              .agg(F.sum("x.weight").alias("common"), F.min(matched).alias("l")).where("common >= l").select("a", "b"))
+    second = _verified(docs, written(across, "second-pairs"), some, wides, k, percent, "second-links")
     final = components(links.unionAll(second), "groups")
 
-    labels = classes.withColumnRenamed("n", "_n").join(final, "node", "left").select(
-        "signature", "_n", F.coalesce("component", "node").alias("component_id"))
-    found = table.join(labels, (table.signature == labels.signature) & (table.n == labels._n) & (table.n > 0) & table.doc_id.isNotNull(), "left")
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = written(classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    least = named.groupBy("component").agg(F.min(F.struct("first", "node")).alias("least"))
+    labels = written(named.join(least, "component").select(*[F.col(c).alias(f"_{c}") for c in SET], F.col("least.first").alias("component_id"), (
+        F.col("node") == F.col("least.node")).alias("chosen")), "labels")
+    same = [F.col(c) == F.col(f"_{c}") for c in SET] + [F.col("n") > 0, F.col("doc_id").isNotNull()]
+    found = table.join(labels, reduce(lambda x, y: x & y, same), "left")
+    return found.select("doc_id", "text_hash", "n", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("chosen", F.lit(True)).alias("chosen"))
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one of smallest doc_id. All columns stay."""
-    dropped = similar_components(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct()
-    return without_listed(docs, F.col("doc_id").cast("long"), written(dropped, "dropped"))
+    """docs with one document of each group of near duplicates, the one of smallest doc_id; of texts that share it, one. All columns stay.
+
+    Rows with a null doc_id, and those without words, stay. Rows equal in doc_id and text stay or go together.
+    """
+    gone = _grouped(docs, k, percent).where((F.col("doc_id") != F.col("component_id")) | ~F.col("chosen"))
+    keys = gone.select(F.struct("doc_id", "text_hash").alias("key")).distinct()
+    return without_listed(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")), written(keys, "dropped"))

@@ -182,6 +182,59 @@ def test_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3] and kept.columns == docs_of(spark, []).columns
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    text = " ".join(f"w{i % 11}" for i in range(40))
+    odd = [(1, text), (1, text), (2, None), (None, text + " y"), (None, None), (3, ""), (4, "  "), (5, "one of a kind"), (5, "and one more"), (6, LONG)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 9)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (odd, []):
+        docs = docs_of(spark, rows).withColumnsRenamed({"size": "_cell", "node": "_key"}).withColumns({"_copies": F.lit(1), "_rows": F.lit("r"), "_place": F.lit(2.5)})
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert after.columns == docs.columns and (rows or after.count() == 0)
+            if name == "exact_duplicates" and rows:
+                assert sorted((r["doc_id"], r["text"] or "") for r in after.where("doc_id is not null").collect()) == [
+                    (1, text), (4, "  "), (5, "and one more"), (5, "one of a kind"), (6, LONG)] or after.count() == 7
+            if name == "packing":
+                assert after.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_copies_of_rows_that_share_a_doc_id_do_not_depend_on_their_order(spark):
+    rows = [(1, "a b c d", "s"), (1, "a b c e", "s"), (2, "x y", "t"), (3, "z", None)]
+    got = [sorted((r["doc_id"], r["text"]) for r in mixing.mixed_documents(docs_of(spark, rows[::step]).repartition(4)).collect()) for step in (1, -1)]
+    assert got[0] == got[1] and got[0]
+
+
+def test_texts_that_share_a_doc_id_are_told_apart(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " more"), (2, "all of this is another text"), (3, "a last one of its own"), (3, "a last one of its own"), (3, None)]
+    docs = docs_of(spark, rows).withColumnsRenamed({"size": "_cell", "node": "_key", "lang": "text_hash"})
+    kept = jaccard.one_of_each_group(docs)
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted((i, t or "") for i, t in (rows[0], *rows[2:]))
+    assert kept.columns == docs.columns
+    same = docs_of(spark, [(5, text), (5, text + " more"), (9, text + " more")])
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each_group(same).collect()) == [5]
+    got = jaccard.similar_components(docs_of(spark, rows), 5, 80).collect()
+    assert sorted(r["component_id"] for r in got) == [1, 1, 2, 3, 3, 3]
+
+
+def test_many_near_copies_that_differ_from_their_leader(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for at in rng.sample(range(60), rng.randrange(4)):
+            own[at] = f"v{rng.randrange(30)}"
+        rows.append((i, " ".join(own)))
+    want = brute_components(rows, 5, 80)
+    assert len({w[2] for w in want}) > 3
+    for turns in (0, 3):
+        monkeypatch.setattr(jaccard, "MOST_TURNS", turns)
+        assert sorted(tuple(r) for r in jaccard.similar_components(docs_of(spark, rows), 5, 80).collect()) == want
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in jaccard.components(links, "path").collect()}
