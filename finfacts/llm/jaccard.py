@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.llm.shared import bitmap, give_token_memory_back, marked, without_listed, written
+from finfacts.llm.shared import bitmap, give_token_memory_back, marked, split_by, without_listed, written
 
 #: Longest lengthening of a prefix, and what verifying a candidate costs against reading one posting.
 MOST_MATCHES = 8
@@ -34,7 +34,7 @@ CELLS_PER_NODE, MOST_CELLS = 32, 1 << 29
 #: log2 of the cells of one segment of the bitmap of repeated tokens.
 SEGMENT_BITS = 20
 #: Members of a list that meet one leader in a turn, most turns, and pairs for each posting that are left to the last round.
-SHORT_LIST, MOST_TURNS, PAIRS_PER_POSTING = 8, 3, 2
+SHORT_LIST, MOST_TURNS, PAIRS_PER_POSTING = 8, 2, 2
 #: Bytes of text hashed at a time.
 PIECE_BYTES = 1 << 18
 
@@ -268,11 +268,10 @@ def _lists(tokens: DataFrame) -> DataFrame:
     """token, weight, size and leader (smallest node) of every list of nodes that share a token, one for each set of nodes.
 
     A passage that the same documents hold gives one list for each of its tokens; the smallest of these tokens stands for all, and weight
-    is their number. Sets of nodes are told apart by size, smallest node and two 64-bit sums of hashes.
+    is their number. Sets of nodes are told apart by size, smallest node and a 64-bit sum of their hashes.
     """
-    by_token = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"), *[
-        F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"set{i}") for i in range(2)]).where("size > 1")
-    return by_token.groupBy("size", "leader", "set0", "set1").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).drop("set0", "set1")
+    by_token = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("nodes")).where("size > 1")
+    return by_token.groupBy("size", "leader", "nodes").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).drop("nodes")
 
 
 def _node_cells(nodes: DataFrame) -> tuple[Column, np.ndarray]:
@@ -438,7 +437,9 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     tokens = written(_postings(some, classes.select("node")), "tokens")
     # Written before it is joined: a frequent token is a skewed key, which adaptive execution splits only between two plain shuffles.
     shared = written(_lists(tokens), "shared")
-    listed = written(tokens.join(shared, "token"), "listed")
+    # A bitmap leaves out most postings, whose token no list is named after, where they are.
+    _, named_after = split_by(tokens, F.col("token"), shared.select("token"))
+    listed = written(named_after.join(shared, "token"), "listed")
     marks = written(some.join(listed.select("node").distinct(), "node", "left_semi").select("node", "n", "matches", *[
         F.col("bitmap")[i].alias(f"b{i}") for i in range(BITMAP_WORDS)]), "marks")
 
