@@ -88,7 +88,11 @@ def is_other_income(label: ColumnOrName) -> Column:
 
 def metric_from_row(text: ColumnOrName) -> Column:
     """Metric family of a statement row by its words, NULL for rejected or unknown rows."""
-    low = squeeze(text)
+    return metric_from_squeezed(squeeze(text))
+
+
+def metric_from_squeezed(low: Column) -> Column:
+    """:func:`metric_from_row` of a text that is lower case with single blanks already."""
     found = F.coalesce(R.first_match(low, R.ROW_METRIC_RULES), R.first_match(low, R.ROW_ALIAS_RULES))
     return F.when(~R.match_any(low, R.ROW_REJECT), found)
 

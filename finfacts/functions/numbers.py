@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -55,25 +55,36 @@ def number_or_zero(c: ColumnOrName) -> Column:
     return F.coalesce(as_col(c).try_cast("double"), F.lit(0.0))
 
 
-def exact_sum(c: ColumnOrName) -> Column:
-    """Sum whose result does not depend on partition order: added as decimals, returned as double.
-
-    What six decimals leave of an addend is added up apart, to twelve decimals.  Values of 1e24 and more, infinity and
-    NaN are added as doubles.
-    """
+def exact_addends(c: ColumnOrName) -> tuple[Column, Column, Column]:
+    """What :func:`exact_total` puts together once each is summed: the value as a decimal, what that leaves, and huge values."""
     col = as_col(c).cast("double")
     small = F.when(F.abs(col) < HUGE, col)
     whole = small.cast("decimal(32,6)")
     rest = ((small - whole.cast("double")) * 1e6).cast("decimal(32,6)")
-    exact = F.sum(whole).cast("double") + F.sum(rest).cast("double") / 1e6
-    huge = F.sum(F.when(~(F.abs(col) < HUGE), col))
+    return whole, rest, F.when(~(F.abs(col) < HUGE), col)
+
+
+def exact_total(whole: Column, rest: Column, huge: Column) -> Column:
+    """The sums of :func:`exact_addends` as one double."""
+    exact = whole.cast("double") + rest.cast("double") / 1e6
     return F.when(huge.isNull(), exact).otherwise(huge + F.coalesce(exact, zero()))
 
 
-def exact_mean(c: ColumnOrName) -> Column:
+def exact_sum(c: ColumnOrName, over: WindowSpec | None = None) -> Column:
+    """Sum whose result does not depend on partition order: added as decimals, returned as double.
+
+    What six decimals leave of an addend is added up apart, to twelve decimals.  Values of 1e24 and more, infinity and
+    NaN are added as doubles.  With ``over`` it is a sum over a window.
+    """
+    sums = [F.sum(p) for p in exact_addends(c)]
+    return exact_total(*[s if over is None else s.over(over) for s in sums])
+
+
+def exact_mean(c: ColumnOrName, over: WindowSpec | None = None) -> Column:
     """Mean of the non-null values, order independent like :func:`exact_sum`."""
     col = as_col(c)
-    return safe_div(exact_sum(col), F.count(col).cast("double"))
+    n = F.count(col)
+    return safe_div(exact_sum(col, over), (n if over is None else n.over(over)).cast("double"))
 
 
 # Marks stripped from amounts, and the shape of a numeric prefix.

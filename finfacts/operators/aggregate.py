@@ -203,7 +203,7 @@ def top_share(groups: DataFrame, n: int, pool: int, keys: Keys = ()) -> DataFram
     top = top_groups(groups, pool, keys, rank="rank")
     total = F.col("value1") + F.col("value2")
     top = top.withColumn("_largest", F.greatest(F.max(total).over(w), F.lit(1.0))).where(F.col("rank") <= n)
-    pie = F.sum(F.col("value1").cast("decimal(32,6)")).over(w).cast("double")
+    pie = exact_sum("value1", w)
     share = F.when(pie > 0, js_round(F.col("value1") / pie * 100.0)).otherwise(zero())
     scale = F.when(total > 0, js_round(total / F.col("_largest") * 100.0, 2)).otherwise(zero())
     return top.withColumns({"share_pct": share, "scale_pct": scale}).drop("_largest")

@@ -2,26 +2,26 @@
 
 A grid is one row: document keys, page_number, table_index and ``rows``, an array of string arrays.
 Work that looks at one table alone stays inside that row as array expressions and needs no shuffle;
-only the choice of a document's income statement and of a table's revenue row moves data.
+only the choice of a document's income statement moves data.  Each way of reading adds one array of
+candidates to the grid, so a grid is gone through once whatever way it is read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels, lines, money, periods
 from ..functions import rules as R
 from ..functions.numbers import parse_ledger_number
-from .frames import Keys, rows_with, with_totals
+from .frames import Keys, rows_with, settled, with_totals
 
 TABLE = ("page_number", "table_index")
 
-# The year a table without any is counted back from, and how sure each way of reading is.
-DEFAULT_BASE_YEAR = 2023
+# How sure each way of reading is.
 CONFIDENCE = {
     "revenue": (0.95, 0.8),
     "other": (0.9, 0.7),
@@ -103,31 +103,33 @@ def _header_years(row: Column) -> Column:
     return F.filter(F.transform(row, year), lambda y: y["year"].isNotNull())
 
 
-def year_columns(df: DataFrame, base_year: int = DEFAULT_BASE_YEAR) -> DataFrame:
-    """Add ``header_row`` and ``years`` (array of col, year) to each grid.
+def year_columns(df: DataFrame, base_year: int | None = None) -> DataFrame:
+    """Add ``header_row``, ``years`` (array of col, year) and ``years_from`` to each grid.
 
-    The header is the row with most years, the first of those.  Without any, the first column is taken as
-    labels and the others as years counting back from the latest year the table names, else from ``base_year``.
+    The header is the row with most years, the first of those (``years_from`` header).  Without any, the first column is
+    taken as labels and the others as years counting back from the latest year the table names (named).  A table that names
+    no year has none, or counts back from ``base_year`` where one is given (assumed); facts of such years are never valid.
     """
     found = F.transform("rows", lambda row, i: F.struct(_header_years(row).alias("years"), i.alias("at")))
     ranked = F.transform(
         found, lambda f: F.struct(F.size(f["years"]).alias("n"), (-f["at"]).alias("first"), f["years"].alias("years"))
     )
-    out = df.withColumn("_best", F.array_max(ranked))
-    width = F.array_max(F.transform("rows", lambda r: F.size(r)))
+    # Every form of a year holds two digits in a row; a table without any is not looked at cell by cell.
+    blob = table_text(F.col("rows"))
+    out = df.withColumns({"_blob": blob, "_width": F.array_max(F.transform("rows", lambda r: F.size(r)))})
     named = F.transform(
-        F.regexp_extract_all(table_text(F.col("rows")), F.lit(r"\b(20[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int")
+        F.regexp_extract_all("_blob", F.lit(r"\b(20[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int")
     )
-    base = F.coalesce(F.array_max(named), F.lit(base_year))
-    out = out.withColumns({"_width": width, "_base": base})
+    out = out.withColumns({"_best": F.when(F.col("_blob").rlike("[0-9][0-9]"), F.array_max(ranked)), "_named": F.array_max(named)})
+    out = settled(out.withColumn("_base", F.coalesce("_named", F.lit(base_year))))
     counted = F.when(
-        F.col("_width") > 1,
+        (F.col("_width") > 1) & F.col("_base").isNotNull(),
         F.transform(
             F.sequence(F.lit(1), F.greatest(F.col("_width") - 1, F.lit(1))),
             lambda i: F.struct(i.alias("col"), (F.col("_base") - i + 1).cast("string").alias("year")),
         ),
     )
-    has_header = F.col("_best.n") > 0
+    has_header = F.coalesce(F.col("_best.n") > 0, F.lit(False))
     years = F.filter(
         F.when(has_header, F.col("_best.years")).otherwise(counted), lambda y: periods.valid_year(y["year"])
     )
@@ -136,8 +138,9 @@ def year_columns(df: DataFrame, base_year: int = DEFAULT_BASE_YEAR) -> DataFrame
         {
             "header_row": F.when(has_header, -F.col("_best.first")).otherwise(0),
             "years": F.coalesce(years, empty),
+            "years_from": F.when(has_header, "header").when(F.col("_named").isNotNull(), "named").otherwise("assumed"),
         }
-    ).drop("_best", "_width", "_base")
+    ).drop("_best", "_width", "_base", "_blob", "_named")
 
 
 def _context(df: DataFrame, first_rows: Column | int) -> DataFrame:
@@ -155,7 +158,43 @@ def _by_level(pair: tuple[float, float]) -> Column:
     return F.when(F.col("level") == "consolidated", pair[0]).otherwise(pair[1])
 
 
-def _candidates(df: DataFrame, keys: Keys, method: str, is_valid: Column, confidence: Column,
+#: A candidate as the readings give it, before units.
+ITEM = "struct<metric:string,period:string,amount:double,confidence:double,raw:string>"
+
+
+def _items(rows: Column, of: Callable[[Column], Column]) -> Column:
+    """The candidates of all rows, each row giving an array of them."""
+    return F.flatten(F.transform(rows, of)).cast(f"array<{ITEM}>")
+
+
+def _item(metric: Column, period: Column, amount: Column, confidence: Column, raw: Column | None = None) -> Column:
+    return F.struct(metric.alias("metric"), period.alias("period"), amount.alias("amount"), confidence.alias("confidence"),
+                    (F.lit("") if raw is None else raw).alias("raw"))
+
+
+def _facts(df: DataFrame, keys: Keys, items: str) -> DataFrame:
+    """The candidates of one array per grid, in crore.
+
+    Validity asks for 1000 or more: of the value in tables, of the printed amount in statement lines, and more than 0 for
+    EPS of transposed tables.  Amounts under assumed years are not valid.
+    """
+    out = df.select(
+        *keys, "unit_in", "level", _currency(df).alias("currency"), "page_number", F.col("_path"),
+        F.coalesce(F.col("years_from") == "assumed", F.lit(False)).alias("_assumed"), F.inline(items),
+    )
+    value = money.to_crore("amount", "unit_in")
+    columnar, by_line = F.col("_path") == "columnar", F.col("_path") == "row"
+    valid = (
+        F.when(by_line, F.col("amount") > SMALLEST_VALID)
+        .when((F.col("_path") == "transposed") & (F.col("metric") == "eps"), F.col("amount") > 0)
+        .otherwise(value >= SMALLEST_VALID)
+    )
+    counted = columnar & F.col("_assumed")
+    method = F.when(by_line, "pdf_row_parser").when(counted, "assumed_years").otherwise("rule")
+    return _candidates(out, keys, method, valid & ~counted, F.col("confidence"), F.col("currency"), F.col("raw"))
+
+
+def _candidates(df: DataFrame, keys: Keys, method: Column, is_valid: Column, confidence: Column,
                 currency: Column, raw: Column) -> DataFrame:
     """Rows with metric, period, amount, unit_in, level and page_number in the candidate layout."""
     return df.select(
@@ -169,7 +208,7 @@ def _candidates(df: DataFrame, keys: Keys, method: str, is_valid: Column, confid
         currency.alias("currency"),
         F.col("page_number").alias("source_page"),
         is_valid.alias("is_valid"),
-        F.lit(method).alias("extraction_method"),
+        method.alias("extraction_method"),
         confidence.alias("confidence"),
         raw.alias("raw"),
     )
@@ -182,73 +221,77 @@ def _currency(df: DataFrame) -> Column:
 # --- columnar tables: years across, metrics down ------------------------------------------------------
 
 
-def columnar_facts(df: DataFrame, keys: Keys = ("company", "source_file")) -> DataFrame:
+def columnar_facts(df: DataFrame, keys: Keys = ("company", "source_file"), base_year: int | None = None) -> DataFrame:
     """Candidates of tables with years as columns.
 
     One revenue row per table: the best ranked one with two amounts, else the first row with two
     amounts.  Every other row that names a metric gives its amounts too.
     """
-    grids = df if "years" in df.columns else year_columns(df)
-    grids = _context(grids, F.greatest(F.lit(3), F.col("header_row") + 1))
-    table = [*keys, *TABLE]
-    rows = grids.where(F.size("years") > 0).select(
-        *table, "years", "header_row", "unit_in", "level", _currency(df).alias("currency"),
-        F.posexplode("rows").alias("row", "_cells"),
-    )
-    rows = rows.where((F.col("row") != F.col("header_row")) & (row_text(F.col("_cells")) != ""))
-    rows = rows.withColumn("_text", row_text(F.col("_cells")))
-    low = labels.squeeze("_text")
-    rows = rows.withColumns({"_low": low, "_is_revenue": labels.is_revenue_row("_text")})
-    banned = R.match_any(F.col("_low"), ["comprehensive income", "exceptional"])
-    by_words = labels.metric_from_row("_text")
-    other = F.when(~banned & ~F.col("_is_revenue"), F.nullif(by_words, F.lit("revenue")))
-
-    # Cells are picked, parsed and tested once per row; the two readings only differ in the size they ask for.
-    picked = F.transform(
-        "years", lambda y: F.struct(y["year"].alias("year"), cell_at(F.col("_cells"), y["col"]).alias("cell"))
-    )
-    rows = rows.withColumns({"_other": other, "_picked": picked})
-    read = F.transform(
-        F.filter("_picked", lambda p: (p["cell"] != "") & lines.plain_amount(p["cell"])),
-        lambda p: F.struct(p["year"].alias("year"), parse_ledger_number(p["cell"]).alias("amount")),
-    )
-    rows = rows.withColumn("_read", read)
-    rows = rows.withColumns(
-        {
-            "_as_revenue": F.filter("_read", lambda a: a["amount"] >= SMALLEST_VALID),
-            "_as_other": F.filter("_read", lambda a: lines.large_enough(a["amount"], F.coalesce("_other", F.lit("")))),
-        }
-    )
-    candidate = (
-        F.col("_is_revenue") & ~banned & ~F.col("_low").contains("%")
-        & ~F.col("_low").contains("amount (k in crore)") & (F.size("_as_revenue") >= 2)
+    grids = df if "years" in df.columns else year_columns(df, base_year)
+    grids = _context(grids.where(F.size("years") > 0), _columnar_opening())
+    return _facts(_with_columnar(grids.withColumn("_path", F.lit("columnar")), F.col("rows")), keys, "_columnar")
+
+
+def _columnar_opening() -> Column:
+    return F.greatest(F.lit(3), F.col("header_row") + 1)
+
+
+def _with_columnar(df: DataFrame, rows: Column) -> DataFrame:
+    """Add ``_columnar``, the candidates of ``rows`` under the grid's years; each step reads the fields of the one before."""
+    lines_ = F.filter(
+        F.transform(rows, lambda r, i: F.struct(i.alias("row"), r.alias("cells"), row_text(r).alias("text"))),
+        lambda x: (x["row"] != F.col("header_row")) & (x["text"] != ""),
     )
-    score = labels.revenue_priority("_text") * 10 - labels.revenue_boost(F.get("_cells", 0), "_text")
-    w = W.partitionBy(*table)
-    best = F.min(F.when(candidate, F.struct(score.alias("score"), F.col("row")))).over(w)["row"]
-    fallback = F.min(F.when(F.size("_as_revenue") >= 2, F.col("row"))).over(w)
-    rows = rows.withColumn("_revenue_row", F.coalesce(best, fallback))
+    df = settled(df.withColumn("_lines", lines_))
+
+    def picked(cells: Column) -> Column:
+        return F.transform("years", lambda y: F.struct(y["year"].alias("year"), cell_at(cells, y["col"]).alias("cell")))
 
-    def tagged(source: str, metric: Column, pair: tuple[float, float]) -> Column:
+    def amounts(cells: Column) -> Column:
         return F.transform(
-            source,
-            lambda a: F.struct(
-                metric.alias("metric"), a["year"].alias("period"), a["amount"].alias("amount"),
-                _by_level(pair).alias("confidence"),
-            ),
+            F.filter(picked(cells), lambda p: (p["cell"] != "") & lines.plain_amount(p["cell"])),
+            lambda p: F.struct(p["year"].alias("year"), parse_ledger_number(p["cell"]).alias("amount")),
         )
 
-    none = F.array().cast("array<struct<metric:string,period:string,amount:double,confidence:double>>")
-    chosen = F.col("row") == F.col("_revenue_row")
-    facts = F.concat(
-        F.when(chosen, tagged("_as_revenue", F.lit("revenue"), CONFIDENCE["revenue"])).otherwise(none),
-        F.when(F.col("_other").isNotNull(), tagged("_as_other", F.col("_other"), CONFIDENCE["other"])).otherwise(none),
-    )
-    out = rows.select(*table, "unit_in", "level", "currency", F.explode(facts).alias("_f")).select(
-        *table, "unit_in", "level", "currency", "_f.*"
-    )
-    valid = money.to_crore("amount", "unit_in") >= SMALLEST_VALID
-    return _candidates(out, keys, "rule", valid, F.col("confidence"), F.col("currency"), F.lit(""))
+    read = F.transform("_lines", lambda x: F.struct(
+        x["row"].alias("row"), F.get(x["cells"], F.lit(0)).alias("first"), x["text"].alias("text"), labels.squeeze(x["text"]).alias("low"),
+        amounts(x["cells"]).alias("amounts")))
+    # A row without amounts gives nothing, so its words are not looked at.
+    df = settled(df.withColumn("_lines", F.filter(read, lambda x: F.size(x["amounts"]) > 0)))
+    df = df.withColumn("_lines", F.transform("_lines", lambda x: F.struct(
+        x["row"].alias("row"), x["first"].alias("first"), x["text"].alias("text"), x["low"].alias("low"), x["amounts"].alias("amounts"),
+        labels.is_revenue_row(x["text"]).alias("is_revenue"), labels.metric_from_squeezed(x["low"]).alias("named"),
+        R.match_any(x["low"], ["comprehensive income", "exceptional"]).alias("banned"),
+        F.filter(x["amounts"], lambda a: a["amount"] >= SMALLEST_VALID).alias("large"))))
+    df = settled(df)
+
+    def candidate(x: Column) -> Column:
+        return (
+            x["is_revenue"] & ~x["banned"] & ~x["low"].contains("%") & ~x["low"].contains("amount (k in crore)")
+            & (F.size(x["large"]) >= 2)
+        )
+
+    def scored(x: Column) -> Column:
+        score = labels.revenue_priority(x["text"]) * 10 - labels.revenue_boost(x["first"], x["text"])
+        return F.struct(score.alias("score"), x["row"].alias("row"))
+
+    best = F.array_min(F.transform(F.filter("_lines", candidate), scored))["row"]
+    fallback = F.array_min(F.transform(F.filter("_lines", lambda x: F.size(x["large"]) >= 2), lambda x: x["row"]))
+    df = df.withColumn("_revenue_row", F.coalesce(best, fallback))
+    df = df.withColumn("_lines", F.transform("_lines", lambda x: F.struct(
+        x["row"].alias("row"), x["amounts"].alias("amounts"), x["large"].alias("large"),
+        F.when(~x["banned"] & ~x["is_revenue"], F.nullif(x["named"], F.lit("revenue"))).alias("other"))))
+    df = settled(df)
+    none = F.array().cast(f"array<{ITEM}>")
+
+    def facts(x: Column) -> Column:
+        revenue = F.transform(x["large"], lambda a: _item(F.lit("revenue"), a["year"], a["amount"], _by_level(CONFIDENCE["revenue"])))
+        other = F.transform(
+            F.filter(x["amounts"], lambda a: lines.large_enough(a["amount"], x["other"])),
+            lambda a: _item(x["other"], a["year"], a["amount"], _by_level(CONFIDENCE["other"])))
+        return F.concat(F.when(x["row"] == F.col("_revenue_row"), revenue).otherwise(none), F.when(x["other"].isNotNull(), other).otherwise(none))
+
+    return df.withColumn("_columnar", _items(F.col("_lines"), facts)).drop("_lines", "_revenue_row")
 
 
 # --- transposed tables: years down, metrics across ----------------------------------------------------
@@ -279,10 +322,19 @@ def transposed_header(df: DataFrame) -> DataFrame:
 def transposed_facts(df: DataFrame, keys: Keys = ("company", "source_file")) -> DataFrame:
     """Candidates of tables with one year per row; of several revenue columns the best ranked one counts."""
     grids = df if "label_row" in df.columns else transposed_header(df)
-    grids = _context(grids.where(F.col("label_row").isNotNull()), F.greatest(F.lit(3), F.col("label_row") + 1))
-    header = F.get("rows", F.col("label_row"))
+    grids = _context(grids.where(F.col("label_row").isNotNull()), _transposed_opening())
+    grids = grids.withColumns({"_path": F.lit("transposed"), "years_from": F.lit("header")})
+    return _facts(_with_transposed(grids, F.col("rows")), keys, "_transposed")
+
+
+def _transposed_opening() -> Column:
+    return F.greatest(F.lit(3), F.col("label_row") + 1)
+
+
+def _with_transposed(df: DataFrame, rows: Column) -> DataFrame:
+    """Add ``_transposed``, the candidates of ``rows`` under the labels of the grid's label row."""
     cols = F.transform(
-        header,
+        F.get(rows, F.col("label_row")),
         lambda h, j: F.struct(
             j.alias("col"),
             F.trim(F.regexp_replace(h, r"\s+", " ")).alias("label"),
@@ -293,29 +345,29 @@ def transposed_facts(df: DataFrame, keys: Keys = ("company", "source_file")) ->
         cols,
         lambda c: (c["col"] > 0) & c["metric"].isNotNull() & ~F.lower(c["label"]).isin("", "%", "₹", "rs.", "rs"),
     )
-    grids = grids.withColumn("_cols", cols)
+    df = df.withColumn("_cols", cols)
     ranked = F.transform(
         F.filter("_cols", lambda c: c["metric"] == "revenue"),
         lambda c: F.struct(labels.revenue_priority(c["label"]).alias("rank"), c["col"].alias("col")),
     )
-    grids = grids.withColumn("_revenue_col", F.array_min(ranked)["col"])
-    rows = grids.select(
-        *keys, *TABLE, "label_row", "unit_in", "level", "_cols", "_revenue_col", _currency(df).alias("currency"),
-        F.posexplode("rows").alias("row", "_cells"),
-    ).where(F.col("row") != F.col("label_row"))
-    rows = rows.withColumn("period", periods.period_of_fy_cell(cell_at(F.col("_cells"), F.lit(0))))
-    cells = rows.select(*keys, *TABLE, "unit_in", "level", "currency", "period", "_revenue_col", "_cells",
-                        F.explode("_cols").alias("_c"))
-    cells = cells.select(
-        *keys, *TABLE, "unit_in", "level", "currency", "period", "_revenue_col", F.col("_c.col").alias("_col"),
-        F.col("_c.metric").alias("metric"), cell_at(F.col("_cells"), F.col("_c.col")).alias("_cell"),
-    ).withColumn("amount", parse_ledger_number("_cell"))
-    keep = (F.col("metric") != "revenue") | (F.col("_col") == F.col("_revenue_col"))
-    cells = cells.where(periods.valid_year("period") & keep & lines.valid_amount("_cell", "amount", "metric"))
-    eps = F.col("metric") == "eps"
-    valid = F.when(eps, F.col("amount") > 0).otherwise(money.to_crore("amount", "unit_in") >= SMALLEST_VALID)
-    confidence = F.when(eps, CONFIDENCE["transposed_eps"]).otherwise(_by_level(CONFIDENCE["revenue"]))
-    return _candidates(cells, keys, "rule", valid, confidence, F.col("currency"), F.lit(""))
+    df = df.withColumn("_revenue_col", F.array_min(ranked)["col"])
+    df = settled(df)
+    df = df.withColumn("_cols", F.filter("_cols", lambda c: (c["metric"] != "revenue") | (c["col"] == F.col("_revenue_col"))))
+    dated = F.transform(rows, lambda r, i: F.struct(i.alias("row"), periods.period_of_fy_cell(cell_at(r, F.lit(0))).alias("period"), r.alias("cells")))
+    df = settled(df.withColumn("_rows", F.filter(dated, lambda x: (x["row"] != F.col("label_row")) & periods.valid_year(x["period"]))))
+
+    def cells(x: Column) -> Column:
+        read = F.transform("_cols", lambda c: F.struct(c["metric"].alias("metric"), x["period"].alias("period"), cell_at(x["cells"], c["col"]).alias("cell")))
+        return F.transform(read, lambda c: F.struct(c["metric"].alias("metric"), c["period"].alias("period"), c["cell"].alias("cell"), parse_ledger_number(c["cell"]).alias("amount")))
+
+    df = settled(df.withColumn("_cells", F.flatten(F.transform("_rows", cells))))
+    kept = F.filter("_cells", lambda c: lines.valid_amount(c["cell"], c["amount"], c["metric"]))
+
+    def sure(c: Column) -> Column:
+        return F.when(c["metric"] == "eps", CONFIDENCE["transposed_eps"]).otherwise(_by_level(CONFIDENCE["revenue"]))
+
+    items = F.transform(kept, lambda c: _item(c["metric"], c["period"], c["amount"], sure(c)))
+    return df.withColumn("_transposed", items.cast(f"array<{ITEM}>")).drop("_cols", "_revenue_col", "_rows", "_cells")
 
 
 # --- one line per year ------------------------------------------------------------------------------
@@ -359,18 +411,26 @@ def _row_items(text: Column) -> Column:
 
 def row_facts(df: DataFrame, keys: Keys = ("company", "source_file")) -> DataFrame:
     """Candidates of tables whose rows are statement lines: year, revenue, expenses, profit by position."""
-    # Unit and level stand above the first line with a year, or in it.
-    line = F.array_position(F.transform("rows", lambda r: periods.valid_year(lines.line_year(_plain_row(r)).cast("string"))), F.lit(True))
-    grids = _context(df.where(row_mode(F.col("rows"))), F.when(line > 0, line.cast("int")).otherwise(F.size("rows")))
-    rows = grids.select(*keys, *TABLE, "unit_in", "level", _currency(df).alias("currency"),
-                        F.explode("rows").alias("_cells"))
-    rows = rows.withColumn("raw", _plain_row(F.col("_cells")))
-    rows = rows.withColumn("period", lines.line_year("raw").cast("string")).where(periods.valid_year("period"))
-    items = rows.select(*keys, *TABLE, "unit_in", "level", "currency", "raw", "period",
-                        F.explode(_row_items(F.col("raw"))).alias("_i"))
-    items = items.select("*", "_i.*").drop("_i")
-    valid = F.col("amount") > SMALLEST_VALID
-    return _candidates(items, keys, "pdf_row_parser", valid, F.lit(CONFIDENCE["row"]), F.col("currency"), F.col("raw"))
+    grids = _context(df.where(row_mode(F.col("rows"))), _row_opening(F.col("rows")))
+    grids = grids.withColumns({"_path": F.lit("row"), "years_from": F.lit("header")})
+    return _facts(_with_lines(grids, F.col("rows")), keys, "_by_line")
+
+
+def _row_opening(rows: Column) -> Column:
+    """Unit and level stand above the first line with a year, or in it."""
+    line = F.array_position(F.transform(rows, lambda r: periods.valid_year(lines.line_year(_plain_row(r)).cast("string"))), F.lit(True))
+    return F.when(line > 0, line.cast("int")).otherwise(F.size(rows))
+
+
+def _with_lines(df: DataFrame, rows: Column) -> DataFrame:
+    """Add ``_by_line``, the candidates of ``rows`` as statement lines."""
+    read = F.transform(F.transform(rows, _plain_row), lambda t: F.struct(t.alias("raw"), lines.line_year(t).cast("string").alias("period")))
+    df = settled(df.withColumn("_read", F.filter(read, lambda x: periods.valid_year(x["period"]))))
+
+    def items(x: Column) -> Column:
+        return F.transform(_row_items(x["raw"]), lambda i: _item(i["metric"], x["period"], i["amount"], F.lit(CONFIDENCE["row"]), x["raw"]))
+
+    return df.withColumn("_by_line", _items(F.col("_read"), items)).drop("_read")
 
 
 # --- text lines -------------------------------------------------------------------------------------
@@ -410,11 +470,11 @@ def text_facts(df: DataFrame, keys: Keys = ("company", "source_file"), text: str
 # --- which way each table is read ---------------------------------------------------------------------
 
 
-def route_tables(df: DataFrame, keys: Keys = ("company", "source_file")) -> DataFrame:
+def route_tables(df: DataFrame, keys: Keys = ("company", "source_file"), base_year: int | None = None) -> DataFrame:
     """The tables to read, each with its ``path``: transposed, columnar or row.
 
     A document's income statement goes the first way that fits.  A document without one gives its
-    first table that reads as statement lines.
+    first table that reads as statement lines.  Tables that name no year are columnar only with a ``base_year``.
     """
     flagged = statement_flags(df)
     line_rows = F.exists(
@@ -428,7 +488,7 @@ def route_tables(df: DataFrame, keys: Keys = ("company", "source_file")) -> Data
     order = F.struct((~F.col("is_statement")).cast("int").alias("other"), *[F.col(c) for c in TABLE])
     first = F.min_by(F.struct(*usable.columns), order).alias("_t")
     chosen = usable.groupBy(*keys).agg(first).select("_t.*")
-    chosen = year_columns(transposed_header(chosen))
+    chosen = year_columns(transposed_header(chosen), base_year)
     statement = F.col("is_statement") & ~F.col("rejected")
     path = (
         F.when(~F.col("is_statement"), "row")
@@ -439,6 +499,20 @@ def route_tables(df: DataFrame, keys: Keys = ("company", "source_file")) -> Data
     return chosen.withColumn("path", path).where(F.col("path").isNotNull()).drop("is_statement", "rejected", "_by_rows")
 
 
+def routed_facts(routed: DataFrame, keys: Keys = ("company", "source_file")) -> DataFrame:
+    """Candidates of tables that :func:`route_tables` chose, each read its own way, in one pass over the grids."""
+    opening = F.when(F.col("path") == "transposed", _transposed_opening()).when(F.col("path") == "columnar", _columnar_opening()).otherwise(
+        _row_opening(F.col("rows")))
+    grids = _context(routed, opening).withColumn("_path", F.col("path"))
+
+    def of(path: str) -> Column:
+        # The rows where the grid goes this way, else none, so that no other reading looks at them.
+        return F.when(F.col("path") == path, F.col("rows")).otherwise(F.array().cast("array<array<string>>"))
+
+    grids = _with_lines(_with_transposed(_with_columnar(grids, of("columnar")), of("transposed")), of("row"))
+    return _facts(grids.withColumn("_all", F.concat("_columnar", F.coalesce("_transposed", F.array().cast(f"array<{ITEM}>")), "_by_line")), keys, "_all")
+
+
 def union_candidates(tables: DataFrame, texts: DataFrame | None = None, external: DataFrame | None = None,
                      keys: Keys = ("company", "source_file"), currency: str = "USD") -> DataFrame:
     """Candidates of all sources in one frame.
@@ -455,7 +529,7 @@ def union_candidates(tables: DataFrame, texts: DataFrame | None = None, external
             F.col(amount).cast("double").alias("amount"), F.lit("INR_CRORE").alias("unit_in"),
             F.lit("consolidated").alias("level"), F.lit(1).alias("page_number"),
         )
-        return _candidates(rows, keys, method, F.lit(True), F.lit(confidence), F.lit(currency), F.lit(""))
+        return _candidates(rows, keys, F.lit(method), F.lit(True), F.lit(confidence), F.lit(currency), F.lit(""))
 
     if external is None and texts is None:
         return tables

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -61,6 +61,19 @@ def with_totals(df: DataFrame, keys: Keys, totals: dict[str, Column]) -> DataFra
     return df.withColumn("_totals", one).select("*", *[F.col("_totals")[n].alias(n) for n in totals]).drop("_totals")
 
 
+def with_spread(df: DataFrame, keys: Keys, totals: Callable[[WindowSpec | None], dict[str, Column]]) -> DataFrame:
+    """``df`` with aggregates over its series: windows of the keys, or one scalar subquery without keys.
+
+    ``totals`` gets the window the aggregates are taken over, None for plain aggregates.
+    """
+    return df.withColumns(totals(keyed(keys))) if keys else with_totals(df, (), totals(None))
+
+
+def over(agg: Column, window: WindowSpec | None) -> Column:
+    """The aggregate over a window, or as it is."""
+    return agg if window is None else agg.over(window)
+
+
 def top_n(df: DataFrame, keys: Keys, order: Sequence[Column], n: int | None, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows per key in the given total order; all of them when ``n`` is None.
 
@@ -93,6 +106,15 @@ def sort_struct(label: ColumnOrName = "period") -> list[Column]:
     return [F.coalesce(fiscal_key(label), F.lit(2147483647)), as_col(label)]
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its computed columns worked out once per row.
+
+    Spark merges projections, and a column that a later array expression reads inside its loop would be worked out again for
+    every element.  The generator keeps the two apart.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def rows_with(df: DataFrame, kept: Sequence[str], computed: dict[str, Column], required: Sequence[str]) -> DataFrame:
     """``kept`` columns plus ``computed`` ones, for the rows whose ``required`` computed columns are not NULL.
 

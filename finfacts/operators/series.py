@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_mean, exact_sum, js_round, number_or_zero, round_for, safe_div, zero
 from ..functions.periods import fiscal_key
-from .frames import Keys, first_by, fiscal_sort, keyed, last_by, sort_struct, timeline, top_n
+from .frames import Keys, first_by, fiscal_sort, keyed, last_by, over, sort_struct, top_n, with_spread
+from .scan import with_previous, with_running_total
 
 # Smallest change that is a direction, by kind of figure.
 TOLERANCE = {"percent": 0.05, "times": 0.015, "eps": 0.005, "number": 1.0}
@@ -29,16 +30,16 @@ def _pct_change(now: Column, before: Column) -> Column:
 def growth_rate(df: DataFrame, by: str, value: str, keys: Keys = ()) -> DataFrame:
     """Total per group and its % change on the previous group, 1 digit; 0 for the first and after a zero."""
     out = df.groupBy(*keys, by).agg(exact_sum(number_or_zero(value)).alias("total"))
-    before = F.lag("total").over(timeline(keys, by))
+    out = with_previous(out, {"_before": "total"}, keys, by)
+    before = F.col("_before")
     growth = F.coalesce(js_round(safe_div(F.col("total") - before, before) * 100.0, 1), zero())
-    return out.withColumn("growth_pct", growth)
+    return out.withColumn("growth_pct", growth).drop("_before")
 
 
 def running_total(df: DataFrame, col: str, keys: Keys = ()) -> DataFrame:
     """Cumulative sum of a flow amount in fiscal order; missing periods add nothing."""
-    w = timeline(keys).rowsBetween(W.unboundedPreceding, W.currentRow)
-    total = F.sum(F.coalesce(F.col(col), zero()).cast("decimal(32,6)")).over(w).cast("double")
-    return df.select(*keys, "period", round_for(col, total).alias("running_total"))
+    rows = with_running_total(df, F.coalesce(F.col(col), zero()), "_total", keys)
+    return rows.select(*keys, "period", round_for(col, "_total").alias("running_total"))
 
 
 def cagr(df: DataFrame, col: str, keys: Keys = ()) -> DataFrame:
@@ -84,8 +85,7 @@ def two_year_change(df: DataFrame, col: str = "value", keys: Keys = (), year_a:
 
 def _steps(df: DataFrame, col: str, keys: Keys) -> DataFrame:
     """The series without gaps, each value beside the one before it."""
-    rows = df.where(F.col(col).isNotNull())
-    return rows.withColumn("_prev", F.lag(col).over(timeline(keys)))
+    return with_previous(df.where(F.col(col).isNotNull()), {"_prev": col}, keys)
 
 
 def _ends(col: str) -> list[Column]:
@@ -145,13 +145,10 @@ def anomalies(df: DataFrame, col: str, keys: Keys = (), z: float = ANOMALY_Z, mi
 
     Mean and deviation are taken from exact sums of the values and of the squared distances.
     """
-    w = keyed(keys)
     rows = df.where(F.col(col).isNotNull())
-    n = F.count(F.lit(1)).over(w)
-    mean = F.sum(F.col(col).cast("decimal(32,6)")).over(w).cast("double") / n
-    rows = rows.withColumns({"_n": n, "_mean": mean})
+    rows = with_spread(rows, keys, lambda w: {"_n": over(F.count(F.lit(1)), w), "_mean": exact_mean(col, w)})
     gap = F.col(col) - F.col("_mean")
-    rows = rows.withColumn("_sd", F.sqrt(F.avg(gap * gap).over(w)))
+    rows = with_spread(rows, keys, lambda w: {"_sd": F.sqrt(over(F.avg(gap * gap), w))})
     score = F.abs(safe_div(gap, F.col("_sd")))
     return rows.where((F.col("_n") >= min_points) & (score > z)).select(
         *keys,
@@ -164,10 +161,10 @@ def anomalies(df: DataFrame, col: str, keys: Keys = (), z: float = ANOMALY_Z, mi
 
 def _yearly_scores(df: DataFrame, keys: Keys) -> DataFrame:
     """Per period: margin, growth on the period before, and the weighted score with their key's total revenue."""
-    before = F.lag("revenue").over(timeline(keys))
-    total = F.sum(F.col("revenue").cast("decimal(32,6)")).over(keyed(keys)).cast("double")
     margin = F.coalesce(safe_div(F.col("profit"), F.col("revenue")) * 100.0, zero())
-    out = df.withColumns({"_growth": _pct_change(F.col("revenue"), before), "_total": total, "_margin": margin})
+    out = with_previous(df, {"_before": "revenue"}, keys)
+    out = out.withColumns({"_growth": _pct_change(F.col("revenue"), F.col("_before")), "_margin": margin}).drop("_before")
+    out = with_spread(out, keys, lambda w: {"_total": exact_sum("revenue", w)})
     score = (
         F.col("profit") * 0.5
         + F.col("_margin") * F.col("_total") / 100.0 * 0.3
@@ -230,7 +227,7 @@ def period_changes(df: DataFrame, col: str, n: int, keys: Keys = ()) -> DataFram
     """Absolute and % change of each of the last ``n`` periods on the one before, the first of them left out."""
     newest = [fiscal_key("period").desc_nulls_first(), F.col("period").desc()]
     rows = top_n(df, keys, newest, n)
-    rows = rows.withColumn("_prev", F.lag(col).over(timeline(keys))).where(F.col("_prev").isNotNull())
+    rows = with_previous(rows, {"_prev": col}, keys).where(F.col("_prev").isNotNull())
     change = F.col(col) - F.col("_prev")
     pct = F.coalesce(js_round(_pct_change(F.col(col), F.col("_prev")), 1), zero())
     return rows.select(*keys, "period", change.alias("change"), pct.alias("change_pct"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import labels, lines, money
 from ..functions.boxes import bbox_xyxy
 from ..functions.numbers import exact_mean, js_round, safe_div
 from ..functions.rules import TOKEN_LABELS
 from .aggregate import fill_currency
-from .frames import Keys, rows_with
+from .frames import Keys, rows_with, same_keys, with_keys, with_totals
 
 # Geometry and confidence limits.
 LINE_GAP_MIN = 12.0
@@ -28,22 +32,24 @@ CONFIDENCE_MEDIUM = 0.45
 SWITCH_MARGIN = 3.0
 
 PAGE = ("doc_id", "page")
+LINE_FIELDS = (StructField("line", IntegerType()), StructField("text", StringType()), StructField("weakest", DoubleType()))
 
 
 def confident_tokens(df: DataFrame, floor: float = TOKEN_FLOOR, keys: Keys = PAGE) -> DataFrame:
     """Filled tokens at or above the floor; a page with fewer than two of them is retried at 0.4."""
     sure = F.coalesce("confidence", F.lit(1.0))
     rows = df.where((F.trim("text") != "") & (sure >= min(floor, TOKEN_RETRY_FLOOR)))
-    enough = F.count(F.when(sure >= floor, 1)).over(W.partitionBy(*keys)) >= MIN_TOKENS
-    return rows.withColumn("_enough", enough).where((sure >= floor) | ~F.col("_enough")).drop("_enough")
+    # Counts first, so a page of any length is reduced before it meets its count.
+    rows = with_totals(rows, keys, {"_enough": F.count(F.when(sure >= floor, 1)) >= MIN_TOKENS})
+    return rows.where((sure >= floor) | ~F.col("_enough")).drop("_enough")
 
 
 def token_lines(df: DataFrame, keys: Keys = PAGE, height: str = "page_height") -> DataFrame:
     """Tokens grouped into text lines: line number, text, and the weakest token confidence.
 
     Tokens are sorted by centre; one joins the open line while it lies within max(12, 2.5 % of the page
-    height) of that line's mean centre.  A vertical gap wider than that always starts a new line, so pages
-    are first cut at such gaps with a sort (which spills) and the running-mean fold only sees one section.
+    height) of that line's mean centre.  The sort spills and the fold over it holds one line, so a page may
+    have any number of tokens.
     """
     box = bbox_xyxy("bbox")
     tokens = df.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("_box", box)
@@ -56,46 +62,52 @@ def token_lines(df: DataFrame, keys: Keys = PAGE, height: str = "page_height") -
         ((F.col("_box.y0") + F.col("_box.y1")) / 2).alias("_cy"),
         F.greatest(F.lit(LINE_GAP_MIN), F.col(height).cast("double") * LINE_GAP_SHARE).alias("_gap"),
     )
-    down = W.partitionBy(*keys).orderBy("_cy", "_cx", "seq")
-    cut = F.coalesce(F.col("_cy") - F.lag("_cy").over(down) > F.col("_gap"), F.lit(True))
-    tokens = tokens.withColumn("_cut", cut.cast("int")).withColumn("_section", F.sum("_cut").over(down))
-    sections = tokens.groupBy(*keys, "_section").agg(
-        F.array_sort(F.collect_list(F.struct("_cy", "_cx", "seq", "text", "confidence"))).alias("_tokens"),
-        F.max("_gap").alias("_gap"),
-    )
+    dealt = tokens.repartition(*keys) if keys else tokens.repartition(1)
+    schema = StructType([*[df.schema[k] for k in keys], *LINE_FIELDS])
+    return dealt.sortWithinPartitions(*keys, "_cy", "_cx", "seq").mapInArrow(line_fold(len(keys), to_arrow_schema(schema)), schema)
 
-    token = "struct<_cx:double,seq:int,text:string,confidence:double>"
-    state = f"struct<done:array<array<{token}>>,open:array<{token}>,total:double>"
-    start = F.struct(
-        F.array().cast(f"array<array<{token}>>").alias("done"),
-        F.array().cast(f"array<{token}>").alias("open"),
-        F.lit(0.0).alias("total"),
-    ).cast(state)
-
-    def add(acc: Column, t: Column) -> Column:
-        item = F.array(
-            F.struct(
-                t["_cx"].alias("_cx"), t["seq"].cast("int").alias("seq"), t["text"].alias("text"),
-                t["confidence"].alias("confidence"),
-            )
-        )
-        n = F.size(acc["open"])
-        near = (n == 0) | (F.abs(t["_cy"] - F.try_divide(acc["total"], n.cast("double"))) <= F.col("_gap"))
-        return F.struct(
-            F.when(near, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
-            F.when(near, F.concat(acc["open"], item)).otherwise(item).alias("open"),
-            F.when(near, acc["total"] + t["_cy"]).otherwise(t["_cy"]).alias("total"),
-        ).cast(state)
-
-    merged = F.aggregate("_tokens", start, add, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    out = sections.select(*keys, "_section", F.posexplode(merged).alias("_at", "_line"))
-    ordered = F.array_sort("_line")
-    return out.select(
-        *keys,
-        F.row_number().over(W.partitionBy(*keys).orderBy("_section", "_at")).alias("line"),
-        F.array_join(F.transform(ordered, lambda t: t["text"]), " ").alias("text"),
-        F.array_min(F.transform("_line", lambda t: t["confidence"])).alias("weakest"),
-    )
+
+def line_fold(keys: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The lines of tokens that come sorted by page and centre; each is given out as soon as it closes.
+
+    Rows hold the page's keys, seq, text, confidence, centre across and down, and the gap.  A token joins the open line while it lies
+    within the gap of the mean centre of that line's tokens; one without a box is a line of its own.  Only the open line is held.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, number, total, held = None, 0, None, []
+        lines: list[tuple] = []
+
+        def close() -> None:
+            if held:
+                held.sort(key=lambda t: (t[0] is not None, t[0] or 0.0, t[1] is not None, t[1] or 0))
+                lines.append((*page, number, " ".join(t[2] for t in held), min(t[3] for t in held)))
+                held.clear()
+
+        def given() -> pa.RecordBatch:
+            columns = zip(*lines, strict=True) if lines else [[]] * len(schema)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            lines.clear()
+            return batch
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            owners = zip(*columns[:keys], strict=True) if keys else iter([()] * batch.num_rows)
+            for owner, seq, text, confidence, cx, cy, gap in zip(owners, *columns[keys:], strict=True):
+                if owner != page:
+                    close()
+                    page, number, total = owner, 1, cy
+                elif cy is None or total is None or abs(cy - total / len(held)) > gap:
+                    close()
+                    number, total = number + 1, cy
+                else:
+                    total += cy
+                held.append((cx, seq, text, confidence))
+            yield given()
+        close()
+        yield given()
+
+    return fold
 
 
 def merge_tokens(df: DataFrame, keys: Keys = PAGE, height: str = "page_height") -> DataFrame:
@@ -111,7 +123,7 @@ def token_labels(df: DataFrame, predictions: DataFrame | None = None, keys: Keys
     given = predictions.select(
         *keys, "seq", F.col("label").alias("_label"), F.col("confidence").alias("_sure")
     )
-    out = df.join(given, [*keys, "seq"], "left")
+    out = with_keys(df, given, [*keys, "seq"])
     return out.withColumn("role", F.when(F.col("_sure") >= ROLE_FLOOR, F.col("_label")).otherwise(rule)).drop(
         "_label", "_sure"
     )
@@ -128,7 +140,7 @@ def confidence_summary(df: DataFrame, keys: Keys = PAGE, height: str = "page_hei
         .when(F.col("_mean") >= CONFIDENCE_MEDIUM, "Medium")
         .otherwise("Low")
     )
-    return mean.join(sure, list(keys), "left").select(
+    return with_keys(mean, sure, keys).select(
         *keys,
         js_round("_mean", 4).alias("avg_confidence"),
         grade.alias("grade"),
@@ -149,7 +161,7 @@ def line_facts(df: DataFrame, keys: Keys = ("doc_id",), predictions: DataFrame |
         rows = rows.withColumns({"_label": F.lit(None).cast("string"), "_sure": F.lit(0.0)})
     else:
         given = predictions.select(*keys, line, F.col("label").alias("_label"), F.col("confidence").alias("_sure"))
-        rows = rows.join(given, [*keys, line], "left")
+        rows = with_keys(rows, given, [*keys, line])
     sure = F.coalesce("_sure", F.lit(0.0))
     # Each step reads columns of the step before, so no text is scanned twice for the same thing.
     rows = rows.withColumns(
@@ -223,7 +235,8 @@ def pick_method(df: DataFrame, keys: Keys = ("doc_id",), method: str = "method",
     )
     takes_other = F.col("_o").isNotNull() & (F.col("_b").isNull() | (F.col("_o") >= F.col("_b") + SWITCH_MARGIN))
     chosen = best.select(*keys, F.when(takes_other, other).otherwise(baseline).alias(method))
-    return df.join(chosen, [*keys, method], "left_semi")
+    chosen, same = same_keys(df, chosen, [*keys, method])
+    return df.join(chosen, same, "left_semi")
 
 
 def check_token_samples(df: DataFrame, words: str = "words", tags: str = "labels", boxes: str = "bboxes") -> DataFrame:
