@@ -11,9 +11,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from finfacts.operators.documents import explode_grid
+from finfacts.operators.frames import with_keys
 from finfacts.sources import facts as SF
 from finfacts.sources import grids as SG
 from finfacts.sources import sheets as SS
+from finfacts.sources import versions as SV
 
 from . import fixtures as fx
 from .facts import FACT_COLS, facts
@@ -73,6 +75,28 @@ def latest_versions(spark, sf):
     return SF.latest_versions(spark.read.parquet(path)).select("company", "source_file", "id", "value")
 
 
+@query(
+    "s6_committed_versions",
+    fx.with_views(
+        "facts",
+        "SELECT company, source_file, id, CASE WHEN company < 'F' THEN value * 2 ELSE value END AS value FROM fx_facts",
+    ),
+)
+def committed_versions(spark, sf):
+    """A first version, a second one in two batches of which one is retried, and half of a third."""
+    path = folder(spark, "committed")
+    rows = SF.conform_facts(facts(spark, sf))
+    SV.commit_batch(rows.withColumn("version", F.lit(1)), path, 0)
+    fresh = rows.where("company < 'F'").withColumns({"value": F.col("value") * 2, "version": F.lit(2)})
+    # A company whose lines are all even or all odd has its second version in one batch.
+    sides = fresh.groupBy("company", "source_file").agg(F.count_distinct(F.col("id") % 2).alias("sides"))
+    fresh = with_keys(fresh, sides, ("company", "source_file"))
+    for batch, side in ((1, 0), (2, 1), (1, 0)):
+        SV.commit_batch(fresh.where(F.col("id") % 2 == side), path, batch, "sides")
+    SV.commit_batch(rows.where("company < 'C'").withColumns({"value": F.lit(0.0), "version": F.lit(3)}), path, 3, parts=2)
+    return SV.read_committed(spark, path).select("company", "source_file", "id", "value")
+
+
 @query(
     "s7_stored_grids",
     fx.with_views("cells", "SELECT company, source_file, page_number, table_index, row, col, cell FROM fx_cells"),

@@ -9,7 +9,8 @@ from finfacts.schema import FACT_SCHEMA
 from finfacts.sources import facts as SF
 from finfacts.sources import grids as SG
 from finfacts.sources import sheets as SS
-from finfacts.streaming import append_each_batch
+from finfacts.sources import versions as SV
+from finfacts.streaming import append_each_batch, commit_each_batch
 
 
 def fact_rows(spark, rows):
@@ -51,6 +52,44 @@ def test_stream_keeps_every_part_of_the_latest_version(spark, tmp_path):
         ("a", "x.pdf", "expenses", 8.0), ("a", "x.pdf", "revenue", 7.0), ("b", "x.pdf", "revenue", 3.0)]
 
 
+def test_readers_follow_the_commit_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+
+    def commit(rows, version, batch, parts=1):
+        SV.commit_batch(fact_rows(spark, rows).withColumn("version", F.lit(version)), path, batch, parts)
+
+    def read():
+        return sorted((r["company"], r["metric"], r["value"]) for r in SV.read_committed(spark, path).where("source_file = 'x.pdf'").collect())
+
+    commit([A1, B1, {**A1, "source_file": None}], 1, 0)
+    assert read() == [("a", "revenue", 1.0), ("b", "revenue", 3.0)]
+    commit([{**A1, "value": 7.0}], 2, 1, 2)
+    assert read()[0] == ("a", "revenue", 1.0)  # half a version is not read
+    # Data whose batch never got into the log do not exist either.
+    fact_rows(spark, [{**B1, "value": 99.0}]).withColumns({"version": F.lit(9), "parts": F.lit(1)}).write.parquet(f"{path}/data/batch=77")
+    for _ in range(2):
+        commit([{**A1, "metric": "expenses", "value": 8.0}], 2, 2, 2)
+    assert read() == [("a", "expenses", 8.0), ("a", "revenue", 7.0), ("b", "revenue", 3.0)]
+    commit([{**A1, "value": 10.0}, {**B1, "value": 11.0}], 3, 3)
+    assert read() == [("a", "revenue", 10.0), ("b", "revenue", 11.0)]
+    plan = SV.read_committed(spark, path)._jdf.queryExecution().executedPlan().toString()
+    # Live: batch 3, and batch 0 for the source without a name; no other folder is read.
+    assert "batch#" in plan and "IN (0,3)" in plan.replace("IN (3,0)", "IN (0,3)")
+    assert SV.read_committed(spark, path).where("source_file is null").count() == 1
+
+
+def test_stream_commits_versions(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "log")
+    for rows, version, parts in [([A1, B1], 1, 1), ([{**A1, "value": 7.0}], 2, 2), ([{**A1, "metric": "expenses", "value": 8.0}], 2, 2), ([{**B1, "value": 0.0}], 2, 2)]:
+        fact_rows(spark, rows).withColumns({"version": F.lit(version), "pieces": F.lit(parts)}).coalesce(1).write.mode("append").parquet(source)
+    schema = spark.read.parquet(source).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    (stream.writeStream.foreachBatch(commit_each_batch(path, "pieces")).option("checkpointLocation", str(tmp_path / "cp"))
+     .trigger(availableNow=True).start().awaitTermination(120))
+    rows = SV.read_committed(spark, path).select("company", "metric", "value").collect()
+    assert sorted(tuple(r) for r in rows) == [("a", "expenses", 8.0), ("a", "revenue", 7.0), ("b", "revenue", 3.0)]
+
+
 def test_null_sources_are_replaced(spark):
     old = fact_rows(spark, [{**A1, "source_file": None}, B1])
     new = fact_rows(spark, [{**A1, "source_file": None, "value": 5.0}])
