@@ -23,9 +23,9 @@ IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 ISO_DATE = r"(?<![\d/-])\d{4}-\d{2}-\d{2}(?![\d/-])"
 DAY_DATE = r"(?<![\d./-])\d{2}([./])\d{2}\1\d{4}(?![\d/-])"
 CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!-?\d)"
-PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
+PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d.-])\d{3}\.\d{3}\.\d{4}(?![\d-])(?!\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-SECRET = r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])"
 
 # The digits of cards as they are set in groups, and the lengths of IBANs. Longest first.
 CARD_SHAPES = (r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{3}", r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}", r"\d{4}([ -])\d{6}\2\d{5}", r"\d{4}([ -])\d{6}\2\d{4}", r"\d{13,19}")
@@ -35,8 +35,12 @@ IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "A
 
 #: In order of precedence.
 FORMATS = {"email": EMAIL, "iban": IBAN, "ip": IP, "iso_date": ISO_DATE, "day_date": DAY_DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "secret": SECRET}
-#: The days of 400 years from here are 189 * 773.
-FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+#: Days move within their 400 years, 189 * 773 of them, of which 24 spans begin here; the days of the calendar before and after, the first
+#: of which is here and which are EARLY at the beginning, are 93 * 1567.
+FIRST_DAY, SPANS, DAYS = "0200-01-01", 24, (189, 773)
+CALENDAR, EARLY, OUTER_DAYS = "0001-01-01", 72_683, (93, 1567)
+#: Numbers of the areas of a social security number: 1 to 899 without 666.
+AREAS, LEFT_OUT = 898, 666
 
 
 def _any_format() -> str:
@@ -131,8 +135,18 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
+    """Area, group and serial number permuted among the valid ones."""
     valid = ~m.rlike(r"^(000|666|9)|-00-|-0000$")
-    return F.when(valid, let(_digits(m), lambda digits: _poured(m, feistel(digits, _constant(digits, 10), key + "ssn"))))
+    area, group, serial = (F.substring(m, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
+    values = F.array(F.when(area < LEFT_OUT, area - 1).otherwise(area - 2), group - 1, serial - 1)
+    moved = feistel(values, F.array(F.lit(AREAS), F.lit(99), F.lit(9999)), key + "ssn")
+
+    def written(v: Column) -> Column:
+        first = F.get(v, F.lit(0))
+        parts = ((F.when(first < LEFT_OUT - 1, first + 1).otherwise(first + 2), 3), (F.get(v, F.lit(1)) + 1, 2), (F.get(v, F.lit(2)) + 1, 4))
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts])
+
+    return F.when(valid, let(moved, written))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -142,15 +156,23 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _moved_day(day: Column, key: str) -> Column:
-    """Another day of the 400 years, null outside them."""
-    first = F.lit(FIRST_DAY).cast("date")
+    """Another day of the same 400 years; one before 0200 or after 9799, another of these."""
+    span = DAYS[0] * DAYS[1]
+
+    def moved(n: Column, radices: tuple[int, int], name: str) -> Column:
+        values = F.array((n / radices[1]).cast("int"), F.pmod(n, F.lit(radices[1])).cast("int"))
+        found = feistel(values, F.array(F.lit(radices[0]), F.lit(radices[1])), key + name)
+        return let(found, lambda v: F.get(v, F.lit(0)) * radices[1] + F.get(v, F.lit(1)))
 
     def made(n: Column) -> Column:
-        values = F.array((n / DAYS[1]).cast("int"), F.pmod(n, F.lit(DAYS[1])).cast("int"))
-        moved = feistel(values, F.array(F.lit(DAYS[0]), F.lit(DAYS[1])), key + "day")
-        return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), let(moved, lambda v: F.date_add(first, F.get(v, F.lit(0)) * DAYS[1] + F.get(v, F.lit(1)))))
+        inner = F.date_add(F.lit(FIRST_DAY).cast("date"), moved(F.pmod(n, F.lit(span)), DAYS, "day") + F.floor(n / span).cast("int") * span)
+        at = n + EARLY
+        outer = let(moved(F.when(at < EARLY, at).otherwise(at - SPANS * span), OUTER_DAYS, "outer"),
+                    lambda v: F.date_add(F.lit(CALENDAR).cast("date"), F.when(v < EARLY, v).otherwise(v + SPANS * span)))
+        return F.when(n.between(0, SPANS * span - 1), inner).otherwise(outer)
 
-    return let(F.datediff(day, first), made)
+    calendar = F.when(F.year(day).between(1, 9999), day)
+    return let(F.datediff(calendar, F.lit(FIRST_DAY).cast("date")), made)
 
 
 def _iso_date(m: Column, key: str) -> Column:
@@ -207,9 +229,15 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    codes = F.transform(_chars(m), lambda c: F.conv(c, 16, 10).cast("int"))
-    moved = let(codes, lambda v: feistel(v, _constant(v, 16), key + "secret"))
-    return F.when(m.rlike("[a-f]") & m.rlike("[0-9]"), F.lower(F.array_join(F.transform(moved, lambda v: F.hex(v)), "")))
+    """Hexadecimal digits permuted in pieces of 64, in the letters' own case."""
+    def piece(n: Column) -> Column:
+        codes = F.transform(_chars(F.substring(m, 64 * n + 1, F.lit(64))), lambda c: F.conv(c, 16, 10).cast("int"))
+        name = F.when(n == 0, key + "secret").otherwise(F.concat(F.lit(key + "secret"), n.cast("string")))
+        moved = let(codes, lambda v: feistel(v, _constant(v, 16), name))
+        return F.array_join(F.transform(moved, lambda v: F.hex(v)), "")
+
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(m) - 1) / 64).cast("int")), piece), "")
+    return F.when(m.rlike("[a-fA-F]") & m.rlike("[0-9]"), F.when(m.rlike("[a-f]"), F.lower(whole)).otherwise(whole))
 
 
 MAKERS = {"email": _email, "iban": _iban, "ip": _ip, "iso_date": _iso_date, "day_date": _day_date, "ssn": _ssn, "phone": _phone, "card": _card, "secret": _secret}
@@ -261,7 +289,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     wanted = _any_format()
     text = F.col("text")
     # A text without @ and without seven digits, or as many hexadecimal ones, in a stretch of 40 characters cannot hold a value.
-    may = text.contains("@") | text.rlike(r"\d[^A-Za-z]{0,3}\d[^A-Za-z]{0,3}\d[^A-Za-z]{0,3}\d") | text.rlike("[0-9a-f]{32}")
+    may = text.contains("@") | text.rlike(r"\d[^A-Za-z]{0,3}\d[^A-Za-z]{0,3}\d[^A-Za-z]{0,3}\d") | text.rlike("[0-9a-f]{32}|[0-9A-F]{32}")
     plain = lambda t: F.array(F.struct(t.alias("old"), F.lit(False).alias("value")))
     # Values that are sure by themselves leave the text first, so that no looser match takes them in; then those of all formats. Each is
     # replaced once, and the text is put together again.
