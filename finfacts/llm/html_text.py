@@ -49,6 +49,10 @@ HINTS = frozenset("""ad ads advert adverts advertisement advertising banner brea
 copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted
 promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget""".split())
 COMMENTS = frozenset("comment comments reply replies".split())
+# Words that only say where or how such a block stands. A class or id all of HINTS and these names furniture; with any other word in it,
+# as in search-results-article or comment-free, it says nothing.
+PLACES = frozenset("""area bar block bottom box button col column container content fixed form group header holder inner item items left
+links list main outer page panel post primary right row secondary section site slot sticky text the title top unit wrap wrapper""".split())
 # Left out up to their end tag; where it is missing, or the tag closes itself, only the tag is.
 EMBEDDED = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in "noscript template svg iframe object math audio video canvas".split()}
 
@@ -57,7 +61,17 @@ _PIECE = re.compile(
     r"|<(script|style|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][^\s/>]*)([^>]*)>", re.DOTALL | re.IGNORECASE)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def _names(attributes: str, hints: frozenset[str]) -> bool:
+    """Whether some class, id or role names one of hints and, beside that, nothing but places."""
+    for m in _NAMED.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in _WORDS.findall(token)}
+            if words & hints and words <= hints | PLACES:
+                return True
+    return False
 
 
 def _kind(name: str, attributes: str) -> int | None:
@@ -66,8 +80,7 @@ def _kind(name: str, attributes: str) -> int | None:
     if name in NEVER:
         return CONTENT if name == "main" else None
     if attributes:
-        words = {w for m in _NAMED.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
-        if words & (COMMENTS if name == "article" else HINTS):
+        if _names(attributes, COMMENTS if name == "article" else HINTS):
             return FURNITURE
     return CONTENT if name == "article" else None
 

@@ -182,6 +182,37 @@ def test_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3] and kept.columns == docs_of(spark, []).columns
 
 
+def test_class_words_count_only_by_themselves():
+    def kinds(page):
+        return [k for _, k in html_text.blocks(page)]
+
+    for name in ("search-results-article", "comment-free", "social-studies", "shareholder", "notices-archive story", "adventure news"):
+        assert kinds(f'<div class="{name}"><p>main text here</p></div>') == [html_text.OPEN], name
+        assert kinds(f'<main><div class="{name}"><p>lesson</p></div></main>') == [html_text.CONTENT]
+    for name in ("ad", "site-footer", "big sidebar", "commentList", "cookie_banner", "share-box", "NAV", "main-menu"):
+        assert kinds(f'<div class="{name}"><p>main text here</p></div>') == [html_text.FURNITURE], name
+
+
+def test_pseudonyms_are_valid_everywhere(spark):
+    rng = random.Random(1)
+    numbers = [f"{rng.choice([a for a in range(1, 900) if a != 666]):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10000):04}" for _ in range(400)]
+    dates = [f"{y:04}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}" for y in (1, 2, 150, 199, 200, 1000, 1799, 1800, 2213, 2214, 9000, 9799, 9800, 9999)] + ["0001-01-01", "9999-12-31"]
+    secrets = ["0123456789ABCDEF" * 2, "0123456789abcdef" * 5, "0123456789ABCDEF" * 9]
+    values = [*numbers, *dates, *secrets, "555.123.4567"]
+    got = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymised(docs_of(spark, [(i, f"x {v} y") for i, v in enumerate(values)])).collect()}
+    new = [got[i][2:-2] for i in range(len(values))]
+    assert all(got[i].startswith("x ") and got[i].endswith(" y") and len(n) == len(v) for i, (n, v) in enumerate(zip(new, values, strict=True)))
+    import re
+
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", n) for n in new[:400])
+    assert len(set(new[:400])) == len(set(numbers)) and sum(n == v for n, v in zip(new, values)) <= 2
+    import datetime
+
+    moved = [datetime.date.fromisoformat(n) for n in new[400:400 + len(dates)]]
+    assert len(set(moved)) == len(set(dates)) and all((m.year - 200) // 400 == (int(d[:4]) - 200) // 400 for m, d in zip(moved, dates) if 200 <= int(d[:4]) < 9800)
+    assert [re.fullmatch("[0-9A-F]+", n) is not None for n in new[-4:-1]] == [True, False, True] and re.fullmatch(r"\d{3}\.\d{3}\.\d{4}", new[-1])
+
+
 def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     text = " ".join(f"w{i % 11}" for i in range(40))
     odd = [(1, text), (1, text), (2, None), (None, text + " y"), (None, None), (3, ""), (4, "  "), (5, "one of a kind"), (5, "and one more"), (6, LONG)]
