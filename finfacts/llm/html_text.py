@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.llm.shared import split_by, written
+from finfacts.llm.jaccard import word_hashes
+from finfacts.llm.shared import bitmap, marked, written
 from finfacts.llm.url_rules import host_of
 
 #: Words of the shortest run that counts as repeated; a power of two.
@@ -289,6 +290,39 @@ def marked_text(page: list[tuple[str, int]]) -> list[str]:
     return [text for text, kind in page if kind != FURNITURE]
 
 
+#: Bits of the filter of boilerplate runs for each run, bits that a run sets, and most bits: 64 MB in every task.
+BITS_PER_RUN, HITS, MOST_BITS = 32, 8, 1 << 29
+
+
+def run_cells(text: str, host: str, bits: int) -> np.ndarray:
+    """The bits of the filter that the runs of a text set, a row for each place; A-Z count as a-z here."""
+    words = word_hashes(text.encode("utf-8", "surrogatepass"))[0]
+    n = max(0, len(words) - RUN + 1)
+    start = int.from_bytes(hashlib.blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    mixed = np.full(n, start, np.uint64)
+    for j in range(RUN):
+        mixed = (mixed ^ words[j:j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+    step = (mixed * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+    return ((mixed[:, None] + np.arange(HITS, dtype=np.uint64) * step[:, None]) % np.uint64(bits)).astype(np.int64)
+
+
+def touched(page: list[tuple[str, int]], host: str, filters: dict[int, np.ndarray], bits: int) -> bool:
+    """Whether a run that may be boilerplate for blocks of a kind reaches into such a block of the page."""
+    kinds = np.repeat([k for _, k in page], [t.count(" ") + 1 for t, _ in page])
+    wanted = {k: f for k, f in filters.items() if (kinds == k).any()}
+    if not wanted:
+        return False
+    cells = run_cells(" ".join(t for t, _ in page), host, bits)
+
+    def reached(bitmap_: np.ndarray) -> np.ndarray:
+        hits = np.zeros(len(kinds), bool)
+        hits[:len(cells)] = marked(bitmap_, cells).all(1)
+        return covered(hits)
+
+    return any((reached(f) & (kinds == k)).any() for k, f in wanted.items())
+
+
 BLOCK_LIST = "array<struct<text:string,kind:int>>"
 PARSED = f"page_id long, url string, blocks {BLOCK_LIST}, key string, chars long"
 
@@ -368,14 +402,38 @@ def main_texts(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     counted = counted.join(hosts, "host").where(F.col("n") >= least).select("host", "run", "n")
     frequent = written(proposed.where("final").select("host", "run", "n").unionAll(counted), "frequent-runs")
 
-    # Pages of hosts without frequent runs keep what their markup says and do not move.
-    listed = frequent.select(F.col("host").alias("_host")).distinct()
-    clear, rest = split_by(parsed.withColumn("listed", F.when(F.col("key").isNotNull(), F.col("host"))), F.col("listed"), listed)
-    known = rest.where("listed is not null").join(listed, F.col("listed") == F.col("_host"), "left_semi")
-    unknown = rest.join(listed, F.col("listed") == F.col("_host"), "left_anti")
-    swept = dealt(known.drop("listed", "chars", "row"), hosts).groupBy("host", "shard").cogroup(shards_of(frequent).groupBy("host", "shard")).applyInArrow(
+    # A page keeps what its markup says, and does not move, unless a run that is boilerplate on its host may reach into a block that stays.
+    sized = frequent.join(hosts.select("host", "distinct_pages"), "host")
+    content_least = F.greatest(F.lit(FLOOR), F.ceil(F.col("distinct_pages") * CONTENT_PERCENT / 100))
+    bits = min(MOST_BITS, max(1 << 16, BITS_PER_RUN * frequent.count()))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [run_cells(r, h, bits).ravel() for h, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["cell"])
+
+    def filter_of(runs: DataFrame) -> np.ndarray:
+        return bitmap(runs.select("host", "run").mapInArrow(cells, "cell long"), bits)
+
+    filters = pages.sparkSession.sparkContext.broadcast({OPEN: filter_of(sized), CONTENT: filter_of(sized.where(F.col("n") >= content_least))})
+
+    def parted(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = {n: i for i, n in enumerate(batch.schema.names)}
+                hosts_, keys, found = (batch.column(at[n]).to_pylist() for n in ("host", "key", "blocks"))
+                hit = [bool(h) and k is not None and touched([(b["text"], b["kind"]) for b in page], h, filters.value, bits) for h, k, page in zip(hosts_, keys, found, strict=True)]
+                yield batch.filter(pa.array([x == wanted for x in hit], pa.bool_()))
+
+        return parsed.mapInArrow(run, parsed.schema)
+
+    clear, maybe = parted(False), parted(True)
+    listed = hosts.select(F.col("host").alias("_host"))
+    known = maybe.join(listed, F.col("host") == F.col("_host"), "left_semi")
+    unknown = maybe.join(listed, F.col("host") == F.col("_host"), "left_anti")
+    swept = dealt(known.drop("chars", "row"), hosts).groupBy("host", "shard").cogroup(shards_of(frequent).groupBy("host", "shard")).applyInArrow(
         sweep, "page_id long, url string, kept array<string>")
-    plain = clear.drop("listed").unionAll(unknown.drop("listed")).select(
+    plain = clear.unionAll(unknown).select(
         "page_id", "url", F.transform(F.filter("blocks", lambda b: b["kind"] != FURNITURE), lambda b: b["text"]).alias("kept"))
     text = F.coalesce(F.array_join("kept", "\n"), F.lit(""))
     return plain.unionByName(swept).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
