@@ -230,8 +230,8 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return written(texts.mapInArrow(run, PREFIXES).withColumn("node", F.monotonically_increasing_id()), "prefixes")
 
 
-def repeated_tokens(table: DataFrame, tokens: int) -> tuple[int, np.ndarray]:
-    """The shift and the bitmap of cells that two prefix tokens or more fall in; a token alone in its cell is in one document only.
+def repeated_tokens(rows: DataFrame, tokens: int, remix: bool = False) -> tuple[int, np.ndarray]:
+    """For the tokens in the one column of rows, or lists of them, the shift and the bitmap of cells that two prefix tokens or more fall in; a token alone in its cell is in one document only.
 
     Tasks deal their cells out by segment of the bitmap, so the cells of a segment meet in one task; a task's share is bounded by the
     number of segments, which grows with the tokens, and the bitmap by MOST_CELLS.
@@ -240,7 +240,9 @@ def repeated_tokens(table: DataFrame, tokens: int) -> tuple[int, np.ndarray]:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.sort(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.uint32)
+            column = batch.column(0)
+            flat = (column.flatten() if pa.types.is_list(column.type) else column).to_numpy().view(np.uint64)
+            cells = np.sort((_mixed(flat) if remix else flat) >> np.uint64(64 - bits)).astype(np.uint32)
             segments = cells >> np.uint32(SEGMENT_BITS)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(segments)) + 1, [len(cells)]]) if len(cells) else [0]
             yield pa.RecordBatch.from_arrays([
@@ -255,7 +257,7 @@ def repeated_tokens(table: DataFrame, tokens: int) -> tuple[int, np.ndarray]:
         flags[often] = True
         return pa.table({"segment": group.column("segment")[:1], "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
-    dealt = table.select("prefix").mapInArrow(deal, "segment int, cells binary")
+    dealt = rows.mapInArrow(deal, "segment int, cells binary")
     rows = dealt.groupBy("segment").applyInArrow(meet, "segment int, bits binary").collect()
     bitmap_ = np.zeros((1 << bits) // 64 + 1, np.int64)
     step = (1 << SEGMENT_BITS) // 64
@@ -282,13 +284,14 @@ def _node_cells(nodes: DataFrame) -> tuple[Column, np.ndarray]:
 
 
 def _postings(table: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and token of the prefix tokens that may stand in two documents.
+    """node and token of the prefix tokens that may stand in two documents, written.
 
     A bitmap leaves out documents that are no node, that is copies of one. A copy that it lets through needlessly is one more node with
-    the same set, which does no harm.
+    the same set, which does no harm. Tokens alone in their cell of a first bitmap go where they are read, and so do those alone in their
+    cell of a second one, over what the first let through and by other bits: few that are in one document only come to be sorted.
     """
     tokens = table.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    shift, bits = repeated_tokens(table, tokens)
+    shift, bits = repeated_tokens(table.select("prefix"), tokens)
     cell, node_bits = _node_cells(nodes)
     filled = table.sparkSession.sparkContext.broadcast((bits, node_bits))
 
@@ -304,7 +307,19 @@ def _postings(table: DataFrame, nodes: DataFrame) -> DataFrame:
             owner, flat = owner[maybe], flat[maybe]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(flat, pa.int64())], names=["node", "token"])
 
-    return table.select("node", "prefix", cell).mapInArrow(run, "node long, token long")
+    first = written(table.select("node", "prefix", cell).mapInArrow(run, "node long, token long"), "first-tokens")
+    filled.destroy()
+    del bits, node_bits
+    shift2, bits2 = repeated_tokens(first.select("token"), 2 * first.count(), remix=True)
+    again = table.sparkSession.sparkContext.broadcast(bits2)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(again.value, (_mixed(batch.column(1).to_numpy().view(np.uint64)) >> np.uint64(shift2)).astype(np.int64))))
+
+    second = written(first.mapInArrow(sift, "node long, token long"), "tokens")
+    again.destroy()
+    return second
 
 
 def _overlap_bound(a: str, b: str) -> Column:
@@ -434,7 +449,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     some = table.where("n > 0 and doc_id is not null")
     # Equal sets are one node, a row of theirs.
     classes = written(some.groupBy(*SET).agg(F.min("node").alias("node"), F.min("doc_id").alias("first")), "classes")
-    tokens = written(_postings(some, classes.select("node")), "tokens")
+    tokens = _postings(some, classes.select("node"))
     # Written before it is joined: a frequent token is a skewed key, which adaptive execution splits only between two plain shuffles.
     shared = written(_lists(tokens), "shared")
     # A bitmap leaves out most postings, whose token no list is named after, where they are.
