@@ -310,9 +310,6 @@ def run_cells(text: str, host: str, bits: int) -> np.ndarray:
 def touched(page: list[tuple[str, int]], host: str, filters: dict[int, np.ndarray], bits: int) -> bool:
     """Whether a run that may be boilerplate for blocks of a kind reaches into such a block of the page."""
     kinds = np.repeat([k for _, k in page], [t.count(" ") + 1 for t, _ in page])
-    wanted = {k: f for k, f in filters.items() if (kinds == k).any()}
-    if not wanted:
-        return False
     cells = run_cells(" ".join(t for t, _ in page), host, bits)
 
     def reached(bitmap_: np.ndarray) -> np.ndarray:
@@ -320,7 +317,21 @@ def touched(page: list[tuple[str, int]], host: str, filters: dict[int, np.ndarra
         hits[:len(cells)] = marked(bitmap_, cells).all(1)
         return covered(hits)
 
-    return any((reached(f) & (kinds == k)).any() for k, f in wanted.items())
+    return any((reached(f) & (kinds == k)).any() for k, f in filters.items())
+
+
+def hit_pages(batch: pa.RecordBatch, filters: dict[int, np.ndarray], bits: int) -> np.ndarray:
+    """Whether each page of a batch is touched; pages without a block of a kind that has a filter are not looked into."""
+    at = {n: i for i, n in enumerate(batch.schema.names)}
+    lists = batch.column(at["blocks"])
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    of_kind = np.isin(lists.flatten().field("kind").to_numpy(zero_copy_only=False), list(filters))
+    some = np.diff(np.concatenate([[0], np.cumsum(of_kind)])[np.concatenate([[0], np.cumsum(sizes)])]) > 0
+    hosts, keys = batch.column(at["host"]).to_pylist(), batch.column(at["key"])
+    hit = some & keys.is_valid().to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(hit).tolist():
+        hit[i] = bool(hosts[i]) and touched([(b["text"], b["kind"]) for b in lists[i].as_py()], hosts[i], filters, bits)
+    return hit
 
 
 BLOCK_LIST = "array<struct<text:string,kind:int>>"
@@ -393,10 +404,33 @@ def main_texts(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
         texts = kept_texts(_pairs(group.column("blocks")), known, group.column("distinct_pages")[0].as_py()) if group.num_rows else []
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "kept": pa.array(texts, pa.list_(pa.string()))})
 
+    def filter_of(runs_of: dict[int, DataFrame]) -> tuple[int, dict[int, np.ndarray]]:
+        """A filter of the runs for blocks of each kind that has any."""
+        size = min(MOST_BITS, max(1 << 16, BITS_PER_RUN * max(r.count() for r in runs_of.values())))
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [run_cells(r, h, size).ravel() for h, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["cell"])
+
+        made: dict[int, tuple[DataFrame, np.ndarray]] = {}
+        for kind, runs in runs_of.items():
+            same = next((f for r, f in made.values() if r is runs), None)
+            made[kind] = (runs, bitmap(runs.select("host", "run").mapInArrow(cells, "cell long"), size) if same is None else same)
+        return size, {kind: f for kind, (_, f) in made.items() if f.any()}
+
     ready = parsed.where("key is not null").select("host", "key", "blocks")
     proposed = written(dealt(ready, hosts).groupBy("host", "shard").applyInArrow(propose, "host string, run string, n long, final boolean"), "run-candidates")
-    parted = proposed.where("not final").select("host", "run", "n").dropDuplicates(["host", "run"])
-    several = dealt(ready, hosts.where("shards > 1")).groupBy("host", "shard").cogroup(shards_of(parted).groupBy("host", "shard"))
+    # Counted over all pages of their host; those that hold none of them do not move for it.
+    to_count = written(proposed.where("not final").select("host", "run", "n").dropDuplicates(["host", "run"]), "runs-to-count")
+    count_bits, asked_for = filter_of({kind: to_count for kind in (CONTENT, OPEN, FURNITURE)})
+    asked_of = pages.sparkSession.sparkContext.broadcast(asked_for)
+
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(hit_pages(batch, asked_of.value, count_bits)))
+
+    several = dealt(ready.mapInArrow(holding, ready.schema), hosts.where("shards > 1")).groupBy("host", "shard").cogroup(shards_of(to_count).groupBy("host", "shard"))
     counted = several.applyInArrow(count, "host string, run string, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
     least = F.greatest(F.lit(PAGES), F.least(F.col("distinct_pages"), F.lit(FLOOR)), F.ceil(F.col("distinct_pages") * OPEN_PERCENT / 100))
     counted = counted.join(hosts, "host").where(F.col("n") >= least).select("host", "run", "n")
@@ -405,25 +439,13 @@ def main_texts(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     # A page keeps what its markup says, and does not move, unless a run that is boilerplate on its host may reach into a block that stays.
     sized = frequent.join(hosts.select("host", "distinct_pages"), "host")
     content_least = F.greatest(F.lit(FLOOR), F.ceil(F.col("distinct_pages") * CONTENT_PERCENT / 100))
-    bits = min(MOST_BITS, max(1 << 16, BITS_PER_RUN * frequent.count()))
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [run_cells(r, h, bits).ravel() for h, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["cell"])
-
-    def filter_of(runs: DataFrame) -> np.ndarray:
-        return bitmap(runs.select("host", "run").mapInArrow(cells, "cell long"), bits)
-
-    filters = pages.sparkSession.sparkContext.broadcast({OPEN: filter_of(sized), CONTENT: filter_of(sized.where(F.col("n") >= content_least))})
+    bits, filters = filter_of({OPEN: sized, CONTENT: sized.where(F.col("n") >= content_least)})
+    held = pages.sparkSession.sparkContext.broadcast(filters)
 
     def parted(wanted: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = {n: i for i, n in enumerate(batch.schema.names)}
-                hosts_, keys, found = (batch.column(at[n]).to_pylist() for n in ("host", "key", "blocks"))
-                hit = [bool(h) and k is not None and touched([(b["text"], b["kind"]) for b in page], h, filters.value, bits) for h, k, page in zip(hosts_, keys, found, strict=True)]
-                yield batch.filter(pa.array([x == wanted for x in hit], pa.bool_()))
+                yield batch.filter(pa.array(hit_pages(batch, held.value, bits) == wanted))
 
         return parsed.mapInArrow(run, parsed.schema)
 
