@@ -13,7 +13,7 @@ from ..functions import rules as R
 from ..functions.numbers import exact_sum, parse_sheet_number
 from ..schema import SLOTS
 from .filters import valid_facts
-from .frames import Keys, keyed
+from .frames import Keys, keyed, rows_with
 
 
 def numeric_cell(df: DataFrame, name: str) -> Column:
@@ -28,8 +28,8 @@ def pivot_facts(df: DataFrame, keys: Keys = (), agg: str = "max", period: str =
     """Facts to one row per (keys, period).
 
     ``agg="max"`` takes the largest value of each of 17 metric families by exact metric name.
-    ``agg="sum"`` classifies free labels into 22 slots, parses the cells and adds them.
-    Either way it is one partial aggregation and one shuffle; unused slots are pruned.
+    ``agg="sum"`` classifies free labels into 22 slots, parses the cells and adds them by slot; what is left, a row
+    per slot, becomes columns in a second, small aggregation.
     """
     if agg == "max":
         slots = [
@@ -40,18 +40,29 @@ def pivot_facts(df: DataFrame, keys: Keys = (), agg: str = "max", period: str =
     cells = df.select(
         *keys,
         F.trim(F.col(period).cast("string")).alias("period"),
-        labels.squeeze(labels.clean_metric_label(metric)).alias("_label"),
+        F.col(metric).alias("_label"),
         numeric_cell(df, value).alias("_value"),
     )
-    cells = cells.withColumn("_slot", R.first_match(F.col("_label"), R.SLOT_RULES))
-    # A period without one readable figure is dropped after the aggregation: a filter on the computed
-    # columns would be pushed below them and make every label be classified twice.
-    sums = [exact_sum(F.when(F.col("_slot") == s, F.col("_value"))).alias(s) for s in SLOTS]
-    used = F.count(F.when(F.col("_slot").isNotNull(), F.col("_value"))).alias("_used")
-    out = cells.groupBy(*keys, "period").agg(*sums, used)
+    by_slot = of_known_label(cells, "_label", "_slot").groupBy(*keys, "period", "_slot").agg(
+        exact_sum("_value").alias("_sum"), F.count("_value").alias("_n"))
+    sums = [F.max(F.when(F.col("_slot") == s, F.col("_sum"))).alias(s) for s in SLOTS]
+    out = by_slot.groupBy(*keys, "period").agg(*sums, F.sum("_n").alias("_used"))
+    # A period without one readable figure is no row.
     return out.where((F.col("period") != "") & (F.col("_used") > 0)).drop("_used")
 
 
+def of_known_label(df: DataFrame, label: str, slot: str) -> DataFrame:
+    """The rows whose label has a pivot slot, with that slot.
+
+    The dozens of patterns run once per distinct label and not once per row; the labels are told apart by a
+    partial aggregation.  Spark picks the join by the size of the dictionary, and splits frequent labels where it is
+    too large to be sent around.
+    """
+    words = df.select(F.col(label).alias("_known")).distinct()
+    named = rows_with(words, ["_known"], {"_found": labels.classify_metric("_known")}, ["_found"])
+    return df.join(named, F.col(label) == F.col("_known")).drop("_known").withColumnRenamed("_found", slot)
+
+
 def header_slot(name: str) -> str | None:
     """Pivot slot of a column name."""
     return R.name_result(" ".join(name.strip().lower().split()), R.SLOT_RULES)

@@ -10,6 +10,7 @@ from finfacts.operators import documents as D
 from finfacts.operators import learn as M
 from finfacts.operators import pivot as V
 from finfacts.operators import quantiles as Q
+from finfacts.operators.pivot import pivot_facts
 from finfacts.operators import series as S
 from finfacts.operators import tokens as T
 from finfacts.plans.dashboard import ratio_dashboard
@@ -231,3 +232,20 @@ def test_margins_count_every_group(spark):
 def test_plausibility_looks_at_the_checked_column(spark):
     df = spark.createDataFrame([("2020", 5000.0, 1.0), ("2021", 10.0, 2.0)], "period string, value double, eps double")
     assert {r["violation"] for r in S.check_series(df, "value").collect()} == {"amount under 1000", "collapse"}
+
+
+def test_sheet_pivot_by_distinct_labels(spark):
+    rows = [("a", " 2020 ", "Revenue", "1,000"), ("a", "2020", "Net Sales", "5"), ("a", "2020", "no such label", "7"), ("a", "2020", None, "8"),
+            (None, "2021", "revenue", "(3)"), ("a", "2022", "Revenue", "none"), ("a", "", "Revenue", "9"), ("a", None, "Revenue", "9"), ("a", "2023", "unknown", "9")]
+    df = spark.createDataFrame(rows, "company string, period string, metric string, value string")
+    out = pivot_facts(df, ("company",), "sum")
+    known = labels_of(df)
+    want = sum(v for label, v in (("Revenue", 1000.0), ("Net Sales", 5.0)) if known[label] == "revenue")
+    assert rows_of(out.fillna("-", ["company"]), "company", "period", "revenue") == [("-", "2021", -3.0), ("a", "2020", want)]
+    assert pivot_facts(df.where("false"), ("company",), "sum").count() == 0
+
+
+def labels_of(df):
+    from finfacts.functions.labels import classify_metric
+
+    return {r["metric"]: r["slot"] for r in df.select("metric", classify_metric("metric").alias("slot")).collect()}
