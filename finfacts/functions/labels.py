@@ -37,8 +37,11 @@ def ebitda_strength(header: ColumnOrName) -> Column:
 def rescue_points(header: ColumnOrName) -> Column:
     """Points of a header for the EBITDA rescue, before the row bonus."""
     text = squeeze(F.regexp_replace(as_col(header), " ", " "))
-    parts = [F.when(R.match_any(text, [alt]), points).otherwise(0) for points, alt in R.RESCUE_POINTS]
-    return reduce(lambda a, b: a + b, parts)
+
+    def points_of(low: Column) -> Column:
+        return reduce(lambda a, b: a + b, [F.when(R.match_any(low, [alt]), points).otherwise(0) for points, alt in R.RESCUE_POINTS])
+
+    return R.once(text, points_of)
 
 
 def metric_slug(label: ColumnOrName) -> Column:
@@ -88,7 +91,7 @@ def is_other_income(label: ColumnOrName) -> Column:
 
 def metric_from_row(text: ColumnOrName) -> Column:
     """Metric family of a statement row by its words, NULL for rejected or unknown rows."""
-    return metric_from_squeezed(squeeze(text))
+    return R.once(squeeze(text), metric_from_squeezed)
 
 
 def metric_from_squeezed(low: Column) -> Column:

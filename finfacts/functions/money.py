@@ -51,8 +51,12 @@ def to_crore(value: ColumnOrName, unit: ColumnOrName) -> Column:
 
 def unit_multiplier(text: ColumnOrName) -> Column:
     """Factor that turns an amount of the named unit into single currency units."""
-    low, chain = F.lower(F.coalesce(as_col(text), F.lit(""))), None
-    for factor, words in R.UNIT_MULTIPLIERS:
-        test = R.match_any(low, words)
-        chain = F.when(test, factor) if chain is None else chain.when(test, factor)
-    return chain.otherwise(1.0)
+
+    def factor_in(low: Column) -> Column:
+        chain = None
+        for factor, words in R.UNIT_MULTIPLIERS:
+            test = R.match_any(low, words)
+            chain = F.when(test, factor) if chain is None else chain.when(test, factor)
+        return chain.otherwise(1.0)
+
+    return R.once(F.lower(F.coalesce(as_col(text), F.lit(""))), factor_in)

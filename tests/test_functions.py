@@ -166,3 +166,12 @@ def test_questions_mean_what_they_say(spark):
     rows = spark.createDataFrame(list(enumerate(SERVER_QUESTIONS)), "i int, question string")
     got = {r["question"]: r["kinds"] and r["kinds"][0] for r in K.tag_formula_kinds(rows, "question", "server").collect()}
     assert got == SERVER_QUESTIONS
+
+
+def test_a_text_is_cleaned_once_for_all_rules(spark):
+    df = spark.createDataFrame([("  Net   Profit 5 crore ",), (None,)], "text string").select(
+        labels.line_class("text").alias("line"), labels.metric_from_row("text").alias("row"), money.unit_multiplier("text").alias("unit"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2 and plan.count("lower(") <= 3
+    assert [r["line"] for r in df.collect()] == ["profit", "other"]
+    assert [r["unit"] for r in df.collect()] == [1e7, 1.0]
