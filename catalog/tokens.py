@@ -10,6 +10,7 @@ from finfacts.functions.rules import LINE_CLASS_RULES, TOKEN_METRIC_WORDS, UNIT_
 from finfacts.operators import tokens as T
 from finfacts.plans.answers import image_facts
 from finfacts.plans.extraction import token_facts
+from finfacts.stored import written
 
 from . import fixtures as fx
 from .registry import query
@@ -189,7 +190,8 @@ PREDICTED = tuple(t.replace(f"{_RULE_CLASS} AS cls", f"CASE WHEN line % 100 >= 6
     fx.with_views("lines", "SELECT * FROM facts_read", "src AS (SELECT ck AS doc_id, id AS line, text FROM fx_lines)", *PREDICTED),
 )
 def line_facts_predicted(spark, sf):
-    rows = fx.text_lines(spark, sf).select(F.col("ck").alias("doc_id"), F.col("id").alias("line"), "text")
+    # The lines are built once, for the reader and for the model's classes.
+    rows = written(fx.text_lines(spark, sf).select(F.col("ck").alias("doc_id"), F.col("id").alias("line"), "text"), "lines")
     given = rows.select(
         "doc_id", "line", F.lit("profit").alias("label"), (F.col("line") % 100 / 100).alias("confidence")
     )
@@ -218,9 +220,12 @@ def readings(spark, sf):
         F.when(F.col("id") % 70 != 0, line_class("text")).alias("metric"),
         F.when(F.col("id") % 50 != 0, F.col("id").cast("double")).alias("value"),
     )
-    base = lines.where("_k % 8 <> 3 AND id % 30 <> 0").withColumn("method", F.lit("baseline"))
-    other = lines.where("_k % 8 <> 5 AND (id % 20 = 0 OR _k % 2 = 0)").withColumn("method", F.lit("layout"))
-    return base.unionByName(other).drop("_k")
+    caught = F.array(
+        F.when(F.expr("_k % 8 <> 3 AND id % 30 <> 0"), F.lit("baseline")),
+        F.when(F.expr("_k % 8 <> 5 AND (id % 20 = 0 OR _k % 2 = 0)"), F.lit("layout")),
+    )
+    # One pass: each line goes to the readings that caught it.
+    return lines.select("doc_id", "id", "year", "metric", "value", F.explode(F.array_compact(caught)).alias("method"))
 
 
 READINGS = (

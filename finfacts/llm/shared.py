@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import os
 import shutil
 import sys
 import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..stored import shared_dir, written  # noqa: F401
+
 #: A word is a run of characters other than space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,21 +24,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 CELLS_PER_KEY, MOST_CELLS = 32, 1 << 29
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A local session that sets none gets one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not getattr(context, "_finfacts_folder", None):
-        own = tempfile.mkdtemp(prefix="finfacts-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        context._finfacts_folder = f"file://{own}"
-    return context._finfacts_folder
-
-
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors, as --py-files does, once for each context."""
     context = spark.sparkContext
@@ -50,14 +35,6 @@ def ship_package(spark: SparkSession) -> None:
     context._finfacts_shipped = True
 
 
-def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back; cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def give_token_memory_back() -> None:
     """Empties what a worker process remembers of earlier tokenizing; for tasks that hold much else."""
     tokens = sys.modules.get("finfacts.llm.tokens")

@@ -14,6 +14,7 @@ from ..functions import labels, lines, money
 from ..functions.boxes import bbox_xyxy
 from ..functions.numbers import exact_mean, js_round, safe_div
 from ..functions.rules import TOKEN_LABELS
+from ..stored import written
 from .aggregate import fill_currency
 from .frames import Keys, rows_with, same_keys, with_keys, with_totals
 
@@ -154,7 +155,8 @@ def line_facts(df: DataFrame, keys: Keys = ("doc_id",), predictions: DataFrame |
 
     ``predictions`` (keys, line, label, confidence) are a model's classes; from 0.6 they replace the rules.
     An unclassified line with several large amounts is taken as revenue unless the model is sure it is not.
-    Missing currencies become the document's most frequent one.
+    Missing currencies become the document's most frequent one; the facts are written once for that (starts Spark jobs),
+    so no line is read a second time to count currencies.
     """
     rows = df.withColumn("raw", labels.clean_line(text))
     if predictions is None:
@@ -195,7 +197,7 @@ def line_facts(df: DataFrame, keys: Keys = ("doc_id",), predictions: DataFrame |
     )
     metric = F.when(by_wide | by_big, "revenue").otherwise(F.col("_class"))
     found = {"year": F.col("year"), "metric": metric, "value": value, "currency": F.col("currency"), "raw": F.col("raw")}
-    return fill_currency(rows_with(rows, [*keys, line], found, ("year", "value")), keys)
+    return fill_currency(written(rows_with(rows, [*keys, line], found, ("year", "value")), "line_facts"), keys)
 
 
 def quality_score(df: DataFrame, keys: Keys = ("doc_id",), method: str = "method") -> DataFrame:
@@ -227,7 +229,11 @@ def quality_score(df: DataFrame, keys: Keys = ("doc_id",), method: str = "method
 
 def pick_method(df: DataFrame, keys: Keys = ("doc_id",), method: str = "method", baseline: str = "baseline",
                 other: str = "layout") -> DataFrame:
-    """The rows of the better reading: the baseline unless the other scores 3 more or the baseline is empty."""
+    """The rows of the better reading: the baseline unless the other scores 3 more or the baseline is empty.
+
+    The rows are written once (starts Spark jobs), since both the scores and the choice read them.
+    """
+    df = written(df, "readings")
     scores = quality_score(df, keys, method)
     best = scores.groupBy(*keys).agg(
         F.max(F.when(F.col(method) == baseline, F.col("score"))).alias("_b"),
