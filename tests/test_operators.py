@@ -249,3 +249,33 @@ def labels_of(df):
     from finfacts.functions.labels import classify_metric
 
     return {r["metric"]: r["slot"] for r in df.select("metric", classify_metric("metric").alias("slot")).collect()}
+
+
+def test_catalog_queries_tune_a_plain_session(spark):
+    import catalog
+
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", 65535)
+        catalog.QUERIES["c13_clean_text"](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
+
+
+def _reads(df, name):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_lines_are_read_once(spark):
+    """Readings, line facts and the split work out their lines once: their plans hold no second copy of the source."""
+    from catalog import tokens as C
+
+    sf = "/root/testdata/sf0.001"
+    assert _reads(C.readings(spark, sf), "l_extendedprice#") <= _reads(C.fx.text_lines(spark, sf), "l_extendedprice#")
+    rows = spark.createDataFrame([(1, 1, "FY 2023 Revenue ₹578,910"), (1, 2, "FY 2022 Total Income 510,000")], "doc_id int, line int, text string")
+    assert _reads(T.line_facts(rows), "LogicalRDD") == 0
+    labelled = spark.createDataFrame([(i, f"t{i}", "profit") for i in range(10)], "id int, text string, label string")
+    train, held = M.stratified_split(labelled)
+    assert _reads(train, "LogicalRDD") == _reads(held, "LogicalRDD") == 0
+    assert (train.count(), held.count()) == (8, 2)
