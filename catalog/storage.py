@@ -16,6 +16,7 @@ from finfacts.sources import facts as SF
 from finfacts.sources import grids as SG
 from finfacts.sources import sheets as SS
 from finfacts.sources import versions as SV
+from finfacts.stored import written
 
 from . import fixtures as fx
 from .facts import FACT_COLS, facts
@@ -50,7 +51,7 @@ def read_stored_facts(spark, sf):
 )
 def write_facts_twice(spark, sf):
     path = folder(spark, "replaced")
-    rows = SF.conform_facts(facts(spark, sf))
+    rows = written(SF.conform_facts(facts(spark, sf)), "rows")
     SF.write_facts(rows, path)
     fresh = rows.where("company < 'F'").withColumn("value", F.col("value") * 2)
     for _ in range(2):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ def read_facts(spark: SparkSession, path: str | None = None, jdbc: dict[str, str
     ``bounds`` is (column, lower, upper, partitions) and splits a JDBC read over that many tasks.
     """
     if path is not None:
-        return spark.read.schema(FACT_SCHEMA).parquet(path)
+        return conform_facts(spark.read.schema(FACT_SCHEMA).parquet(path))
     if jdbc is None:
         raise ValueError("read_facts needs a path or jdbc options")
     reader = spark.read.format("jdbc").options(**jdbc)
@@ -56,19 +57,37 @@ def replace_facts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return without_keys(existing, pairs, PARTITIONS).unionByName(incoming, allowMissingColumns=True)
 
 
-def write_facts(df: DataFrame, path: str, files_per_source: int = 1) -> None:
+def _written_before(spark: SparkSession, path: str) -> DataFrame | None:
+    """What a store of :func:`write_facts` holds, None where there is none yet."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def write_facts(df: DataFrame, path: str, files_per_source: int = 1, buckets: int = 64) -> None:
     """Replace the stored facts of every (company, source_file) in ``df``; the others stay.
 
-    Dynamic partition overwrite: running it twice leaves the same table.  Rows are first brought
-    together by partition, spread over ``files_per_source`` tasks so that one large source is not
-    written by a single task.
+    Rows are filed by a bucket of their source, so the number of folders stays bounded however many sources there are.  The
+    buckets that ``df`` has rows in are written anew, with what they hold of other sources, by dynamic partition overwrite:
+    running it twice leaves the same table.  One job at a time may write a store, and a store keeps its number of buckets.
+    Rows are spread over ``files_per_source`` tasks so that one large source is not written by a single task.
     """
+    bucket = F.pmod(F.xxhash64(*PARTITIONS), F.lit(buckets)).cast("int")
+    rows = df.withColumn("bucket", bucket)
+    before = _written_before(df.sparkSession, path)
+    if before is not None:
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+        others = without_keys(before.where(F.col("bucket").isin(touched)), df.select(*PARTITIONS).distinct(), PARTITIONS)
+        rows = rows.unionByName(others, allowMissingColumns=True)
     spread = [F.pmod(F.xxhash64("metric", "period", "id"), F.lit(files_per_source))] if files_per_source > 1 else []
     (
-        df.repartition(*PARTITIONS, *spread)
+        rows.repartition(buckets * files_per_source, "bucket", *spread)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
+        .partitionBy("bucket")
         .parquet(path)
     )
 

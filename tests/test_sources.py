@@ -37,6 +37,17 @@ def test_replace_is_idempotent_and_leaves_other_sources(spark, tmp_path):
     assert stored(spark, path) == [("a", "x.pdf", "revenue", 9.0), ("a", "y.pdf", "revenue", 2.0), ("b", "x.pdf", "revenue", 3.0)]
 
 
+def test_folders_of_a_store_are_bounded_and_every_source_is_replaced_alone(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    many = [{**A1, "id": i, "company": f"c{i}", "value": float(i)} for i in range(300)] + [{**A1, "company": ""}, {**A1, "company": None}]
+    SF.write_facts(fact_rows(spark, many), path)
+    fresh = [{**A1, "id": i, "company": f"c{i}", "value": -1.0} for i in range(0, 300, 3)] + [{**A1, "company": None, "value": -1.0}]
+    SF.write_facts(fact_rows(spark, fresh), path)
+    assert len(list((tmp_path / "facts").glob("bucket=*"))) <= 64
+    got = {r["company"]: r["value"] for r in SF.read_facts(spark, path).collect()}
+    assert got == {f"c{i}": -1.0 if i % 3 == 0 else float(i) for i in range(300)} | {"": 1.0, None: -1.0}
+
+
 def test_stream_keeps_every_part_of_the_latest_version(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "facts")
     parts = [([A1, B1], 1), ([{**A1, "value": 7.0}], 2), ([{**A1, "id": 9, "metric": "expenses", "value": 8.0}], 2)]
