@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import labels
 from ..functions import rules as R
@@ -344,11 +345,27 @@ def max_per_period(df: DataFrame, keys: Keys = ()) -> DataFrame:
     return df.groupBy(*keys, F.trim("period").alias("period")).agg(F.max("value").alias("value"))
 
 
+def _fixed_width(df: DataFrame, columns: Sequence[str]) -> bool:
+    return all(isinstance(df.schema[c].dataType, T.NumericType | T.BooleanType) for c in columns)
+
+
+def _floating(df: DataFrame, columns: Sequence[str]) -> bool:
+    return any(isinstance(df.schema[c].dataType, T.FloatType | T.DoubleType) for c in columns)
+
+
 def last_per_period(df: DataFrame, order_col: str, keys: Keys = (), ordered: bool = True) -> DataFrame:
     """The last row of each period; whole-number labels first in numeric order, then the others as text."""
     rows = df.where(F.col("period").isNotNull())
-    last = F.max_by(F.struct(*rows.columns), F.col(order_col)).alias("_last")
-    out = rows.groupBy(*keys, "period").agg(last).select("_last.*")
+    groups = [*keys, "period"]
+    others = [c for c in rows.columns if c not in (*groups, order_col)]
+    at = F.max(order_col).alias("_at")
+    if order_col not in groups and len(others) <= 1 and _fixed_width(rows, others) and not _floating(rows, groups):
+        # One value of fixed width is aggregated in place; a struct would sort all rows by group first.
+        found = rows.groupBy(*groups).agg(at, *[F.max_by(c, order_col).alias(c) for c in others])
+        named = {k: F.when(F.col("_at").isNotNull(), F.col(k)).alias(k) for k in groups} | {order_col: F.col("_at").alias(order_col)}
+        out = found.select(*[named.get(c, F.col(c)) for c in rows.columns])
+    else:
+        out = rows.groupBy(*groups).agg(F.max_by(F.struct(*rows.columns), F.col(order_col)).alias("_last")).select("_last.*")
     if not ordered:
         return out
     number = F.trim("period").try_cast("int")

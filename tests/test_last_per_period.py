@@ -1,0 +1,21 @@
+"""Groups of one value are not sorted."""
+
+from pyspark.sql import functions as F
+
+from finfacts.operators import aggregate as A
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_last_per_period_is_aggregated_without_a_sort(spark):
+    rows = spark.createDataFrame(
+        [("a", "2020", 1, 1.0), ("a", "2020", 2, 2.0), ("a", "2021", 5, None), ("b", "2020", None, 4.0), ("b", None, 1, 5.0)],
+        "company string, period string, id long, value double")
+    out = A.last_per_period(rows, "id", ("company",), ordered=False)
+    assert "SortAggregate" not in plan(out)
+    got = {tuple(r) for r in out.collect()}
+    assert got == {("a", "2020", 2, 2.0), ("a", "2021", 5, None), (None, None, None, None)}
+    wide = A.last_per_period(rows.withColumn("note", F.col("company")), "id", ("company",), ordered=False)
+    assert {tuple(r)[:4] for r in wide.collect()} == got
