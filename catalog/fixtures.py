@@ -7,7 +7,7 @@ the tables; the order year plus 20 plays the fiscal year.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -469,9 +469,12 @@ TOKENS_SQL = f"""fx_tokens AS (
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     """The grid cells as OCR tokens: a box per cell, slightly off the line, with a confidence."""
     flat = cells(spark, sf).select(*[F.expr(e).alias(n) for n, e in TOKEN_COLUMNS.items()], F.col("row").alias("line"))
-    corner = [("x0", "y0", 0.0, 0.0), ("x0", "y0", 80.0, 0.0), ("x0", "y0", 80.0, 16.0), ("x0", "y0", 0.0, 16.0)]
-    box = F.array(*[F.array(F.col(x) + dx, F.col(y) + dy) for x, y, dx, dy in corner])
-    return flat.withColumn("bbox", box)
+    return flat.withColumn("bbox", token_box(F.col("x0"), F.col("y0")))
+
+
+def token_box(x: Column, y: Column) -> Column:
+    """The corners of a token that starts at ``x``, ``y``."""
+    return F.array(*[F.array(x + dx, y + dy) for dx, dy in ((0.0, 0.0), (80.0, 0.0), (80.0, 16.0), (0.0, 16.0))])
 
 
 # ---- question log ------------------------------------------------------------------------------

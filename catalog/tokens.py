@@ -318,9 +318,12 @@ def pick_method(spark, sf):
 )
 def check_token_samples(spark, sf):
     rows = fx.tokens(spark, sf).withColumn("label", token_role("text"))
-    samples = rows.groupBy(*PAGE).agg(
-        F.collect_list("text").alias("words"), F.collect_list("label").alias("labels"),
-        F.collect_list("bbox").alias("bboxes"), F.count(F.lit(1)).alias("n"),
+    # A token travels with its corner; the four corners of its box are eight numbers, worked out where the page is together.
+    pages = rows.groupBy(*PAGE).agg(F.collect_list(F.struct("text", "label", "x0", "y0")).alias("_t"), F.count(F.lit(1)).alias("n"))
+    samples = pages.select(
+        *PAGE, F.filter(F.transform("_t", lambda t: t["text"]), lambda w: w.isNotNull()).alias("words"),
+        F.transform("_t", lambda t: t["label"]).alias("labels"),
+        F.transform("_t", lambda t: fx.token_box(t["x0"], t["y0"])).alias("bboxes"), "n",
     )
     samples = samples.withColumn("labels", F.when(F.col("n") % 5 == 0, F.slice("labels", 2, F.size("labels") - 1)).when(
         F.col("n") % 7 == 0, F.transform("labels", lambda t, i: F.when(i == 0, "B-NAME").otherwise(t))
