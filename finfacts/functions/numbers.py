@@ -103,8 +103,8 @@ def parse_ledger_number(cell: ColumnOrName) -> Column:
     What is left must be one number, otherwise NULL.
     """
     text = F.trim(as_col(cell).cast("string"))
-    text = F.regexp_replace(text, r"(?s)^\((.*)\)$", "-$1")
-    return F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
+    text = F.when(text.startswith("("), F.regexp_replace(text, r"(?s)^\((.*)\)$", "-$1")).otherwise(text)
+    return F.regexp_replace(text, r"[^0-9.\-]+", "").try_cast("double")
 
 
 def parse_sheet_number(cell: ColumnOrName) -> Column:
@@ -112,15 +112,17 @@ def parse_sheet_number(cell: ColumnOrName) -> Column:
 
     A cell with no numeric prefix is read from its digits alone.
     """
-    text = F.regexp_replace(as_col(cell).cast("string"), r"(?s)^[\s\u00a0]*\((.*)\)[\s\u00a0]*$", "-$1")
-    text = F.regexp_replace(text, f"[{CURRENCY_MARKS},\\s\\u00a0]", "")
+    text = as_col(cell).cast("string")
+    negative = F.regexp_replace(text, r"(?s)^[\s\u00a0]*\((.*)\)[\s\u00a0]*$", "-$1")
+    text = F.when(text.contains("("), negative).otherwise(text)
+    text = F.regexp_replace(text, f"[{CURRENCY_MARKS},\\s\\u00a0]+", "")
     text = F.regexp_replace(F.regexp_replace(text, r"(?i)^(-?)rs\.?", "$1"), "^--", "")
-    return F.coalesce(leading_double(text), leading_double(F.regexp_replace(text, r"[^0-9.\-]", "")))
+    return F.coalesce(leading_double(text), leading_double(F.regexp_replace(text, r"[^0-9.\-]+", "")))
 
 
 def parse_dashboard_number(cell: ColumnOrName) -> Column:
     """Dashboard cells: commas, marks and blanks dropped, numeric prefix, 0 when unreadable."""
-    text = F.regexp_replace(as_col(cell).cast("string"), f"[,{CURRENCY_MARKS}\\s]", "")
+    text = F.regexp_replace(as_col(cell).cast("string"), f"[,{CURRENCY_MARKS}\\s]+", "")
     return F.coalesce(leading_double(text), F.lit(0.0))
 
 
@@ -131,7 +133,7 @@ def parse_plain_number(cell: ColumnOrName) -> Column:
 
 def parse_digits_number(cell: ColumnOrName) -> Column:
     """Keep digits, dots and minus signs only, then the numeric prefix."""
-    return leading_double(F.regexp_replace(as_col(cell).cast("string"), r"[^0-9.\-]", ""))
+    return leading_double(F.regexp_replace(as_col(cell).cast("string"), r"[^0-9.\-]+", ""))
 
 
 _STYLES = {

@@ -1,0 +1,11 @@
+"""Amounts of odd cells."""
+
+from finfacts.functions import numbers
+
+
+def test_ledger_numbers_drop_runs_at_once(spark):
+    cells = ["(1,234.50)", "(12) ", "₹ 1,234", "Rs. 12", "", None, "(5", "5)", "--5", " ( 7 ) "]
+    rows = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = [tuple(r) for r in rows.select(*[numbers.parse_number("c", s) for s in ("ledger", "sheet")]).collect()]
+    assert [g[0] for g in got] == [-1234.5, -12.0, 1234.0, 0.12, None, None, 5.0, 5.0, None, -7.0]
+    assert got[0][1] == -1234.5 and got[9][1] == -7.0
