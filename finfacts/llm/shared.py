@@ -79,9 +79,10 @@ def bitmap(cells: DataFrame, size: int) -> np.ndarray:
     Words are put together before they leave Spark; the driver gets size / 64 rows at most.
     """
     words = cells.groupBy(F.expr("shiftright(cell, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits"))
-    found = words.toPandas()
+    # As Arrow columns, which take the driver no more than their bytes.
+    found = words.toArrow()
     bits = np.zeros(size // 64 + 1, np.int64)
-    bits[found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
     return bits
 
 
