@@ -103,7 +103,7 @@ def metric_from_squeezed(low: Column) -> Column:
 def clean_label(text: ColumnOrName) -> Column:
     """Lower case letters and single spaces only, text in parentheses dropped."""
     low = F.regexp_replace(F.lower(F.coalesce(as_col(text), F.lit(""))), r"\(.*?\)", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(low, "[^a-z]+", " "))
 
 
 def is_revenue_row(text: ColumnOrName) -> Column:
@@ -145,10 +145,19 @@ def token_role(text: ColumnOrName) -> Column:
 
 
 def clean_line(text: ColumnOrName) -> Column:
-    """A line without rupee marks, blanks squeezed."""
-    out = F.regexp_replace(as_col(text), "₹", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?i)rs\.\s*", ""), r"(?i)\brs\b\s*", "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """A line without rupee marks, blanks squeezed; patterns run only on lines that hold what they look for."""
+    out = F.replace(as_col(text), F.lit("₹"), F.lit(""))
+    out = R.once(out, lambda t: F.when(
+        _holds(t, ("rs", "Rs", "RS", "rS")), F.regexp_replace(F.regexp_replace(t, r"(?i)rs\.\s*", ""), r"(?i)\brs\b\s*", "")
+    ).otherwise(t))
+    out = R.once(out, lambda t: F.when(
+        _holds(t, ("  ", "\t", "\n", "\x0b", "\f", "\r")), F.regexp_replace(t, r"\s+", " ")
+    ).otherwise(t))
+    return F.trim(out)
+
+
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
 def fix_typos(text: ColumnOrName) -> Column:
