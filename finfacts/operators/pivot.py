@@ -12,6 +12,7 @@ from ..functions import labels
 from ..functions import rules as R
 from ..functions.numbers import exact_sum, parse_sheet_number
 from ..schema import SLOTS
+from ..stored import written
 from .filters import valid_facts
 from .frames import Keys, keyed, rows_with
 
@@ -29,7 +30,8 @@ def pivot_facts(df: DataFrame, keys: Keys = (), agg: str = "max", period: str =
 
     ``agg="max"`` takes the largest value of each of 17 metric families by exact metric name.
     ``agg="sum"`` classifies free labels into 22 slots, parses the cells and adds them by slot; what is left, a row
-    per slot, becomes columns in a second, small aggregation.
+    per slot, becomes columns in a second, small aggregation.  The parsed cells are written once for that (starts Spark
+    jobs), since both the labels and the sums read them.
     """
     if agg == "max":
         slots = [
@@ -43,7 +45,7 @@ def pivot_facts(df: DataFrame, keys: Keys = (), agg: str = "max", period: str =
         F.col(metric).alias("_label"),
         numeric_cell(df, value).alias("_value"),
     )
-    by_slot = of_known_label(cells, "_label", "_slot").groupBy(*keys, "period", "_slot").agg(
+    by_slot = of_known_label(written(cells, "cells"), "_label", "_slot").groupBy(*keys, "period", "_slot").agg(
         exact_sum("_value").alias("_sum"), F.count("_value").alias("_n"))
     sums = [F.max(F.when(F.col("_slot") == s, F.col("_sum"))).alias(s) for s in SLOTS]
     out = by_slot.groupBy(*keys, "period").agg(*sums, F.sum("_n").alias("_used"))
@@ -55,12 +57,12 @@ def of_known_label(df: DataFrame, label: str, slot: str) -> DataFrame:
     """The rows whose label has a pivot slot, with that slot.
 
     The dozens of patterns run once per distinct label and not once per row; the labels are told apart by a
-    partial aggregation.  Spark picks the join by the size of the dictionary, and splits frequent labels where it is
-    too large to be sent around.
+    partial aggregation.  The dictionary is written first (starts a Spark job), so that Spark picks the join by its size
+    before it moves a row, and splits frequent labels where it is too large to be sent around.
     """
     words = df.select(F.col(label).alias("_known")).distinct()
     named = rows_with(words, ["_known"], {"_found": labels.classify_metric("_known")}, ["_found"])
-    return df.join(named, F.col(label) == F.col("_known")).drop("_known").withColumnRenamed("_found", slot)
+    return df.join(written(named, "labels"), F.col(label) == F.col("_known")).drop("_known").withColumnRenamed("_found", slot)
 
 
 def header_slot(name: str) -> str | None:
