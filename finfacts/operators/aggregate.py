@@ -345,14 +345,24 @@ def max_per_period(df: DataFrame, keys: Keys = ()) -> DataFrame:
 
 
 def last_per_period(df: DataFrame, order_col: str, keys: Keys = (), ordered: bool = True) -> DataFrame:
-    """The last row of each period; whole-number labels first in numeric order, then the others as text."""
+    """The last row of each period; whole-number labels first in numeric order, then the others as text.
+
+    Where all rows of a period have no ``order_col``, there is no last one and its columns are NULL.
+    """
     rows = df.where(F.col("period").isNotNull())
-    last = F.max_by(F.struct(*rows.columns), F.col(order_col)).alias("_last")
-    out = rows.groupBy(*keys, "period").agg(last).select("_last.*")
+    group = [*keys, "period"]
+    rest = [c for c in rows.columns if c not in group]
+    # One max_by a column instead of one over whole rows: numbers are aggregated in place, without a sort of all rows by group.
+    last = [F.max(order_col).alias("_at"), *[F.max_by(c, order_col).alias(c) for c in rest if c != order_col]]
+    out = rows.groupBy(*group).agg(*last)
+    there = F.col("_at").isNotNull()
+    picked = {order_col: F.col("_at")} | {k: F.when(there, F.col(k)) for k in group}
+    out = out.select(*[picked.get(c, F.col(c)).alias(c) for c in rows.columns])
     if not ordered:
         return out
+    # The order is worked out once a row; as expressions it would be worked out anew for each comparison of the sort.
     number = F.trim("period").try_cast("int")
-    return out.orderBy(*keys, number.isNull(), number, "period")
+    return out.withColumns({"_text": number.isNull(), "_number": number}).orderBy(*keys, "_text", "_number", "period").drop("_text", "_number")
 
 
 def dedup_rows(df: DataFrame, order_col: str, keys: Keys = ()) -> DataFrame:

@@ -5,12 +5,15 @@ from pyspark.sql import SparkSession
 #: The JVM never compiles methods over 8000 bytes and runs them byte by byte; below it Spark splits wide projections instead.
 HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
 COMPILED_BYTES = 8000
+#: Shuffle files go when the query that wrote them ends; else they stay until the driver's garbage collector finds their frames.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """A session made elsewhere, with the one setting that the wide projections of the operators need; a lower limit stays."""
+    """A session made elsewhere, with the settings that the operators need; a lower limit stays."""
     if int(spark.conf.get(HUGE_METHOD)) > COMPILED_BYTES:
         spark.conf.set(HUGE_METHOD, COMPILED_BYTES)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
     return spark
 
 
@@ -29,6 +32,7 @@ def build_session(app: str = "finfacts", master: str | None = None, shuffle_part
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         HUGE_METHOD: str(COMPILED_BYTES),
+        SHUFFLE_CLEANUP: "true",
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
