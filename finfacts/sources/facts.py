@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.frames import with_keys, without_keys
+from ..operators.frames import same_keys, with_keys, without_keys
 from ..schema import FACT_DEFAULTS, FACT_SCHEMA
 
 PARTITIONS = ("company", "source_file")
@@ -73,18 +73,21 @@ def write_facts(df: DataFrame, path: str, files_per_source: int = 1, buckets: in
     Rows are filed by a bucket of their source, so the number of folders stays bounded however many sources there are.  The
     buckets that ``df`` has rows in are written anew, with what they hold of other sources, by dynamic partition overwrite:
     running it twice leaves the same table.  One job at a time may write a store, and a store keeps its number of buckets.
-    Rows are spread over ``files_per_source`` tasks so that one large source is not written by a single task.
+    Each of up to ``buckets * files_per_source`` tasks files its own rows, so that a large source is not written by a single task and
+    rows are not shuffled.  What other sources have in these buckets is read only where there are any.
     """
     bucket = F.pmod(F.xxhash64(*PARTITIONS), F.lit(buckets)).cast("int")
     rows = df.withColumn("bucket", bucket)
     before = _written_before(df.sparkSession, path)
     if before is not None:
         touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
-        others = without_keys(before.where(F.col("bucket").isin(touched)), df.select(*PARTITIONS).distinct(), PARTITIONS)
-        rows = rows.unionByName(others, allowMissingColumns=True)
-    spread = [F.pmod(F.xxhash64("metric", "period", "id"), F.lit(files_per_source))] if files_per_source > 1 else []
+        stored = before.where(F.col("bucket").isin(touched))
+        stay = without_keys(stored.select(*PARTITIONS).distinct(), df.select(*PARTITIONS).distinct(), PARTITIONS)
+        if not stay.isEmpty():
+            stay, same = same_keys(stored, stay, PARTITIONS)
+            rows = rows.unionByName(stored.join(stay, same, "left_semi"), allowMissingColumns=True)
     (
-        rows.repartition(buckets * files_per_source, "bucket", *spread)
+        rows.coalesce(buckets * files_per_source)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
