@@ -95,7 +95,7 @@ def committed_versions(spark, sf):
     fresh = rows.where("company < 'F'").withColumns({"value": F.col("value") * 2, "version": F.lit(2)})
     # A company whose lines are all even or all odd has its second version in one batch.
     sides = fresh.groupBy("company", "source_file").agg(F.count_distinct(F.col("id") % 2).alias("sides"))
-    fresh = with_keys(fresh, sides, ("company", "source_file"))
+    fresh = written(with_keys(fresh, sides, ("company", "source_file")), "fresh")
     for batch, side in ((1, 0), (2, 1), (1, 0)):
         SV.commit_batch(fresh.where(F.col("id") % 2 == side), path, batch, "sides")
     SV.commit_batch(rows.where("company < 'C'").withColumns({"value": F.lit(0.0), "version": F.lit(3)}), path, 3, parts=2)

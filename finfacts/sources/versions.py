@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.frames import same_keys, with_keys
+from ..operators.frames import same_keys, without_keys
 from .facts import PARTITIONS
 
 #: The log's columns: how many batches the version is made of, and which batch this is.
@@ -48,11 +48,19 @@ def live_batches(log: DataFrame) -> DataFrame:
 def read_committed(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """The rows of the newest whole version of each source; ``batch`` says where a row came from.
 
-    Batches without live entries are left out by their folder.
+    Batches without live entries are left out by their folder; the query starts Spark jobs that look for these and for mixed ones.
     """
     live = live_batches(committed(spark, path)).select(*PARTITIONS, "version", "batch").distinct()
     reader = spark.read.schema(f"{schema}, batch long") if schema else spark.read
     data = reader.parquet(f"{path}/data")
     folders = [r["batch"] for r in live.select("batch").distinct().collect()]
     data = data.where(F.col("batch").isin(folders)) if folders else data.limit(0)
-    return with_keys(data, live.withColumn("_live", F.lit(1)), [*PARTITIONS, "version", "batch"], "inner").drop("_live", "parts")
+    key = [*PARTITIONS, "version", "batch"]
+    # Only batches that also hold rows without a live entry are gone through row by row.
+    dead = without_keys(data.select(*key).distinct(), live, key).select("batch").distinct()
+    mixed = [r["batch"] for r in dead.collect()]
+    if not mixed:
+        return data.drop("parts")
+    whole, part = data.where(~F.col("batch").isin(mixed)), data.where(F.col("batch").isin(mixed))
+    other, same = same_keys(part, live, key)
+    return whole.unionByName(part.join(other, same, "left_semi")).drop("parts")
