@@ -282,8 +282,10 @@ CHOSEN = (
 def image_facts_of_two_readings(spark, sf):
     """All tokens, and those that a second reader caught, more surely."""
     tokens = fx.tokens(spark, sf)
-    second = tokens.where("seq % 7 <> 0").withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") + 0.1))
-    both = tokens.withColumn("method", F.lit("baseline")).unionByName(second.withColumn("method", F.lit("layout")))
+    # One pass: each token goes to the readings that caught it.
+    caught = F.array_compact(F.array(F.lit("baseline"), F.when(F.col("seq") % 7 != 0, F.lit("layout"))))
+    both = tokens.withColumn("method", F.explode(caught)).withColumn("confidence", F.when(
+        F.col("method") == "layout", F.least(F.lit(1.0), F.col("confidence") + 0.1)).otherwise(F.col("confidence")))
     rows = image_facts(both)
     return rows.select("doc_id", "method", F.col("line.page").alias("page"), F.col("line.line").alias("line"), "year", "metric", "value", "currency", "raw")
 

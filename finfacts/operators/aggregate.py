@@ -378,17 +378,21 @@ def dedup_rows(df: DataFrame, order_col: str, keys: Keys = ()) -> DataFrame:
     return rows.groupBy(*group).agg(first).select("_first.*")
 
 
+def main_currency(df: DataFrame, keys: Keys) -> DataFrame:
+    """The most frequent currency of each document that names one as ``_main``, ties by name."""
+    counts = df.where(F.col("currency") != "").groupBy(*keys, "currency").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(*keys).agg(
+        F.min_by("currency", F.struct((-F.col("_n")).alias("n"), F.col("currency"))).alias("_main")
+    )
+
+
 def fill_currency(df: DataFrame, keys: Keys) -> DataFrame:
     """Missing currencies filled with the most frequent one of the document, ties by name.
 
     The counts are reduced per (document, currency) first, so only one row per document joins back.
     """
     known = F.nullif(F.col("currency"), F.lit(""))
-    counts = df.where(known.isNotNull()).groupBy(*keys, "currency").agg(F.count(F.lit(1)).alias("_n"))
-    main = counts.groupBy(*keys).agg(
-        F.min_by("currency", F.struct((-F.col("_n")).alias("n"), F.col("currency"))).alias("_main")
-    )
-    return with_keys(df, main, keys).withColumn("currency", F.coalesce(known, F.col("_main"))).drop("_main")
+    return with_keys(df, main_currency(df, keys), keys).withColumn("currency", F.coalesce(known, F.col("_main"))).drop("_main")
 
 
 # --- summary over years -----------------------------------------------------------------------

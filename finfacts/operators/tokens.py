@@ -15,8 +15,8 @@ from ..functions.boxes import bbox_xyxy
 from ..functions.numbers import exact_mean, js_round, safe_div
 from ..functions.rules import TOKEN_LABELS
 from ..stored import written
-from .aggregate import fill_currency
-from .frames import Keys, rows_with, same_keys, with_keys, with_totals
+from .aggregate import main_currency
+from .frames import Keys, rows_with, same_keys, with_keys
 
 # Geometry and confidence limits.
 LINE_GAP_MIN = 12.0
@@ -40,9 +40,13 @@ def confident_tokens(df: DataFrame, floor: float = TOKEN_FLOOR, keys: Keys = PAG
     """Filled tokens at or above the floor; a page with fewer than two of them is retried at 0.4."""
     sure = F.coalesce("confidence", F.lit(1.0))
     rows = df.where((F.trim("text") != "") & (sure >= min(floor, TOKEN_RETRY_FLOOR)))
-    # Counts first, so a page of any length is reduced before it meets its count.
-    rows = with_totals(rows, keys, {"_enough": F.count(F.when(sure >= floor, 1)) >= MIN_TOKENS})
-    return rows.where((sure >= floor) | ~F.col("_enough")).drop("_enough")
+    if floor <= TOKEN_RETRY_FLOOR:
+        return rows
+    # Only the tokens between the floors have to meet their page's count.
+    poor = rows.groupBy(*keys).agg(F.count(F.when(sure >= floor, 1)).alias("_sure")).where(F.col("_sure") < MIN_TOKENS)
+    doubtful = rows.where(sure < floor)
+    other, same = same_keys(doubtful, poor, keys) if keys else (poor, F.lit(True))
+    return rows.where(sure >= floor).unionByName(doubtful.join(other, same, "left_semi"))
 
 
 def token_lines(df: DataFrame, keys: Keys = PAGE, height: str = "page_height") -> DataFrame:
@@ -158,12 +162,14 @@ def line_facts(df: DataFrame, keys: Keys = ("doc_id",), predictions: DataFrame |
     Missing currencies become the document's most frequent one; the facts are written once for that (starts Spark jobs),
     so no line is read a second time to count currencies.
     """
-    rows = df.withColumn("raw", labels.clean_line(text))
+    rows = df.select(*keys, line, text)
     if predictions is None:
         rows = rows.withColumns({"_label": F.lit(None).cast("string"), "_sure": F.lit(0.0)})
     else:
         given = predictions.select(*keys, line, F.col("label").alias("_label"), F.col("confidence").alias("_sure"))
         rows = with_keys(rows, given, [*keys, line])
+    # Cleaned after the join, which so moves each text once.
+    rows = rows.withColumn("raw", labels.clean_line(text))
     sure = F.coalesce("_sure", F.lit(0.0))
     # Each step reads columns of the step before, so no text is scanned twice for the same thing.
     rows = rows.withColumns(
@@ -197,7 +203,11 @@ def line_facts(df: DataFrame, keys: Keys = ("doc_id",), predictions: DataFrame |
     )
     metric = F.when(by_wide | by_big, "revenue").otherwise(F.col("_class"))
     found = {"year": F.col("year"), "metric": metric, "value": value, "currency": F.col("currency"), "raw": F.col("raw")}
-    return fill_currency(written(rows_with(rows, [*keys, line], found, ("year", "value")), "line_facts"), keys)
+    facts = written(rows_with(rows, [*keys, line], found, ("year", "value")), "line_facts")
+    # Only lines without a currency have to meet their document's.
+    known = F.coalesce(F.col("currency") != "", F.lit(False))
+    missing = with_keys(facts.where(~known), main_currency(facts, keys), keys).withColumn("currency", F.col("_main")).drop("_main")
+    return facts.where(known).unionByName(missing)
 
 
 def quality_score(df: DataFrame, keys: Keys = ("doc_id",), method: str = "method") -> DataFrame:
